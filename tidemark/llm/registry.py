@@ -25,3 +25,10 @@ def op3(spark, sf_dir):
     from tidemark.llm.simhash import simhash_components
 
     return simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query("op9_secrets")
+def op9(spark, sf_dir):
+    from tidemark.llm.secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents")).drop("redacted")
