@@ -32,3 +32,27 @@ def op9(spark, sf_dir):
     from tidemark.llm.secrets import scan_secrets
 
     return scan_secrets(table(spark, sf_dir, "documents")).drop("redacted")
+
+
+@query("op5_licenses")
+def op5(spark, sf_dir):
+    from tidemark.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op8_mixing")
+def op8(spark, sf_dir):
+    from tidemark.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
+def _oracles() -> None:
+    from tidemark.llm import licenses, mixing
+
+    ORACLE["op5_licenses"] = licenses.oracle()
+    ORACLE["op8_mixing"] = mixing.oracle()
+
+
+_oracles()
