@@ -41,6 +41,13 @@ def op5(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+@query("op7_warc")
+def op7(spark, sf_dir):
+    from tidemark.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 @query("op8_mixing")
 def op8(spark, sf_dir):
     from tidemark.llm.mixing import mix
@@ -49,9 +56,10 @@ def op8(spark, sf_dir):
 
 
 def _oracles() -> None:
-    from tidemark.llm import licenses, mixing
+    from tidemark.llm import licenses, mixing, warc
 
     ORACLE["op5_licenses"] = licenses.oracle()
+    ORACLE["op7_warc"] = warc.oracle()
     ORACLE["op8_mixing"] = mixing.oracle()
 
 
