@@ -55,11 +55,21 @@ def op8(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+@query("op10_nearest")
+def op10(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.ann import search
+
+    return search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def _oracles() -> None:
-    from tidemark.llm import licenses, mixing, warc
+    from tidemark.llm import ann, licenses, mixing, warc
 
     ORACLE["op5_licenses"] = licenses.oracle()
     ORACLE["op7_warc"] = warc.oracle()
+    ORACLE["op10_nearest"] = ann.oracle()
     ORACLE["op8_mixing"] = mixing.oracle()
 
 
