@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_decontaminate")
+def op1(spark, sf_dir):
+    from tidemark.llm.decontaminate import contaminated, split_items
+
+    return contaminated(table(spark, sf_dir, "documents"), split_items(table(spark, sf_dir, "benchmark")))
+
+
 @query("op3_simhash")
 def op3(spark, sf_dir):
     from tidemark.llm.simhash import simhash_components
