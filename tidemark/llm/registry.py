@@ -27,6 +27,14 @@ def op1(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), split_items(table(spark, sf_dir, "benchmark")))
 
 
+@query("op2_quality")
+def op2(spark, sf_dir):
+    from tidemark.llm.quality import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op3_simhash")
 def op3(spark, sf_dir):
     from tidemark.llm.simhash import simhash_components
@@ -41,6 +49,14 @@ def op9(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents")).drop("redacted")
 
 
+@query("op4_langid")
+def op4(spark, sf_dir):
+    from tidemark.llm.langid import fit_langid, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, *fit_langid(docs))
+
+
 @query("op5_licenses")
 def op5(spark, sf_dir):
     from tidemark.llm.licenses import scan_licenses
