@@ -64,6 +64,13 @@ def op5(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+@query("op6_lm")
+def op6(spark, sf_dir):
+    from tidemark.llm.lm import score_lm
+
+    return score_lm(table(spark, sf_dir, "documents"))
+
+
 @query("op7_warc")
 def op7(spark, sf_dir):
     from tidemark.llm.warc import round_trip
@@ -88,9 +95,10 @@ def op10(spark, sf_dir):
 
 
 def _oracles() -> None:
-    from tidemark.llm import ann, licenses, mixing, warc
+    from tidemark.llm import ann, licenses, lm, mixing, warc
 
     ORACLE["op5_licenses"] = licenses.oracle()
+    ORACLE["op6_lm"] = lm.oracle()
     ORACLE["op7_warc"] = warc.oracle()
     ORACLE["op10_nearest"] = ann.oracle()
     ORACLE["op8_mixing"] = mixing.oracle()
