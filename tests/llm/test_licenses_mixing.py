@@ -4,6 +4,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from tests.llm.water import water_level
 from tidemark.llm import licenses as L
 from tidemark.llm import mixing as M
 
@@ -36,24 +37,6 @@ def mixed(spark):
     return rows, spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
 
 
-def water_level(sizes):
-    """Targets by giving out shares round by round."""
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
-    total, open_, target = sum(sizes.values()), set(names), {}
-    left = total
-    while open_:
-        w = sum(weight[s] for s in open_)
-        over = {s for s in open_ if left * weight[s] / w > 3 * sizes[s]}
-        if not over:
-            return target | {s: left * weight[s] / w for s in open_}
-        for s in over:
-            target[s] = 3.0 * sizes[s]
-            left -= target[s]
-        open_ -= over
-    return target
-
-
 def test_mixing(spark, mixed):
     rows, df = mixed
     got = M.mix(df, keep=["source"]).collect()

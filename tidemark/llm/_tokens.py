@@ -41,3 +41,14 @@ def as_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
 def with_column(batch: pa.RecordBatch, names: list[str], **columns: pa.Array) -> pa.RecordBatch:
     """The named columns of the batch, then the given ones."""
     return pa.RecordBatch.from_arrays([batch.column(n) for n in names] + list(columns.values()), names=[*names, *columns])
+
+
+def map_slices(docs, change, text_col: str = "text"):
+    """Apply ``change(RecordBatch) -> RecordBatch`` of the same columns to slices of the documents; no shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            for part in sliced(batch, text_col):
+                yield change(part)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -107,3 +107,11 @@ k as (select d.*, g.source_size, g.target, g.u, case when g.source_size > 0 then
   row_number() over (partition by d.source order by floor(sqrt(size::double)), substr(h, 1, 2), size, h, doc_id) pos from d join g on d.source is not distinct from g.source),
 c as (select *, least(floor(pos * e + u) - floor((pos - 1) * e + u), 3)::bigint copies from k)
 select doc_id, size, source_size, target, size * copies taken from c"""
+
+
+def emit(docs: DataFrame, columns: list[str], seed: str = SEED) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and source among ``columns``) as often as the mix takes them, with ``copy``
+    numbered from 1. A document that the mix takes no time is left out."""
+    rows = mix(docs, seed=seed, keep=[c for c in columns if c != "doc_id"])
+    taken = rows.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*columns, "copy")

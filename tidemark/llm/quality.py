@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._tokens import as_bytes, sliced
+from tidemark.llm._tokens import as_bytes, map_slices, sliced
 
 BUCKETS, RANK = 1 << 13, 8
 #: Labelled rows the model is fitted on: those with the smallest hash of the id, so the same on every run.
@@ -179,3 +179,16 @@ def score_quality(docs: DataFrame, model: QualityModel, cut: float = CUT) -> Dat
     out = docs.select("doc_id", F.col("text").alias("t"), F.col("n_chars").cast("long").alias("n")).mapInArrow(run, f"doc_id {kind}, score double")
     held = F.coalesce(F.pmod(crc_of(F.col("doc_id")), F.lit(5)) == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def filter_quality(docs: DataFrame, model: QualityModel, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches ``cut``; scored as in :func:`score_quality`."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def change(part):
+        buckets = Buckets()
+        chars = part.column("n_chars").cast(pa.int64()).to_pylist()
+        score = sent.value.score([features(t, n, buckets) for t, n in zip(as_bytes(part, "text"), chars)])
+        return part.filter(pa.array(score >= cut))
+
+    return map_slices(docs, change)

@@ -15,10 +15,11 @@ import json
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._tokens import as_bytes, sliced, with_column
+from tidemark.llm._tokens import as_bytes, map_slices, sliced, with_column
 
 KINDS = ("assign", "access", "hex", "token", "pem", "key64", "keyhex")
 RANK = {k: i for i, k in enumerate(KINDS)}
@@ -198,3 +199,19 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
     return out.withColumnRenamed("id", id_col)
+
+
+def redact_documents(docs: DataFrame) -> DataFrame:
+    """All rows and columns of ``docs``; in texts that hold secrets these are replaced and ``n_chars`` is counted anew."""
+
+    def change(part):
+        texts = [x.decode("utf-8", "replace") for x in as_bytes(part, "text")]
+        new = [redact(t, s) if (s := all_spans(t)) else None for t in texts]
+        at = {name: i for i, name in enumerate(part.schema.names)}
+        columns = list(part.columns)
+        found = pa.array([x is not None for x in new], pa.bool_())
+        put = lambda name, values: pc.if_else(found, pa.array(values, columns[at[name]].type), columns[at[name]])
+        columns[at["text"]], columns[at["n_chars"]] = put("text", new), put("n_chars", [x and len(x) for x in new])
+        return pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    return map_slices(docs, change)

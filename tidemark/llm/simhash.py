@@ -188,6 +188,39 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return ordered.select("m", "key", "fp").mapInArrow(_node_links, "a long, b long")
 
 
+def _members(fps: DataFrame) -> DataFrame:
+    """(id, fp) rows -> (fp, component_id), one row per distinct fingerprint."""
+    least = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    roots = materialize(connected_components(fingerprint_links(least.select("fp"))), "roots").withColumnRenamed("node", "fp")
+    joined = least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    return materialize(joined.join(named, "root").select("fp", "root", "component_id"), "members")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component of ``docs`` (doc_id, text and more), all columns.
+
+    Kept is the row with the smallest id, of equal ids the one with the smallest hash of the text, of rows equal
+    in both any one; null ids come last. Texts move once, to meet the ids that stay.
+    """
+    plain = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    fps = materialize(add_fingerprints(plain.select(F.struct("doc_id", "h").alias("doc_id"), "text")).select("id.*", "fp"), "fingerprints")
+    member = _members(fps.select(F.col("doc_id").alias("id"), "fp"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    # at most one row a component; min over a struct is pre-aggregated
+    best = fps.join(member, "fp").groupBy("root").agg(F.min(order).alias("x")).select("x.doc_id", "x.h")
+    rows = fps.groupBy("doc_id", "h").agg(F.count("*").alias("rows"))
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
+    best = materialize(best.alias("a").join(rows.alias("b"), same("a", "b")).select("a.doc_id", "a.h", "rows").distinct(), "kept")
+    full = docs.withColumn("h", F.xxhash64("text"))
+    single = full.alias("a").join(best.where("rows = 1").alias("b"), same("a", "b"), "left_semi").drop("h")
+    again = best.where("rows > 1")
+    if again.isEmpty():
+        return single
+    repeated = full.alias("a").join(again.alias("b"), same("a", "b"), "left_semi").dropDuplicates(["doc_id", "h"]).drop("h")
+    return single.unionByName(repeated)
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable over
     links of at most two differing bits).
@@ -198,10 +231,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     clash. An empty table gives an empty table.
     """
     fps = materialize(add_fingerprints(docs, id_col, text_col), "fingerprints")
-    least = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    roots = materialize(connected_components(fingerprint_links(least.select("fp"))), "roots").withColumnRenamed("node", "fp")
-    joined = least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = joined.join(named, "root").select("fp", "component_id")
+    member = _members(fps)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(member, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
