@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.functions.vectors import cosine_or_zero, dot, doubles
@@ -201,7 +202,7 @@ def diverse(cuts: DataFrame, keys: list[str], k: int = DONORS, dup_max: float =
         out["pick"] = range(1, len(out) + 1)
         return out
 
-    schema = cuts.schema.add("pick", "long")
+    schema = T.StructType([*cuts.schema.fields, T.StructField("pick", T.LongType())])
     return cuts.groupBy(*keys).applyInPandas(run, schema)
 
 
@@ -217,12 +218,13 @@ def two_pass_anchors(match, refs: DataFrame, donors_of) -> tuple[DataFrame, Data
     return sure.unionByName(again.where(ok)), again.where(~ok)
 
 
-def same_place(a: str, b: str):
+def same_place(a: str, b: str, tau_visual: float = TAU_VISUAL, tau_audio: float = TAU_AUDIO):
     """Whether two profiles are of one place: pictures and sounds both alike."""
-    return (cosine_or_zero(F.col(f"{a}.scene_vec"), F.col(f"{b}.scene_vec")) >= TAU_VISUAL) & (cosine_or_zero(F.col(f"{a}.audio_vec"), F.col(f"{b}.audio_vec")) >= TAU_AUDIO)
+    alike = lambda v: cosine_or_zero(F.col(f"{a}.{v}"), F.col(f"{b}.{v}"))
+    return (alike("scene_vec") >= tau_visual) & (alike("audio_vec") >= tau_audio)
 
 
-def propagate_tags(profiles: DataFrame, donors: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def propagate_tags(profiles: DataFrame, donors: DataFrame, keys: list[str] | None = None, tau_visual: float = TAU_VISUAL, tau_audio: float = TAU_AUDIO) -> DataFrame:
     """Tags lent to videos of the same place: (tag, video_id, donor, vis, aud), the first donor by ``ord`` that fits.
 
     ``profiles`` has video_id, scene_vec, audio_vec and ``keys`` (such as an owner) within which places are
@@ -235,7 +237,7 @@ def propagate_tags(profiles: DataFrame, donors: DataFrame, keys: list[str] | Non
     t = p.select(*keys, "video_id", F.struct("scene_vec", "audio_vec").alias("t"))
     pairs = t.join(d, keys) if keys else t.crossJoin(d)
     own = donors.select(*keys, "tag", "video_id")
-    fit = pairs.where((F.col("video_id") != F.col("donor")) & same_place("t", "d")).join(own, [*keys, "tag", "video_id"], "left_anti")
+    fit = pairs.where((F.col("video_id") != F.col("donor")) & same_place("t", "d", tau_visual, tau_audio)).join(own, [*keys, "tag", "video_id"], "left_anti")
     vis, aud = cosine_or_zero(F.col("t.scene_vec"), F.col("d.scene_vec")), cosine_or_zero(F.col("t.audio_vec"), F.col("d.audio_vec"))
     first = fit.groupBy(*keys, "tag", "video_id").agg(F.min_by(F.struct("donor", F.bround(vis, 3).alias("vis"), F.bround(aud, 3).alias("aud")), "ord").alias("x"))
     return first.select(*keys, "tag", "video_id", "x.donor", "x.vis", "x.aud")

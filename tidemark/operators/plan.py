@@ -29,24 +29,31 @@ def clean_span(v: Column) -> Column:
     return F.when(ok & (b - a >= MIN_SPAN), F.array(a, b))
 
 
-def default_block(b: Column) -> Column:
-    """A block with every field filled: empty strings and zero numbers count as absent."""
-    text = lambda n: F.coalesce(b[n], F.lit("")).alias(n)
-    word = lambda n, d: F.coalesce(b[n], F.lit(d)).alias(n)
-    array = lambda n: F.coalesce(b[n], F.array().cast("array<string>")).alias(n)
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def default_block(b: Column, **given: Column) -> Column:
+    """A block with every field filled: empty strings and zero numbers count as absent. ``given`` fields are taken in
+    place of the block's own."""
+    own = lambda n: given[n] if n in given else b[n]
+    text = lambda n: F.coalesce(own(n), F.lit("")).alias(n)
+    word = lambda n, d: F.coalesce(own(n), F.lit(d)).alias(n)
+    array = lambda n: F.coalesce(own(n), F.array().cast("array<string>")).alias(n)
+    dur, speed, pos = own("target_dur"), own("speed"), own("caption_pos")
     return F.struct(
-        word("select", "all"), F.when(b["target_dur"] != 0, b["target_dur"]).alias("target_dur"), word("pace", "fast"), word("transition", "cut"), word("subject", "full"), word("zoom", "none"),
-        F.coalesce(F.when(b["speed"] != 0, b["speed"]), F.lit(1.0)).alias("speed"), text("caption"),
-        F.when(b["caption_pos"].isin(*POSITIONS, AUTO), b["caption_pos"]).otherwise("bottom").alias("caption_pos"), clean_span(b["caption_span"]).alias("caption_span"),
-        array("keywords"), text("scene"), text("narration"), array("sources"),
+        word("select", "all"), F.when(dur != 0, dur).alias("target_dur"), word("pace", "fast"), word("transition", "cut"), word("subject", "full"), word("zoom", "none"),
+        F.coalesce(F.when(speed != 0, speed), F.lit(1.0)).alias("speed"), text("caption"), F.when(pos.isin(*POSITIONS, AUTO), pos).otherwise("bottom").alias("caption_pos"),
+        (given["caption_span"] if "caption_span" in given else clean_span(b["caption_span"])).alias("caption_span"), array("keywords"), text("scene"), text("narration"), array("sources"),
     )
 
 
-def default_text(t: Column) -> Column:
+def default_text(t: Column, text: Column | None = None) -> Column:
     """A text over blocks [from, to]: both ends at least 0 and in order; an unknown position is auto."""
     two = F.array_sort(F.transform(F.slice(t["blocks"], 1, 2), lambda i: F.greatest(i, F.lit(0))))
     return F.struct(
-        F.trim(F.coalesce(t["text"], F.lit(""))).alias("text"),
+        F.trim(F.coalesce(t["text"] if text is None else text, F.lit(""))).alias("text"),
         F.when(F.size(t["blocks"]) > 0, F.array(F.array_min(two), F.array_max(two))).alias("blocks"),
         F.when(t["pos"].isin(*POSITIONS), t["pos"]).otherwise(AUTO).alias("pos"),
         clean_span(t["span"]).alias("span"),
@@ -89,11 +96,11 @@ def field_gaps(plan: Column, narration: Column, captions: Column) -> Column:
     return F.array_compact(F.transform(plan["blocks"], lacks))
 
 
-def _replaced(b: Column, **fields) -> Column:
-    out = b
-    for name, value in fields.items():
-        out = out.withField(name, value)
-    return out
+BLOCK_FIELDS = ("select", "target_dur", "pace", "transition", "subject", "zoom", "speed", "caption", "caption_pos", "caption_span", "keywords", "scene", "narration", "sources")
+
+
+def _replaced(b: Column, names: tuple[str, ...] = BLOCK_FIELDS, **fields) -> Column:
+    return F.struct(*[fields.get(n, b[n]).alias(n) for n in names])
 
 
 def authored_plan(raw: Column, request: Column, avail: Column, narration: Column, captions: Column, voice_choice: Column) -> Column:
@@ -105,37 +112,49 @@ def authored_plan(raw: Column, request: Column, avail: Column, narration: Column
     texts those stay that have words, begin at a block there is and count at most eight characters; with a
     voice, one. A plan without any text is none, unless captions weren't wanted.
     """
-    empty = F.lit("")
+    empty, words = F.lit(""), F.array().cast("array<string>")
 
     def block(b):
         dur = F.coalesce(b["target_dur"], F.lit(0.0))
-        sources = F.filter(F.array_distinct(F.coalesce(b["sources"], F.array().cast("array<string>"))), lambda s: F.array_contains(avail, s))
-        own = default_block(_replaced(
-            b, sources=sources, target_dur=F.when(dur > 0, F.least(F.greatest(dur, F.lit(DUR_MIN)), F.lit(DUR_MAX))), speed=F.lit(1.0), caption_pos=F.lit("bottom"),
+        return default_block(
+            b, sources=F.filter(F.array_distinct(F.coalesce(b["sources"], words)), lambda s: F.array_contains(avail, s)), target_dur=F.when(dur > 0, F.least(F.greatest(dur, F.lit(DUR_MIN)), F.lit(DUR_MAX))),
             caption=F.when(captions, clean_text(b["caption"], request)).otherwise(empty), narration=F.when(narration, clean_text(b["narration"], request)).otherwise(empty),
-            keywords=F.array().cast("array<string>"), pace=F.lit("fast"), transition=F.lit("cut"), subject=F.when(b["zoom"] == "gradual", "foster").otherwise("full"), scene=empty,
-        ))
-        read = (own["narration"] != "") & (own["narration"] == own["caption"])
-        return _replaced(own, caption_span=F.when(~read, own["caption_span"]))
+            speed=F.lit(1.0), caption_pos=F.lit("bottom"), keywords=words, pace=F.lit("fast"), transition=F.lit("cut"), subject=F.when(b["zoom"] == "gradual", "foster").otherwise("full"), scene=empty,
+        )
 
-    blocks = F.filter(F.transform(F.slice(raw["blocks"], 1, MAX_BLOCKS), block), lambda b: (F.size(b["sources"]) > 0) | (b["select"] != "all") | (b["caption"] != "") | (b["narration"] != ""))
     voiced = voice_choice & F.coalesce(raw["voice"], F.lit(False))
-    read = lambda b: voiced & (b["caption"] != "")
-    blocks = F.transform(blocks, lambda b: _replaced(b, narration=F.when(read(b), b["caption"]).otherwise(b["narration"]), caption_span=F.when(~read(b), b["caption_span"])))
-    last = F.size(blocks) - 1
 
-    def text(t):
-        own = default_text(_replaced(t, text=clean_text(t["text"], request)))
-        return _replaced(own, pos=F.lit(AUTO), blocks=F.transform(own["blocks"], lambda i: F.least(i, last)))
+    def speak(b):
+        read = voiced & (b["caption"] != "")
+        whole = read | ((b["narration"] != "") & (b["narration"] == b["caption"]))
+        return _replaced(b, narration=F.when(read, b["caption"]).otherwise(b["narration"]), caption_span=F.when(~whole, b["caption_span"]))
+
+    def says(b):
+        return (F.size(b["sources"]) > 0) | (b["select"] != "all") | (b["caption"] != "") | (b["narration"] != "")
 
     first = F.slice(F.coalesce(raw["texts"], F.array().cast("array<struct<text:string,blocks:array<int>,pos:string,span:array<double>>>")), 1, MAX_TEXTS)
-    begins = F.filter(first, lambda t: F.array_min(F.slice(t["blocks"], 1, 2)) <= last)
-    texts = F.filter(F.transform(begins, text), lambda t: (F.length(t["text"]) > 0) & t["blocks"].isNotNull() & (F.length(F.replace(t["text"], F.lit(" "), empty)) <= SHOUT_CHARS))
-    spoken = F.exists(blocks, lambda b: b["narration"] != "")
-    texts = F.when(~captions, F.slice(texts, 1, 0)).when(voice_choice & spoken, F.slice(texts, 1, 1)).otherwise(texts)
-    said = F.exists(blocks, lambda b: (b["caption"] != "") | (b["narration"] != "")) | (F.size(texts) > 0)
-    plan = F.struct(clean_text(raw["title"], request).alias("title"), blocks.alias("blocks"), texts.alias("texts"))
-    return F.when((F.size(raw["blocks"]) > 0) & (F.size(blocks) > 0) & (~captions | said), plan)
+
+    def finish(blocks):
+        last = F.size(blocks) - 1
+        begun = F.filter(first, lambda t: F.array_min(F.slice(t["blocks"], 1, 2)) <= last)
+        texts = F.transform(F.transform(begun, lambda t: default_text(t, clean_text(t["text"], request))), lambda t: _replaced(t, ("text", "blocks", "pos", "span"), pos=F.lit(AUTO), blocks=F.transform(t["blocks"], lambda i: F.least(i, last))))
+        short = F.filter(texts, lambda t: (F.length(t["text"]) > 0) & t["blocks"].isNotNull() & (F.length(F.replace(t["text"], F.lit(" "), empty)) <= SHOUT_CHARS))
+        spoken = voice_choice & F.exists(blocks, lambda b: b["narration"] != "")
+        kept = F.slice(short, F.lit(1), F.when(~captions, 0).when(spoken, 1).otherwise(MAX_TEXTS))
+        return _let(kept, lambda t: whole_plan(blocks, t))
+
+    def whole_plan(blocks, texts):
+        said = F.exists(blocks, lambda b: (b["caption"] != "") | (b["narration"] != "")) | (F.size(texts) > 0)
+        plan = F.struct(clean_text(raw["title"], request).alias("title"), blocks.alias("blocks"), texts.alias("texts"))
+        return F.when((F.size(blocks) > 0) & (~captions | said), plan)
+
+    cleaned = F.filter(F.transform(F.slice(F.coalesce(raw["blocks"], F.array().cast(raw_array())), 1, MAX_BLOCKS), block), says)
+    return _let(F.transform(cleaned, speak), finish)
+
+
+def raw_array() -> str:
+    """Type of an author's blocks."""
+    return f"array<struct<{RAW_BLOCK.replace(', ', ',').replace(' ', ':')}>>"
 
 
 def fill_gaps(user: Column, author: Column, request: Column, avail: Column, narration: Column, captions: Column) -> Column:
@@ -278,7 +297,7 @@ def compile_plans(blocks: DataFrame, sources: DataFrame, tags: DataFrame, segmen
     """Clips of all plans' blocks. A block may not show what an earlier block of its plan did, so blocks go one after
     another, all plans at a time; each step's clips are written to the shared folder."""
     spark = blocks.sparkSession
-    allowed = reserve(block_sources(blocks, sources, tags))
+    allowed = materialize(reserve(block_sources(blocks, sources, tags)), "allowed-sources")
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     done = spark.createDataFrame([], f"plan_id {kind(blocks, 'plan_id')}, block_idx {kind(blocks, 'block_idx')}, source {kind(sources, 'source')}, src_ord {kind(sources, 'src_ord')}, t0 double, t1 double")
     old: list[str] = []

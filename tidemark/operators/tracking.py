@@ -17,6 +17,18 @@ from tidemark.functions.geometry import box, box_area, iou
 
 FRAME = ["video_id", "frame_idx"]
 IOU = 0.5
+#: Frames that are handed to Python together.
+FRAMES_PER_GROUP = 64
+
+
+def _by_frame(pdf: pd.DataFrame):
+    """(frame, rows) in order of the first column, as one array of doubles a frame."""
+    rows = pdf.to_numpy(float)
+    rows = rows[np.lexsort(rows.T[::-1])] if len(rows) else rows
+    cut = np.flatnonzero(np.diff(rows[:, 0])) + 1
+    for part in np.split(rows, cut):
+        if len(part):
+            yield int(part[0, 0]), part
 
 
 def last_per_frame(frames: DataFrame) -> DataFrame:
@@ -51,17 +63,19 @@ def assign(gt: DataFrame, pred: DataFrame, thr: float = IOU) -> DataFrame:
     plain = (F.col("_g") == 1) & (F.col("_p") == 1)
 
     def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["gt_id", "pred_id"])
-        gi, g = pd.factorize(pdf.gt_id, sort=True)
-        pi, p = pd.factorize(pdf.pred_id, sort=True)
-        m = np.zeros((len(g), len(p)))
-        m[gi, pi] = pdf.iou
-        out = [(*key, g[i], p[j], m[i, j]) for i, j in max_assignment(m) if m[i, j] > 0]
+        out = []
+        for frame, own in _by_frame(pdf[["frame_idx", "gt_id", "pred_id", "iou"]]):
+            g, gi = np.unique(own[:, 1], return_inverse=True)
+            p, pi = np.unique(own[:, 2], return_inverse=True)
+            m = np.zeros((len(g), len(p)))
+            m[gi, pi] = own[:, 3]
+            out += [(key[0], frame, int(g[i]), int(p[j]), m[i, j]) for i, j in max_assignment(m) if m[i, j] > 0]
         return pd.DataFrame(out, columns=[*FRAME, "gt_id", "pred_id", "iou"])
 
     columns = [*FRAME, "gt_id", "pred_id", "iou"]
     schema = pairs.select(columns).schema
-    hard = pairs.where(~plain).select(columns).groupBy(*FRAME).applyInPandas(solve, schema)
+    few_frames = F.floor(F.col("frame_idx") / FRAMES_PER_GROUP)
+    hard = pairs.where(~plain).select(columns).groupBy("video_id", few_frames).applyInPandas(solve, schema)
     return pairs.where(plain).select(columns).unionByName(hard).where(F.col("iou") >= thr)
 
 
@@ -127,16 +141,15 @@ def clear_mot(gt: DataFrame, pred: DataFrame, frames: DataFrame, thr: float = IO
     assigned. The state of a video is sequential, so a video is one task's group; its boxes without their
     frames' images are small.
     """
-    columns = ["frame_idx", "track_id", "x", "y", "w", "h"]
     side = lambda df, s: df.select("video_id", F.lit(s).alias("side"), "frame_idx", "track_id", *[F.col(c).cast("double").alias(c) for c in "xywh"])
-    marks = frames.select("video_id", F.lit(0).alias("side"), "frame_idx", F.lit(None).cast("long").alias("track_id"), *[F.lit(0.0).alias(c) for c in "xywh"]).distinct()
+    marks = frames.select("video_id", F.lit(0).alias("side"), "frame_idx", F.lit(-1).cast("long").alias("track_id"), *[F.lit(0.0).alias(c) for c in "xywh"]).distinct()
     rows = marks.unionByName(side(labelled(gt, frames), 1)).unionByName(side(labelled(pred, frames), 2))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         state = _Correspondence(thr)
-        for _, f in pdf.sort_values(["frame_idx", "side", "track_id"]).groupby("frame_idx"):
-            g, p = (f[f.side == s][columns] for s in (1, 2))
-            state.frame(g.track_id.tolist(), g[list("xywh")].to_numpy(), p.track_id.tolist(), p[list("xywh")].to_numpy())
+        for _, own in _by_frame(pdf[["frame_idx", "side", "track_id", "x", "y", "w", "h"]]):
+            g, p = own[own[:, 1] == 1], own[own[:, 1] == 2]
+            state.frame(g[:, 2].astype(int).tolist(), g[:, 3:], p[:, 2].astype(int).tolist(), p[:, 3:])
         return pd.DataFrame([(*key, state.fp, state.fn, state.switches, state.breaks)], columns=["video_id", "fp", "fn", "idsw", "fragmentation"])
 
     kind = gt.schema["video_id"].dataType.simpleString()

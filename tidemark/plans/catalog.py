@@ -2,5 +2,719 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidemark.functions import external, geometry, text, vectors
+from tidemark.operators import identity, layout, plan, segments, store, timeline, tracking
+from tidemark.plans import projections as P
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+V = ["video_id"]
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def _r(c, n=6):
+    return F.round(F.col(c) if isinstance(c, str) else c, n)
+
+
+# ---- retrieval store ----
+
+_COS = "list_cosine_similarity(embedding, (select embedding::double[] from embeddings where vec_id = 0))"
+
+
+@query("vector_topk", f"with {P.CHUNK_SQL} select id, dog_id, round({_COS}, 5) score from ch where vis <> 'staff' order by {_COS} desc, id limit 5")
+def vector_topk(spark, d):
+    q = P.read(spark, d, "embeddings").where("vec_id = 0").first().embedding
+    return store.search(P.chunks(spark, d), q).select("id", "dog_id", _r("score", 5).alias("score"))
+
+
+@query("vector_topk_per_label", f"with {P.CHUNK_SQL}, s as (select id, dog_id, {_COS} score, row_number() over (partition by dog_id order by {_COS} desc, id) as rank from ch where vis <> 'staff') select dog_id, rank, id, round(score, 5) score from s where rank <= 3")
+def vector_topk_per_label(spark, d):
+    q = F.array(*[F.lit(float(x)) for x in P.read(spark, d, "embeddings").where("vec_id = 0").first().embedding])
+    s = store.open_chunks(P.chunks(spark, d)).withColumn("score", vectors.cosine(vectors.doubles("embedding"), q))
+    rank = F.row_number().over(Window.partitionBy("dog_id").orderBy(F.desc("score"), "id")).cast("long")
+    return s.withColumn("rank", rank).where("rank <= 3").select("dog_id", "rank", "id", _r("score", 5).alias("score"))
+
+
+@query("card_visibility", f"with {P.CARD_SQL} select id, dog_id, field, case vis when 'public' then value else soft_value end shown from cf where vis = 'public' or (vis = 'public_soft' and soft_value <> '')")
+def card_visibility(spark, d):
+    return store.visible_fields(P.card_fields(spark, d)).select("id", "dog_id", "field", "shown")
+
+
+@query("chunk_gate_count", f"with {P.CHUNK_SQL} select dog_id, layer, count(*) n from ch where vis <> 'staff' group by all")
+def chunk_gate_count(spark, d):
+    return store.open_chunks(P.chunks(spark, d)).groupBy("dog_id", "layer").agg(F.count("*").alias("n"))
+
+
+@query("upsert_latest", """with o as (select c_custkey k, c_acctbal v from customer where c_custkey % 2 = 0), n as (select c_custkey k, -c_acctbal v from customer where c_custkey % 3 = 0)
+select * from o where k not in (select k from n) union all select * from n""")
+def upsert_latest(spark, d):
+    c = P.read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    new = c.where("k % 3 = 0").withColumn("v", -F.col("v")).withColumn("_ord", F.lit(1))
+    stale = c.where("k % 3 = 0").withColumn("_ord", F.lit(0))
+    return store.upsert(c.where("k % 2 = 0"), new.unionByName(stale), ["k"])
+
+
+@query("insert_absent", "select c_custkey k, c_name as name from customer where c_custkey % 2 = 0 union all select c_custkey, 'new' from customer where c_custkey % 3 = 0 and c_custkey % 2 <> 0")
+def insert_absent(spark, d):
+    c = P.read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    return store.insert_absent(c.where("k % 2 = 0"), c.where("k % 3 = 0").withColumn("name", F.lit("new")), ["k"])
+
+
+@query("replace_partition", f"with {P.CHUNK_SQL} select id, dog_id, layer from ch where not (layer = 'L2' and dog_id % 2 = 0) union all select id + 1000000, dog_id, layer from ch where layer = 'L2' and dog_id % 2 = 0 and id % 5 = 0")
+def replace_partition(spark, d):
+    c = P.chunks(spark, d).select("id", "dog_id", "layer")
+    fresh = c.where("layer = 'L2' and dog_id % 2 = 0 and id % 5 = 0").withColumn("id", F.col("id") + 1_000_000)
+    return store.replace_group(c, fresh, ["dog_id", "layer"], c.where("layer = 'L2' and dog_id % 2 = 0"), keep_if_empty=True)
+
+
+@query("constraint_violations", f"""with {P.CARD_SQL}, x as (select *, case when id % 7 = 0 then 'secret' else vis end v2, case when id % 11 = 0 then null else field end f2 from cf)
+select * from (select 'allowed: vis' as rule, count(*) n from x where v2 not in ('public', 'public_soft', 'staff') union all select 'not null: field', count(*) from x where f2 is null
+union all select 'unique: dog_id, field', (select coalesce(sum(n - 1), 0)::bigint from (select count(*) n from x group by dog_id, f2)) union all select 'parent: dog_id', count(*) from x where dog_id not in (select n_nationkey from nation where n_regionkey <> 2)) where n > 0""")
+def constraint_violations(spark, d):
+    f = P.card_fields(spark, d).withColumn("vis", F.when(F.col("id") % 7 == 0, "secret").otherwise(F.col("vis"))).withColumn("field", F.when(F.col("id") % 11 != 0, F.col("field")))
+    dogs = P.read(spark, d, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").cast("long").alias("dog_id"))
+    return store.violations(f, not_null=["field"], allowed={"vis": store.VIS_FIELD}, unique=["dog_id", "field"], parent=dogs)
+
+
+@query("sequence_ids", "select (select max(c_custkey) from customer) + row_number() over (order by s_name, s_suppkey) id, s_suppkey, s_name from supplier")
+def sequence_ids(spark, d):
+    old = P.read(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return store.with_ids(old, P.read(spark, d, "supplier").select("s_suppkey", "s_name"), ["s_name", "s_suppkey"])
+
+
+@query("cascade_delete", f"with {P.CHUNK_SQL} select id, dog_id from ch where dog_id % 3 <> 0")
+def cascade_delete(spark, d):
+    dogs = P.read(spark, d, "embeddings").select(F.col("label").alias("dog_id")).distinct().where("dog_id % 3 <> 0")
+    return store.cascade(P.chunks(spark, d), dogs).select("id", "dog_id")
+
+
+@query("merge_meta", "select coalesce(n.k, o.k) as key, coalesce(n.v, o.v) as value from (select p_name k, max(p_size) v from part where p_partkey % 2 = 0 group by 1) o full join (select p_name k, max(-p_size) v from part where p_partkey % 3 = 0 group by 1) n using (k)")
+def merge_meta(spark, d):
+    p = P.read(spark, d, "part")
+    old = p.where("p_partkey % 2 = 0").groupBy(F.col("p_name").alias("key")).agg(F.max("p_size").alias("value"))
+    new = p.where("p_partkey % 3 = 0").groupBy(F.col("p_name").alias("key")).agg(F.max(-F.col("p_size")).alias("value"))
+    return store.merge_meta(old, new)
+
+
+@query("scene_tag_override", """with a as (select user_id v, list_sort(list(distinct event_type)) t from events where event_type <> 'error' group by 1), h as (select user_id v, ['human'] t from events where user_id % 4 = 0 group by 1)
+select coalesce(h.v, a.v)::varchar video_id, array_to_string(coalesce(h.t, a.t), ',') tags from a full join h on a.v = h.v""")
+def scene_tag_override(spark, d):
+    e = P.read(spark, d, "events").withColumn("video_id", F.col("user_id").cast("string"))
+    auto = e.where("event_type <> 'error'").groupBy("video_id").agg(F.array_sort(F.collect_set("event_type")).alias("tags"))
+    human = e.where("user_id % 4 = 0").select("video_id", F.array(F.lit("human")).alias("tags")).distinct()
+    return store.scene_tags(auto, human, auto.limit(0)).select("video_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query("l2_rows", f"""with {P.GT_SEG_SQL}, c as (select * from (select video_id, start / 1000000.0::double s, conf, row_number() over (partition by video_id order by conf desc, ord) r from gs where not uncertain and conf >= 0.7) where r = 1),
+v as (select user_id video_id, min(event_type) behavior, max(event_type) caption, string_agg(distinct event_type, ', ' order by event_type) tags from events group by 1)
+select video_id::varchar video_id, 'behavior' kind, behavior || ' — 장면: ' || tags || ' (' || video_id || ' 영상' || case when c.video_id is not null then ' ' || round_even(s, 0)::bigint || '초' else '' end || ')' as text from v left join c using (video_id)
+union all select video_id::varchar, 'caption', caption || ' — 장면: ' || tags || ' (' || video_id || ' 영상)' from v where caption <> ''""")
+def l2_rows(spark, d):
+    e = P.read(spark, d, "events")
+    v = e.groupBy(F.col("user_id").cast("string").alias("video_id")).agg(F.min("event_type").alias("behavior"), F.max("event_type").alias("caption"), F.collect_set("event_type").alias("scene_tags")).withColumn("dog_id", F.lit("d"))
+    c = segments.cited_segment(P.gt_segments(spark, d), V).select(F.lit("d").alias("dog_id"), F.col("video_id").cast("string").alias("video_id"), (F.col("start") / 1e6).alias("start"), (F.col("end") / 1e6).alias("end"), "conf")
+    return store.l2_rows(v, c).select("video_id", "kind", "text")
+
+
+@query("claim_support", "select o_custkey k, o_orderpriority claim, bool_or(o_orderpriority = l_returnflag or o_orderkey % 5 = l_linenumber) supported from orders join lineitem on l_orderkey = o_orderkey where o_orderkey % 50 = 0 group by 1, 2")
+def claim_support(spark, d):
+    o = P.read(spark, d, "orders").where("o_orderkey % 50 = 0").select("o_orderkey", F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("claim"))
+    r = P.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_returnflag", "l_linenumber").alias("record"))
+    ok = (F.col("claim") == F.col("record.l_returnflag")) | (F.col("o_orderkey") % 5 == F.col("record.l_linenumber"))
+    j = o.join(r.select("o_orderkey").distinct(), "o_orderkey", "left_semi")
+    v = store.verified(j.select("k", "claim", "o_orderkey"), r, ok, ["o_orderkey"]).join(j, ["o_orderkey", "claim"])
+    return v.groupBy("k", "claim").agg(F.bool_or("supported").alias("supported"))
+
+
+# ---- boxes and tracks ----
+
+_IOU = """p as (select g.video_id, g.frame_idx, g.track_id gt_id, p.track_id pred_id, greatest(0.0, least(g.x + g.w, p.x + p.w) - greatest(g.x, p.x)) * greatest(0.0, least(g.y + g.h, p.y + p.h) - greatest(g.y, p.y)) i from gt g join pr p using (video_id, frame_idx)),
+q as (select *, i / (1800.0::double - i) iou from p where i > 0)"""
+_BOXES = f"with {P.GT_SQL}, {P.PRED_SQL}"
+
+
+@query("iou_pairs", f"{_BOXES}, {_IOU} select video_id, frame_idx, gt_id, pred_id, round(iou, 6) iou from q where iou >= 0.2")
+def iou_pairs(spark, d):
+    return tracking.iou_pairs(P.gt_boxes(spark, d), P.pred_boxes(spark, d), 0.2).withColumn("iou", _r("iou"))
+
+
+@query("largest_box", f"{_BOXES}, z as (select *, row_number() over (partition by video_id, frame_idx order by w * h * (1 + pk % 3) desc, ord) r from pr) select video_id, frame_idx, track_id from z where r = 1")
+def largest_box(spark, d):
+    return tracking.largest_box(P.pred_boxes(spark, d).withColumn("w", F.col("w") * (1 + F.col("pk") % 3))).select("video_id", "frame_idx", "track_id")
+
+
+@query("surest_box", f"{_BOXES}, z as (select *, row_number() over (partition by video_id, frame_idx order by conf desc, ord desc) r from pr) select video_id, frame_idx, track_id from z where r = 1")
+def surest_box(spark, d):
+    return tracking.surest_box(P.pred_boxes(spark, d)).select("video_id", "frame_idx", "track_id")
+
+
+@query("track_identities", f"""{_BOXES}, {_IOU}, b as (select * from (select *, row_number() over (partition by video_id, frame_idx, pred_id order by iou desc, gt_id) r from q) where r = 1 and iou >= 0.5),
+v as (select video_id, pred_id, gt_id, count(*) n, min(frame_idx) f from b group by all), t as (select * from (select *, row_number() over (partition by video_id, pred_id order by n desc, f, gt_id) r from v) where r = 1),
+a as (select video_id, track_id pred_id, count(*) total from pr group by all) select video_id, pred_id, case when n >= greatest(1, total * 0.3) then gt_id else -1 end gt_id from a left join t using (video_id, pred_id)""")
+def track_identities(spark, d):
+    return tracking.track_identities(P.gt_boxes(spark, d), P.pred_boxes(spark, d), P.labelled_frames(spark, d))
+
+
+@query("subject_tracks", f"{_BOXES}, f as (select video_id, count(distinct frame_idx) fn from gt group by 1), n as (select video_id, track_id, count(*) n from pr where pk % 4 <> 0 group by all) select video_id, track_id, n from n join f using (video_id) where n / fn::double >= 0.1")
+def subject_tracks(spark, d):
+    b = P.pred_boxes(spark, d).withColumn("cls", F.when(F.col("pk") % 4 == 0, "cat").otherwise("dog"))
+    return tracking.subject_tracks(b, P.labelled_frames(spark, d)).select("video_id", "track_id", "n")
+
+
+@query("span_box", f"{_BOXES} select video_id, track_id, (min(x) + max(x + w)) / 2 cx, (min(y) + max(y + h)) / 2 cy, max(x + w) - min(x) w, max(y + h) - min(y) h from pr group by all")
+def span_box(spark, d):
+    return tracking.span_box(P.pred_boxes(spark, d), ["video_id", "track_id"])
+
+
+@query("quiet_frames", f"""{_BOXES}, c as (select video_id, frame_idx, least(count(*) * 900.0::double / 6000, 1.0) cover from pr group by all), b as (select *, ntile(5) over (partition by video_id order by frame_idx)::bigint bin from c)
+select video_id, bin, frame_idx, round(cover, 6) cover from (select *, row_number() over (partition by video_id, bin order by cover, frame_idx) r from b) where r = 1""")
+def quiet_frames(spark, d):
+    return tracking.quiet_frames(P.pred_boxes(spark, d), 6000).select("video_id", F.col("bin").cast("long").alias("bin"), "frame_idx", _r("cover").alias("cover"))
+
+
+@query("assignment_match")
+def assignment_match(spark, d):
+    return tracking.assign(P.gt_boxes(spark, d), P.pred_boxes(spark, d))
+
+
+@query("miss_counts")
+def miss_counts(spark, d):
+    return tracking.miss_counts(P.gt_boxes(spark, d), P.pred_boxes(spark, d), P.labelled_frames(spark, d))
+
+
+@query("clear_mot")
+def clear_mot(spark, d):
+    return tracking.clear_mot(P.gt_boxes(spark, d), P.switched_boxes(spark, d), P.labelled_frames(spark, d))
+
+
+@query("identity_f1")
+def identity_f1(spark, d):
+    return tracking.identity_counts(P.gt_boxes(spark, d), P.switched_boxes(spark, d), P.labelled_frames(spark, d))
+
+
+@query("tracking_report")
+def tracking_report(spark, d):
+    return tracking.tracking_report(tracking.evaluate_tracking(P.gt_boxes(spark, d), P.switched_boxes(spark, d), P.labelled_frames(spark, d)))
+
+
+@query("assignment_pairs_tie_free", f"""with {P.GT_SQL}, pr as (select video_id, frame_idx, track_id + 100 track_id, x + 3 x, y + pk % 5 y, w, h from (select *, 200.0::double * track_id x0 from gt) t where pk % 11 <> 0),
+g2 as (select video_id, frame_idx, track_id, 200.0::double * track_id x, y from gt), p2 as (select video_id, frame_idx, track_id + 100 track_id, 200.0::double * track_id + pk % 9 x, y + pk % 5 y from gt where pk % 11 <> 0),
+i as (select g.video_id, g.frame_idx, g.track_id gt_id, p.track_id pred_id, greatest(0.0, least(g.x, p.x) + 30 - greatest(g.x, p.x)) * greatest(0.0, least(g.y, p.y) + 30 - greatest(g.y, p.y)) i from g2 g join p2 p using (video_id, frame_idx))
+select video_id, frame_idx, gt_id, pred_id, round(i / (1800 - i), 6) iou from i where i > 0 and i / (1800 - i) >= 0.5""")
+def assignment_pairs_tie_free(spark, d):
+    apart = F.lit(200.0) * F.col("pk0")
+    g = P.gt_boxes(spark, d).withColumn("pk0", F.col("track_id")).withColumn("x", apart)
+    p = P.gt_boxes(spark, d).where("pk % 11 <> 0").withColumn("pk0", F.col("track_id")).withColumn("x", apart + F.col("pk") % 9).withColumn("y", F.col("y") + F.col("pk") % 5).withColumn("track_id", F.col("track_id") + 100)
+    return tracking.assign(g, p).withColumn("iou", _r("iou"))
+
+
+@query("keyframe_interpolate", f"""{_BOXES}, k as (select video_id, track_id, frame_idx f0, x x0, y y0, lead(frame_idx) over w f1, lead(x) over w x1, lead(y) over w y1, lead(frame_idx, 2) over w is null as last from gt where frame_idx % 50 < 5 window w as (partition by video_id, track_id order by frame_idx)),
+e as (select *, unnest(range(f0, f1 + case when last then 1 else 0 end)) f from k where f1 is not null)
+select video_id, track_id, f frame_idx, round(x0 + (f - f0) / (f1 - f0)::double * (x1 - x0), 6) x, round(y0 + (f - f0) / (f1 - f0)::double * (y1 - y0), 6) y from e""")
+def keyframe_interpolate(spark, d):
+    k = P.gt_boxes(spark, d).where("frame_idx % 50 < 5")
+    return timeline.interpolate(k, ["video_id", "track_id"]).select("video_id", "track_id", "frame_idx", _r("x").alias("x"), _r("y").alias("y"))
+
+
+@query("segment_evidence", f"""with {P.GT_SEG_SQL}, s as (select video_id, ord, (start // 1000000) s, ("end" // 1000000) e, action from gs), b as (select distinct user_id video_id, epoch_us(ts) // 1000000 f, event_id % 7 m from events)
+select video_id, ord, round(count(distinct f) / greatest(1, e - s)::double, 9) coverage, round(coalesce(avg(m), 0), 6) mean_motion, action is null or count(distinct f) / greatest(1, e - s)::double < 0.25 uncertain from s left join b using (video_id)
+where video_id < 20 and (f is null or (f >= s and f < e)) group by video_id, ord, s, e, action""")
+def segment_evidence(spark, d):
+    whole = lambda c: F.floor(F.col(c) / 1_000_000).cast("double")
+    s = P.gt_segments(spark, d).where("video_id < 20").select("video_id", "ord", whole("start").alias("start"), whole("end").alias("end"), "action").where("start < end")
+    f = P.event_times(spark, d).select(F.col("user_id").alias("video_id"), F.floor(F.col("us") / 1_000_000).cast("int").alias("frame_idx"), (F.col("event_id") % 7).alias("motion")).distinct()
+    out = tracking.segment_evidence(s, f.select("video_id", "frame_idx"), f, fps=1.0)
+    return out.select("video_id", "ord", _r("coverage", 9).alias("coverage"), _r("mean_motion").alias("mean_motion"), "uncertain")
+
+
+# ---- timelines ----
+
+
+@query("presence_sessions", """with e as (select user_id video_id, epoch_us(ts) t from events), n as (select *, sum(nw) over (partition by video_id order by t rows unbounded preceding) s from (select *, case when t - lag(t) over (partition by video_id order by t) > 43200000000 then 1 else 0 end nw from e))
+select video_id, min(t) as start, max(t) as "end", count(*) n from n group by video_id, s""")
+def presence_sessions(spark, d):
+    e = P.event_times(spark, d).select(F.col("user_id").alias("video_id"), F.col("us").alias("t"))
+    return timeline.sessions(e, V, "t", 43_200_000_000).drop("session")
+
+
+_CURVE = "c as (select user_id video_id, row_number() over (partition by user_id order by epoch_us(ts), event_id) - 1 f, value v from events)"
+_SMOOTH = f"{_CURVE}, s as (select *, sum(v) over (partition by video_id order by f rows between 3 preceding and 3 following) / 7.0::double sm from c)"
+
+
+def _curve(spark, d):
+    w = Window.partitionBy("user_id").orderBy("us", "event_id")
+    return P.event_times(spark, d).select(F.col("user_id").alias("video_id"), (F.row_number().over(w) - 1).cast("long").alias("f"), F.col("value").alias("v"))
+
+
+@query("smooth_curve", f"with {_SMOOTH} select video_id, f, round(sm, 6) smoothed from s")
+def smooth_curve(spark, d):
+    return timeline.smooth(_curve(spark, d), V, "f", "v").select("video_id", "f", _r("smoothed").alias("smoothed"))
+
+
+@query("motion_segments", f"""with {_SMOOTH}, l as (select *, case when sm >= 80 then 'moving' else 'static' end lb from s), r as (select *, sum(case when lb = p then 0 else 1 end) over (partition by video_id order by f) g from (select *, lag(lb) over (partition by video_id order by f) p from l)),
+q as (select video_id, g, lb, min(f) / 1.0::double s, (max(f) + 1) / 1.0::double e from r group by all), a as (select *, last_value(case when n = 1 or e - s >= 2 then lb end ignore nulls) over (partition by video_id order by s) l2 from (select *, row_number() over (partition by video_id order by s) n from q)),
+b as (select *, sum(case when l2 = p then 0 else 1 end) over (partition by video_id order by s) h from (select *, lag(l2) over (partition by video_id order by s) p from a)) select video_id, l2 as label, min(s) as start, max(e) as "end" from b group by video_id, h, l2""")
+def motion_segments(spark, d):
+    return timeline.segment_motion(_curve(spark, d), V, "f", "v", fps=1.0, thr=80.0, min_dur=2.0).select("video_id", "label", "start", "end")
+
+
+_CELLS = f"""with {P.GT_SEG_SQL}, {P.PRED_SEG_SQL}, b as (select video_id, start t from gs union select video_id, "end" from gs union select video_id, start from ps union select video_id, "end" from ps),
+c as (select video_id, t t0, lead(t) over (partition by video_id order by t) t1 from b), m as (select video_id, t0, t1, (t0 + t1) / 2 t from c where t1 > t0),
+x as (select m.*, g.label gl, g."group" gg, p.label pl, p."group" pg, p.uncertain u from m join gs g on g.video_id = m.video_id and g.start <= t and t < g."end" join ps p on p.video_id = m.video_id and p.start <= t and t < p."end")"""
+
+
+@query("interval_confusion", f"{_CELLS} select video_id, gl gt_label, pl pred_label, sum(t1 - t0)::bigint secs from x group by all")
+def interval_confusion(spark, d):
+    return timeline.confusion(P.gt_segments(spark, d), P.pred_segments(spark, d), V, bucket=P.HALF_DAY)
+
+
+@query("motion_eval", f"""{_CELLS}, a as (select video_id, sum(t1 - t0)::bigint total_time, sum(t1 - t0) filter (gl = pl) ok, sum(t1 - t0) filter (gl = 'static') s, sum(t1 - t0) filter (gl = 'moving') m, sum(t1 - t0) filter (gl = 'static' and pl = 'moving') sm, sum(t1 - t0) filter (gl = 'moving' and pl = 'static') ms from x group by 1)
+select video_id, total_time, round(coalesce(ok, 0) / total_time::double, 6) accuracy, round(coalesce(coalesce(sm, 0) / nullif(s, 0)::double, 0), 6) false_motion_rate, round(coalesce(coalesce(ms, 0) / nullif(m, 0)::double, 0), 6) missed_motion_rate from a""")
+def motion_eval(spark, d):
+    m = segments.evaluate_motion(P.gt_segments(spark, d), P.pred_segments(spark, d), V, P.HALF_DAY)
+    return m.select("video_id", "total_time", *[_r(c).alias(c) for c in ("accuracy", "false_motion_rate", "missed_motion_rate")])
+
+
+@query("action_eval", f"""{_CELLS}, a as (select video_id, sum(t1 - t0)::bigint total_time, coalesce(sum(t1 - t0) filter (not u), 0)::bigint committed_time, coalesce(sum(t1 - t0) filter (not u and gg = pg), 0) ok from x group by 1),
+w as (select video_id, "group" g, "end" - start dur, (start + "end") / 2 t from gs where action = '걷기'), l as (select w.video_id, sum(dur) n, sum(case when p."group" = w.g and not p.uncertain then dur else 0 end) h from w left join ps p on p.video_id = w.video_id and p.start <= t and t < p."end" group by 1)
+select a.video_id, total_time, committed_time, round((total_time - committed_time) / total_time::double, 6) uncertain_rate, round(case when committed_time > 0 then ok / committed_time::double else 1.0::double end, 6) group_accuracy, round(h / n::double, 6) low_motion_recall from a left join l on l.video_id = a.video_id""")
+def action_eval(spark, d):
+    m = segments.evaluate_actions(P.gt_segments(spark, d), P.pred_segments(spark, d), V, list(segments.LOW_MOTION), P.HALF_DAY)
+    return m.select("video_id", "total_time", "committed_time", *[_r(c).alias(c) for c in ("uncertain_rate", "group_accuracy", "low_motion_recall")])
+
+
+@query("phrase_match_eval", """with g as (select user_id video_id, event_id % 40 phrase_id, max_by({'s': event_type, 'a': epoch_us(ts), 'u': event_type = 'error'}, event_id) g from events group by 1, 2), p as (select user_id video_id, event_id % 40 phrase_id, max_by({'s': event_type, 'a': epoch_us(ts), 'u': event_type = 'error'}, event_id) p from events where event_id % 5 <> 0 group by 1, 2),
+j as (select *, greatest(0, least(g.a, p.a) + 3600000000 - greatest(g.a, p.a)) i from g left join p using (video_id, phrase_id))
+select video_id, count(*) num_phrases, count(*) filter (p is not null and not p.u) committed, round(count(*) filter (coalesce(p.u, false)) / count(*)::double, 6) uncertain_rate,
+round(case when count(*) filter (p is not null and not p.u) > 0 then count(*) filter (p is not null and not p.u and p.s = g.s and i / (7200000000.0::double - i) >= 0.5) / (count(*) filter (p is not null and not p.u))::double else 1.0::double end, 6) match_accuracy from j group by 1""")
+def phrase_match_eval(spark, d):
+    e = P.event_times(spark, d).select(F.col("user_id").alias("video_id"), (F.col("event_id") % 40).alias("phrase_id"), F.col("event_type").alias("source"), F.col("us").alias("start"), (F.col("us") + 3_600_000_000).alias("end"), (F.col("event_type") == "error").alias("uncertain"), F.col("event_id").alias("ord"))
+    m = segments.evaluate_matches(e, e.where("ord % 5 <> 0"), V)
+    return m.select("video_id", "num_phrases", "committed", _r("uncertain_rate").alias("uncertain_rate"), _r("match_accuracy").alias("match_accuracy"))
+
+
+@query("interval_clip", f"""with {P.GT_SEG_SQL}, {P.PRED_SEG_SQL}, s as (select video_id, start, "end" from ps where ord % 4 = 0) select gs.video_id, gs.ord, greatest(gs.start, s.start) lo, least(gs."end", s."end") hi from gs join s on gs.video_id = s.video_id and least(gs."end", s."end") > greatest(gs.start, s.start)""")
+def interval_clip(spark, d):
+    return timeline.clip(P.gt_segments(spark, d), P.pred_segments(spark, d).where("ord % 4 = 0"), V, P.HALF_DAY).select("video_id", "ord", "lo", "hi")
+
+
+_USED = """u as (select user_id video_id, epoch_us(ts) - 600000000 s, epoch_us(ts) + 600000000 e from events where event_id % 4 = 0), w as (select user_id video_id, min(epoch_us(ts)) s0, max(epoch_us(ts)) e0 from events group by 1)"""
+
+
+def _used(spark, d):
+    e = P.event_times(spark, d)
+    u = e.where("event_id % 4 = 0").select(F.col("user_id").alias("video_id"), (F.col("us") - 600_000_000).alias("start"), (F.col("us") + 600_000_000).alias("end"))
+    return u, e.groupBy(F.col("user_id").alias("video_id")).agg(F.min("us").alias("start"), F.max("us").alias("end"))
+
+
+@query("interval_subtract", f"""with {_USED}, b as (select video_id, s t from u union select video_id, e from u union select video_id, s0 from w union select video_id, e0 from w),
+c as (select video_id, t t0, lead(t) over (partition by video_id order by t) t1 from b), f as (select c.* from c join w using (video_id) where t0 >= s0 and t1 <= e0 and t1 > t0 and not exists (select 1 from u where u.video_id = c.video_id and u.s < c.t1 and u.e > c.t0)),
+g as (select *, sum(case when t0 = p then 0 else 1 end) over (partition by video_id order by t0) k from (select *, lag(t1) over (partition by video_id order by t0) p from f))
+select video_id, min(t0) lo, max(t1) hi from g group by video_id, k having max(t1) - min(t0) >= 3600000000""")
+def interval_subtract(spark, d):
+    u, w = _used(spark, d)
+    return timeline.subtract(w, u, V, [], 3_600_000_000)
+
+
+@query("busy_sweep", """with u as (select user_id video_id, epoch_us(ts) s, epoch_us(ts) + 36000000000 e from events), b as (select video_id, s t from u union select video_id, e from u), c as (select video_id, t t0, lead(t) over (partition by video_id order by t) t1 from b),
+n as (select c.video_id, t0, t1, count(u.s) k from c left join u on u.video_id = c.video_id and u.s <= t0 and u.e >= t1 where t1 is not null group by all), f as (select *, lag(t1) over (partition by video_id order by t0) p from n where k >= 2),
+z as (select *, sum(case when t0 = p and not exists (select 1 from u where u.video_id = f.video_id and u.e = f.t0 and (select count(*) from u v where v.video_id = f.video_id and v.s < f.t0 and v.e > f.t0) < 2) then 0 else 1 end) over (partition by video_id order by t0) g from f)
+select video_id, min(t0) as start, max(t1) as "end" from z group by video_id, g""")
+def busy_sweep(spark, d):
+    w = P.event_times(spark, d).select(F.col("user_id").alias("video_id"), F.col("us").alias("start"), (F.col("us") + 36_000_000_000).alias("end"))
+    return timeline.busy(w, V)
+
+
+@query("free_gaps", f"""with {_USED}, b as (select video_id, s t from u union select video_id, e from u union select video_id, s0 from w union select video_id, e0 from w),
+c as (select video_id, t t0, lead(t) over (partition by video_id order by t) t1 from b), f as (select c.* from c join w using (video_id) where t0 >= s0 and t1 <= e0 and t1 > t0 and not exists (select 1 from u where u.video_id = c.video_id and u.s < c.t1 and u.e > c.t0)),
+g as (select *, sum(case when t0 = p then 0 else 1 end) over (partition by video_id order by t0) k from (select *, lag(t1) over (partition by video_id order by t0) p from f)) select video_id, min(t0) lo, max(t1) hi from g group by video_id, k""")
+def free_gaps(spark, d):
+    u, w = _used(spark, d)
+    return timeline.free(w, u, V)
+
+
+_LINES = "e as (select user_id video_id, row_number() over (partition by user_id order by epoch_us(ts), event_id) i, value v from events)"
+
+
+@query("timeline_assembly", f"with {_LINES} select video_id, i, round(0.2 + coalesce(sum(v + 0.35) over (partition by video_id order by i rows between unbounded preceding and 1 preceding), 0), 4) as start, round(0.2 + coalesce(sum(v + 0.35) over (partition by video_id order by i rows between unbounded preceding and 1 preceding), 0) + v, 4) as \"end\" from e")
+def timeline_assembly(spark, d):
+    c = _curve(spark, d).withColumn("i", F.col("f") + 1)
+    return timeline.running_layout(c, V, "i", "v", 0.35, 0.2).select("video_id", "i", _r("start", 4).alias("start"), _r("end", 4).alias("end"))
+
+
+@query("crossfade_offsets", f"with {_LINES} select video_id, i, round(sum(v - 0.5) over (partition by video_id order by i rows between unbounded preceding and 1 preceding), 4) as \"offset\" from e")
+def crossfade_offsets(spark, d):
+    c = _curve(spark, d).withColumn("i", F.col("f") + 1)
+    return timeline.crossfade_offsets(c, V, "i", "v").select("video_id", "i", _r("offset", 4).alias("offset"))
+
+
+@query("spoken_layout", f"with {_LINES}, b as (select *, coalesce(sum(v) over (partition by video_id order by i rows between unbounded preceding and 1 preceding), 0) t, v * 0.9 sp from e) select video_id, i, round(t + least(0.4, greatest(0.0, v - sp)), 4) as start, round(t + least(0.4, greatest(0.0, v - sp)) + sp, 4) as \"end\" from b")
+def spoken_layout(spark, d):
+    c = _curve(spark, d).withColumn("i", F.col("f") + 1).withColumn("sp", F.col("v") * 0.9)
+    return timeline.spoken_layout(c, V, "i", "v", "sp").select("video_id", "i", _r("start", 4).alias("start"), _r("end", 4).alias("end"))
+
+
+@query("uniform_samples", """with n as (select user_id video_id, count(*) n from events group by 1), k as (select video_id, n, unnest(range(0, least(n, 8))) i from n) select video_id, case when n <= 8 then i else round_even(i * (n - 1) / 7.0::double, 0)::bigint end pos from k""")
+def uniform_samples(spark, d):
+    n = P.read(spark, d, "events").groupBy(F.col("user_id").alias("video_id")).agg(F.count("*").alias("n"))
+    return n.select("video_id", F.explode(timeline.uniform_positions(F.col("n"), 8).cast("array<bigint>")).alias("pos"))
+
+
+@query("step_samples", """with s as (select event_id, event_id * 3 f0, event_id * 3 + (value)::bigint f1 from events), c as (select *, greatest(1, ceil((f1 - f0) / 8.0::double)::bigint) c from s), k as (select *, unnest(range(0, least(c, 10))) i from c)
+select event_id, f0 + 8 * case when c <= 10 then i else round_even(i * (c - 1) / 9.0::double, 0)::bigint end frame from k""")
+def step_samples(spark, d):
+    s = P.read(spark, d, "events").select("event_id", (F.col("event_id") * 3).alias("f0"), (F.col("event_id") * 3 + F.rint("value").cast("long")).alias("f1"))
+    return s.select("event_id", F.explode(timeline.step_positions(F.col("f0"), F.col("f1"), 30.0, 10)).alias("frame"))
+
+
+@query("fraction_samples", "select video_id, floor(n * f)::bigint pos from (select user_id video_id, count(*)::double n from events group by 1), (select unnest([0.1::double, 0.3::double, 0.5::double, 0.7::double, 0.9::double]) f)")
+def fraction_samples(spark, d):
+    n = P.read(spark, d, "events").groupBy(F.col("user_id").alias("video_id")).agg(F.count("*").alias("n"))
+    return n.select("video_id", F.explode(timeline.fraction_positions(F.col("n")).cast("array<bigint>")).alias("pos"))
+
+
+@query("sliding_max", f"""with {_CURVE}, n as (select video_id, max(f) + 1 n from c group by 1), w as (select distinct video_id, win from (select video_id, unnest(range(0, greatest(n - 10, 0) + 1, 5)) win from n union all select video_id, greatest(n - 10, 0) from n))
+select video_id, win, max(v) peak from w join c using (video_id) where f >= win and f < win + 10 group by all""")
+def sliding_max(spark, d):
+    return timeline.sliding_max(_curve(spark, d), V, "f", "v", 10, 5)
+
+
+@query("motion_peak", f"""{_BOXES}, b as (select video_id, frame_idx, min(x) x, min(y) y, min(w) w, min(h) h from pr group by all), c as (select *, frame_idx - lag(frame_idx) over o g, (abs(x + w / 2 - lag(x + w / 2) over o) + abs(y + h / 2 - lag(y + h / 2) over o)) s from b window o as (partition by video_id order by frame_idx)),
+v as (select *, s / (w * g) v, row_number() over (partition by video_id order by s / (w * g) desc, frame_idx) r from c where g <= 3 and s / (w * g) >= 0.02) select video_id, frame_idx, round(v, 6) speed from v where r = 1""")
+def motion_peak(spark, d):
+    b = P.pred_boxes(spark, d).groupBy("video_id", "frame_idx").agg(*[F.min(c).alias(c) for c in "xywh"])
+    return timeline.peak(b, V).withColumn("speed", _r("speed"))
+
+
+# ---- scores and summaries ----
+
+
+@query("pair_clustering", """with t as (select vec_id, label g, vec_id % 13 p from embeddings), x as (select count(*) filter (a.g = b.g and a.p = b.p) tp, count(*) filter (a.p = b.p) sp, count(*) filter (a.g = b.g) sg from t a join t b on a.vec_id < b.vec_id)
+select 1 video_id, (select count(*) from t) num_tracks, round(tp / sp::double, 6) pair_precision, round(tp / sg::double, 6) pair_recall, round(1 - (select count(*) from t where vec_id % 9 = 0) / (select count(*) from t)::double, 6) auto_relink_rate, 2 * (select count(*) from t where vec_id % 9 = 0) interventions from x""")
+def pair_clustering(spark, d):
+    e = P.read(spark, d, "embeddings").withColumn("video_id", F.lit(1)).withColumnRenamed("vec_id", "track_id")
+    asked = e.where("track_id % 9 = 0").select("video_id", "track_id")
+    m = segments.evaluate_clusters(e.select("video_id", "track_id", F.col("label").alias("gt_id")), e.select("video_id", "track_id", (F.col("track_id") % 13).alias("pred_id")), V, asked.unionAll(asked))
+    return m.select("video_id", "num_tracks", "interventions", *[_r(c).alias(c) for c in ("pair_precision", "pair_recall", "auto_relink_rate")])
+
+
+@query("threshold_checks", """with m as (select l_returnflag || l_linestatus stage, unnest(['avg_qty', 'avg_disc', 'n']) metric, unnest([avg(l_quantity), avg(l_discount), count(*)::double]) as value from lineitem group by 1), t(metric, mn, mx) as (values ('avg_qty', 25.5, null), ('avg_disc', null, 0.05), ('n', null, null))
+select stage, metric, round(value, 4) as value, case when mn is not null then 'min' when mx is not null then 'max' else '-' end as rule, coalesce(mn, mx)::double bound, case when mn is not null then case when value >= mn then 'PASS' else 'FAIL' end when mx is not null then case when value <= mx then 'PASS' else 'FAIL' end else 'unset' end status from m join t using (metric)""")
+def threshold_checks(spark, d):
+    return _checks(spark, d).withColumn("value", _r("value", 4))
+
+
+def _checks(spark, d):
+    m = P.read(spark, d, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("stage")).agg(F.avg("l_quantity").alias("avg_qty"), F.avg("l_discount").alias("avg_disc"), F.count("*").cast("double").alias("n"))
+    m = m.unpivot(["stage"], ["avg_qty", "avg_disc", "n"], "metric", "value")
+    t = m.select("stage").distinct().crossJoin(spark.createDataFrame([("avg_qty", 25.5, None), ("avg_disc", None, 0.05)], "metric string, min double, max double"))
+    return segments.check_thresholds(m, t)
+
+
+@query("threshold_overall", "select l_returnflag || l_linestatus stage, case when avg(l_quantity) < 25.5 or avg(l_discount) > 0.05 then 'FAIL' else 'PASS' end status from lineitem group by 1")
+def threshold_overall(spark, d):
+    return segments.overall(_checks(spark, d), ["stage"])
+
+
+@query("activity_rollup", f"""with {P.GT_SEG_SQL}, x as (select *, ("end" - start) / 1000000.0::double dd, ("end" - start) / 1000000.0::double * conf * case when uncertain then 0.5 else 1.0 end w from gs)
+select video_id, round(sum(dd), 4) total_secs, round(sum(case when "group" = 'dynamic' then w else 0 end) / sum(w), 6) dynamic_ratio, round(sum(case when uncertain then dd else 0 end) / sum(dd), 6) uncertain_pct, round(least(1.0, sum(dd) / 60), 6) conf from x group by 1""")
+def activity_rollup(spark, d):
+    s = P.gt_segments(spark, d).withColumn("end", (F.col("end") - F.col("start")) / 1e6).withColumn("start", F.lit(0.0))
+    return segments.activity_rollup(s, V).select("video_id", _r("total_secs", 4).alias("total_secs"), *[_r(c).alias(c) for c in ("dynamic_ratio", "uncertain_pct", "conf")])
+
+
+@query("citation_pick", f"with {P.GT_SEG_SQL} select video_id, ord, round(conf, 6) conf from (select *, row_number() over (partition by video_id order by conf desc, ord) r from gs where not uncertain and conf >= 0.7) where r = 1")
+def citation_pick(spark, d):
+    return segments.cited_segment(P.gt_segments(spark, d), V).select("video_id", "ord", _r("conf").alias("conf"))
+
+
+@query("motion_class", f"""with {P.GT_SEG_SQL}, s as (select video_id, coalesce(sum("end" - start) filter ("group" = 'dynamic'), 0)::bigint d, coalesce(sum("end" - start) filter ("group" = 'static'), 0)::bigint s from gs group by 1) select video_id, d dynamic_secs, s static_secs, case when d > 2 * s then 'lively' when s > 2 * d then 'still' else 'even' end motion from s""")
+def motion_class(spark, d):
+    m = segments.motion_class(P.gt_segments(spark, d), V)
+    return m.select("video_id", F.col("dynamic_secs").cast("long").alias("dynamic_secs"), F.col("static_secs").cast("long").alias("static_secs"), "motion")
+
+
+@query("scene_consensus", """with t as (select user_id video_id, event_id % 3 f, case when event_type <> 'error' then event_type end tag from events where event_id % 7 < 3), n as (select video_id, count(distinct f) n from t group by 1), v as (select video_id, tag, count(distinct f) votes from t where tag is not null group by all)
+select video_id, tag, votes from v join n using (video_id) where votes >= least(2, greatest(1, n))""")
+def scene_consensus(spark, d):
+    t = P.read(spark, d, "events").where("event_id % 7 < 3").select(F.col("user_id").alias("video_id"), (F.col("event_id") % 3).alias("f"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("tag"))
+    return segments.consensus(t, V, "f", "tag")
+
+
+@query("logprob_vote", """with t as (select user_id video_id, case event_type when 'click' then 'a' when 'purchase' then 'a' when 'view' then 'b' end c, -((json_extract_string(props, '$.k'))::double / 10) lp from events), m as (select video_id, c, sum(exp(lp)) m from t where c is not null group by all),
+s as (select *, m / sum(m) over (partition by video_id) p, row_number() over (partition by video_id order by m desc, c) r from m) select v.video_id, s.c as cls, round(p, 6) p, case when p >= 0.7 then s.c else 'uncertain' end verdict from (select distinct video_id from t) v left join s on s.video_id = v.video_id and r = 1""")
+def logprob_vote(spark, d):
+    c = F.when(F.col("event_type").isin("click", "purchase"), "a").when(F.col("event_type") == "view", "b")
+    t = P.read(spark, d, "events").select(F.col("user_id").alias("video_id"), c.alias("cls"), (-F.get_json_object("props", "$.k").cast("double") / 10).alias("lp"))
+    return segments.logprob_vote(t, V, "cls", "lp").withColumn("p", _r("p"))
+
+
+@query("segment_vote", f"""with {P.GT_SEG_SQL}, c as (select video_id, value dyn, 250.0::double sta, coalesce(action, '점프') action, ord from gs), g as (select video_id, avg(dyn / (dyn + sta)) m from c group by 1), h as (select *, case when m >= 0.5 then 'dynamic' else 'static' end grp from g),
+n as (select c.video_id, action, count(*) n, min(ord) o, bool_or((grp = 'dynamic') = (action in ('점프', '걷기'))) i from c join h using (video_id) group by all), t as (select *, row_number() over (partition by video_id order by i desc, n desc, o) r from n) select video_id, grp as "group", round(case when m >= 0.5 then m else 1 - m end, 6) conf, action from h join t using (video_id) where r = 1""")
+def segment_vote(spark, d):
+    c = P.gt_segments(spark, d).select("video_id", F.col("value").alias("dyn"), F.lit(250.0).alias("sta"), F.coalesce("action", F.lit("점프")).alias("action"), "ord")
+    return segments.segment_vote(c, V).withColumn("conf", _r("conf"))
+
+
+@query("audio_tags", """with t as (select user_id video_id, event_type lb, round(avg(value) / 100, 9) p from events group by all), r as (select *, row_number() over (partition by video_id order by p desc, lb desc) r from t) select video_id, lb as label, round_even(p, 3) p from r where r <= 3 and p >= 0.45""")
+def audio_tags(spark, d):
+    t = P.read(spark, d, "events").groupBy(F.col("user_id").alias("video_id"), F.col("event_type").alias("label")).agg(_r(F.avg("value") / 100, 9).alias("p"))
+    t = t.groupBy("video_id").agg(F.collect_list(F.struct("label", "p")).alias("tags"))
+    return t.select("video_id", F.inline(segments.top_tags(F.col("tags"), 3, 0.45)))
+
+
+@query("luma_profile", """with a as (select user_id video_id, avg(value) / 3 l, avg((event_id % 10) / 10.0::double) d from events group by 1) select video_id, round_even(l, 1) luma, round_even(round(d, 9), 2) dark_frac, l < 60 or d > 0.5 dark from a where abs(d - 0.5) > 1e-9""")
+def luma_profile(spark, d):
+    f = P.read(spark, d, "events").select(F.col("user_id").alias("video_id"), (F.col("value") / 3).alias("luma"), ((F.col("event_id") % 10) / 10.0).alias("dark_frac"))
+    half = f.groupBy("video_id").agg(F.avg("dark_frac").alias("a")).where("abs(a - 0.5) > 1e-9").select("video_id")
+    return segments.luma_profile(f.join(half, "video_id", "left_semi"), V)
+
+
+@query("place_profile", """with p as (select user_id video_id, event_id % 5 frame, event_type category, sum(value) v from events group by all), q as (select *, v / sum(v) over (partition by video_id, frame) pr from p), n as (select video_id, count(distinct frame) n from q group by 1), m as (select video_id, category, sum(pr) / n p from q join n using (video_id) group by video_id, category, n),
+r as (select *, row_number() over (partition by video_id order by p desc, category) r from m) select video_id, case when sum(case when category in ('click', 'view', 'purchase', 'signup') then p else 0 end) >= 0.9 then true end indoor, coalesce(string_agg(category, ',' order by r) filter (r <= 5 and p >= 0.2), '') categories from r group by 1""")
+def place_profile(spark, d):
+    e = P.read(spark, d, "events").groupBy(F.col("user_id").alias("video_id"), (F.col("event_id") % 5).alias("frame"), F.col("event_type").alias("category")).agg(F.sum("value").alias("v"))
+    e = e.withColumn("p", F.col("v") / F.sum("v").over(Window.partitionBy("video_id", "frame"))).drop("v")
+    indoor = spark.createDataFrame([(x,) for x in ("click", "view", "purchase", "signup")], "category string")
+    out = segments.place_profile(e, indoor, V)
+    return out.select("video_id", "indoor", F.array_join(F.transform("categories", lambda c: c["category"]), ",").alias("categories"))
+
+
+@query("finalize_labels", f"with {P.GT_SEG_SQL} select video_id, ord, action, case when action in ('걷기', '점프') then 'dynamic' else 'static' end as \"group\" from gs where action is not null")
+def finalize_labels(spark, d):
+    return segments.finalize_labels(P.gt_segments(spark, d).where("action is not null")).select("video_id", "ord", "action", "group")
+
+
+# ---- identity ----
+
+
+@query("mean_pool", "with n as (select label, vec_id, embedding::double[] v, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) + 1e-8 s from embeddings), c as (select label, unnest(range(1, 65)) i, v, s from n), m as (select label, i, avg(v[i] / s) x from c group by all), z as (select label, sqrt(sum(x * x)) + 1e-8 s from m group by 1) select label, i - 1 pos, round(x / s, 5) x from m join z using (label)")
+def mean_pool(spark, d):
+    p = vectors.mean_pool(P.read(spark, d, "embeddings"), ["label"], "embedding")
+    return p.select("label", F.posexplode("pooled").alias("pos", "x")).select("label", F.col("pos").cast("long").alias("pos"), _r("x", 5).alias("x"))
+
+
+@query("reference_similarity", "with e as (select vec_id, embedding::double[] v from embeddings) select t.vec_id track_id, round(max(list_dot_product(t.v, r.v)), 4) sim from e t, e r where r.vec_id % 100 = 1 group by 1")
+def reference_similarity(spark, d):
+    e = P.read(spark, d, "embeddings").select(F.col("vec_id").alias("track_id"), F.col("embedding").alias("v"))
+    return identity.reference_similarity(e, e.where("track_id % 100 = 1"), ["track_id"]).withColumn("sim", _r("sim", 4))
+
+
+@query("same_place_propagation", """with e as (select vec_id, label, embedding::double[] v, embedding[1:32]::double[] a, embedding[33:64]::double[] b from embeddings), dn as (select *, vec_id o from e where vec_id % 20 = 3), p as (select t.label, t.vec_id video_id, dn.vec_id donor, o, list_cosine_similarity(t.a, dn.a) vis, list_cosine_similarity(t.b, dn.b) aud from e t join dn on t.label = dn.label and t.vec_id <> dn.vec_id where t.vec_id % 20 <> 3)
+select label, video_id, donor from (select *, row_number() over (partition by label, video_id order by o) r from p where vis >= 0.1 and aud >= 0.05) where r = 1""")
+def same_place_propagation(spark, d):
+    e = P.read(spark, d, "embeddings").select("label", F.col("vec_id").alias("video_id"), F.slice("embedding", 1, 32).alias("scene_vec"), F.slice("embedding", 33, 32).alias("audio_vec"))
+    donors = e.where("video_id % 20 = 3").select("label", "video_id", F.lit("place").alias("tag"), F.col("video_id").alias("ord"))
+    return identity.propagate_tags(e, donors, ["label"], 0.1, 0.05).select("label", "video_id", "donor")
+
+
+@query("online_relink")
+def online_relink(spark, d):
+    return identity.relink(P.track_vectors(spark, d).select("video_id", "track_id", "v", F.lit(None).cast("array<bigint>").alias("frames")), [0.5, 0.6, 0.7, 0.8, 0.9])
+
+
+@query("anchor_taps")
+def anchor_taps(spark, d):
+    return identity.anchor_taps(P.track_vectors(spark, d), 0.75)
+
+
+@query("tap_summary")
+def tap_summary(spark, d):
+    return identity.tap_summary(identity.anchor_taps(P.track_vectors(spark, d), 0.75), ["video_id"])
+
+
+@query("fragment_margin")
+def fragment_margin(spark, d):
+    t = P.track_vectors(spark, d)
+    refs = t.where("track_id < 10").select("video_id", F.col("v"))
+    sim = identity.reference_similarity(t, refs, ["video_id", "track_id"], V)
+    out = identity.fragments(t.join(sim, ["video_id", "track_id"]).select("video_id", "track_id", "sim", "frames"))
+    return out.withColumn("confident", identity.confident(F.col("track"), F.col("sim"), F.col("margin")))
+
+
+@query("donor_cuts", f"""{_BOXES}, b as (select video_id, frame_idx, min(x) x, min(y) y from pr group by all), s as (select * from (select *, row_number() over (partition by video_id order by frame_idx) - 1 i from b) where i % 15 = 0), m as (select *, round_even(round(coalesce(sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)) / 30.0::double, 0), 9), 4) motion from s window w as (partition by video_id order by frame_idx))
+select video_id, frame_idx, motion, 1.0::double margin from (select *, row_number() over (partition by video_id order by motion desc, frame_idx) r from m) where r <= 6""")
+def donor_cuts(spark, d):
+    b = P.pred_boxes(spark, d).groupBy("video_id", "frame_idx").agg(*[F.min(c).alias(c) for c in "xywh"])
+    return identity.donor_cuts(b, b.select("video_id").distinct().withColumn("margin", F.lit(1.0)))
+
+
+@query("diverse_cuts")
+def diverse_cuts(spark, d):
+    b = P.pred_boxes(spark, d).groupBy("video_id", "frame_idx").agg(*[F.min(c).alias(c) for c in "xywh"])
+    cuts = identity.donor_cuts(b, b.select("video_id").distinct().withColumn("margin", F.col("video_id") / 10.0))
+    return identity.diverse(cuts.withColumn("owner", F.col("video_id") % 2), ["owner"])
+
+
+# ---- text ----
+
+
+@query("cer", """with a as (select doc_id, regexp_replace(substr(text, 1, 64), '[^가-힣a-zA-Z0-9]', '', 'g') r, regexp_replace(substr(text, 9, 64), '[^가-힣a-zA-Z0-9]', '', 'g') h from documents) select doc_id, round(case when length(r) > 0 then levenshtein(r, h) / length(r)::double else 0 end, 6) cer from a where regexp_full_match(r || h, '[ -~]*')""")
+def cer(spark, d):
+    t = P.read(spark, d, "documents").select("doc_id", F.substring("text", 1, 64).alias("r"), F.substring("text", 9, 64).alias("h"))
+    return t.select("doc_id", _r(text.cer(F.col("r"), F.col("h"))).alias("cer"))
+
+
+@query("letters", "select doc_id, md5(regexp_replace(text, '[^가-힣a-zA-Z0-9]', '', 'g')) as h from documents")
+def letters(spark, d):
+    return P.read(spark, d, "documents").select("doc_id", F.md5(text.letters(F.col("text")).cast("binary")).alias("h"))
+
+
+@query("pin_mode", "with t as (select conv_id, turn, role, case role when 'system' then '자막만 ' when 'user' then '읽어줘 ' else '' end || lower(text) t from conversations) select conv_id, turn, role, case when contains(t, '자막만') then 'edit' when contains(t, '읽어줘') or contains(t, 'tts') then 'narration' end mode from t")
+def pin_mode(spark, d):
+    t = P.read(spark, d, "conversations").withColumn("t", F.concat(F.when(F.col("role") == "system", "자막만 ").when(F.col("role") == "user", "읽어줘 ").otherwise(""), "text"))
+    return t.select("conv_id", "turn", "role", text.pin_mode(F.col("t")).alias("mode"))
+
+
+@query("keyword_clean", """with w as (select doc_id, list_transform(string_split(substr(text, 1, 200), ' ')[1:8], lambda x: trim(x)) w from documents) select doc_id, array_to_string(list_filter(w, lambda k: regexp_full_match(k, '[가-힣a-zA-Z0-9 ]{1,10}') and not list_contains(['all', 'dynamic', 'static', 'foster', 'full', 'none', 'cut', 'xfade', 'fast', 'calm', 'gradual', '묘기'], lower(k))), '|') kept from w""")
+def keyword_clean(spark, d):
+    w = F.slice(F.split(F.substring("text", 1, 200), " "), 1, 8)
+    return P.read(spark, d, "documents").select("doc_id", F.array_join(text.clean_keywords(w), "|").alias("kept"))
+
+
+@query("echo_strip", """with t as (select doc_id, 'see: ' || substr(text, 1, 30) || ' (' || source || ')' t, trim(substr(text, 1, 30)) r from documents where doc_id % 2 = 0 union all select doc_id, '🐾 ' || source, 'absent request' from documents where doc_id % 2 = 1),
+c as (select doc_id, trim(replace(t, '🐾', '')) t, r from t), z as (select doc_id, t, r, trim(replace(t, r, ''), ' ()[]{}·—–-,:;''"') s from c) select doc_id, case when r <> '' and t <> '' and contains(t, r) then case when regexp_matches(s, '[가-힣a-zA-Z0-9]') then s else '' end else t end as clean from z""")
+def echo_strip(spark, d):
+    t = P.read(spark, d, "documents")
+    even = t.where("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("see: "), F.substring("text", 1, 30), F.lit(" ("), "source", F.lit(")")).alias("t"), F.substring("text", 1, 30).alias("r"))
+    odd = t.where("doc_id % 2 = 1").select("doc_id", F.concat(F.lit("🐾 "), "source").alias("t"), F.lit("absent request").alias("r"))
+    return even.unionByName(odd).select("doc_id", text.clean_text(F.col("t"), F.col("r")).alias("clean"))
+
+
+@query("cache_key", "select doc_id, substr(sha1('model|' || source || '|' || text), 1, 16) as key from documents")
+def cache_key(spark, d):
+    return P.read(spark, d, "documents").select("doc_id", text.cache_key(F.lit("model"), F.col("source"), F.col("text")).alias("key"))
+
+
+@query("reading_secs", "select doc_id, greatest(1.5, length(trim(text)) / 12.0::double) secs from documents")
+def reading_secs(spark, d):
+    return P.read(spark, d, "documents").select("doc_id", text.required_secs(F.col("text")).alias("secs"))
+
+
+@query("numbers_to_words")
+def numbers_to_words(spark, d):
+    p = P.read(spark, d, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit("마리 "), F.col("p_retailprice").cast("string"), F.lit("kg "), F.col("p_partkey").cast("string")).alias("t"))
+    return p.select("p_partkey", text.read_numbers_udf("t").alias("read"))
+
+
+@query("wrap_lines")
+def wrap_lines(spark, d):
+    t = P.read(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("t"))
+    return t.select("doc_id", text.wrap_udf(330.0, 16.0)("t").alias("lines"))
+
+
+@query("directive_attribution", """with r as (select p_partkey plan_id, 'alpha ' || p_size || '초 and, after a long while, the beta scene 클로즈업 end' as request, p_size from part) select plan_id, b block_idx, case when b = 0 then p_size::double end target_dur, case when b = 1 then 'gradual' else 'none' end as zoom from r, (select unnest([0, 1]) b)""")
+def directive_attribution(spark, d):
+    r = P.read(spark, d, "part").select(F.col("p_partkey").alias("plan_id"), F.concat(F.lit("alpha "), F.col("p_size").cast("string"), F.lit("초 and, after a long while, the beta scene 클로즈업 end")).alias("request"))
+    s = r.select("plan_id", F.posexplode(F.array(F.lit("alpha"), F.lit("beta scene"))).alias("block_idx", "sentence"))
+    return plan.attribute_directives(s, r)
+
+
+# ---- plans and layout ----
+
+
+def _plan_world(spark, d):
+    """Plans from orders, sources from nations, tags from part types, segments and presence from events."""
+    o = P.read(spark, d, "orders").where("o_orderkey % 40 = 0").select("o_orderkey", "o_custkey", "o_totalprice").dropDuplicates(["o_orderkey"])
+    blocks = o.select(F.col("o_orderkey").alias("plan_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("block_idx"), "o_custkey", "o_totalprice")
+    n = F.col("o_custkey") + F.col("block_idx")
+    blocks = blocks.select(
+        "plan_id", "block_idx", F.when(n % 3 == 0, "dynamic").when(n % 3 == 1, "static").otherwise("all").alias("select"), F.when(n % 7 == 0, "gradual").otherwise("none").alias("zoom"), F.when(n % 2 == 0, "fast").otherwise("calm").alias("pace"),
+        F.when(n % 4 == 0, (F.col("o_custkey") % 9 + 1).cast("double")).alias("target_dur"), F.when(n % 5 == 0, F.array(F.concat(F.lit("s"), (n % 6).cast("string")))).otherwise(F.array().cast("array<string>")).alias("sources"),
+        F.when(n % 5 == 1, F.array(F.lit("click place"), F.lit("zzz"))).when(n % 5 == 2, F.array(F.lit("view"))).otherwise(F.array().cast("array<string>")).alias("keywords"),
+    )
+    src = blocks.select("plan_id").distinct().select("plan_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("src_ord")).withColumn("source", F.concat(F.lit("s"), F.col("src_ord").cast("string")))
+    tags = spark.createDataFrame([("s1", "click"), ("s2", "view"), ("s3", "viewing"), ("s4", "other")], "source string, tag string")
+    seg = P.gt_segments(spark, d).where("video_id < 6 and ord <= 12").select(F.concat(F.lit("s"), F.col("video_id").cast("string")).alias("source"), "ord", ((F.col("ord") - 1) * 3.0).alias("start"), (F.col("ord") * 3.0 - F.col("ord") % 3).alias("end"), "group", "action", "conf", "uncertain")
+    presence = spark.createDataFrame([("s0", 0.0, 9.0), ("s0", 12.0, 30.0), ("s1", 2.0, 20.0)], "source string, start double, end double")
+    return blocks, src, tags, seg, presence
+
+
+_WORLD = """b as (select distinct o_orderkey plan_id, o_custkey c, i block_idx, (o_custkey + i) n from orders, (select unnest([0, 1, 2]) i) where o_orderkey % 40 = 0), s as (select i src_ord, 's' || i as source from (select unnest([0, 1, 2, 3, 4, 5]) i)), tg(source, tag) as (values ('s1', 'click'), ('s2', 'view'), ('s3', 'viewing'), ('s4', 'other')),
+kw as (select plan_id, block_idx, unnest(case n % 5 when 1 then ['click place', 'zzz'] when 2 then ['view'] else [] end) k from b), hit as (select distinct plan_id, block_idx, k, source from kw join tg on contains(k, tag) or contains(tag, k)),
+st as (select plan_id, block_idx, count(distinct k) nk, (select count(distinct k) from hit h where h.plan_id = kw.plan_id and h.block_idx = kw.block_idx) nm from kw group by all),
+bs as (select b.plan_id, b.block_idx, s.source, s.src_ord, false exempt, true reserved from b join s on n % 5 = 0 and s.source = 's' || (n % 6) union all
+select b.plan_id, b.block_idx, s.source, s.src_ord, p, p from (select b.*, s.source, s.src_ord, exists (select 1 from hit h where h.plan_id = b.plan_id and h.block_idx = b.block_idx and h.source = s.source) p from b, s where n % 5 <> 0) b join s using (source) left join st on st.plan_id = b.plan_id and st.block_idx = b.block_idx where nk is null or nm = 0 or nk <> nm or p)"""
+
+
+@query("block_sources", f"with {_WORLD} select plan_id, block_idx::int block_idx, source, src_ord::int src_ord, exempt, reserved from bs")
+def block_sources(spark, d):
+    blocks, src, tags, _, _ = _plan_world(spark, d)
+    return plan.block_sources(blocks, src, tags)
+
+
+@query("source_reservation", f"with {_WORLD} select plan_id, block_idx::int block_idx, source from bs where reserved or not exists (select 1 from bs o where o.plan_id = bs.plan_id and o.source = bs.source and o.reserved)")
+def source_reservation(spark, d):
+    blocks, src, tags, _, _ = _plan_world(spark, d)
+    return plan.reserve(plan.block_sources(blocks, src, tags)).select("plan_id", "block_idx", "source")
+
+
+@query("compile_clips")
+def compile_clips(spark, d):
+    return plan.compile_plans(*_plan_world(spark, d), max_blocks=3)
+
+
+@query("clean_plans")
+def clean_plans(spark, d):
+    p = P.read(spark, d, "part").select("p_partkey", F.to_json(F.struct(
+        F.col("p_name").alias("title"), (F.col("p_size") % 2 == 0).alias("voice"),
+        F.array(F.struct(F.col("p_type").alias("caption"), F.col("p_size").cast("double").alias("target_dur"), F.array(F.lit("s1"), F.lit("s9"), F.lit("s1")).alias("sources"), F.array(F.lit(-0.5), F.lit(0.7)).alias("caption_span")), F.struct(F.lit("").alias("caption"), F.lit(0.0).alias("target_dur"), F.array().cast("array<string>").alias("sources"), F.array().cast("array<double>").alias("caption_span"))).alias("blocks"),
+        F.array(F.struct(F.lit("폴짝!").alias("text"), F.array(F.lit(0), F.lit(5)).alias("blocks"))).alias("texts"),
+    )).alias("j"))
+    raw = F.from_json("j", f"title string, voice boolean, blocks array<struct<{plan.RAW_BLOCK.replace(', ', ',').replace(' ', ':')}>>, texts array<struct<{plan.RAW_TEXT.replace(', ', ',').replace(' ', ':')}>>")
+    out = plan.authored_plan(raw, F.lit("make a film"), F.array(F.lit("s1"), F.lit("s2")), F.lit(False), F.lit(True), F.lit(True))
+    return p.select("p_partkey", out.alias("plan")).select("p_partkey", F.to_json("plan").alias("plan"))
+
+
+@query("region_pick", """with r(pos, ord, x1, y1, x2, y2) as (values ('bottom', 0, 100.0, 300.0, 600.0, 400.0), ('top', 1, 100.0, 0.0, 600.0, 100.0), ('left', 2, 0.0, 150.0, 200.0, 250.0), ('right', 3, 500.0, 150.0, 700.0, 250.0)),
+b as (select p_partkey k, (p_partkey * 37 % 600)::double bx, (p_partkey * 53 % 400)::double byy, p_size from part), o as (select k, pos, ord, greatest(0.0, least(x2, bx + 150) - greatest(x1, bx)) * greatest(0.0, least(y2, byy + 150) - greatest(y1, byy)) / ((x2 - x1) * (y2 - y1)) occ from b, r where not (p_size % 4 = 0 and pos = 'bottom') and not (p_size % 5 = 0 and pos = 'left'))
+select k, pos, round(occ, 6) occ from (select *, row_number() over (partition by k order by case when occ <= 0.1 then 0 else 1 end, case when occ <= 0.1 then 0 else occ end, ord) n from o) where n = 1""")
+def region_pick(spark, d):
+    r = spark.createDataFrame([("bottom", 0, 100.0, 300.0, 600.0, 400.0), ("top", 1, 100.0, 0.0, 600.0, 100.0), ("left", 2, 0.0, 150.0, 200.0, 250.0), ("right", 3, 500.0, 150.0, 700.0, 250.0)], "pos string, ord int, x1 double, y1 double, x2 double, y2 double")
+    k = F.col("p_partkey")
+    b = P.read(spark, d, "part").select(k.alias("k"), (k * 37 % 600).cast("double").alias("bx"), (k * 53 % 400).cast("double").alias("by"), "p_size")
+    taken = F.when(F.col("p_size") % 4 == 0, F.array(F.lit("bottom"))).when(F.col("p_size") % 5 == 0, F.array(F.lit("left"))).otherwise(F.array().cast("array<string>"))
+    taken = F.when((F.col("p_size") % 20) == 0, F.array(F.lit("bottom"), F.lit("left"))).otherwise(taken)
+    none = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    j = b.crossJoin(F.broadcast(r)).select("k", "pos", "ord", geometry.rect("x1", "y1", "x2", "y2").alias("r"), F.array(geometry.rect(F.col("bx"), F.col("by"), F.col("bx") + 150, F.col("by") + 150)).alias("boxes"), taken.alias("taken"), none.alias("blocked"))
+    return layout.pick_region(j, ["k"]).withColumn("occ", _r("occ"))
+
+
+@query("project_boxes", f"{_BOXES} select video_id, frame_idx, track_id, round(x * 2.5 * 0.4 + 0, 6) x1, round(y * 2.5 * 0.4 + 0, 6) y1 from pr")
+def project_boxes(spark, d):
+    p = P.pred_boxes(spark, d)
+    maps = p.select("video_id").distinct().select("video_id", F.lit(2.5).alias("scale"), F.lit(1920.0).alias("src_w"), F.lit(1080.0).alias("src_h"))
+    tracks = p.select("video_id", "frame_idx", "track_id", "x", "y", "w", "h")
+    out = layout.project_boxes(tracks.withColumn("frame_idx", F.struct("frame_idx", "track_id")), maps, 768, 432)
+    return out.select("video_id", "frame_idx.frame_idx", "frame_idx.track_id", _r("r.x1").alias("x1"), _r("r.y1").alias("y1"))
+
+
+@query("copy_windows")
+def copy_windows(spark, d):
+    e = _curve(spark, d).where("f < 12")
+    w = e.where("f % 3 = 0").select("video_id", F.col("f").cast("double").alias("start"), (F.col("f") + 4).cast("double").alias("end"))
+    t = e.where("f = 0").select("video_id", F.lit(0.0).alias("w0"), F.lit(20.0).alias("w1"), F.lit(None).cast("array<double>").alias("span"), F.lit("폴짝!").alias("text"))
+    return layout.place_copy(t, w, V)
+
+
+@query("text_schedule")
+def text_schedule(spark, d):
+    t = _curve(spark, d).where("f < 4").select(F.col("video_id").alias("plan_id"), F.col("f").cast("int").alias("text_idx"), F.lit("와!").alias("text"), F.lit(0.0).alias("w0"), F.lit(8.0).alias("w1"), F.lit(None).cast("array<double>").alias("span"), (F.col("v") % 8).alias("peak"))
+    return layout.schedule_texts(t)
+
+
+@query("external_embed")
+def external_embed(spark, d):
+    return external.embed_texts(P.read(spark, d, "documents").select("doc_id", F.substring("text", 1, 64).alias("t")), "t", dim=16).select("doc_id", "embedding")
