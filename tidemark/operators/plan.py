@@ -63,8 +63,8 @@ def default_text(t: Column, text: Column | None = None) -> Column:
 def default_plan(title: Column, blocks: Column, texts: Column) -> Column:
     """A whole plan: one default block if there is none; texts without words or blocks are left out."""
     none = F.from_json(F.lit("{}"), RAW_BLOCK)
-    b = F.transform(F.when(F.size(blocks) > 0, blocks).otherwise(F.array(none)), default_block)
-    t = F.filter(F.transform(F.coalesce(texts, F.array().cast(f"array<struct<{RAW_TEXT.replace(' ', ':').replace(',:', ',')}>>")), default_text), lambda x: (F.length(x["text"]) > 0) & x["blocks"].isNotNull())
+    b = F.transform(F.when(F.size(blocks) > 0, blocks).otherwise(F.array(none)), lambda x: default_block(x))
+    t = F.filter(F.transform(F.coalesce(texts, F.array().cast(f"array<struct<{RAW_TEXT.replace(' ', ':').replace(',:', ',')}>>")), lambda x: default_text(x)), lambda x: (F.length(x["text"]) > 0) & x["blocks"].isNotNull())
     return F.struct(F.coalesce(title, F.lit("")).alias("title"), b.alias("blocks"), t.alias("texts"))
 
 
