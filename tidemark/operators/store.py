@@ -203,7 +203,7 @@ class Store:
                 self.write(name, self.spark.createDataFrame([], schema))
 
     def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current"
+        return f"{self.root}/{name}/CURRENT"
 
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
