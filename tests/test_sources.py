@@ -138,3 +138,15 @@ def test_streaming(spark, tmp_path):
     sink(dogs, 0)
     sink(dogs, 0)
     assert store.read("dogs").count() == 1
+
+
+def test_jobs(spark, tmp_path):
+    from tidemark.sources import jobs
+
+    (tmp_path / "a.mp4").write_bytes(b"x")
+    ws = W.Workspace(str(tmp_path), "j1")
+    assert jobs.init_job(spark, ws, [str(tmp_path / "a.mp4")], request="만들어줘")["state"] == "uploaded"
+    assert (tmp_path / "jobs/j1/input/a.mp4").read_bytes() == b"x"
+    assert jobs.write_meta(spark, ws, state="validated") == {"state": "validated", "request": "만들어줘"}
+    with pytest.raises(FileNotFoundError):
+        jobs.init_job(spark, ws, [str(tmp_path / "none.mp4")])

@@ -241,3 +241,20 @@ def propagate_tags(profiles: DataFrame, donors: DataFrame, keys: list[str] | Non
     vis, aud = cosine_or_zero(F.col("t.scene_vec"), F.col("d.scene_vec")), cosine_or_zero(F.col("t.audio_vec"), F.col("d.audio_vec"))
     first = fit.groupBy(*keys, "tag", "video_id").agg(F.min_by(F.struct("donor", F.bround(vis, 3).alias("vis"), F.bround(aud, 3).alias("aud")), "ord").alias("x"))
     return first.select(*keys, "tag", "video_id", "x.donor", "x.vis", "x.aud")
+
+
+def relink_report(links: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per tau of :func:`relink`'s rows against (video_id, track_id, gt_id): pair_precision from counts summed over videos
+    (1 without a merged pair), taps_per_video, auto_share. Pairs are counted from cell sizes."""
+    both = links.join(truth, ["video_id", "track_id"])
+    pairs = lambda *by: both.groupBy("tau", "video_id", *by).agg(F.count("*").alias("n")).groupBy("tau").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("_" + by[-1]))
+    out = both.groupBy("tau").agg((F.count_if(~F.col("auto")) / F.count_distinct("video_id")).alias("taps_per_video"), F.avg(F.col("auto").cast("double")).alias("auto_share"))
+    out = out.join(pairs("cluster"), "tau").join(pairs("cluster", "gt_id"), "tau")
+    return out.select("tau", F.when(F.col("_cluster") > 0, F.col("_gt_id") / F.col("_cluster")).otherwise(F.lit(1.0)).alias("pair_precision"), "taps_per_video", "auto_share")
+
+
+def donor_vectors(cuts: DataFrame, embedded: DataFrame, keys: list[str]) -> DataFrame:
+    """One reference per key from the chosen cuts' vectors (video_id, frame_idx, v): scaled, averaged and scaled again."""
+    from tidemark.functions.vectors import mean_pool
+
+    return mean_pool(cuts.join(embedded, ["video_id", "frame_idx"]), keys, "v").withColumnRenamed("pooled", "v")

@@ -225,3 +225,43 @@ def place_profile(probs: DataFrame, indoor: DataFrame, keys: list[str], tau: flo
 def finalize_labels(segments: DataFrame) -> DataFrame:
     """Checked ground truth: unknown or open labels raise; group comes from the action, conf is 1, nothing is uncertain."""
     return segments.withColumn("group", group_of("action")).withColumn("conf", F.lit(1.0)).withColumn("uncertain", F.lit(False))
+
+
+def gloss(label, table: dict[str, str]):
+    """A label's translation, or the label itself. The table is a bounded dictionary (at most 10,000 labels)."""
+    if len(table) > 10_000:
+        raise ValueError("more than 10,000 labels: join them as a table")
+    if not table:
+        return label
+    words = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.coalesce(F.try_element_at(words, label), label)
+
+
+def _listed(tags, name: str, table: dict[str, str]):
+    return F.array_join(F.transform(tags, lambda t: F.concat(gloss(t[name], table), F.lit("("), t["p"].cast("string"), F.lit(")"))), ", ")
+
+
+def profile_text(extra=None, audio_names: dict[str, str] | None = None, place_names: dict[str, str] | None = None):
+    """One line on what was observed of a video: sounds, kind of place, darkness, ``extra``, caption. Reads columns audio
+    (label, p), indoor, categories (category, p), dark and caption, any of which may be null."""
+    has = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    sound = F.when(has("audio"), F.concat(F.lit("소리: "), _listed(F.col("audio"), "label", audio_names or {}))).otherwise("소리: (신호 없음)")
+    place = F.concat_ws(" · ", F.when(F.col("indoor"), "실내 확실"), F.when(has("categories"), _listed(F.col("categories"), "category", place_names or {})))
+    said = F.trim(F.coalesce("caption", F.lit("")))
+    parts = [sound, F.when(place != "", F.concat(F.lit("장면분류: "), place)), F.when(F.col("dark"), "밝기: 어두움(밤/저조도)"), extra if extra is not None else F.lit(None).cast("string"), F.when(said != "", F.concat(F.lit("묘사: "), said))]
+    return F.concat_ws(" | ", *parts)
+
+
+def record_lines(videos: DataFrame, segments: DataFrame) -> DataFrame:
+    """(video_id, line): the profile of each video with seconds moving and still (all that isn't dynamic), behaviour and
+    confirmed tags. ``videos`` has the columns of :func:`profile_text`, behavior and scene_tags."""
+    d = F.col("end") - F.col("start")
+    dyn = F.coalesce(F.col("group") == "dynamic", F.lit(False))
+    s = segments.groupBy("video_id").agg(F.sum(F.when(dyn, d).otherwise(0.0)).alias("_d"), F.sum(F.when(dyn, 0.0).otherwise(d)).alias("_s"))
+    v = videos.join(s, "video_id", "left").fillna(0.0, ["_d", "_s"])
+    whole = lambda c: F.rint(c).cast("long").cast("string")
+    motion = F.concat(F.lit("동작측정: 움직임 "), whole("_d"), F.lit("초/정지 "), whole("_s"), F.lit("초"))
+    did = F.trim(F.coalesce("behavior", F.lit("")))
+    tags = F.when(F.coalesce(F.size("scene_tags") > 0, F.lit(False)), F.concat(F.lit("확정 장면: "), F.array_join("scene_tags", ", ")))
+    line = F.concat_ws(" | ", F.concat(F.lit("["), F.col("video_id").cast("string"), F.lit("] "), profile_text(motion)), F.when(did != "", F.concat(F.lit("행동: "), did)), tags)
+    return v.select("video_id", line.alias("line"))

@@ -229,3 +229,17 @@ def peak(boxes: DataFrame, keys: list[str], min_speed: float = 0.02, max_gap: in
     c = c.withColumn("_gap", gap).withColumn("speed", v).where((F.col("_gap") <= max_gap) & (F.col("speed") >= min_speed))
     best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("speed"), "frame_idx"))
     return c.withColumn("_r", best).where("_r = 1").select(*keys, "frame_idx", "speed")
+
+
+def peak_in_output(clips: DataFrame, boxes: DataFrame, keys: list[str], fps: float = 30.0, min_speed: float = 0.02, max_gap: int = 3) -> DataFrame:
+    """Per key the moment, on the output's clock, at which the subject moves fastest in its clips.
+
+    ``clips`` has keys, clip_ord, video_id, t0, t1, out_start; ``boxes`` video_id, frame_idx, x, y, w, h. Speed is
+    measured inside a clip only; the first moment wins ties; keys without a speed of ``min_speed`` aren't listed.
+    """
+    f0, f1 = (F.col("t0") * fps).cast("int"), (F.col("t1") * fps).cast("int")
+    j = clips.join(boxes, "video_id").where((F.col("frame_idx") >= f0) & (F.col("frame_idx") <= f1))
+    best = peak(j, [*keys, "clip_ord"], min_speed, max_gap)
+    at = best.join(clips, [*keys, "clip_ord"]).withColumn("at", F.col("out_start") + F.col("frame_idx") / fps - F.col("t0"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("speed"), "clip_ord", "frame_idx")
+    return at.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*keys, "at", "speed")

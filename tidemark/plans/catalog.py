@@ -718,3 +718,39 @@ def text_schedule(spark, d):
 @query("external_embed")
 def external_embed(spark, d):
     return external.embed_texts(P.read(spark, d, "documents").select("doc_id", F.substring("text", 1, 64).alias("t")), "t", dim=16).select("doc_id", "embedding")
+
+
+@query("record_lines", f"""with {P.GT_SEG_SQL}, s as (select video_id, sum(case when "group" = 'dynamic' then ("end" - start) // 1000000 else 0 end)::bigint d, sum(case when "group" <> 'dynamic' then ("end" - start) // 1000000 else 0 end)::bigint s from gs group by 1),
+v as (select user_id video_id, min(event_type) a, max(event_type) c, max(event_id) % 2 = 0 dark, max(event_id) % 3 = 0 indoor from events group by 1)
+select video_id, '[' || video_id || '] 소리: 딸깍(0.5)' || case when indoor then ' | 장면분류: 실내 확실' else '' end || case when dark then ' | 밝기: 어두움(밤/저조도)' else '' end || ' | 동작측정: 움직임 ' || coalesce(d, 0) || '초/정지 ' || coalesce(s, 0) || '초 | 묘사: ' || c || ' | 행동: ' || a || ' | 확정 장면: t1, t2' line from v left join s using (video_id)""")
+def record_lines(spark, d):
+    v = P.read(spark, d, "events").groupBy(F.col("user_id").alias("video_id")).agg(F.min("event_type").alias("behavior"), F.max("event_type").alias("caption"), F.max("event_id").alias("m"))
+    v = v.select("video_id", "behavior", "caption", (F.col("m") % 2 == 0).alias("dark"), (F.col("m") % 3 == 0).alias("indoor"), F.array(F.struct(segments.gloss(F.lit("click"), {"click": "딸깍"}).alias("label"), F.lit(0.5).alias("p"))).alias("audio"), F.array().cast("array<struct<category:string,p:double>>").alias("categories"), F.array(F.lit("t1"), F.lit("t2")).alias("scene_tags"))
+    s = P.gt_segments(spark, d).withColumn("end", F.floor((F.col("end") - F.col("start")) / 1_000_000).cast("double")).withColumn("start", F.lit(0.0))
+    return segments.record_lines(v, s)
+
+
+@query("relink_report")
+def relink_report(spark, d):
+    t = P.track_vectors(spark, d)
+    links = identity.relink(t.select("video_id", "track_id", "v", F.lit(None).cast("array<bigint>").alias("frames")), [0.5, 0.7, 0.9])
+    return identity.relink_report(links, t.select("video_id", "track_id", "gt_id"))
+
+
+@query("donor_reference")
+def donor_reference(spark, d):
+    b = P.pred_boxes(spark, d).groupBy("video_id", "frame_idx").agg(*[F.min(c).alias(c) for c in "xywh"])
+    cuts = identity.donor_cuts(b, b.select("video_id").distinct().withColumn("margin", F.lit(1.0))).withColumn("owner", F.col("video_id") % 2)
+    v = P.read(spark, d, "embeddings").select((F.col("vec_id") % 1000).alias("frame_idx"), (F.col("vec_id") % 10).alias("video_id"), F.col("embedding").alias("v")).dropDuplicates(["video_id", "frame_idx"])
+    return identity.donor_vectors(identity.diverse(cuts, ["owner"], k=30), v, ["owner"])
+
+
+@query("output_peak", f"""{_BOXES}, b as (select video_id, frame_idx, min(x) x, min(y) y from pr group by all), c(clip_ord, t0, t1, s) as (values (0, 1.0::double, 9.0::double, 0.0::double), (1, 15.0::double, 25.0::double, 8.0::double)),
+j as (select b.*, c.* from b, c where frame_idx >= (t0 * 30)::int and frame_idx <= (t1 * 30)::int), g as (select *, frame_idx - lag(frame_idx) over w g, abs(x - lag(x) over w) + abs(y - lag(y) over w) d from j window w as (partition by video_id, clip_ord order by frame_idx)),
+r as (select *, d / (30 * g) v, row_number() over (partition by video_id order by d / (30 * g) desc, clip_ord, frame_idx) r from g where g <= 3 and d / (30 * g) >= 0.02) select video_id, round(s + frame_idx / 30.0::double - t0, 6) as "at", round(v, 6) speed from r where r = 1""")
+def output_peak(spark, d):
+    b = P.pred_boxes(spark, d).groupBy("video_id", "frame_idx").agg(*[F.min(c).alias(c) for c in "xywh"])
+    c = spark.createDataFrame([(0, 1.0, 9.0, 0.0), (1, 15.0, 25.0, 8.0)], "clip_ord int, t0 double, t1 double, out_start double")
+    clips = b.select("video_id").distinct().crossJoin(F.broadcast(c)).withColumn("plan_id", F.col("video_id"))
+    out = timeline.peak_in_output(clips, b, ["plan_id"])
+    return out.select(F.col("plan_id").alias("video_id"), _r("at").alias("at"), _r("speed").alias("speed"))
