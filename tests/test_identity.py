@@ -86,3 +86,14 @@ def test_reference_similarity(spark):
     t = spark.createDataFrame([(i, [random.random() for _ in range(3)]) for i in range(5)], "track_id long, v array<double>")
     r = spark.createDataFrame([([1.0, 0.0, 0.0],), ([0.0, 1.0, 0.0],)], "v array<double>")
     assert all(x.sim == pytest.approx(max(y.v[:2])) for x, y in zip(I.reference_similarity(t, r, ["track_id"]).orderBy("track_id").collect(), t.orderBy("track_id").collect()))
+
+
+def test_relink_report_equals_pairs(spark):
+    random.seed(5)
+    rows = [(v, t, random.randint(0, 3), random.randint(0, 2), random.random() < 0.5) for v in range(3) for t in range(15)]
+    links = spark.createDataFrame([(v, 0.5, t, c, a) for v, t, c, _, a in rows], "video_id long, tau double, track_id long, cluster long, auto boolean")
+    truth = spark.createDataFrame([(v, t, g) for v, t, _, g, _ in rows], "video_id long, track_id long, gt_id long")
+    (r,) = I.relink_report(links, truth).collect()
+    same = [(a, b) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] == b[2]]
+    assert r.pair_precision == pytest.approx(sum(a[3] == b[3] for a, b in same) / len(same))
+    assert r.taps_per_video == pytest.approx(sum(not x[4] for x in rows) / 3) and r.auto_share == pytest.approx(sum(x[4] for x in rows) / 45)

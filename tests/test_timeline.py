@@ -133,3 +133,20 @@ def test_summaries(spark):
     assert S.motion_class(s, K).first().motion == "even"
     with pytest.raises(Exception, match="unknown action label"):
         df(spark, [("TODO",)], "action string").select(S.group_of("action")).collect()
+
+
+def test_profile_lines(spark):
+    schema = "video_id string, audio array<struct<label:string,p:double>>, indoor boolean, categories array<struct<category:string,p:double>>, dark boolean, caption string, behavior string, scene_tags array<string>"
+    v = df(spark, [("a", [("Speech", 0.7), ("Bark", 0.2)], True, [("park", 0.5)], True, " 글 ", "뛴다", ["x", "y"]), ("b", None, None, None, None, None, None, None)], schema)
+    assert [r[0] for r in v.orderBy("video_id").select(S.profile_text(audio_names={"Speech": "말"})).collect()] == ["소리: 말(0.7), Bark(0.2) | 장면분류: 실내 확실 · park(0.5) | 밝기: 어두움(밤/저조도) | 묘사: 글", "소리: (신호 없음)"]
+    s = df(spark, [("a", 0.0, 2.5, "dynamic"), ("a", 2.5, 4.0, "static")], "video_id string, start double, end double, group string")
+    lines = {r.video_id: r.line for r in S.record_lines(v, s).collect()}
+    assert lines["a"].endswith("동작측정: 움직임 2초/정지 2초 | 묘사: 글 | 행동: 뛴다 | 확정 장면: x, y") and lines["b"] == "[b] 소리: (신호 없음) | 동작측정: 움직임 0초/정지 0초"
+
+
+def test_peaks(spark):
+    b = df(spark, [("v", i, float(x), 0.0, 10.0, 10.0) for i, x in [(0, 0), (1, 1), (2, 5), (30, 100), (31, 101)]], "video_id string, frame_idx long, x double, y double, w double, h double")
+    assert [(r.frame_idx, r.speed) for r in T.peak(b, ["video_id"]).collect()] == [(2, 0.4)]
+    c = df(spark, [(1, 0, "v", 0.0, 0.5, 0.0), (1, 1, "v", 1.0, 2.0, 0.5), (2, 0, "v", 1.0, 2.0, 7.0), (3, 0, "v", 5.0, 6.0, 0.0)], "plan_id long, clip_ord int, video_id string, t0 double, t1 double, out_start double")
+    got = {r.plan_id: r["at"] for r in T.peak_in_output(c, b, ["plan_id"]).collect()}
+    assert got == {1: pytest.approx(2 / 30), 2: pytest.approx(7 + 31 / 30 - 1.0)}

@@ -401,10 +401,10 @@ def motion_peak(spark, d):
 # ---- scores and summaries ----
 
 
-@query("pair_clustering", """with t as (select vec_id, label g, vec_id % 13 p from embeddings), x as (select count(*) filter (a.g = b.g and a.p = b.p) tp, count(*) filter (a.p = b.p) sp, count(*) filter (a.g = b.g) sg from t a join t b on a.vec_id < b.vec_id)
-select 1 video_id, (select count(*) from t) num_tracks, round(tp / sp::double, 6) pair_precision, round(tp / sg::double, 6) pair_recall, round(1 - (select count(*) from t where vec_id % 9 = 0) / (select count(*) from t)::double, 6) auto_relink_rate, 2 * (select count(*) from t where vec_id % 9 = 0) interventions from x""")
+@query("pair_clustering", """with t as (select vec_id, vec_id % 4 video_id, label g, vec_id % 13 p from embeddings), x as (select a.video_id, count(*) filter (a.g = b.g and a.p = b.p) tp, count(*) filter (a.p = b.p) sp, count(*) filter (a.g = b.g) sg from t a join t b on a.video_id = b.video_id and a.vec_id < b.vec_id group by 1),
+n as (select video_id, count(*) n, count(*) filter (vec_id % 9 = 0) q from t group by 1) select video_id, n num_tracks, 2 * q interventions, round(tp / sp::double, 6) pair_precision, round(tp / sg::double, 6) pair_recall, round((n - q) / n::double, 6) auto_relink_rate from x join n using (video_id)""")
 def pair_clustering(spark, d):
-    e = P.read(spark, d, "embeddings").withColumn("video_id", F.lit(1)).withColumnRenamed("vec_id", "track_id")
+    e = P.read(spark, d, "embeddings").withColumn("video_id", F.col("vec_id") % 4).withColumnRenamed("vec_id", "track_id")
     asked = e.where("track_id % 9 = 0").select("video_id", "track_id")
     m = segments.evaluate_clusters(e.select("video_id", "track_id", F.col("label").alias("gt_id")), e.select("video_id", "track_id", (F.col("track_id") % 13).alias("pred_id")), V, asked.unionAll(asked))
     return m.select("video_id", "num_tracks", "interventions", *[_r(c).alias(c) for c in ("pair_precision", "pair_recall", "auto_relink_rate")])
