@@ -60,3 +60,9 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     paths.clear()
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every table this application wrote with :func:`materialize`. Results that still read them must have been
+    written elsewhere before."""
+    discard(spark, [f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"])
