@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._tokens import as_bytes, map_slices, sliced
+from tidemark.llm._tokens import as_bytes, map_slices, sliced, small_batches
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -207,7 +207,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                     columns = [pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64()), (4, pa.float64()))]
                     yield pa.RecordBatch.from_arrays([part.column("id").take(at), *columns], names=["id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, schema)
+        return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, schema)
 
     for index in indexes(items, threshold):
         out = out.unionByName(asked(index))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._tokens import as_bytes, sliced
+from tidemark.llm._tokens import as_bytes, sliced, small_batches
 from tidemark.llm.quality import crc_of
 
 #: Documents of a language the network is fitted on, and words of each of them, both by smallest hash.
@@ -212,7 +212,7 @@ def fit_langid(docs: DataFrame, per_lang: int = DOCS_PER_LANG, per_doc: int = WO
     bound = per_lang * max(1, chosen.select("lang").distinct().count())
     # at most per_lang ids of each language are broadcast
     texts = docs.select("doc_id", "lang", F.col("text").alias("t")).join(F.broadcast(chosen), ["doc_id", "lang"])
-    rows = texts.mapInArrow(run, f"doc_id {kind}, lang string, w binary").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "w").limit(bound).collect()
+    rows = small_batches(texts).mapInArrow(run, f"doc_id {kind}, lang string, w binary").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "w").limit(bound).collect()
     pairs = [(w, r.lang) for r in rows for w in bytes(r.w).split()]
     langs = sorted({x for _, x in pairs})
     net = BiGRU(max(1, len(langs)))
@@ -237,6 +237,6 @@ def identify(docs: DataFrame, net: BiGRU, langs: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", F.col("text").alias("t")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    out = small_batches(docs).select("doc_id", F.col("text").alias("t")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
     held = F.coalesce(F.pmod(crc_of(F.col("doc_id")), F.lit(3)) == 1, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")

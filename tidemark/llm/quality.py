@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._tokens import as_bytes, map_slices, sliced
+from tidemark.llm._tokens import as_bytes, map_slices, sliced, small_batches
 
 BUCKETS, RANK = 1 << 13, 8
 #: Labelled rows the model is fitted on: those with the smallest hash of the id, so the same on every run.
@@ -153,7 +153,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
     kind = docs.schema["doc_id"].dataType.simpleString()
     # at most train_rows ids are broadcast
     texts = docs.select("doc_id", F.col("text").alias("t"), F.col("n_chars").cast("long").alias("n")).join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("doc_id", "quality", "t", "n").mapInArrow(run, f"doc_id {kind}, quality int, ids array<long>, value array<double>, stats array<double>")
+    rows = small_batches(texts).select("doc_id", "quality", "t", "n").mapInArrow(run, f"doc_id {kind}, quality int, ids array<long>, value array<double>, stats array<double>")
     rows = rows.orderBy(h, "doc_id", "quality", "stats").limit(train_rows).toArrow()
     take = lambda c, t: [np.asarray(x, t) for x in rows.column(c).to_pylist()]
     return train(list(zip(take("ids", np.int64), take("value", float), take("stats", float))), rows.column("quality").to_pylist())
@@ -176,7 +176,7 @@ def score_quality(docs: DataFrame, model: QualityModel, cut: float = CUT) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sent.value.score(rows), pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", F.col("text").alias("t"), F.col("n_chars").cast("long").alias("n")).mapInArrow(run, f"doc_id {kind}, score double")
+    out = small_batches(docs).select("doc_id", F.col("text").alias("t"), F.col("n_chars").cast("long").alias("n")).mapInArrow(run, f"doc_id {kind}, score double")
     held = F.coalesce(F.pmod(crc_of(F.col("doc_id")), F.lit(5)) == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._tokens import as_bytes, map_slices, sliced, with_column
+from tidemark.llm._tokens import as_bytes, map_slices, sliced, small_batches, with_column
 
 KINDS = ("assign", "access", "hex", "token", "pem", "key64", "keyhex")
 RANK = {k: i for i, k in enumerate(KINDS)}
@@ -197,7 +197,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
+    out = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
     return out.withColumnRenamed("id", id_col)
 
 

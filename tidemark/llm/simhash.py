@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._tokens import as_bytes, sliced, with_column, words
+from tidemark.llm._tokens import as_bytes, sliced, small_batches, with_column, words
 from tidemark.llm.components import connected_components
 from tidemark.session import materialize
 
@@ -79,7 +79,7 @@ def add_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield with_column(part, ["id"], fp=pa.array(fps, pa.int64()))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp long")
+    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp long")
 
 
 def _gray_rank(fp: str):
