@@ -155,8 +155,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
     texts = docs.select("doc_id", F.col("text").alias("t"), F.col("n_chars").cast("long").alias("n")).join(F.broadcast(chosen), "doc_id")
     rows = small_batches(texts).select("doc_id", "quality", "t", "n").mapInArrow(run, f"doc_id {kind}, quality int, ids array<long>, value array<double>, stats array<double>")
     rows = rows.orderBy(h, "doc_id", "quality", "stats").limit(train_rows).toArrow()
-    take = lambda c, t: [np.asarray(x, t) for x in rows.column(c).to_pylist()]
-    return train(list(zip(take("ids", np.int64), take("value", float), take("stats", float))), rows.column("quality").to_pylist())
+    return train(list(zip(*[_lists(rows.column(c), t) for c, t in (("ids", np.int64), ("value", float), ("stats", float))])), rows.column("quality").to_pylist())
+
+
+def _lists(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    """The lists of a column as views of its values, without a Python object for each value."""
+    out = []
+    for chunk in column.chunks:
+        ends, values = chunk.offsets.to_numpy(), chunk.values.to_numpy(zero_copy_only=False).astype(kind, copy=False)
+        out += [values[lo:hi] for lo, hi in zip(ends[:-1], ends[1:])]
+    return out
 
 
 def score_quality(docs: DataFrame, model: QualityModel, cut: float = CUT) -> DataFrame:

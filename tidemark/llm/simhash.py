@@ -144,8 +144,12 @@ def _node_links(batches):
     def linked(node, fp):
         i, j = tree_links(node, fp)
         root = _forest(len(fp), i, j)
-        at = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[root[at]])], schema=out)
+        # the least fingerprint stands for a tree, so trees of different nodes meet at once where they can
+        least = fp.copy()
+        np.minimum.at(least, root, fp)
+        least = least[root]
+        at = np.flatnonzero(least != fp)
+        return pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(least[at])], schema=out)
 
     for batch in batches:
         m, key, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("m", "key", "fp"))
