@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.session import materialize
+
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = 2
@@ -66,7 +68,7 @@ def diagonals(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
 def spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """Verified spans: (doc_id, key, label, base, start, share)."""
-    diag = diagonals(docs, templates)
+    diag = materialize(diagonals(docs, templates), "diagonals")
     whole = diag.where("base and bit_count(votes) = pairs").select("doc_id", "key", "label", "base", F.col("diag").alias("start"), F.lit(1.0).alias("share"))
     per = Window.partitionBy("doc_id", "key", "label").orderBy("diag")
     new = F.coalesce((F.col("diag") - F.lag("diag").over(per) > GAP).cast("int"), F.lit(0))
