@@ -40,3 +40,40 @@ def test_vocabulary_is_bounded(spark):
     df = spark.createDataFrame([(1, " ".join(f"x{i}" for i in range(500)) + " the" * 500)], "doc_id long, text string")
     vocab, counts, total = L.vocabulary(df, 10)
     assert list(vocab) == [b"the"] and counts.tolist() == [500, 500] and total == 1000
+
+
+def brute_corpus(texts, order=3, backoff=0.4):
+    docs = [(t or "").encode().lower().split() for t in texts]
+    c = Counter(tuple(d[i : i + k]) for d in docs for k in range(1, order + 1) for i in range(len(d) - k + 1))
+    n = sum(map(len, docs))
+
+    def after(past, x):
+        if not past:
+            return math.log(c[x,] / n)
+        return math.log(c[*past, x] / c[past]) if c[*past, x] else math.log(backoff) + after(past[1:], x)
+
+    return [(len(d), sum(after(tuple(d[max(0, i - order + 1) : i]), x) for i, x in enumerate(d))) for d in docs]
+
+
+def query(spark, folder, rows):
+    from tidemark.llm import registry
+
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    return sorted(((r.doc_id, r.n_words, r.log_score, r.mean_score) for r in registry.QUERIES["op6_lm"](spark, str(folder)).collect()), key=str)
+
+
+def same(got, ids, scores):
+    want = sorted(((i, n, s, s / n if n else None) for i, (n, s) in zip(ids, scores)), key=str)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    for a, b in zip(got, want):
+        assert abs(a[2] - b[2]) < 2e-6 * max(1, abs(b[2])) and (a[3] is None) == (b[3] is None)
+
+
+def test_query_scores_words_of_any_rarity(spark, tmp_path):
+    """More words than the bounded model's vocabulary, most of them once; none share a symbol."""
+    rare = [" ".join(f"w{j}" for j in range(i * 1000, i * 1000 + 1000)) for i in range(70)]
+    texts = rare + ["w1", "w1 w2", "the w1 the w2 the", "the " * 5000, "w69999 w5", "w1", "W1 w2", None, "", " \n", "solo", "É É"]
+    ids = [*range(len(texts) - 1), None]
+    got = query(spark, tmp_path, list(zip(ids, texts)))
+    same(got, ids, brute_corpus(texts))
+    assert len({x for t in rare for x in t.split()}) > L.VOCABULARY

@@ -1,5 +1,12 @@
 """Stupid-backoff language-model scores, computed relationally.
 
+:func:`score_corpus`, the query, scores texts by trigrams of all their words, each n-gram counted however rare it
+is. Every trigram of a text is in the counts, so no word is ever backed off: a word after two others scores
+ln(c(a b c) / c(a b)), a text's second word ln(c(a b) / c(a)), its first ln(c(a) / N). N-grams are keyed by wide
+hashes: a row per trigram of a text holds 64 bits of the pair, 48 of the word after it and 64 of the text, goes to
+the partition of the pair and meets both counts there.
+
+:func:`score_lm` is the bounded model that the statement of :func:`oracle` describes.
 The words of all documents give a vocabulary: each word that makes up at least one in ``VOCABULARY`` of all
 words, so at most that many however large the corpus, and one symbol for the rest. Bigrams of vocabulary ids
 are counted over all documents into a table partitioned by the bigram's hash. The score of a word after
@@ -12,12 +19,14 @@ document's exploded bigrams are joined to the table on the bigram and summed per
 from __future__ import annotations
 
 from collections import Counter
+from hashlib import blake2b
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm._tokens import as_bytes, sliced, small_batches, words
 from tidemark.session import materialize
@@ -26,10 +35,12 @@ VOCABULARY = 65_535
 BACKOFF, MIN_COUNT = 0.4, 2
 #: Different words a task holds before it hands on its counts.
 HELD_WORDS = 400_000
+#: In place of a word's hash: the end of a text after its last pair, and a text's first pair, which counts nothing.
+END, START = 0, 1
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word as binary, n) over all texts, counted within tasks before they are shuffled."""
+def word_counts(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(word as binary, n) over all texts, or of the words in ``only``, counted within tasks before they are shuffled."""
 
     def run(batches):
         held: Counter = Counter()
@@ -43,7 +54,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     held.clear()
         yield flush()
 
-    return small_batches(docs).select(F.col("text").alias("t")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    held = small_batches(docs).select(F.col("text").alias("t")).mapInArrow(run, "word binary, n long")
+    if only is not None:
+        held = held.join(only, "word", "left_semi")
+    return held.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[dict[bytes, int], np.ndarray, int]:
@@ -129,6 +143,84 @@ def score_lm(docs: DataFrame, vocabulary_size: int = VOCABULARY, backoff: float
     return out.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
 
 
+class _Hashes(dict):
+    """48-bit hash of each word, from 2."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = max(2, int.from_bytes(blake2b(word, digest_size=6).digest(), "little"))
+        return h
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def trigrams(src: DataFrame) -> DataFrame:
+    """(pair, word, n, key) of rows (key, t): how often each pair of words of a text has the word after it or ``END``,
+    and the first pair with ``START`` and n = 0. Texts of fewer than two words have no rows."""
+
+    def rows(h):
+        pair = _mix(_mix(h[:-1]) + h[1:])
+        after = np.r_[h[2:], np.uint64(END)]
+        _, at, n = np.unique(_mix(pair + _mix(after)), return_index=True, return_counts=True)
+        return np.r_[pair[:1], pair[at]], np.r_[np.uint64(START), after[at]], np.r_[0, n]
+
+    def run(batches):
+        held = _Hashes()
+        for batch in batches:
+            for part in sliced(batch, "t"):
+                made, keys = [], []
+                for t, key in zip(as_bytes(part, "t"), part.column("key").to_pylist()):
+                    w = words(t)
+                    if len(w) > 1:
+                        made.append(rows(np.fromiter(map(held.__getitem__, w), np.uint64, len(w))))
+                        keys.append(key)
+                    if len(held) > HELD_WORDS:
+                        held.clear()
+                if made:
+                    pair, after, n = (np.concatenate(x) for x in zip(*made))
+                    key = np.repeat(np.array(keys, np.int64), [len(x[0]) for x in made])
+                    yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(after.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(key)], names=["pair", "word", "n", "key"])
+
+    return src.select("key", "t").mapInArrow(run, "pair long, word long, n int, key long")
+
+
+def score_corpus(docs: DataFrame) -> DataFrame:
+    """Columns, roundings and rows as of :func:`score_lm`, by trigrams of all words with nothing left out.
+
+    A text's denominators cancel its numerators one order below, so its score is the sum of ln c(a b c) - ln c(a b)
+    over its trigrams, and ln c of its first pair less ln N; a text of one word scores ln(c(a) / N).
+    """
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    src = small_batches(docs).select("doc_id", F.xxhash64("text").alias("key"), F.col("text").alias("t"))
+
+    def sizes(batches):
+        for batch in batches:
+            for part in sliced(batch, "t"):
+                own = [words(t) for t in as_bytes(part, "t")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array([len(w) for w in own], pa.int64()), pa.array([w[0] if len(w) == 1 else None for w in own], pa.binary())], names=["doc_id", "key", "n_words", "word"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    base = materialize(src.mapInArrow(sizes, f"doc_id {kind}, key long, n_words long, word binary"), "documents")
+    total = float(base.agg(F.sum("n_words")).first()[0] or 1)
+    # a table of its own, so that its size tells whether it can be broadcast
+    single = materialize(base.where("n_words = 1").select("word").distinct(), "singles")
+    one = word_counts(docs, single).select("word", F.ln("n").alias("one"))
+
+    first = F.col("word") == START
+    count = lambda *by: F.sum("n").over(Window.partitionBy(*by))
+    # pairs stay together, so one sort serves both windows
+    grams = trigrams(src).repartition("pair").withColumn("c3", count("pair", "word")).withColumn("c2", count("pair"))
+    gain = F.when(first, F.ln("c2")).when(F.col("word") == END, 0.0).otherwise(F.col("n") * (F.ln("c3") - F.ln("c2")))
+    # rows of equal texts are summed together, and each text has one first pair
+    many = grams.groupBy("key").agg((F.sum(gain) / F.sum(F.when(first, 1).otherwise(0))).alias("many"))
+    log = F.when(F.col("n_words") == 0, 0.0).otherwise(F.coalesce("one", "many") - F.lit(float(np.log(total))))
+    out = base.join(one, "word", "left").join(many, "key", "left").withColumn("log", log)
+    return out.select("doc_id", "n_words", F.round("log", 6).alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("log") / F.col("n_words"), 6)).alias("mean_score"))
+
+
 def oracle() -> str:
     up = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return rf"""

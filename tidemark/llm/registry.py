@@ -66,9 +66,9 @@ def op5(spark, sf_dir):
 
 @query("op6_lm")
 def op6(spark, sf_dir):
-    from tidemark.llm.lm import score_lm
+    from tidemark.llm.lm import score_corpus
 
-    return score_lm(table(spark, sf_dir, "documents"))
+    return score_corpus(table(spark, sf_dir, "documents"))
 
 
 @query("op7_warc")
