@@ -77,3 +77,12 @@ def test_query_scores_words_of_any_rarity(spark, tmp_path):
     got = query(spark, tmp_path, list(zip(ids, texts)))
     same(got, ids, brute_corpus(texts))
     assert len({x for t in rare for x in t.split()}) > L.VOCABULARY
+
+
+def test_query_counts_single_bigrams_and_trigrams(spark, tmp_path):
+    """Bigrams seen once are counted, and words after the same word are told apart by the one before it."""
+    texts = ["a b c", "x b d", "x b d", "a b", "q r s t u"]
+    ids = list(range(len(texts)))
+    got = query(spark, tmp_path, list(zip(ids, texts)))
+    same(got, ids, brute_corpus(texts))
+    assert abs(got[4][2] - math.log(1 / sum(len(t.split()) for t in texts))) < 2e-6
