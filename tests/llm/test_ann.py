@@ -44,3 +44,32 @@ def test_small_tables_are_exact(spark):
     assert A.search(spark, df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [r.vec_id for r in A.search(spark, two, F.col("vec_id") == 0).collect()] == [1, 1]
+
+
+def test_copies_and_near_copies_of_a_third_are_exact(spark):
+    """A third of the rows are one vector or nearly it, so far more than are reranked have a query's codes."""
+    rng = np.random.default_rng(3)
+    n = 6000
+    v = rng.normal(size=(n, 12))
+    same = rng.permutation(n)[: n // 3]
+    v[same] = v[same[0]]
+    v[same[: n // 6]] += rng.normal(size=(n // 6, 12)) * 1e-5
+    ids = [int(i) for i in rng.permutation(n)]
+    df = spark.createDataFrame(list(zip(ids, v.tolist())), "vec_id long, embedding array<double>").repartition(2)
+    want = brute(ids, v, range(0, n, 100), 5)
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf
+    old = conf.get(key)
+    try:
+        for rows in (old, "512"):
+            conf.set(key, rows)
+            assert sorted(tuple(r) for r in A.search(spark, df, F.col("vec_id") % 100 == 0).collect()) == want
+    finally:
+        conf.set(key, old)
+
+
+def test_slices_do_not_follow_batches():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(a, b))}) for a, b in ((0, 5), (5, 5), (5, 30), (30, 31))]
+    got = [p.column("x").to_pylist() for p in A._slices(batches, 8)]
+    assert [len(x) for x in got] == [8, 8, 8, 7] and sum(got, []) == list(range(31))

@@ -3,8 +3,11 @@
 A unit vector is written as the sum of one codeword from each of several full-dimensional codebooks. The
 books are fitted on a bounded sample (k-means on residuals, then rounds of beam-search encoding and joint
 least squares), every row is encoded by beam search, and the norm of its reconstruction is stored beside the
-codes. A query is scored against all rows by adding entries of its lookup table and dividing by the stored
-norm; the best rows of each batch are then scored again on their original vectors in double precision.
+codes, with the angle between the row and its reconstruction. A query is scored against all rows by adding
+entries of its lookup table and dividing by the stored norm. The best rows of each slice are scored again on
+their original vectors in double precision, and so is every other row whose angle to the query, which is at
+least the angle of the reconstruction less the stored one, can still reach the k-th best score and whose cosine
+in single precision does: the result is that of scoring all rows exactly.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ from tidemark.session import materialize, scratch_path
 #: Rows the codebooks are fitted on: those with the smallest hash of the id.
 SAMPLE = 4096
 BOOKS, WORDS, BEAM = 8, 256, 4
-#: Rows of each batch of about BATCH that are scored exactly for a query.
+#: Rows of each slice of BATCH that are scored exactly for a query before bounds decide on the others.
 RERANK, BATCH = 48, 2048
+#: Slack of the bounds and cosines for sums in single precision, and pairs of a query and a row that are scored at a time.
+SLACK, PAIRS = 1e-4, 1 << 16
 #: Queries of one block; a block is what is sent to the executors at a time.
 BLOCK = 2048
 
@@ -93,21 +98,64 @@ def _vectors(batch: pa.RecordBatch, column: str, dim: int) -> np.ndarray:
     return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _slices(batches, size: int = BATCH):
+    """The rows of the batches in batches of ``size``, however many each came with."""
+    held, n = [], 0
+    whole = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            held.append(batch.slice(at, size - n))
+            at, n = at + held[-1].num_rows, n + held[-1].num_rows
+            if n == size:
+                yield whole()
+                held, n = [], 0
+    if held:
+        yield whole()
+
+
+def angle_off(x: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Angle between each unit vector and its reconstruction; pi, which bounds nothing, where that is next to zero."""
+    made = sum(books[b][codes[:, b]].astype(float) for b in range(len(books)))
+    norm = np.sqrt((made * made).sum(1))
+    made /= np.maximum(norm, 1e-12)[:, None]
+    along = (x * made).sum(1)
+    across = x - along[:, None] * made
+    return np.where(norm < 0.01, np.pi, np.arctan2(np.sqrt((across * across).sum(1)), along))
+
+
+def could_reach(near: np.ndarray, off: np.ndarray, kth: np.ndarray) -> np.ndarray:
+    """Whether a row with this cosine (rows, queries) of its reconstruction, ``off`` from it, can score ``kth``."""
+    edge = np.where(np.isfinite(kth), np.arccos(np.clip(kth, -1, 1)), np.pi)
+    limit = np.outer(np.cos(off), np.cos(edge)) - np.outer(np.sin(off), np.sin(edge)) - SLACK
+    return (near >= limit) | (off[:, None] + edge >= np.pi - SLACK)
+
+
+def merge_best(best: np.ndarray, best_id: np.ndarray, at: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+    """Put scored rows (query position, score, id) among the best of their queries, in place."""
+    k, own = best.shape[1], np.unique(at)
+    query = np.r_[np.repeat(own, k), at]
+    score, ids = np.r_[best[own].ravel(), score], np.r_[best_id[own].ravel(), ids]
+    order = np.lexsort((ids, -score, query))
+    take = order[np.searchsorted(query[order], own)[:, None] + np.arange(k)]
+    best[own], best_id[own] = score[take], ids[take]
+
+
 def build_index(rows: DataFrame, dim: int, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray]:
-    """Every row of ``rows`` (vec_id, v) with ``codes`` and ``norm``, as a written table, and the codebooks."""
+    """Every row of ``rows`` (vec_id, v) with ``codes``, ``norm`` and ``off``, as a written table, and the codebooks."""
     spark = rows.sparkSession
     fitted = rows.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id", "v").limit(sample).select("v").collect()
     books = fit(unit(np.array([r.v for r in fitted])))
     sent = spark.sparkContext.broadcast(books)
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                codes, norms = encode(unit(_vectors(part, "v", dim)), sent.value)
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(list(map(bytes, codes)), pa.binary()), pa.array(norms, pa.float32())], names=["vec_id", "v", "codes", "norm"])
+        for part in _slices(batches):
+            x = unit(_vectors(part, "v", dim))
+            codes, norms = encode(x, sent.value)
+            off = angle_off(x, codes, sent.value)
+            yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(list(map(bytes, codes)), pa.binary()), pa.array(norms, pa.float32()), pa.array(off)], names=["vec_id", "v", "codes", "norm", "off"])
 
-    return materialize(rows.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, codes binary, norm float"), "codes"), books
+    return materialize(rows.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, codes binary, norm float, off double"), "codes"), books
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -127,29 +175,37 @@ def _search_block(index: DataFrame, books: np.ndarray, ids: np.ndarray, q: np.nd
 
     def run(batches):
         ids, q, table = sent.value
+        unit_q = unit(q)
         best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
         best = np.full((len(ids), k), -np.inf)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                vec_id = part.column("vec_id").to_numpy()
-                v = _vectors(part, "v", dim)
-                codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(-1, m)
-                near = table[0][codes[:, 0]]
-                for b in range(1, m):
-                    near += table[b][codes[:, b]]
-                near /= np.maximum(part.column("norm").to_numpy(), 1e-12)[:, None]
-                near[vec_id[:, None] == ids] = -np.inf
-                r = min(rerank, len(vec_id))
-                rows = np.argpartition(-near, r - 1, axis=0)[:r].T
-                for lo in range(0, len(ids), 256):
-                    own = slice(lo, lo + 256)
-                    exact = cosine(v[rows[own]], q[own, None, :])
-                    exact[vec_id[rows[own]] == ids[own, None]] = -np.inf
-                    score = np.concatenate([best[own], exact], axis=1)
-                    other = np.concatenate([best_id[own], vec_id[rows[own]]], axis=1)
-                    order = np.lexsort((other, -score), axis=1)[:, :k]
-                    best[own], best_id[own] = np.take_along_axis(score, order, 1), np.take_along_axis(other, order, 1)
+        for part in _slices(batches):
+            vec_id = part.column("vec_id").to_numpy()
+            v = _vectors(part, "v", dim)
+            codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(-1, m)
+            near = table[0][codes[:, 0]]
+            for b in range(1, m):
+                near += table[b][codes[:, b]]
+            near /= np.maximum(part.column("norm").to_numpy(), 1e-12)[:, None]
+            near[vec_id[:, None] == ids] = -np.inf
+            r = min(rerank, len(vec_id))
+            rows = np.argpartition(-near, r - 1, axis=0)[:r].T
+            for lo in range(0, len(ids), 256):
+                own = slice(lo, lo + 256)
+                exact = cosine(v[rows[own]], q[own, None, :])
+                exact[vec_id[rows[own]] == ids[own, None]] = -np.inf
+                score = np.concatenate([best[own], exact], axis=1)
+                other = np.concatenate([best_id[own], vec_id[rows[own]]], axis=1)
+                order = np.lexsort((other, -score), axis=1)[:, :k]
+                best[own], best_id[own] = np.take_along_axis(score, order, 1), np.take_along_axis(other, order, 1)
+            rest = could_reach(near, part.column("off").to_numpy(), best[:, -1])
+            rest[vec_id[:, None] == ids] = False
+            rest[rows, np.arange(len(ids))[:, None]] = False
+            some = np.flatnonzero(rest.any(axis=1))
+            rest[some] &= unit(v[some]) @ unit_q.T >= best[:, -1] - SLACK
+            at, row = np.nonzero(rest.T)
+            for lo in range(0, len(at), PAIRS):
+                q_at, v_at = at[lo : lo + PAIRS], row[lo : lo + PAIRS]
+                merge_best(best, best_id, q_at, cosine(v[v_at], q[q_at]), vec_id[v_at])
         there = np.isfinite(best)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, there.sum(1))), pa.array(best_id[there]), pa.array(best[there])], names=["query_id", "vec_id", "score"])
 
