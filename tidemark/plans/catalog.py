@@ -567,6 +567,15 @@ def cer(spark, d):
     return t.select("doc_id", _r(text.cer(F.col("r"), F.col("h"))).alias("cer"))
 
 
+@query("cer_whole")
+def cer_whole(spark, d):
+    """As cer, over whole texts: each against itself without its first eight characters. What is heard is a suffix of the
+    reference, so the edit distance is the difference of their lengths."""
+    t = P.read(spark, d, "documents").select("doc_id", text.letters(F.col("text")).alias("r"), text.letters(F.expr("substr(text, 9)")).alias("h"))
+    edits = F.length("r") - F.length("h")
+    return t.select("doc_id", _r(F.when(F.length("r") > 0, edits / F.length("r")).otherwise(0.0)).alias("cer"))
+
+
 @query("letters", "select doc_id, md5(regexp_replace(text, '[^가-힣a-zA-Z0-9]', '', 'g')) as h from documents")
 def letters(spark, d):
     return P.read(spark, d, "documents").select("doc_id", F.md5(text.letters(F.col("text")).cast("binary")).alias("h"))
@@ -580,7 +589,7 @@ def pin_mode(spark, d):
 
 @query("keyword_clean", """with w as (select doc_id, list_transform(string_split(substr(text, 1, 200), ' ')[1:8], lambda x: trim(x)) w from documents) select doc_id, array_to_string(list_filter(w, lambda k: regexp_full_match(k, '[가-힣a-zA-Z0-9 ]{1,10}') and not list_contains(['all', 'dynamic', 'static', 'foster', 'full', 'none', 'cut', 'xfade', 'fast', 'calm', 'gradual', '묘기'], lower(k))), '|') kept from w""")
 def keyword_clean(spark, d):
-    w = F.slice(F.split(F.substring("text", 1, 200), " "), 1, 8)
+    w = F.split("text", " ")
     return P.read(spark, d, "documents").select("doc_id", F.array_join(text.clean_keywords(w), "|").alias("kept"))
 
 
@@ -588,8 +597,8 @@ def keyword_clean(spark, d):
 c as (select doc_id, trim(replace(t, '🐾', '')) t, r from t), z as (select doc_id, t, r, trim(replace(t, r, ''), ' ()[]{}·—–-,:;''"') s from c) select doc_id, case when r <> '' and t <> '' and contains(t, r) then case when regexp_matches(s, '[가-힣a-zA-Z0-9]') then s else '' end else t end as clean from z""")
 def echo_strip(spark, d):
     t = P.read(spark, d, "documents")
-    even = t.where("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("see: "), F.substring("text", 1, 30), F.lit(" ("), "source", F.lit(")")).alias("t"), F.substring("text", 1, 30).alias("r"))
-    odd = t.where("doc_id % 2 = 1").select("doc_id", F.concat(F.lit("🐾 "), "source").alias("t"), F.lit("absent request").alias("r"))
+    even = t.where("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("see: "), "text", F.lit(" ("), "source", F.lit(")")).alias("t"), F.col("text").alias("r"))
+    odd = t.where("doc_id % 2 = 1").select("doc_id", F.concat(F.lit("🐾 "), "text", F.lit(" "), "source").alias("t"), F.lit("absent request").alias("r"))
     return even.unionByName(odd).select("doc_id", text.clean_text(F.col("t"), F.col("r")).alias("clean"))
 
 
@@ -611,7 +620,7 @@ def numbers_to_words(spark, d):
 
 @query("wrap_lines")
 def wrap_lines(spark, d):
-    t = P.read(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("t"))
+    t = P.read(spark, d, "documents").select("doc_id", F.col("text").alias("t"))
     return t.select("doc_id", text.wrap_udf(330.0, 16.0)("t").alias("lines"))
 
 
@@ -717,7 +726,7 @@ def text_schedule(spark, d):
 
 @query("external_embed")
 def external_embed(spark, d):
-    return external.embed_texts(P.read(spark, d, "documents").select("doc_id", F.substring("text", 1, 64).alias("t")), "t", dim=16).select("doc_id", "embedding")
+    return external.embed_texts(P.read(spark, d, "documents").select("doc_id", F.col("text").alias("t")), "t", dim=16).select("doc_id", "embedding")
 
 
 @query("record_lines", f"""with {P.GT_SEG_SQL}, s as (select video_id, sum(case when "group" = 'dynamic' then ("end" - start) // 1000000 else 0 end)::bigint d, sum(case when "group" <> 'dynamic' then ("end" - start) // 1000000 else 0 end)::bigint s from gs group by 1),
