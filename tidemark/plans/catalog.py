@@ -130,7 +130,7 @@ def l2_rows(spark, d):
 
 @query("claim_support", "select o_custkey k, o_orderpriority claim, bool_or(o_orderpriority = l_returnflag or o_orderkey % 5 = l_linenumber) supported from orders join lineitem on l_orderkey = o_orderkey where o_orderkey % 50 = 0 group by 1, 2")
 def claim_support(spark, d):
-    o = P.read(spark, d, "orders").where("o_orderkey % 50 = 0").select("o_orderkey", F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("claim"))
+    o = P.read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("claim"))
     r = P.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_returnflag", "l_linenumber").alias("record"))
     ok = (F.col("claim") == F.col("record.l_returnflag")) | (F.col("o_orderkey") % 5 == F.col("record.l_linenumber"))
     j = o.join(r.select("o_orderkey").distinct(), "o_orderkey", "left_semi")
@@ -233,7 +233,7 @@ select video_id, ord, round(count(distinct f) / greatest(1, e - s)::double, 9) c
 where video_id < 20 and (f is null or (f >= s and f < e)) group by video_id, ord, s, e, action""")
 def segment_evidence(spark, d):
     whole = lambda c: F.floor(F.col(c) / 1_000_000).cast("double")
-    s = P.gt_segments(spark, d).where("video_id < 20").select("video_id", "ord", whole("start").alias("start"), whole("end").alias("end"), "action").where("start < end")
+    s = P.gt_segments(spark, d).select("video_id", "ord", whole("start").alias("start"), whole("end").alias("end"), "action").where("start < end")
     f = P.event_times(spark, d).select(F.col("user_id").alias("video_id"), F.floor(F.col("us") / 1_000_000).cast("int").alias("frame_idx"), (F.col("event_id") % 7).alias("motion")).distinct()
     out = tracking.segment_evidence(s, f.select("video_id", "frame_idx"), f, fps=1.0)
     return out.select("video_id", "ord", _r("coverage", 9).alias("coverage"), _r("mean_motion").alias("mean_motion"), "uncertain")
@@ -449,7 +449,7 @@ def motion_class(spark, d):
 @query("scene_consensus", """with t as (select user_id video_id, event_id % 3 f, case when event_type <> 'error' then event_type end tag from events where event_id % 7 < 3), n as (select video_id, count(distinct f) n from t group by 1), v as (select video_id, tag, count(distinct f) votes from t where tag is not null group by all)
 select video_id, tag, votes from v join n using (video_id) where votes >= least(2, greatest(1, n))""")
 def scene_consensus(spark, d):
-    t = P.read(spark, d, "events").where("event_id % 7 < 3").select(F.col("user_id").alias("video_id"), (F.col("event_id") % 3).alias("f"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("tag"))
+    t = P.read(spark, d, "events").select(F.col("user_id").alias("video_id"), (F.col("event_id") % 3).alias("f"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("tag"))
     return segments.consensus(t, V, "f", "tag")
 
 
@@ -477,9 +477,9 @@ def audio_tags(spark, d):
 
 @query("luma_profile", """with a as (select user_id video_id, avg(value) / 3 l, avg((event_id % 10) / 10.0::double) d from events group by 1) select video_id, round_even(l, 1) luma, round_even(round(d, 9), 2) dark_frac, l < 60 or d > 0.5 dark from a where abs(d - 0.5) > 1e-9""")
 def luma_profile(spark, d):
-    f = P.read(spark, d, "events").select(F.col("user_id").alias("video_id"), (F.col("value") / 3).alias("luma"), ((F.col("event_id") % 10) / 10.0).alias("dark_frac"))
-    half = f.groupBy("video_id").agg(F.avg("dark_frac").alias("a")).where("abs(a - 0.5) > 1e-9").select("video_id")
-    return segments.luma_profile(f.join(half, "video_id", "left_semi"), V)
+    f = P.read(spark, d, "events").select(F.col("user_id").alias("video_id"), (F.col("value") / 3).alias("luma"), ((F.col("event_id") % 10).cast("decimal(20,12)") / 10).cast("decimal(20,12)").alias("dark_frac"))
+    # decimals, as a mean of exactly one half isn't dark
+    return segments.luma_profile(f, V).withColumn("dark_frac", F.col("dark_frac").cast("double"))
 
 
 @query("place_profile", """with p as (select user_id video_id, event_id % 5 frame, event_type category, sum(value) v from events group by all), q as (select *, v / sum(v) over (partition by video_id, frame) pr from p), n as (select video_id, count(distinct frame) n from q group by 1), m as (select video_id, category, sum(pr) / n p from q join n using (video_id) group by video_id, category, n),
@@ -634,9 +634,9 @@ def directive_attribution(spark, d):
 # ---- plans and layout ----
 
 
-def _plan_world(spark, d):
+def _plan_world(spark, d, orders="true"):
     """Plans from orders, sources from nations, tags from part types, segments and presence from events."""
-    o = P.read(spark, d, "orders").where("o_orderkey % 40 = 0").select("o_orderkey", "o_custkey", "o_totalprice").dropDuplicates(["o_orderkey"])
+    o = P.read(spark, d, "orders").where(orders).select("o_orderkey", "o_custkey", "o_totalprice").dropDuplicates(["o_orderkey"])
     blocks = o.select(F.col("o_orderkey").alias("plan_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("block_idx"), "o_custkey", "o_totalprice")
     n = F.col("o_custkey") + F.col("block_idx")
     blocks = blocks.select(
@@ -646,7 +646,7 @@ def _plan_world(spark, d):
     )
     src = blocks.select("plan_id").distinct().select("plan_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("src_ord")).withColumn("source", F.concat(F.lit("s"), F.col("src_ord").cast("string")))
     tags = spark.createDataFrame([("s1", "click"), ("s2", "view"), ("s3", "viewing"), ("s4", "other")], "source string, tag string")
-    seg = P.gt_segments(spark, d).where("video_id < 6 and ord <= 12").select(F.concat(F.lit("s"), F.col("video_id").cast("string")).alias("source"), "ord", ((F.col("ord") - 1) * 3.0).alias("start"), (F.col("ord") * 3.0 - F.col("ord") % 3).alias("end"), "group", "action", "conf", "uncertain")
+    seg = P.gt_segments(spark, d).select(F.concat(F.lit("s"), F.col("video_id").cast("string")).alias("source"), "ord", ((F.col("ord") - 1) * 3.0).alias("start"), (F.col("ord") * 3.0 - F.col("ord") % 3).alias("end"), "group", "action", "conf", "uncertain")
     presence = spark.createDataFrame([("s0", 0.0, 9.0), ("s0", 12.0, 30.0), ("s1", 2.0, 20.0)], "source string, start double, end double")
     return blocks, src, tags, seg, presence
 
@@ -660,6 +660,13 @@ select b.plan_id, b.block_idx, s.source, s.src_ord, p, p from (select b.*, s.sou
 
 @query("block_sources", f"with {_WORLD} select plan_id, block_idx::int block_idx, source, src_ord::int src_ord, exempt, reserved from bs")
 def block_sources(spark, d):
+    blocks, src, tags, _, _ = _plan_world(spark, d, "o_orderkey % 40 = 0")
+    return plan.block_sources(blocks, src, tags)
+
+
+@query("block_sources_whole")
+def block_sources_whole(spark, d):
+    """As block_sources, over all orders."""
     blocks, src, tags, _, _ = _plan_world(spark, d)
     return plan.block_sources(blocks, src, tags)
 
@@ -712,7 +719,7 @@ def project_boxes(spark, d):
 
 @query("copy_windows")
 def copy_windows(spark, d):
-    e = _curve(spark, d).where("f < 12")
+    e = _curve(spark, d)
     w = e.where("f % 3 = 0").select("video_id", F.col("f").cast("double").alias("start"), (F.col("f") + 4).cast("double").alias("end"))
     t = e.where("f = 0").select("video_id", F.lit(0.0).alias("w0"), F.lit(20.0).alias("w1"), F.lit(None).cast("array<double>").alias("span"), F.lit("폴짝!").alias("text"))
     return layout.place_copy(t, w, V)
@@ -720,7 +727,7 @@ def copy_windows(spark, d):
 
 @query("text_schedule")
 def text_schedule(spark, d):
-    t = _curve(spark, d).where("f < 4").select(F.col("video_id").alias("plan_id"), F.col("f").cast("int").alias("text_idx"), F.lit("와!").alias("text"), F.lit(0.0).alias("w0"), F.lit(8.0).alias("w1"), F.lit(None).cast("array<double>").alias("span"), (F.col("v") % 8).alias("peak"))
+    t = _curve(spark, d).select(F.col("video_id").alias("plan_id"), F.col("f").cast("int").alias("text_idx"), F.lit("와!").alias("text"), F.lit(0.0).alias("w0"), F.lit(8.0).alias("w1"), F.lit(None).cast("array<double>").alias("span"), (F.col("v") % 8).alias("peak"))
     return layout.schedule_texts(t)
 
 
