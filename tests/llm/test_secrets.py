@@ -75,3 +75,51 @@ def test_scan(spark):
     want = sorted((i, hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in plain_base(t or "")).encode()).hexdigest()) for i, t, _ in rows if i is not None)
     assert sorted((r.doc_id, r.base_sha256) for r in got if r.doc_id is not None) == want
     assert S.scan_secrets(df.limit(0)).count() == 0
+
+
+DSA = der(0x30, der(2, b"\0") + b"".join(der(2, bytes(range(1, n))) for n in (129, 21, 129, 129, 21)))
+ENCRYPTED = der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d") + der(0x30, der(4, bytes(8)))) + der(4, bytes(range(200))))
+DIGEST = der(0x30, der(0x30, der(6, b"\x60\x86\x48\x01\x65\x03\x04\x02\x01") + der(5, b"")) + der(4, bytes(32)))
+
+
+def wrapped(x, width, end="\n"):
+    return end.join(x[i : i + width] for i in range(0, len(x), width))
+
+
+def test_dsa_and_encrypted_keys():
+    for key, name in ((DSA, "DSA PRIVATE KEY"), (ENCRYPTED, "ENCRYPTED PRIVATE KEY")):
+        assert S.is_der_key(key) and not S.is_der_key(key[:-1]) and not S.is_der_key(key + b"\0")
+        pem = f"-----BEGIN {name}-----\n{wrapped(b64(key), 64)}\n-----END {name}-----"
+        assert ("pem", 2, 2 + len(pem)) in S.confirmed_spans(f"x {pem}")
+    assert not S.is_der_key(DIGEST)
+
+
+def test_pem_headers_and_escaped_line_ends():
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    body = wrapped(b64(bytes(range(7, 167))), 64)
+    arm = lambda x: f"-----BEGIN RSA PRIVATE KEY-----\n{x}\n-----END RSA PRIVATE KEY-----"
+    for text in (arm(head + body), arm(wrapped(b64(PKCS1), 64))):
+        for end in ("\n", "\r\n", "\\n", "\\r\\n", "\\\\n"):
+            t = text.replace("\n", end)
+            assert ("pem", 3, 3 + len(t)) in S.confirmed_spans(f'{{"{t[:0]} {t}"}}'), end
+            assert "PRIVATE" not in S.redact(t, S.all_spans(t))
+    assert not S.confirmed_spans(arm(body)) and not S.confirmed_spans(arm(head + "AAAA"))
+
+
+def test_wrapped_keys_outside_armour():
+    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + (51).to_bytes(4, "big") + bytes(range(51)) + bytes(range(150))
+    for key in (PKCS1, PKCS8, DSA, ENCRYPTED, ssh):
+        for width in (64, 76):
+            for end in ("\n", "\r\n", "\\n", "\n  "):
+                t = wrapped(b64(key), width, end)
+                assert S.confirmed_spans(f"k: {t}\n\nprose") == [("key64", 3, 3 + len(t))], (width, end, len(key))
+        if key is not ssh:
+            t = wrapped(b64(key).rstrip("="), 64)
+            assert S.confirmed_spans(f"{t}\nProse goes on") == [("key64", 0, len(t))]
+    t = wrapped(b64(PKCS1[:-1]), 64)
+    assert S.confirmed_spans(t) == []
+
+
+def test_token_with_empty_claims():
+    t = f"{url({'alg': 'none'})}.{url({})}."
+    assert S.confirmed_spans(t) == [("token", 0, len(t))]

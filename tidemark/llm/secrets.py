@@ -27,9 +27,17 @@ RANK = {k: i for i, k in enumerate(KINDS)}
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{8,})\.(e[wy][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]+)-----END \1-----")
-KEY64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{8,})\.(e[wy3][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)+)-----END \1-----", re.S)
+#: A key in base64 starts with M (a SEQUENCE) or b (openssh-key-v1); its lines may end as written or escaped.
+KEY64 = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[rn]))[Mb][A-Za-z0-9+/]{39,}={0,2}")
+LINE_END = re.compile(r"(?:\r?\n|(?:\\+[rn])+)[\x20\t]*")
+ESCAPED = re.compile(r"\\+[rn]")
+OPENSSH64 = "b3BlbnNzaC1rZXktdjEA"
+PADDING = re.compile("={0,2}")
+RUN64 = re.compile(r"[A-Za-z0-9+/]*")
+#: Object identifiers of password-based encryption: PKCS#5 and PKCS#12.
+PBE = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
 KEYHEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{40,}(?![0-9A-Fa-f])")
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 
@@ -61,16 +69,20 @@ def children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
 
 
 def is_der_key(data: bytes) -> bool:
-    """PKCS#1, PKCS#8 or SEC 1 private key: a SEQUENCE that fills the data, a small version INTEGER, then two
-    large INTEGERs, an algorithm SEQUENCE with an OID and an OCTET STRING, or an OCTET STRING of 16 bytes or more."""
+    """PKCS#1, DSA, PKCS#8 or SEC 1 private key: a SEQUENCE that fills the data, a small version INTEGER, then eight
+    or just five INTEGERs, an algorithm SEQUENCE with an OID and an OCTET STRING, or an OCTET STRING of 16 bytes or
+    more. Or an encrypted PKCS#8 key: a SEQUENCE with the OID of a password-based encryption, and an OCTET STRING."""
     top = read_tlv(data, 0, len(data))
     if top is None or top[0] != 0x30 or top[2] != len(data) or not (kids := children(data, *top[1:])) or len(kids) < 2:
         return False
     size = [e - s for _, s, e in kids]
+    if kids[0][0] == 0x30:
+        inner = children(data, *kids[0][1:])
+        return len(kids) == 2 and kids[1][0] == 4 and size[1] >= 16 and bool(inner) and inner[0][0] == 6 and data[slice(*inner[0][1:])].startswith(PBE)
     if kids[0][0] != 2 or size[0] != 1 or data[kids[0][1]] > 1:
         return False
     if kids[1][0] == 2:
-        return len(kids) >= 9 and all(k[0] == 2 for k in kids[:9]) and size[1] >= 16
+        return (len(kids) >= 9 or len(kids) == 6) and all(k[0] == 2 for k in kids[:9]) and size[1] >= 16
     if kids[1][0] == 4:
         return size[1] >= 16
     inner = children(data, *kids[1][1:]) if kids[1][0] == 0x30 else None
@@ -110,6 +122,58 @@ def _b64(text: str, alt: bytes | None = None) -> bytes | None:
         return None
 
 
+def is_encrypted_pem(body: str) -> bool:
+    """Headers of an encrypted PEM block (Proc-Type, DEK-Info) before whole cipher blocks."""
+    if not re.search(r"Proc-Type:\s*4,\s*ENCRYPTED", body) or "DEK-Info:" not in body:
+        return False
+    data = _b64(_pem_text(body))
+    return data is not None and len(data) >= 16 and len(data) % 8 == 0
+
+
+def _pem_text(body: str) -> str:
+    return "".join(x for x in body.split() if ":" not in x and "," not in x)
+
+
+def _der_size(text: str) -> int | None:
+    """Characters of base64, without padding, of the DER element that starts here."""
+    head = _b64(text[:8])
+    if not head or len(head) < 6:
+        return None
+    n, k = head[1], 0
+    if n & 0x80:
+        k = n & 0x7F
+        if not 0 < k <= 4:
+            return None
+        n = int.from_bytes(head[2 : 2 + k], "big")
+    return -(-(2 + k + n) * 8 // 6)
+
+
+def wrapped_key_end(text: str, start: int, end: int) -> int | None:
+    """End of the key in base64 whose first line is start..end and that goes on over line ends, else None. A DER key ends
+    where its length says; another one has lines as wide as its first, and one that may be shorter."""
+    der, width = text[start] == "M", end - start
+    need = _der_size(text[start : start + 8]) if der else None
+    if der and (need is None or need <= width or need > len(text) - start) or not der and not text.startswith(OPENSSH64, start):
+        return None
+    held, size, ends = [text[start:end]], width, [end]
+    while gap := LINE_END.match(text, ends[-1]):
+        line = RUN64.match(text, gap.end())[0]
+        if not line or (not der and len(line) > width):
+            break
+        held.append(line)
+        size += len(line)
+        ends.append(gap.end() + len(line))
+        if size >= need if der else len(line) < width:
+            break
+    if der and size != need:
+        return None
+    # what follows the last whole line of an OpenSSH key may be prose
+    for n in (len(held),) if der else (len(held), len(held) - 1):
+        if n > 1 and (data := _b64("".join(held[:n]))) and is_key(data):
+            return PADDING.match(text, ends[n - 1]).end()
+    return None
+
+
 def _json_object(part: str) -> dict | None:
     try:
         x = json.loads(_b64(part, b"-_") or b"")
@@ -135,11 +199,15 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("token", *m.span()) for m in TOKEN.finditer(text) if is_signed_token(m[1], m[2])] if "." in text and ("ey" in text or "ew" in text) else []
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            body = "".join(x for x in re.split(r"\s+", m[2]) if ":" not in x and "," not in x)
-            if (data := _b64(body)) and is_key(data):
+            body = ESCAPED.sub("\n", m[2])
+            if (data := _b64(_pem_text(body))) and is_key(data) or is_encrypted_pem(body):
                 out.append(("pem", *m.span()))
     for m in KEY64.finditer(text):
-        if m[0][0] in "Mb" and (data := _b64(m[0])) and is_key(data):
+        if (data := _b64(m[0])) and is_key(data) and not (m[0][0] == "b" and LINE_END.match(text, m.end())):
+            out.append(("key64", *m.span()))
+        elif end := wrapped_key_end(text, m.start(), m.end()):
+            out.append(("key64", m.start(), end))
+        elif data and is_key(data):
             out.append(("key64", *m.span()))
     for m in KEYHEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
