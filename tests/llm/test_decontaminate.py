@@ -101,3 +101,21 @@ def test_documents(spark):
     assert exact <= set(pairs)
     assert D.contaminated(spark.createDataFrame([], "doc_id long, text string"), split).count() == 0
     assert D.contaminated(spark.createDataFrame([(1, "a")], "doc_id long, text string"), split.limit(0)).count() == 0
+
+
+def test_scores_do_not_follow_shards_and_null_ids_are_found(spark):
+    items = [(i, " ".join(f"q{i}x{j}" if j % 3 else f"common{j}" for j in range(12 + i % 30)), f"the answer {i} is here now") for i in range(40)] + [(None, "an item that nobody has given an id of its own", "but text it has all the same")]
+    rows = spark.createDataFrame(items, "item_id long, question string, answer string")
+    texts = [f"{q} {a}".encode() for _, q, a in items]
+
+    def found(shard):
+        return {(k, i): score for x in D.indexes(rows, shard=shard) for k, i, score, *_ in x.scan(texts)}
+
+    whole, cut = found(1000), found(3)
+    assert whole.keys() == cut.keys() and (40, None) in whole and len(whole) == 41
+    assert max(len(x.ids) for x in D.indexes(rows, shard=3)) < 40
+    weight = lambda shard: {(i, w): x.impact[x.vocab[w], at] for x in D.indexes(rows, shard=shard) for at, i in enumerate(x.ids) for w in x.vocab}
+    a, b = weight(1000), weight(3)
+    assert all(abs(a[k] - b[k]) < 1e-6 for k in a.keys() & b.keys())
+    docs = spark.createDataFrame([(1, texts[-1].decode()), (2, "nothing")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in D.contaminated(docs, rows).collect()] == [(1, None)]

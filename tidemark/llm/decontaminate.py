@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._tokens import as_bytes, map_slices, sliced, small_batches
+from tidemark.session import materialize
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -63,11 +64,12 @@ def split_item(text: str) -> tuple[str, str]:
 
 
 class BlockMaxIndex:
-    """Items ``(item_id, question, answer)`` of one length class."""
+    """Items ``(item_id, question, answer)`` of one length class. ``whole`` has the number of all items, their mean
+    length and the document frequency of each word here, where there are items beyond these."""
 
-    def __init__(self, items: list[tuple[int, str, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int | None, str, str]], threshold: float = THRESHOLD, whole: tuple[int, float, dict[bytes, int]] | None = None):
         qa = [(i, tokens((q or "").encode()), tokens((a or "").encode())) for i, q, a in items]
-        qa.sort(key=lambda x: (len(x[1]) + len(x[2]), x[0]))
+        qa.sort(key=lambda x: (len(x[1]) + len(x[2]), x[0] is None, x[0] or 0))
         self.threshold = threshold
         self.ids = [i for i, _, _ in qa]
         self.parts = [(shingles(q), shingles(a)) for _, q, a in qa]
@@ -75,9 +77,9 @@ class BlockMaxIndex:
         self.longest = max(sum(b.values()) for b in bags)
         df = Counter(w for b in bags for w in b)
         self.vocab = {w: i for i, w in enumerate(sorted(df))}
-        n, mean = len(bags), sum(sum(b.values()) for b in bags) / len(bags)
-        idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
-        self.impact = np.zeros((len(self.vocab), -(-n // ITEM_BLOCK) * ITEM_BLOCK), np.float32)
+        n, mean, df = whole or (len(bags), sum(sum(b.values()) for b in bags) / len(bags), df)
+        idf = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for w in self.vocab}
+        self.impact = np.zeros((len(self.vocab), -(-len(bags) // ITEM_BLOCK) * ITEM_BLOCK), np.float32)
         for i, bag in enumerate(bags):
             norm = K1 * (1 - B + B * sum(bag.values()) / mean)
             own = {w: idf[w] * f * (K1 + 1) / (f + norm) for w, f in bag.items()}
@@ -163,16 +165,22 @@ def length_class(n):
 
 def indexes(items: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD_ITEMS):
     """Yield an index for each length class and shard of ``items`` (item_id, question, answer); the driver holds one
-    shard at a time. Items without words or id are left out: no passage holds them."""
+    shard at a time, and weights follow all items. Items without words are left out: no passage holds them."""
     size = F.size(F.split(F.concat_ws(" ", "question", "answer"), r"\s+"))
-    some = items.where(F.col("item_id").isNotNull() & F.concat_ws(" ", "question", "answer").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")).withColumn("c", length_class(size))
+    some = items.where(F.concat_ws(" ", "question", "answer").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")).withColumn("c", length_class(size))
+    bag = F.udf(lambda q, a: (lambda w: (len(w), sorted(set(w))))(tokens((q or "").encode()) + tokens((a or "").encode())), "n int, words array<binary>")
+    held = materialize(some.select("item_id", "question", "answer").distinct().withColumn("x", bag("question", "answer")), "items")
+    n_items, mean = held.agg(F.count("*"), F.avg("x.n")).first()
+    df = materialize(held.select(F.explode("x.words").alias("word")).groupBy("word").agg(F.count("*").alias("df")), "item-words")
     for c, n in sorted(map(tuple, some.groupBy("c").count().collect())):
         parts = -(-n // shard)
         own = some.where(F.col("c") == c).withColumn("part", F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(parts)))
         for p in range(parts):
             rows = own.where(F.col("part") == p).select("item_id", "question", "answer").distinct().collect()
             if rows:
-                yield BlockMaxIndex([tuple(r) for r in rows], threshold)
+                here = own.where(F.col("part") == p).select(F.explode(bag("question", "answer")["words"]).alias("word")).distinct()
+                known = {bytes(r.word): r.df for r in df.join(here, "word", "left_semi").collect()}
+                yield BlockMaxIndex([tuple(r) for r in rows], threshold, (n_items, mean, known))
 
 
 def split_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
