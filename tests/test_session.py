@@ -10,3 +10,24 @@ def test_written_tables(spark):
     S.discard(spark, paths)
     assert paths == [] and S.materialize(df.limit(0), "empty").count() == 0
     S.discard(spark, [f"{S.shared_dir(spark)}/tidemark/none"])
+
+
+def test_written_table_leaves_settings_alone(spark):
+    from tidemark.session import SHUFFLE_CLEANUP_KEY, materialize
+
+    before = spark.conf.get(SHUFFLE_CLEANUP_KEY)
+    kept = []
+    assert materialize(spark.range(100).repartition(3, "id"), "t", kept).count() == 100 and len(kept) == 1
+    assert spark.conf.get(SHUFFLE_CLEANUP_KEY) == before
+
+
+def test_shared_folder_must_be_set_off_local():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tidemark.session import shared_dir
+
+    unset = SimpleNamespace(get=lambda key, default=None: default)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: unset)))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_spark(app: str = "tidemark", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -29,11 +31,14 @@ def get_spark(app: str = "tidemark", cores: int | str = "*", shuffle_partitions:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests, a laptop) a temporary
-    local folder is made and put into the session's settings.
+    It is ``spark.checkpoint.dir`` of the session. Only where that is unset on a local master (tests, a laptop) a
+    temporary folder is made and put into the session's settings; executors on other machines could not read it,
+    so any other master without the setting is an error.
     """
     path = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set(CHECKPOINT_KEY, path)
     return path.rstrip("/")
@@ -43,11 +48,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """The session's setting while the block runs, and as it was afterwards."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
 def materialize(df: DataFrame, label: str, keep: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: lineage ends there and a lost executor
-    costs nothing that is already written. ``keep``, if given, collects the path for :func:`discard`."""
+    costs nothing that is already written. The shuffle files of the write go when it is done. ``keep``, if given,
+    collects the path for :func:`discard`."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with setting(df.sparkSession, SHUFFLE_CLEANUP_KEY, "true"):
+        df.write.parquet(path)
     if keep is not None:
         keep.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
