@@ -1,26 +1,21 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-:func:`score_corpus`, the query, scores texts by trigrams of all their words, each n-gram counted however rare it
-is. Every trigram of a text is in the counts, so no word is ever backed off: a word after two others scores
-ln(c(a b c) / c(a b)), a text's second word ln(c(a b) / c(a)), its first ln(c(a) / N). N-grams are keyed by wide
-hashes: a row per trigram of a text holds 64 bits of the pair, 48 of the word after it and 64 of the text, goes to
-the partition of the pair and meets both counts there.
-
-:func:`score_lm` is the bounded model that the statement of :func:`oracle` describes.
-The words of all documents give a vocabulary: each word that makes up at least one in ``VOCABULARY`` of all
-words, so at most that many however large the corpus, and one symbol for the rest. Bigrams of vocabulary ids
-are counted over all documents into a table partitioned by the bigram's hash. The score of a word after
-another is ln(c(a b) / c(a)) if the bigram was counted ``min_count`` times, else ln(0.4 c(b) / N); a document's
-first word scores ln(c(b) / N). A document's sum is that of the backed-off scores, which need unigram counts
-only, plus, for each of its bigrams that the count table holds, the difference to the bigram's own score: the
-document's exploded bigrams are joined to the table on the bigram and summed per document.
+N-grams of one to three words are counted over all words of a corpus, however rare, in a table partitioned by the
+n-gram's hash (:func:`ngram_counts`). :func:`score_with` explodes other texts into words, left-joins each to the
+counts of its n-grams and their contexts, backs off by 0.4 wherever an n-gram was never counted, and sums per
+document.
+
+:func:`score_corpus` scores the corpus by its own counts. Every n-gram of it is counted, so nothing backs off, and
+the denominators of a text cancel the numerators one order below: its log score is the sum of ln c over its
+trigrams, less that of its inner pairs, less ln N. The two sums are two passes of one plan: n-grams of all texts
+go to the partition of their hash, meet their count there, and are summed per text. N-grams that a sample finds
+to be very frequent don't travel: their exact counts, at most ``1 / HEAVY_SHARE`` of each order, are gathered by
+partial sums and broadcast, so no task collects a hot n-gram.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from hashlib import blake2b
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,123 +26,22 @@ from pyspark.sql.window import Window
 from tidemark.llm._tokens import as_bytes, sliced, small_batches, words
 from tidemark.session import materialize
 
-VOCABULARY = 65_535
-BACKOFF, MIN_COUNT = 0.4, 2
-#: Different words a task holds before it hands on its counts.
+BACKOFF = 0.4
+#: An n-gram that makes up so much of the sample's n-grams of its order is counted ahead; at most 1 / share can.
+HEAVY_SHARE = 1 / 65_536
+#: Documents of that sample: those with the smallest hash of the id. It decides which rows travel, not what is counted.
+SAMPLE_DOCS = 4096
+#: Different words a task remembers the hashes of.
 HELD_WORDS = 400_000
-#: In place of a word's hash: the end of a text after its last pair, and a text's first pair, which counts nothing.
-END, START = 0, 1
-
-
-def word_counts(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(word as binary, n) over all texts, or of the words in ``only``, counted within tasks before they are shuffled."""
-
-    def run(batches):
-        held: Counter = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-        for batch in batches:
-            for part in sliced(batch, "t"):
-                for t in as_bytes(part, "t"):
-                    held.update(words(t))
-                if len(held) > HELD_WORDS:
-                    yield flush()
-                    held.clear()
-        yield flush()
-
-    held = small_batches(docs).select(F.col("text").alias("t")).mapInArrow(run, "word binary, n long")
-    if only is not None:
-        held = held.join(only, "word", "left_semi")
-    return held.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[dict[bytes, int], np.ndarray, int]:
-    """(word -> id from 1, counts by id with the rest at 0, number of all words). A word is in if its count times
-    ``size`` reaches the number of all words, which at most ``size`` words can."""
-    counts = materialize(word_counts(docs), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") * size >= total).orderBy("word").toArrow()
-    n = np.array([0, *rows.column("n").to_pylist()], np.int64)
-    n[0] = total - n.sum()
-    return {w: i + 1 for i, w in enumerate(rows.column("word").to_pylist())}, n, total
-
-
-def bigrams(docs: DataFrame, vocab: dict[bytes, int], counts: np.ndarray, total: int, backoff: float = BACKOFF) -> tuple[DataFrame, DataFrame]:
-    """(document rows: id, key, n_words, base; exploded bigrams: id, key, gram, n, one row per document and bigram).
-
-    ``key`` is a hash of the text, so that rows with a repeated id and different texts stay apart.
-    """
-    log = np.log(np.maximum(counts, 1) / max(1, total))
-    sent = docs.sparkSession.sparkContext.broadcast((vocab, log))
-
-    def ids_of(part):
-        vocab, log = sent.value
-        for t in as_bytes(part, "t"):
-            w = words(t)
-            yield np.fromiter(map(vocab.get, w, repeat(0)), np.int64, len(w)), log
-
-    def base(batches):
-        for batch in batches:
-            for part in sliced(batch, "t"):
-                rows = [(len(i), float(log[i].sum()) + (len(i) - 1) * np.log(backoff) if len(i) else 0.0) for i, log in ids_of(part)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], names=["doc_id", "key", "n_words", "base"])
-
-    def grams(batches):
-        for batch in batches:
-            for part in sliced(batch, "t"):
-                own = [i for i, _ in ids_of(part)]
-                size = np.array([max(0, len(i) - 1) for i in own])
-                gram = np.concatenate([np.zeros(0, np.int64), *[(i[:-1] << 16) | i[1:] for i in own]])
-                both = np.sort((np.repeat(np.arange(len(own)), size) << 32) | gram)
-                first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else both
-                at = pa.array(both[first] >> 32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("key").take(at), pa.array(both[first] & 0xFFFFFFFF), pa.array(np.diff(np.r_[first, len(both)]).astype(np.int32))], names=["doc_id", "key", "gram", "n"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    src = small_batches(docs).select("doc_id", F.xxhash64("text").alias("key"), F.col("text").alias("t"))
-    return src.mapInArrow(base, f"doc_id {kind}, key long, n_words long, base double"), src.mapInArrow(grams, f"doc_id {kind}, key long, gram long, n int")
-
-
-def count_table(grams: DataFrame, counts: np.ndarray, total: int, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
-    """(gram, gain): how much better a counted bigram scores than its backed-off word."""
-    spark = grams.sparkSession
-    # one row per vocabulary id, so at most VOCABULARY + 1
-    uni = F.broadcast(spark.createDataFrame(pa.table({"id": np.arange(len(counts)), "c": counts})))
-    both = grams.groupBy("gram").agg(F.sum("n").alias("c2")).where(F.col("c2") >= min_count)
-    both = both.withColumn("a", F.shiftright("gram", 16)).withColumn("b", F.col("gram").bitwiseAND(F.lit(0xFFFF)))
-    both = both.join(uni.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(uni.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
-    gain = F.ln(F.col("c2") / F.col("ca")) - F.ln(F.lit(backoff)) - F.ln(F.col("cb") / F.lit(float(max(1, total))))
-    return both.select("gram", gain.alias("gain"))
-
-
-def score_lm(docs: DataFrame, vocabulary_size: int = VOCABULARY, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
-    """Per input row: doc_id, ``n_words``, ``log_score`` (sum over words), ``mean_score`` (per word), both rounded to six
-    places, as sums of doubles depend on their order.
-
-    Words are as in :func:`words`. Null and empty texts have 0 words, log_score 0 and a null mean_score. Null
-    and repeated ids are kept apart by a hash of the text; a repeated row is counted every time it occurs, and
-    each of its rows gets the same score. Other columns aren't read.
-    """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    vocab, counts, total = vocabulary(docs, vocabulary_size)
-    base, grams = bigrams(docs, vocab, counts, total, backoff)
-    table = materialize(count_table(grams, counts, total, backoff, min_count), "bigrams")
-    # the table side is hashed per partition: it shrinks with the number of shuffle partitions, unlike a broadcast
-    gain = grams.join(table.hint("shuffle_hash"), "gram").groupBy("doc_id", "key").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
-    base = base.alias("b")
-    same = base.groupBy("doc_id", "key").agg(F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("base").alias("base")).alias("s")
-    g = gain.alias("g")
-    on = F.col("s.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("s.key") == F.col("g.key"))
-    log = F.col("base") + F.coalesce(F.col("gain"), F.lit(0.0)) / F.col("copies")
-    out = same.join(g, on, "left").withColumn("log", log)
-    out = out.select("s.doc_id", "n_words", F.round("log", 6).alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("log") / F.col("n_words"), 6)).alias("mean_score"), "copies")
-    return out.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
 
 
 class _Hashes(dict):
-    """48-bit hash of each word, from 2."""
+    """64-bit hash of each word."""
 
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = max(2, int.from_bytes(blake2b(word, digest_size=6).digest(), "little"))
+        import xxhash
+
+        h = self[word] = xxhash.xxh64_intdigest(word, 3)
         return h
 
 
@@ -157,82 +51,216 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def trigrams(src: DataFrame) -> DataFrame:
-    """(pair, word, n, key) of rows (key, t): how often each pair of words of a text has the word after it or ``END``,
-    and the first pair with ``START`` and n = 0. Texts of fewer than two words have no rows."""
+class Grams:
+    """Hashes of the n-grams of a slice of texts; the lowest bit of each is 0."""
+
+    def __init__(self, texts: list[bytes], held: _Hashes):
+        if len(held) > HELD_WORDS:
+            held.clear()
+        split = [words(t) for t in texts]
+        self.size = np.fromiter(map(len, split), np.int64, len(split))
+        n = int(self.size.sum())
+        one = np.fromiter(map(held.__getitem__, chain.from_iterable(split)), np.uint64, n)
+        self.text = np.repeat(np.arange(len(split)), self.size)
+        self.pos = np.arange(n) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        pair = _mix(_mix(one[:-1]) + one[1:]) if n > 1 else one[:0]
+        three = _mix(pair[:-1] + _mix(one[2:])) if n > 2 else one[:0]
+        even = np.uint64(0xFFFFFFFFFFFFFFFE)
+        self.gram = {1: one & even, 2: pair & even, 3: three & even}
+
+    def of(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, text, start) of each n-gram that stands in one text."""
+        gram = self.gram[order]
+        text, pos = self.text[: len(gram)], self.pos[: len(gram)]
+        keep = pos + order <= self.size[text]
+        return gram[keep], text[keep], pos[keep]
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _each_slice(batches, column: str = "t"):
+    held = _Hashes()
+    for batch in batches:
+        for part in sliced(batch, column):
+            yield part, Grams(as_bytes(part, column), held)
 
-    def rows(h):
-        pair = _mix(_mix(h[:-1]) + h[1:])
-        after = np.r_[h[2:], np.uint64(END)]
-        _, at, n = np.unique(_mix(pair + _mix(after)), return_index=True, return_counts=True)
-        return np.r_[pair[:1], pair[at]], np.r_[np.uint64(START), after[at]], np.r_[0, n]
+
+def ngram_counts(docs: DataFrame, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """The count table (order, gram, n) of all texts, partitioned by hash; null texts have no words."""
 
     def run(batches):
-        held = _Hashes()
-        for batch in batches:
-            for part in sliced(batch, "t"):
-                made, keys = [], []
-                for t, key in zip(as_bytes(part, "t"), part.column("key").to_pylist()):
-                    w = words(t)
-                    if len(w) > 1:
-                        made.append(rows(np.fromiter(map(held.__getitem__, w), np.uint64, len(w))))
-                        keys.append(key)
-                    if len(held) > HELD_WORDS:
-                        held.clear()
-                if made:
-                    pair, after, n = (np.concatenate(x) for x in zip(*made))
-                    key = np.repeat(np.array(keys, np.int64), [len(x[0]) for x in made])
-                    yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(after.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(key)], names=["pair", "word", "n", "key"])
-
-    return src.select("key", "t").mapInArrow(run, "pair long, word long, n int, key long")
-
-
-def score_corpus(docs: DataFrame) -> DataFrame:
-    """Columns, roundings and rows as of :func:`score_lm`, by trigrams of all words with nothing left out.
-
-    A text's denominators cancel its numerators one order below, so its score is the sum of ln c(a b c) - ln c(a b)
-    over its trigrams, and ln c of its first pair less ln N; a text of one word scores ln(c(a) / N).
+        for _, grams in _each_slice(batches):
+            for order in orders:
+                gram, n = np.unique(grams.of(order)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), order, np.int32)), _signed(gram), pa.array(n)], names=["order", "gram", "n"])
+
+    rows = small_batches(docs).select(F.col("text").alias("t")).mapInArrow(run, "order int, gram long, n long")
+    return rows.groupBy("order", "gram").agg(F.sum("n").alias("n"))
+
+
+def score_with(docs: DataFrame, counts: DataFrame, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per input row: id, ``n_words``, ``log_score``, ``mean_score`` by the counts of a corpus that need not hold the texts.
+
+    A word scores ln(c(a b c) / c(a b)); where the trigram has no count, ln backoff more than ln(c(b c) / c(b)); where
+    that has none either, ln backoff more than ln(c(c) / N); a word without a count counts ``backoff`` times. Null
+    and empty texts have 0 words, log_score 0 and a null mean_score; repeated rows are scored alike.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    src = small_batches(docs).select("doc_id", F.xxhash64("text").alias("key"), F.col("text").alias("t"))
+    spark = docs.sparkSession
+    counts = materialize(counts, "counts")
+    total = float(counts.where("order = 1").agg(F.sum("n")).first()[0] or 1)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = materialize(base.withColumn("row", F.monotonically_increasing_id()), "rows")
 
-    def sizes(batches):
-        for batch in batches:
-            for part in sliced(batch, "t"):
-                own = [words(t) for t in as_bytes(part, "t")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array([len(w) for w in own], pa.int64()), pa.array([w[0] if len(w) == 1 else None for w in own], pa.binary())], names=["doc_id", "key", "n_words", "word"])
+    def run(batches):
+        for part, grams in _each_slice(batches):
+            n = len(grams.text)
+            gram = lambda order, back: pa.array(np.concatenate([np.zeros(min(n, back), np.int64), grams.gram[order][: max(0, n - back)].view(np.int64)]), mask=grams.pos < back)
+            yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(grams.text)), gram(1, 0), gram(1, 1), gram(2, 1), gram(2, 2), gram(3, 2)], names=["row", "w", "b", "bw", "ab", "abw"])
+
+    # w is the word, b and ab stand before it
+    at = small_batches(rows).select("row", "t").mapInArrow(run, "row long, w long, b long, bw long, ab long, abw long")
+    of = lambda column: (1 if len(column) == 1 else len(column))
+    for column in ("w", "b", "bw", "ab", "abw"):
+        at = at.join(counts.where(F.col("order") == of(column)).select(F.col("gram").alias(column), F.col("n").alias(f"c_{column}")), column, "left")
+    low = F.ln(F.coalesce(F.col("c_w").cast("double"), F.lit(backoff)) / total)
+    pair = F.when(F.col("c_bw").isNotNull(), F.ln(F.col("c_bw") / F.col("c_b"))).when(F.col("bw").isNull(), low).otherwise(np.log(backoff) + low)
+    score = F.when(F.col("c_abw").isNotNull(), F.ln(F.col("c_abw") / F.col("c_ab"))).when(F.col("abw").isNull(), pair).otherwise(np.log(backoff) + pair)
+    found = at.groupBy("row").agg(F.count("*").alias("n_words"), F.sum(score).alias("log"))
+    out = rows.select("row", "doc_id").join(found, "row", "left").withColumn("n_words", F.coalesce("n_words", F.lit(0).cast("long")))
+    return out.select(F.col("doc_id").alias(id_col), "n_words", F.round(F.coalesce("log", F.lit(0.0)), 6).alias("log_score"), F.round(F.col("log") / F.col("n_words"), 6).alias("mean_score"))
+
+
+def frequent(src: DataFrame, share: float = HEAVY_SHARE, sample: int = SAMPLE_DOCS) -> dict[int, np.ndarray]:
+    """Pairs and trigrams (sorted hashes by order) that make up ``share`` of a sample's, which at most 1 / share do."""
+    h = F.xxhash64("doc_id", "key")
+    ids = src.select("doc_id", "key").distinct().orderBy(h, "doc_id", "key").limit(sample)
+    # the sample is bounded, so its ids are broadcast
+    own = src.alias("s").join(F.broadcast(ids).alias("i"), F.col("s.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("s.key") == F.col("i.key")), "left_semi")
+    counts = materialize(ngram_counts(own.select(F.col("t").alias("text")), (2, 3)), "sample-counts")
+    least = {r[0]: r[1] * share for r in counts.groupBy("order").agg(F.sum("n")).collect()}
+    heavy = counts.where(F.col("n") > 1).where(" or ".join(f"(order = {o} and n >= {x})" for o, x in least.items()) or "false").select("order", "gram").collect()
+    return {o: np.sort(np.array([r.gram for r in heavy if r.order == o], np.int64).view(np.uint64)) for o in (2, 3)}
+
+
+def _places(sorted_grams: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Where each n-gram stands among the sorted ones, -1 if it doesn't."""
+    if not len(sorted_grams):
+        return np.full(len(gram), -1)
+    at = np.minimum(np.searchsorted(sorted_grams, gram), len(sorted_grams) - 1)
+    return np.where(sorted_grams[at] == gram, at, -1)
+
+
+def _sizes(src: DataFrame, heavy: dict[int, np.ndarray]) -> DataFrame:
+    """Rows (doc_id, key, n_words, word: the hash of the only word) of each text, and rows (order, gram, n) with
+    each task's counts of the frequent n-grams."""
+    sent = src.sparkSession.sparkContext.broadcast(heavy)
+    names = ["doc_id", "key", "n_words", "word", "order", "gram", "n"]
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    base = materialize(src.mapInArrow(sizes, f"doc_id {kind}, key long, n_words long, word binary"), "documents")
+    def run(batches):
+        heavy = sent.value
+        held = {o: np.zeros(len(g), np.int64) for o, g in heavy.items()}
+        kind = None
+        for part, grams in _each_slice(batches):
+            for o in heavy:
+                at = _places(heavy[o], grams.of(o)[0])
+                held[o] += np.bincount(at[at >= 0], minlength=len(heavy[o]))
+            word = np.zeros(len(grams.size), np.uint64)
+            single = grams.size == 1
+            word[single] = grams.gram[1][single[grams.text]]
+            kind = part.column("doc_id").type
+            none = pa.nulls(len(word), pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(grams.size), pa.array(word.view(np.int64), mask=~single), none.cast(pa.int32()), none, none], names=names)
+        for o, n in held.items() if kind is not None else ():
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([none.cast(kind), none, none, none, pa.array(np.full(len(n), o, np.int32)), _signed(heavy[o]), pa.array(n)], names=names)
+
+    kind = src.schema["doc_id"].dataType.simpleString()
+    return src.mapInArrow(run, f"doc_id {kind}, key long, n_words long, word long, order int, gram long, n long")
+
+
+def _sums(src: DataFrame, order: int, heavy: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(key, copies, log, again) of texts of two words or more: how many rows have the text, the sum over them of the
+    weights of their n-grams times ln c, and how many n-grams occur more than once.
+
+    Trigrams weigh 1. Inner pairs weigh -1, the pair of a text of two words 1, other first and last pairs 0. Each
+    text also has a row of its own, with an odd number in place of a hash, that holds what the frequent n-grams
+    add up to.
+    """
+    sent = src.sparkSession.sparkContext.broadcast((heavy, np.log(np.maximum(counts, 1))))
+
+    def run(batches):
+        heavy, log = sent.value
+        for part, grams in _each_slice(batches):
+            gram, text, pos = grams.of(order)
+            size = grams.size[text]
+            weight = np.ones(len(gram), np.int32) if order == 3 else np.where(size == 2, 1, np.where((pos > 0) & (pos < size - 2), -1, 0)).astype(np.int32)
+            at = _places(heavy, gram)
+            known = at >= 0
+            gain = np.bincount(text[known], log[at[known]] * weight[known], len(grams.size))
+            often = np.bincount(text[known], minlength=len(grams.size))
+            own = np.flatnonzero(grams.size > 1)
+            key = part.column("key").to_numpy()
+            light = ~known
+            gram = np.concatenate([gram[light], _mix(key.view(np.uint64)[own]) | np.uint64(1)])
+            yield pa.RecordBatch.from_arrays(
+                [_signed(gram), pa.array(np.concatenate([key[text[light]], key[own]])), pa.array(np.concatenate([weight[light], often[own].astype(np.int32)])), pa.array(np.concatenate([np.zeros(light.sum()), gain[own]]))],
+                names=["gram", "key", "w", "gain"],
+            )
+
+    rows = src.select("key", "t").mapInArrow(run, "gram long, key long, w int, gain double")
+    c = F.count("*").over(Window.partitionBy("gram"))
+    own = F.col("gram").bitwiseAND(F.lit(1)) == 1
+    rows = rows.select("key", "w", "gain", own.alias("own"), c.alias("c"))
+    log = F.when(F.col("own"), F.col("gain")).otherwise(F.col("w") * F.ln("c"))
+    again = F.when(F.col("own"), F.col("w")).otherwise((F.col("c") > 1).cast("int"))
+    return rows.groupBy("key").agg(F.sum(F.col("own").cast("int")).alias("copies"), F.sum(log).alias("log"), F.sum(again).alias("again"))
+
+
+def score_corpus(docs: DataFrame, share: float = HEAVY_SHARE, sample: int = SAMPLE_DOCS) -> DataFrame:
+    """Per input row: doc_id, ``n_words``, ``log_score`` (sum over words), ``mean_score`` (per word) and ``repeated``, the
+    share of its trigrams that the corpus holds more than once; rounded to six places, as sums of doubles depend on
+    their order.
+
+    Words are as in :func:`words`. A text of one word scores ln(c(a) / N), one of two ln(c(a b) / N). Null and empty
+    texts have 0 words, log_score 0 and a null mean_score; ``repeated`` is null below three words. Null and repeated
+    ids are kept apart by a hash of the text; a repeated row is counted every time it occurs, and each of its rows
+    gets the same score. Other columns aren't read; an empty table gives an empty table.
+    """
+    src = small_batches(docs).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.col("text").alias("t"))
+    heavy = frequent(src, share, sample)
+    sizes = materialize(_sizes(src, heavy), "documents")
+    base = sizes.where("order is null")
     total = float(base.agg(F.sum("n_words")).first()[0] or 1)
-    # a table of its own, so that its size tells whether it can be broadcast
-    single = materialize(base.where("n_words = 1").select("word").distinct(), "singles")
-    one = word_counts(docs, single).select("word", F.ln("n").alias("one"))
-
-    first = F.col("word") == START
-    count = lambda *by: F.sum("n").over(Window.partitionBy(*by))
-    # pairs stay together, so one sort serves both windows
-    grams = trigrams(src).repartition("pair").withColumn("c3", count("pair", "word")).withColumn("c2", count("pair"))
-    gain = F.when(first, F.ln("c2")).when(F.col("word") == END, 0.0).otherwise(F.col("n") * (F.ln("c3") - F.ln("c2")))
-    # rows of equal texts are summed together, and each text has one first pair
-    many = grams.groupBy("key").agg((F.sum(gain) / F.sum(F.when(first, 1).otherwise(0))).alias("many"))
-    log = F.when(F.col("n_words") == 0, 0.0).otherwise(F.coalesce("one", "many") - F.lit(float(np.log(total))))
-    out = base.join(one, "word", "left").join(many, "key", "left").withColumn("log", log)
-    return out.select("doc_id", "n_words", F.round("log", 6).alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("log") / F.col("n_words"), 6)).alias("mean_score"))
+    # at most 1 / share counts of each order
+    known = {(r.order, r.gram): r.n for r in sizes.where("order is not null").groupBy("order", "gram").agg(F.sum("n").alias("n")).collect()}
+    counts = {o: np.array([known.get((o, g), 0) for g in grams.view(np.int64).tolist()], float) for o, grams in heavy.items()}
+
+    three = materialize(_sums(src, 3, heavy[3], counts[3]), "trigrams")
+    two = materialize(_sums(src, 2, heavy[2], counts[2]), "pairs").select("key", F.col("log").alias("log2"))
+    single = materialize(base.where("n_words = 1").select(F.col("word").alias("gram")).distinct(), "singles")
+    one = single.limit(0).select(F.col("gram").alias("word"), F.lit(0.0).alias("one"))
+    if not single.isEmpty():
+        one = materialize(ngram_counts(docs, (1,)).join(single, "gram", "left_semi").select(F.col("gram").alias("word"), F.ln("n").alias("one")), "single-counts")
+
+    per_row = (F.coalesce("log", F.lit(0.0)) + F.coalesce("log2", F.lit(0.0))) / F.col("copies")
+    log = F.when(F.col("n_words") == 0, 0.0).otherwise(F.coalesce("one", per_row) - F.lit(float(np.log(total))))
+    out = base.select("doc_id", "key", "n_words", "word").join(one, "word", "left").join(three.join(two, "key"), "key", "left").withColumn("score", log)
+    repeated = F.when(F.col("n_words") > 2, F.round(F.col("again") / F.col("copies") / (F.col("n_words") - 2), 6))
+    return out.select("doc_id", "n_words", F.round("score", 6).alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("score") / F.col("n_words"), 6)).alias("mean_score"), repeated.alias("repeated"))
 
 
 def oracle() -> str:
     up = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return rf"""
 with d as (select row_number() over () r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{up}', '{up.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
-t as (select r, p, w[p] x from (select r, w, unnest(range(1, len(w) + 1)) p from d)),
+t as (select r, p, w[p] x, case when p > 1 then w[p - 1] end b, case when p > 2 then w[p - 2] end a from (select r, w, unnest(range(1, len(w) + 1)) p from d)),
 n as (select count(*) n from t),
-c as (select x, count(*) c from t group by x),
-v as (select x, c from c, n where c * {VOCABULARY} >= n),
-i as (select r, p, coalesce(v.x, '') x from t left join v using (x)),
-u as (select x, count(*) c from i group by x),
-b as (select r, p, x, lag(x) over (partition by r order by p) a from i),
-g as (select a, x, count(*) c2 from b where a is not null group by a, x having count(*) >= {MIN_COUNT}),
-s as (select b.r, case when b.a is null then ln(u.c / n.n) when g.c2 is not null then ln(g.c2 / ua.c) else ln({BACKOFF} * u.c / n.n) end s from b join u using (x) left join u ua on ua.x = b.a left join g on g.a = b.a and g.x = b.x, n),
-z as (select r, sum(s) s from s group by r)
-select doc_id, len(w)::bigint n_words, coalesce(round(s, 6), 0.0) log_score, case when len(w) > 0 then round(s / len(w), 6) end mean_score from d left join z using (r)"""
+c1 as (select x, count(*) c from t group by x),
+c2 as (select b, x, count(*) c from t where p > 1 group by b, x),
+c3 as (select a, b, x, count(*) c from t where p > 2 group by a, b, x),
+s as (select r, p, case when p = 1 then ln(c1.c / n.n) when p = 2 then ln(c2.c / cb.c) else ln(c3.c / cab.c) end s, c3.c > 1 again
+  from t join c1 using (x) left join c2 on c2.b = t.b and c2.x = t.x left join c1 cb on cb.x = t.b left join c2 cab on cab.b = t.a and cab.x = t.b left join c3 on c3.a = t.a and c3.b = t.b and c3.x = t.x, n),
+z as (select r, sum(s) s, avg(again::int) filter (p > 2) again from s group by r)
+select doc_id, len(w)::bigint n_words, coalesce(round(s, 6), 0.0) log_score, case when len(w) > 0 then round(s / len(w), 6) end mean_score, round(again, 6) repeated from d left join z using (r)"""
