@@ -1,16 +1,13 @@
 """Language identification by a bidirectional gated recurrent network over bytes, written and trained in numpy.
 
-A sequence is a word: a run of ASCII letters and non-ASCII bytes, A-Z lower-cased, cut at ``LONGEST`` bytes. The
-network reads its bytes in both directions and gives every position a probability for each language. A
-document's probabilities are the mean over all positions of all its words. Because a sequence ends where its
-word ends, equal words have equal positions, so each word is run once a task and weighted by its count; the
-result is that of running every occurrence.
+A document is its UTF-8 bytes, A-Z lower-cased. The network reads them in both directions and gives every position
+a probability for each language; the document's probabilities are the mean over its positions that belong to
+letters (a-z and bytes from 128). Long sequences are read in windows of ``WINDOW`` positions, each with up to
+``CONTEXT`` bytes of the text before and after it, over which the states settle; every position is labelled once.
 """
 
 from __future__ import annotations
 
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,18 +17,17 @@ from pyspark.sql.window import Window
 from tidemark.llm._tokens import as_bytes, sliced, small_batches
 from tidemark.llm.quality import crc_of
 
-#: Documents of a language the network is fitted on, and words of each of them, both by smallest hash.
-DOCS_PER_LANG, WORDS_PER_DOC = 300, 96
-HIDDEN, LONGEST = 16, 32
-#: Words a task remembers before it starts afresh; the result doesn't depend on it.
-REMEMBERED = 1_000_000
+#: Documents of a language the network is fitted on, by smallest hash of the id, and sequences of each language
+#: drawn, by smallest hash, from anywhere in their whole texts.
+DOCS_PER_LANG, ROWS_PER_LANG = 300, 3000
+#: Bytes of a sequence it is fitted on.
+LENGTH = 64
+HIDDEN, WINDOW, CONTEXT = 8, 256, 16
+#: Windows that are run at a time.
+BLOCK = 512
 UNKNOWN = "und"
 
-_BREAKS = bytes(i if 97 <= i < 123 or i >= 128 else 32 for i in range(256))
-
-
-def words(data: bytes) -> list[bytes]:
-    return data.lower().translate(_BREAKS).split()
+_LETTER = np.array([97 <= i < 123 or i >= 128 for i in range(256)])
 
 
 def _sigmoid(x):
@@ -60,10 +56,11 @@ class BiGRU:
         h, (rows, length) = self.h, seq.shape
         table, u = self.p["x" + d], self.p["u" + d]
         uzr, un = np.ascontiguousarray(u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
+        by_step = np.ascontiguousarray(seq.T)
         out = np.empty((length, rows, h), np.float32)
         s = np.zeros((rows, h), np.float32)
         for t in range(length) if d == "f" else range(length - 1, -1, -1):
-            a = table[seq[:, t]]
+            a = table.take(by_step[t], axis=0)
             zr = s @ uzr
             zr += a[:, : 2 * h]
             zr = _sigmoid(zr)
@@ -77,11 +74,12 @@ class BiGRU:
             s = np.add(n, z * (s - n), out=out[t])
         return out
 
-    def positions(self, seq: np.ndarray) -> np.ndarray:
-        """Probabilities (length, rows, classes) of equally long byte sequences (rows, length)."""
+    def positions(self, seq: np.ndarray, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Probabilities (length, rows, classes) of equally long byte sequences (rows, length), or of their positions
+        from ``start`` to ``stop``."""
         o = self.p["o"]
-        y = self._pass(seq, "f") @ o[: self.h]
-        y += self._pass(seq, "b") @ o[self.h :]
+        y = self._pass(seq, "f")[start:stop] @ o[: self.h]
+        y += self._pass(seq, "b")[start:stop] @ o[self.h :]
         y += self.p["c"]
         y -= y.max(axis=2, keepdims=True)
         np.exp(y, out=y)
@@ -104,9 +102,11 @@ class BiGRU:
         y /= rows * length
         g = {"o": np.tensordot(both, y, axes=([0, 1], [0, 1])), "c": y.sum(axis=(0, 1))}
         dstate = y @ self.p["o"].T
+        bytes_of = np.ascontiguousarray(seq.T).ravel()
         for i, d in enumerate("fb"):
             u = self.p["u" + d]
-            g["x" + d], g["u" + d] = np.zeros_like(self.p["x" + d]), np.zeros_like(u)
+            g["u" + d] = np.zeros_like(u)
+            into = np.empty((length, rows, 3 * h), np.float32)
             back = np.zeros((rows, h), np.float32)
             for t, s, z, r, rs, n in reversed(kept[d]):
                 ds = back + dstate[t, :, i * h : (i + 1) * h]
@@ -114,23 +114,26 @@ class BiGRU:
                 dz = ds * (s - n) * z * (1 - z)
                 drs = dn @ u[:, 2 * h :].T
                 dr = drs * s * r * (1 - r)
-                da = np.concatenate([dz, dr, dn], axis=1)
+                da = np.concatenate([dz, dr, dn], axis=1, out=into[t])
                 back = ds * z + drs * r + da[:, : 2 * h] @ u[:, : 2 * h].T
                 g["u" + d][:, : 2 * h] += s.T @ da[:, : 2 * h]
                 g["u" + d][:, 2 * h :] += rs.T @ dn
-                np.add.at(g["x" + d], seq[:, t], da)
+            flat = into.reshape(-1, 3 * h)
+            g["x" + d] = np.stack([np.bincount(bytes_of, flat[:, j], 256) for j in range(3 * h)], axis=1).astype(np.float32)
         return loss, g
 
-    def fit(self, sequences: list[bytes], labels: np.ndarray, steps: int = 900, batch: int = 256, rate: float = 0.01, seed: int = 13) -> BiGRU:
-        """Adam over batches of equally long sequences."""
+    def fit(self, sequences: list[bytes], labels: np.ndarray, steps: int = 240, batch: int = 192, rate: float = 0.02, seed: int = 13) -> BiGRU:
+        """Adam over batches of equally long sequences, each language drawn as often."""
         rng = np.random.default_rng(seed)
         length = np.array([len(s) for s in sequences])
         by = {n: np.flatnonzero(length == n) for n in np.unique(length)}
-        sizes = np.array([len(by[n]) for n in by], float)
+        share = 1 / np.bincount(labels)[labels]
+        sizes = np.array([share[by[n]].sum() for n in by], float)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         for step in range(1, steps + 1):
-            own = rng.choice(by[rng.choice(list(by), p=sizes / sizes.sum())], batch)
+            some = by[rng.choice(list(by), p=sizes / sizes.sum())]
+            own = rng.choice(some, batch, p=share[some] / share[some].sum())
             seq = np.frombuffer(b"".join(sequences[i] for i in own), np.uint8).reshape(batch, -1)
             _, g = self.gradient(seq, labels[own])
             now = rate * min(1, 3 * (1 - step / (steps + 1)))
@@ -142,49 +145,37 @@ class BiGRU:
 
 
 class Reader:
-    """Scores documents; remembers the position sums of words."""
-
-    def __init__(self, net: BiGRU, langs: list[str]):
-        self.net, self.langs = net, langs
-        self.reset()
-
-    def reset(self) -> None:
-        from collections import defaultdict
-
-        self.seen = defaultdict(count().__next__)
-        self.sums = np.zeros((0, len(self.langs)), np.float32)
-        self.size = np.zeros(0, np.int64)
-
-    def _learn(self) -> None:
-        """Run the words that came in since the last time."""
-        new = list(self.seen)[len(self.size) :]
-        cut = [w[i : i + LONGEST] for w in new for i in range(0, len(w), LONGEST)]
-        origin = np.repeat(np.arange(len(new)), [-(-len(w) // LONGEST) for w in new])
-        length = np.fromiter(map(len, cut), np.int64, len(cut))
-        sums = np.zeros((len(new), len(self.langs)), np.float32)
-        for n in np.unique(length):
-            at = np.flatnonzero(length == n)
-            seq = np.frombuffer(b"".join([cut[i] for i in at]), np.uint8).reshape(-1, n)
-            step = max(256, 32768 // int(n))
-            for lo in range(0, len(at), step):
-                np.add.at(sums, origin[at[lo : lo + step]], self.net.positions(seq[lo : lo + step]).sum(axis=0))
-        self.sums = np.concatenate([self.sums, sums])
-        self.size = np.concatenate([self.size, np.fromiter(map(len, new), np.int64, len(new))])
+    """Scores documents."""
+
+    def __init__(self, net: BiGRU, langs: list[str], window: int = WINDOW, context: int = CONTEXT):
+        self.net, self.langs, self.window, self.context = net, langs, window, context
+
+    def pooled(self, texts: list[bytes]) -> np.ndarray:
+        """(texts, languages): sums of probabilities over each text's letter positions."""
+        w, c = self.window, self.context
+        count = np.array([-(-len(t) // w) for t in texts], np.int64)
+        # before, between and after texts the network reads zeros, which it is also fitted with
+        held = np.frombuffer(b"".join(part for t, n in zip(texts, count) for part in (bytes(c), t.lower(), bytes(int(n) * w - len(t) + c))), np.uint8)
+        origin = np.cumsum(count * w + 2 * c) - (count * w + 2 * c)
+        text = np.repeat(np.arange(len(texts)), count)
+        start = origin[text] + (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * w
+        sums = np.zeros((len(texts), len(self.langs)))
+        for lo in range(0, len(text), BLOCK):
+            seq = held[start[lo : lo + BLOCK, None] + np.arange(w + 2 * c)]
+            p = self.net.positions(seq, c, c + w)
+            np.add.at(sums, text[lo : lo + BLOCK], np.einsum("trk,rt->rk", p, _LETTER[seq[:, c : c + w]].astype(np.float32)))
+        return sums
 
     def read(self, texts: list[bytes]) -> list[tuple[str, float]]:
-        if len(self.seen) > REMEMBERED:
-            self.reset()
-        split = [words(t) for t in texts]
-        ids = [np.fromiter(map(self.seen.__getitem__, w), np.int64, len(w)) for w in split]
-        self._learn()
+        if not self.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
         out = []
-        for text, own in zip(texts, ids):
-            if not len(own) or not self.langs or not self._lettered(text):
+        for text, sums in zip(texts, self.pooled(texts)):
+            if not self._lettered(text):
                 out.append((UNKNOWN, 0.0))
                 continue
-            p = self.sums[own].sum(axis=0, dtype=np.float64) / self.size[own].sum()
-            best = int(p.argmax())
-            out.append((self.langs[best], float(min(1.0, p[best]))))
+            best = int(sums.argmax())
+            out.append((self.langs[best], float(min(1.0, sums[best] / sums.sum()))))
         return out
 
     @staticmethod
@@ -193,31 +184,50 @@ class Reader:
         return bool(plain) or any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
-def fit_langid(docs: DataFrame, per_lang: int = DOCS_PER_LANG, per_doc: int = WORDS_PER_DOC) -> tuple[BiGRU, list[str]]:
-    """Fit on words of at most ``per_lang`` documents of each language whose crc32(doc_id) mod 3 is not 1. The documents
-    are ranked by a hash of the id without reading texts, and each gives at most ``per_doc`` different words."""
-    import zlib
+def training_ids(docs: DataFrame, per_lang: int) -> DataFrame:
+    """(doc_id, lang): at most ``per_lang`` ids of each language, however often their rows repeat.
 
+    A language's ids are first thinned by their hash to about four times that many, told by a sketch of their number,
+    so that the window over a language ranks few rows.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(crc_of(F.col("doc_id")), F.lit(3)) != 1))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang", rank.alias("rank")).where(F.col("rank") <= per_lang).select("doc_id", "lang").distinct()
+    usable = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    ids = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids"))
+    # one row a language
+    near = usable.join(F.broadcast(ids), "lang").where(F.pmod("h", F.lit(1 << 20)) * F.col("ids") <= F.lit(4 * per_lang * (1 << 20)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    return near.select("doc_id", "lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id", "lang")
+
+
+def fit_langid(docs: DataFrame, per_lang: int = DOCS_PER_LANG, rows: int = ROWS_PER_LANG) -> tuple[BiGRU, list[str]]:
+    """Fit on at most ``per_lang`` documents of each language whose crc32(doc_id) mod 3 is not 1, one text each (of
+    several, that with the smallest hash). Their whole texts are cut into sequences of ``LENGTH`` bytes, of which the
+    ``rows`` of each language with the smallest hash are drawn; sequences without a letter are left out."""
+    import zlib
+
+    chosen = training_ids(docs, per_lang)
+    # at most per_lang ids of each language are broadcast; a repeated id's rows are reduced to one before they are shuffled
+    texts = docs.select("doc_id", "lang", F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("t")).alias("x")).join(F.broadcast(chosen), ["doc_id", "lang"])
+    texts = texts.groupBy("doc_id", "lang").agg(F.min("x").alias("x")).select("lang", F.col("x.t").alias("t"))
 
     def run(batches):
         for batch in batches:
             for part in sliced(batch, "t"):
-                picked = [b" ".join(sorted({w[:LONGEST] for w in words(t)}, key=lambda w: (zlib.crc32(w), w))[:per_doc]) for t in as_bytes(part, "t")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(picked, pa.binary())], names=["doc_id", "lang", "w"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    bound = per_lang * max(1, chosen.select("lang").distinct().count())
-    # at most per_lang ids of each language are broadcast
-    texts = docs.select("doc_id", "lang", F.col("text").alias("t")).join(F.broadcast(chosen), ["doc_id", "lang"])
-    rows = small_batches(texts).mapInArrow(run, f"doc_id {kind}, lang string, w binary").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "w").limit(bound).collect()
-    pairs = [(w, r.lang) for r in rows for w in bytes(r.w).split()]
-    langs = sorted({x for _, x in pairs})
+                for t, lang in zip(as_bytes(part, "t"), part.column("lang").to_pylist()):
+                    low = t.lower()
+                    cut = [low[i : i + LENGTH].ljust(LENGTH, b"\0") for i in range(0, len(low), LENGTH)]
+                    cut = [s for s in cut if _LETTER[np.frombuffer(s, np.uint8)].any()]
+                    if cut:
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cut)), pa.array([zlib.crc32(s) for s in cut], pa.int64()), pa.array(cut, pa.binary())], names=["lang", "c", "s"])
+
+    cut = small_batches(texts).mapInArrow(run, "lang string, c long, s binary")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("c", "s"))
+    # at most ``rows`` sequences of LENGTH bytes a language reach the driver
+    drawn = cut.distinct().withColumn("rank", rank).where(F.col("rank") <= rows).orderBy("lang", "rank").collect()
+    langs = sorted({r.lang for r in drawn})
     net = BiGRU(max(1, len(langs)))
-    if pairs:
-        net.fit([w for w, _ in pairs], np.array([langs.index(x) for _, x in pairs]))
+    if drawn:
+        net.fit([bytes(r.s) for r in drawn], np.array([langs.index(r.lang) for r in drawn]))
     return net, langs
 
 

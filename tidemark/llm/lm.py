@@ -15,15 +15,14 @@ partial sums and broadcast, so no task collects a hot n-gram.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._tokens import as_bytes, sliced, small_batches, words
+from tidemark.llm._tokens import sliced, small_batches
 from tidemark.session import materialize
 
 BACKOFF = 0.4
@@ -31,18 +30,8 @@ BACKOFF = 0.4
 HEAVY_SHARE = 1 / 65_536
 #: Documents of that sample: those with the smallest hash of the id. It decides which rows travel, not what is counted.
 SAMPLE_DOCS = 4096
-#: Different words a task remembers the hashes of.
-HELD_WORDS = 400_000
-
-
-class _Hashes(dict):
-    """64-bit hash of each word."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = self[word] = xxhash.xxh64_intdigest(word, 3)
-        return h
+#: Bytes whose words are hashed at a time.
+CHUNK = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,17 +40,69 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Each byte's term of a word's hash: A-Z as a-z, and none zero.
+_TERM = np.array([i + 33 if 65 <= i <= 90 else i + 1 for i in range(256)], np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+
+
+class _Powers:
+    """Powers of the base modulo 2**64 and of its inverse, for positions of a run of bytes."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(0, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            made = lambda x: np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)], dtype=np.uint64)
+            self.up, self.down = made(_BASE), made(pow(_BASE, -1, 1 << 64))
+        return self.up, self.down
+
+
+_POWERS = _Powers()
+
+
+def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word in order, number of words of each text). Words are as in
+    :func:`tidemark.llm._tokens.words`; null is empty.
+
+    A word's hash is its bytes' polynomial at a fixed odd base modulo 2**64, mixed with its length. It is taken
+    from running sums over the texts' bytes, so no word becomes a Python object.
+    """
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    space = _SPACE[data]
+    inside = ~space
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= space[:-1]
+    last[:-1] &= space[1:]
+    cut = at[(at > 0) & (at < len(data))]
+    first[cut], last[cut - 1] = inside[cut], inside[cut - 1]
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    out = np.zeros(len(first), np.uint64)
+    lo = 0
+    while lo < len(first):
+        # whole words of about CHUNK bytes
+        hi = max(lo + 1, int(np.searchsorted(last, first[lo] + CHUNK)))
+        start, stop = first[lo], last[hi - 1] + 1
+        up, down = _POWERS.of(max(CHUNK, int(stop - start)))
+        total = np.zeros(stop - start + 1, np.uint64)
+        np.cumsum(_TERM[data[start:stop]] * up[: stop - start], out=total[1:])
+        a, b = first[lo:hi] - start, last[lo:hi] - start + 1
+        out[lo:hi] = _mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+        lo = hi
+    return out, np.diff(np.searchsorted(first, at))
+
+
 class Grams:
     """Hashes of the n-grams of a slice of texts; the lowest bit of each is 0."""
 
-    def __init__(self, texts: list[bytes], held: _Hashes):
-        if len(held) > HELD_WORDS:
-            held.clear()
-        split = [words(t) for t in texts]
-        self.size = np.fromiter(map(len, split), np.int64, len(split))
-        n = int(self.size.sum())
-        one = np.fromiter(map(held.__getitem__, chain.from_iterable(split)), np.uint64, n)
-        self.text = np.repeat(np.arange(len(split)), self.size)
+    def __init__(self, column: pa.Array):
+        one, self.size = hashed_words(column)
+        n = len(one)
+        self.text = np.repeat(np.arange(len(self.size)), self.size)
         self.pos = np.arange(n) - np.repeat(np.cumsum(self.size) - self.size, self.size)
         pair = _mix(_mix(one[:-1]) + one[1:]) if n > 1 else one[:0]
         three = _mix(pair[:-1] + _mix(one[2:])) if n > 2 else one[:0]
@@ -81,10 +122,9 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _each_slice(batches, column: str = "t"):
-    held = _Hashes()
     for batch in batches:
         for part in sliced(batch, column):
-            yield part, Grams(as_bytes(part, column), held)
+            yield part, Grams(part.column(column))
 
 
 def ngram_counts(docs: DataFrame, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -144,12 +184,22 @@ def frequent(src: DataFrame, share: float = HEAVY_SHARE, sample: int = SAMPLE_DO
     return {o: np.sort(np.array([r.gram for r in heavy if r.order == o], np.int64).view(np.uint64)) for o in (2, 3)}
 
 
-def _places(sorted_grams: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    """Where each n-gram stands among the sorted ones, -1 if it doesn't."""
-    if not len(sorted_grams):
-        return np.full(len(gram), -1)
-    at = np.minimum(np.searchsorted(sorted_grams, gram), len(sorted_grams) - 1)
-    return np.where(sorted_grams[at] == gram, at, -1)
+class Lookup:
+    """Where n-grams stand among some sorted ones; a table of their highest 20 bits answers most that don't."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams = grams
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(grams >> np.uint64(44)).astype(np.int64)] = True
+
+    def __call__(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(indices of the n-grams that stand there, their places)."""
+        at = np.flatnonzero(self.seen[(gram >> np.uint64(44)).view(np.int64)])
+        if not len(self.grams):
+            return at[:0], at[:0]
+        place = np.minimum(np.searchsorted(self.grams, gram[at]), len(self.grams) - 1)
+        found = self.grams[place] == gram[at]
+        return at[found], place[found]
 
 
 def _sizes(src: DataFrame, heavy: dict[int, np.ndarray]) -> DataFrame:
@@ -160,12 +210,12 @@ def _sizes(src: DataFrame, heavy: dict[int, np.ndarray]) -> DataFrame:
 
     def run(batches):
         heavy = sent.value
+        find = {o: Lookup(g) for o, g in heavy.items()}
         held = {o: np.zeros(len(g), np.int64) for o, g in heavy.items()}
         kind = None
         for part, grams in _each_slice(batches):
             for o in heavy:
-                at = _places(heavy[o], grams.of(o)[0])
-                held[o] += np.bincount(at[at >= 0], minlength=len(heavy[o]))
+                held[o] += np.bincount(find[o](grams.of(o)[0])[1], minlength=len(heavy[o]))
             word = np.zeros(len(grams.size), np.uint64)
             single = grams.size == 1
             word[single] = grams.gram[1][single[grams.text]]
@@ -192,17 +242,18 @@ def _sums(src: DataFrame, order: int, heavy: np.ndarray, counts: np.ndarray) ->
 
     def run(batches):
         heavy, log = sent.value
+        find = Lookup(heavy)
         for part, grams in _each_slice(batches):
             gram, text, pos = grams.of(order)
             size = grams.size[text]
             weight = np.ones(len(gram), np.int32) if order == 3 else np.where(size == 2, 1, np.where((pos > 0) & (pos < size - 2), -1, 0)).astype(np.int32)
-            at = _places(heavy, gram)
-            known = at >= 0
-            gain = np.bincount(text[known], log[at[known]] * weight[known], len(grams.size))
+            known, at = find(gram)
+            gain = np.bincount(text[known], log[at] * weight[known], len(grams.size))
             often = np.bincount(text[known], minlength=len(grams.size))
             own = np.flatnonzero(grams.size > 1)
             key = part.column("key").to_numpy()
-            light = ~known
+            light = np.ones(len(gram), bool)
+            light[known] = False
             gram = np.concatenate([gram[light], _mix(key.view(np.uint64)[own]) | np.uint64(1)])
             yield pa.RecordBatch.from_arrays(
                 [_signed(gram), pa.array(np.concatenate([key[text[light]], key[own]])), pa.array(np.concatenate([weight[light], often[own].astype(np.int32)])), pa.array(np.concatenate([np.zeros(light.sum()), gain[own]]))],
@@ -223,7 +274,7 @@ def score_corpus(docs: DataFrame, share: float = HEAVY_SHARE, sample: int = SAMP
     share of its trigrams that the corpus holds more than once; rounded to six places, as sums of doubles depend on
     their order.
 
-    Words are as in :func:`words`. A text of one word scores ln(c(a) / N), one of two ln(c(a b) / N). Null and empty
+    Words are as in :func:`tidemark.llm._tokens.words`. A text of one word scores ln(c(a) / N), one of two ln(c(a b) / N). Null and empty
     texts have 0 words, log_score 0 and a null mean_score; ``repeated`` is null below three words. Null and repeated
     ids are kept apart by a hash of the text; a repeated row is counted every time it occurs, and each of its rows
     gets the same score. Other columns aren't read; an empty table gives an empty table.
