@@ -49,6 +49,8 @@ class BiGRU:
         for d in "fb":
             self.p["x" + d] = f(256, 3 * hidden, scale=0.3)
             self.p["u" + d] = f(hidden, 3 * hidden, scale=hidden**-0.5)
+            # byte 0 stands before and after a text: both gates shut and the candidate is 0, so the state is 0 there
+            self.p["x" + d][0] = [-30.0] * (2 * hidden) + [0.0] * hidden
         self.p["o"], self.p["c"] = f(2 * hidden, classes, scale=hidden**-0.5), np.zeros(classes, np.float32)
 
     def _pass(self, seq: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
@@ -87,7 +89,7 @@ class BiGRU:
         return y
 
     def gradient(self, seq: np.ndarray, label: np.ndarray) -> tuple[float, dict]:
-        """Mean cross entropy over all positions and its gradient, by backpropagation through time."""
+        """Mean cross entropy over all positions but those of byte 0, and its gradient, by backpropagation through time."""
         h, (rows, length) = self.h, seq.shape
         kept, states = {"f": [], "b": []}, {}
         for d in "fb":
@@ -97,9 +99,10 @@ class BiGRU:
         y -= y.max(axis=2, keepdims=True)
         y = np.exp(y)
         y /= y.sum(axis=2, keepdims=True)
-        loss = float(-np.log(np.maximum(y[:, np.arange(rows), label], 1e-12)).mean())
+        there = (seq.T != 0) / max(1, np.count_nonzero(seq))
+        loss = float(-(np.log(np.maximum(y[:, np.arange(rows), label], 1e-12)) * there).sum())
         y[:, np.arange(rows), label] -= 1
-        y /= rows * length
+        y = (y * there[:, :, None]).astype(np.float32)
         g = {"o": np.tensordot(both, y, axes=([0, 1], [0, 1])), "c": y.sum(axis=(0, 1))}
         dstate = y @ self.p["o"].T
         bytes_of = np.ascontiguousarray(seq.T).ravel()
@@ -120,6 +123,7 @@ class BiGRU:
                 g["u" + d][:, 2 * h :] += rs.T @ dn
             flat = into.reshape(-1, 3 * h)
             g["x" + d] = np.stack([np.bincount(bytes_of, flat[:, j], 256) for j in range(3 * h)], axis=1).astype(np.float32)
+            g["x" + d][0] = 0
         return loss, g
 
     def fit(self, sequences: list[bytes], labels: np.ndarray, steps: int = 240, batch: int = 192, rate: float = 0.02, seed: int = 13) -> BiGRU:
@@ -154,7 +158,7 @@ class Reader:
         """(texts, languages): sums of probabilities over each text's letter positions."""
         w, c = self.window, self.context
         count = np.array([-(-len(t) // w) for t in texts], np.int64)
-        # before, between and after texts the network reads zeros, which it is also fitted with
+        # before, between and after texts stand zeros
         held = np.frombuffer(b"".join(part for t, n in zip(texts, count) for part in (bytes(c), t.lower(), bytes(int(n) * w - len(t) + c))), np.uint8)
         origin = np.cumsum(count * w + 2 * c) - (count * w + 2 * c)
         text = np.repeat(np.arange(len(texts)), count)

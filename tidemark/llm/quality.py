@@ -139,7 +139,8 @@ def crc_of(column):
 
 def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
     """Fit on at most ``train_rows`` documents whose crc32(doc_id) mod 5 is not 0 and whose quality is 0 or 1. The ids
-    are chosen before any text is read; contradicting labels of an id are all used."""
+    are chosen before any text is read; contradicting labels of an id are all used. An id counts once for each of
+    its labels, however often its rows or its labels repeat: of several texts, that with the smallest hash."""
     h = F.xxhash64("doc_id")
     chosen = labels.where((F.pmod(crc_of(F.col("doc_id")), F.lit(5)) != 0) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct().orderBy(h, "doc_id", "quality").limit(train_rows)
 
@@ -152,7 +153,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     # at most train_rows ids are broadcast
-    texts = docs.select("doc_id", F.col("text").alias("t"), F.col("n_chars").cast("long").alias("n")).join(F.broadcast(chosen), "doc_id")
+    x = F.struct(F.xxhash64("text").alias("h"), F.col("n_chars").cast("long").alias("n"), F.col("text").alias("t"))
+    texts = docs.select("doc_id", x.alias("x")).join(F.broadcast(chosen), "doc_id")
+    # a repeated id's rows are reduced to one within each task before they are shuffled
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).select("doc_id", "quality", "x.t", "x.n")
     rows = small_batches(texts).select("doc_id", "quality", "t", "n").mapInArrow(run, f"doc_id {kind}, quality int, ids array<long>, value array<double>, stats array<double>")
     rows = rows.orderBy(h, "doc_id", "quality", "stats").limit(train_rows).toArrow()
     return train(list(zip(*[_lists(rows.column(c), t) for c, t in (("ids", np.int64), ("value", float), ("stats", float))])), rows.column("quality").to_pylist())
