@@ -55,3 +55,12 @@ def test_wrap():
     w = X.fixed_width(1.0)
     assert X.wrap("aa bb cc", w, 5) == ["aa bb", "cc"] and X.wrap("abcdefgh", w, 3) == ["abc", "def", "gh"] and X.wrap("", w, 3) == [] and X.wrap("aaaaaa b", w, 4) == ["aaaa", "aa", "b"]
     assert X.wrap("abc", w, 0.5) == ["a", "b", "c"]
+
+
+def test_numbers_longer_than_the_group_names():
+    assert X.read_sino(10**16 - 1).startswith("구천구백구십구조") and X.read_sino(10**16) == "일" + "영" * 16 and X.read_numbers(f"{10**16 + 5}마리") == "일" + "영" * 15 + "오 마리"
+
+
+@pytest.mark.parametrize("src, want", [("3.5개", "삼 점 오개"), ("3gb", "삼gb"), ("5 kg", "오 킬로그램"), ("1.2.3kg", "일 점 이.삼 킬로그램"), ("3.kg", "삼. 킬로그램"), ("12번지", "십이번지"), ("a  b", "a b")])
+def test_what_follows_a_number(src, want):
+    assert X.read_numbers(src) == want

@@ -69,48 +69,59 @@ def relink(tracks: DataFrame, taus: list[float]) -> DataFrame:
     return each.groupBy("video_id", "tau").applyInPandas(run, f"video_id {kind}, tau double, track_id long, cluster long, sim double, auto boolean")
 
 
-def _top_two(a: np.ndarray, b: np.ndarray) -> float:
-    """Mean of the two highest products between rows, or the one there is; -1 without rows."""
-    s = np.sort((a @ b.T).ravel())
-    return float(s[-2:].mean()) if len(s) else -1.0
+def _sharing(frames: list) -> np.ndarray:
+    """Matrix of which tracks have a frame in common; a null list has none."""
+    lists = [np.asarray(f if f is not None else [], np.int64) for f in frames]
+    _, at = np.unique(np.concatenate(lists), return_inverse=True)
+    there = np.zeros((len(lists), int(at.max(initial=-1)) + 1), np.float32)
+    there[np.repeat(np.arange(len(lists)), [len(x) for x in lists]), at] = 1
+    return there @ there.T > 0
+
+
+def _nearness(own: np.ndarray, vectors: list[np.ndarray], many: bool) -> np.ndarray:
+    """(tracks, steps): how near each track is to what the first 1, 2, ... tracks of ``own`` make up together.
+
+    With one vector a track that is the cosine with the sum of their vectors; with many, the mean of the two
+    highest products with any of their samples.
+    """
+    if not many:
+        total = np.cumsum([vectors[i] for i in own], axis=0)
+        return np.array(vectors) @ (total / (np.linalg.norm(total, axis=1, keepdims=True) + EPS)).T
+    out = np.empty((len(vectors), len(own)))
+    for i, v in enumerate(vectors):
+        best = np.full(2, -np.inf)
+        for k, j in enumerate(own):
+            best = np.sort(np.r_[best, (v @ vectors[j].T).ravel()])[-2:]
+            out[i, k] = best[np.isfinite(best)].mean() if np.isfinite(best).any() else -1.0
+    return out
 
 
 def anchor_taps(tracks: DataFrame, tau: float, many: bool = False) -> DataFrame:
     """For each true identity of a video taken as the wanted one: taps needed and foreign tracks wrongly taken.
 
     ``tracks`` has video_id, track_id, gt_id, frames and ``v``, a vector, or with ``many`` an array of vectors.
-    The identity's tracks come by first frame; the first costs a tap, each later one too unless it is similar
-    enough and shares no frame with those before, and all are taken in either way. With one vector a track the
-    wanted one is the sum of vectors so far; with many it is all samples so far, compared by their best pairs.
+    The identity's tracks come by first frame, those without frames last; the first costs a tap, each later one too
+    unless it is similar enough and shares no frame with those before, and all are taken in either way. What a track
+    is compared with is in :func:`_nearness`.
     """
     kind = tracks.schema["video_id"].dataType.simpleString()
-
-    def scenario(own, rest):
-        have, frames, taps = None, set(), 0
-        for r in own:
-            v, f = np.stack(r.v).astype(float) if many else np.array(r.v, float), set(r.frames) if r.frames is not None else set()
-            if have is None:
-                have, taps = v.copy(), 1
-            else:
-                sim = _top_two(v, have) if many else float(_unit(have) @ v)
-                taps += not (not f & frames and sim >= tau)
-                have = np.vstack([have, v]) if many else have + v
-            frames |= f
-        wrong = 0
-        for r in rest:
-            v = np.stack(r.v).astype(float) if many else np.array(r.v, float)
-            apart = not (set(r.frames) if r.frames is not None else set()) & frames
-            wrong += apart and (_top_two(v, have) if many else float(_unit(have) @ v)) >= tau
-        return taps, wrong
+    order = F.row_number().over(Window.partitionBy("video_id").orderBy(F.array_min("frames").asc_nulls_last(), "track_id"))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf.itertuples(), key=lambda r: (min(r.frames) if r.frames is not None and len(r.frames) else 10**9, r.track_id))
+        pdf = pdf.sort_values("ord")
+        vectors = [np.stack(v).astype(float) if many else np.array(v, float) for v in pdf["v"]]
+        shares, gt = _sharing(list(pdf["frames"])), pdf["gt_id"].to_numpy()
         out = []
-        for d in sorted({r.gt_id for r in rows}):
-            out.append((*key, d, *map(int, scenario([r for r in rows if r.gt_id == d], [r for r in rows if r.gt_id != d]))))
+        for d in np.unique(gt):
+            own = np.flatnonzero(gt == d)
+            near = _nearness(own, vectors, many) >= tau
+            met = np.logical_or.accumulate(shares[:, own], axis=1)
+            free = near & ~met
+            joined = free[own[1:], np.arange(len(own) - 1)].sum()
+            out.append((*key, d, len(own) - joined, free[gt != d, -1].sum()))
         return pd.DataFrame(out, columns=["video_id", "gt_id", "taps", "false_attach"])
 
-    return tracks.groupBy("video_id").applyInPandas(run, f"video_id {kind}, gt_id long, taps long, false_attach long")
+    return tracks.withColumn("ord", order).groupBy("video_id").applyInPandas(run, f"video_id {kind}, gt_id long, taps long, false_attach long")
 
 
 def tap_summary(taps: DataFrame, by: list[str]) -> DataFrame:
