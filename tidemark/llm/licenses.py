@@ -120,7 +120,10 @@ def spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     whole = diag.where("base and n = pairs").select("doc_id", "key", "label", "base", F.col("diag").alias("start"), F.lit(1.0).alias("share"))
 
     own = ["doc_id", "key", "t"]
-    diag = materialize(diag.where("not base").select(*own, "diag", "n", "drift", "pairs"), "diagonals")
+    # a span can't be verified where all of a text's votes for the template together are too few
+    every = F.sum("n").over(Window.partitionBy(*own))
+    diag = diag.where("not base").withColumn("every", every).where(F.col("every") >= MIN_SHARE * F.col("pairs"))
+    diag = materialize(diag.select(*own, "diag", "n", "drift", "pairs"), "diagonals")
     enough = _near(diag.withColumnRenamed("diag", "at").drop("n"), diag.select(*own, "diag", "n", "drift", "pairs"))
     enough = enough.groupBy(*own, "at").agg(F.sum("n").alias("n"), F.first("pairs").alias("pairs")).where(F.col("n") >= MIN_SHARE * F.col("pairs"))
     anchors = enough.select(*own, "at").join(sizes.select("t", "drift"), "t")
