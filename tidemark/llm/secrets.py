@@ -27,18 +27,25 @@ RANK = {k: i for i, k in enumerate(KINDS)}
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{8,})\.(e[wy3][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+#: A run of token characters that two more follow, joined by dots.
+TOKEN = re.compile(r"([A-Za-z0-9_-]+)\.(?=([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*))")
+#: A JSON object's first bytes in base64.
+OBJECT64 = re.compile("e[wy]")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)+)-----END \1-----", re.S)
-#: A key in base64 starts with M (a SEQUENCE) or b (openssh-key-v1); its lines may end as written or escaped.
-KEY64 = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[rn]))[Mb][A-Za-z0-9+/]{39,}={0,2}")
+#: A key in base64 starts with M (a SEQUENCE) or b (openssh-key-v1), anywhere in a run; its lines may end as written
+#: or escaped.
+RUN64_LONG = re.compile(r"[A-Za-z0-9+/]{40,}")
 LINE_END = re.compile(r"(?:\r?\n|(?:\\+[rn])+)[\x20\t]*")
 ESCAPED = re.compile(r"\\+[rn]")
 OPENSSH64 = "b3BlbnNzaC1rZXktdjEA"
+#: Where a key may start.
+KEY64 = re.compile(f"M|{OPENSSH64}")
 PADDING = re.compile("={0,2}")
 RUN64 = re.compile(r"[A-Za-z0-9+/]*")
 #: Object identifiers of password-based encryption: PKCS#5 and PKCS#12.
 PBE = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
-KEYHEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{40,}(?![0-9A-Fa-f])")
+RUN_HEX = re.compile(r"[0-9A-Fa-f]{42,}")
+MIN_KEY64, MIN_KEYHEX = 40, 42
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 
 
@@ -134,10 +141,9 @@ def _pem_text(body: str) -> str:
     return "".join(x for x in body.split() if ":" not in x and "," not in x)
 
 
-def _der_size(text: str) -> int | None:
-    """Characters of base64, without padding, of the DER element that starts here."""
-    head = _b64(text[:8])
-    if not head or len(head) < 6:
+def _der_bytes(head: bytes | None) -> int | None:
+    """Bytes of the DER SEQUENCE whose first six bytes these are."""
+    if not head or len(head) < 6 or head[0] != 0x30:
         return None
     n, k = head[1], 0
     if n & 0x80:
@@ -145,7 +151,13 @@ def _der_size(text: str) -> int | None:
         if not 0 < k <= 4:
             return None
         n = int.from_bytes(head[2 : 2 + k], "big")
-    return -(-(2 + k + n) * 8 // 6)
+    return 2 + k + n
+
+
+def _der_size(text: str) -> int | None:
+    """Characters of base64, without padding, of the DER SEQUENCE that starts here."""
+    n = _der_bytes(_b64(text[:8]))
+    return None if n is None else -(-n * 8 // 6)
 
 
 def wrapped_key_end(text: str, start: int, end: int) -> int | None:
@@ -195,24 +207,71 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], RANK[s[0]]))
 
 
+def token_spans(text: str) -> list[tuple[int, int]]:
+    """Signed tokens. The claims are tested first, then the header at each place in its run where an object can start;
+    a part that fails is tried again as the header of the parts after it."""
+    out, end = [], 0
+    for m in TOKEN.finditer(text):
+        if m.start() < end or m[2][0] != "e" or _json_object(m[2]) is None:
+            continue
+        start = next((m.start() + h.start() for h in OBJECT64.finditer(m[1]) if is_signed_token(m[1][h.start() :], m[2])), None)
+        if start is not None:
+            end = m.end(3)
+            out.append((start, end))
+    return out
+
+
+def key64_end(text: str, start: int, end: int) -> int | None:
+    """End of the key in base64 that starts here, in a run of base64 characters up to ``end``, else None."""
+    if text[start] == "M":
+        need = _der_size(text[start : start + 8])
+        if need is None:
+            return None
+        if need > end - start:
+            return wrapped_key_end(text, start, end)
+        data = _b64(text[start : start + need])
+        return None if data is None or not is_key(data) else start + need if start + need < end else PADDING.match(text, end).end()
+    if not text.startswith(OPENSSH64, start):
+        return None
+    whole = (data := _b64(text[start:end])) and is_key(data)
+    wrapped = wrapped_key_end(text, start, end) if not whole or LINE_END.match(text, end) else None
+    return wrapped or (PADDING.match(text, end).end() if whole else None)
+
+
+def key64_spans(text: str) -> list[tuple[int, int]]:
+    out, done = [], 0
+    for m in RUN64_LONG.finditer(text):
+        for start in (k.start() for k in KEY64.finditer(text, *m.span())):
+            if start >= done and m.end() - start >= MIN_KEY64 and (end := key64_end(text, start, m.end())):
+                out.append((start, end))
+                done = end
+    return out
+
+
+def keyhex_spans(text: str) -> list[tuple[int, int]]:
+    """Keys in hexadecimal, wherever in a run they start; the key's length says where it ends."""
+    out = []
+    for m in RUN_HEX.finditer(text):
+        at, end = m.span()
+        while end - at >= MIN_KEYHEX and (at := text.find("30", at, end)) >= 0:
+            n = _der_bytes(bytes.fromhex(text[at : at + 12])) if end - at >= MIN_KEYHEX else None
+            if n and 2 * n <= end - at and is_der_key(bytes.fromhex(text[at : at + 2 * n])):
+                out.append((at, at + 2 * n))
+                at += 2 * n
+            else:
+                at += 1
+    return out
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
-    out = [("token", *m.span()) for m in TOKEN.finditer(text) if is_signed_token(m[1], m[2])] if "." in text and ("ey" in text or "ew" in text) else []
+    out = [("token", *s) for s in token_spans(text)] if "." in text and ("ey" in text or "ew" in text) else []
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
             body = ESCAPED.sub("\n", m[2])
             if (data := _b64(_pem_text(body))) and is_key(data) or is_encrypted_pem(body):
                 out.append(("pem", *m.span()))
-    for m in KEY64.finditer(text):
-        if (data := _b64(m[0])) and is_key(data) and not (m[0][0] == "b" and LINE_END.match(text, m.end())):
-            out.append(("key64", *m.span()))
-        elif end := wrapped_key_end(text, m.start(), m.end()):
-            out.append(("key64", m.start(), end))
-        elif data and is_key(data):
-            out.append(("key64", *m.span()))
-    for m in KEYHEX.finditer(text):
-        if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            out.append(("keyhex", *m.span()))
-    return out
+    out += [("key64", *s) for s in key64_spans(text)]
+    return out + [("keyhex", *s) for s in keyhex_spans(text)]
 
 
 def all_spans(text: str) -> list[tuple[str, int, int]]:
@@ -270,7 +329,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs``; in texts that hold secrets these are replaced and ``n_chars`` is counted anew."""
+    """All rows and columns of ``docs``; in texts that hold secrets these are replaced and ``n_chars`` is counted anew.
+
+    Rows without secrets, null texts among them, stay as they are, a null or wrong ``n_chars`` too; repeated rows
+    change alike; other columns aren't read.
+    """
 
     def change(part):
         texts = [x.decode("utf-8", "replace") for x in as_bytes(part, "text")]
