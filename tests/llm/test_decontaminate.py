@@ -77,7 +77,11 @@ def test_verified_items_equal_brute_force_over_a_batch():
             run = w[win * index.longest : (win + 2) * index.longest]
             text = b" " + b" ".join(run) + b" "
             g = D.shingles(D.tokens(q.encode())) + D.shingles(D.tokens(a.encode()))
-            if s >= D.THRESHOLD and sum(b" " + x + b" " in text for x in g) >= 0.8 * len(g):
+            def pairs(part):
+                p = [b" ".join(x) for x in zip(part, part[1:])] or part
+                return not part or sum(b" " + x + b" " in text for x in p) >= 0.5 * len(p)
+
+            if s >= D.THRESHOLD and sum(b" " + x + b" " in text for x in g) >= 0.8 * len(g) and pairs(D.tokens(q.encode())) and pairs(D.tokens(a.encode())):
                 want.add((k, i))
     assert got == want and want
 
@@ -108,14 +112,58 @@ def test_scores_do_not_follow_shards_and_null_ids_are_found(spark):
     rows = spark.createDataFrame(items, "item_id long, question string, answer string")
     texts = [f"{q} {a}".encode() for _, q, a in items]
 
-    def found(shard):
-        return {(k, i): score for x in D.indexes(rows, shard=shard) for k, i, score, *_ in x.scan(texts)}
+    def groups(index_bytes, pass_bytes):
+        return list(D.index_groups(rows, index_bytes=index_bytes, pass_bytes=pass_bytes))
+
+    def found(made):
+        return {(k, i): score for g in made for k, i, score, *_ in g.scan(texts)}
 
-    whole, cut = found(1000), found(3)
-    assert whole.keys() == cut.keys() and (40, None) in whole and len(whole) == 41
-    assert max(len(x.ids) for x in D.indexes(rows, shard=3)) < 40
-    weight = lambda shard: {(i, w): x.impact[x.vocab[w], at] for x in D.indexes(rows, shard=shard) for at, i in enumerate(x.ids) for w in x.vocab}
-    a, b = weight(1000), weight(3)
-    assert all(abs(a[k] - b[k]) < 1e-6 for k in a.keys() & b.keys())
+    one, many, passes = groups(1 << 30, 1 << 30), groups(3000, 1 << 30), groups(3000, 9000)
+    assert len(one) == len(many) == 1 < len(passes) and len(one[0].indexes) == 1 < len(many[0].indexes) == sum(len(g.indexes) for g in passes)
+    whole = found(one)
+    assert (40, None) in whole and len(whole) == 41
+    for cut in (found(many), found(passes)):
+        assert whole.keys() == cut.keys() and all(abs(whole[k] - cut[k]) < 1e-6 for k in whole)
     docs = spark.createDataFrame([(1, texts[-1].decode()), (2, "nothing")], "doc_id long, text string")
     assert [(r.doc_id, r.item_id) for r in D.contaminated(docs, rows).collect()] == [(1, None)]
+
+
+def test_answer_must_stand_in_the_passage(spark):
+    """Most of an item's shingles, but nothing of its answer, isn't a leak; nor is an answer without its question."""
+    question = " ".join(f"q{i}" for i in range(60))
+    items = spark.createDataFrame([(1, question, "the answer is forty two"), (2, "short question here", "long " + " ".join(f"a{i}" for i in range(60)))], "item_id long, question string, answer string")
+    rows = [(1, f"{question} and something else entirely"), (2, f"so {question} the answer is forty two then"), (3, "long " + " ".join(f"a{i}" for i in range(60))), (4, f"{question} the answer was forty two")]
+    got = {r.doc_id: (round(r.question_overlap, 2), round(r.answer_overlap, 2)) for r in D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {2: (1.0, 1.0), 4: (1.0, 0.5)}
+
+
+def test_pivots_skip_blocks(monkeypatch):
+    """Of many items, postings are read only for the few blocks that can reach the threshold."""
+    rng = random.Random(1)
+    items = [(i, " ".join([f"c{rng.randrange(20)}" for _ in range(10)] + [f"r{i}x{j}" for j in range(10)]), "") for i in range(2000)]
+    index = D.BlockMaxIndex(items)
+    read = []
+    keep = D._spread
+
+    def spy(start, stop):
+        read.append(int((stop - start).sum()))
+        return keep(start, stop)
+
+    monkeypatch.setattr(D, "_spread", spy)
+    got = list(index.scan([f"{items[7][1]} c1 c2 c3 {items[1500][1]}".encode()]))
+    assert sorted(i for _, i, *_ in got) == [7, 1500]
+    assert read[-1] < len(index.items.at) / 100
+
+
+def test_large_benchmark_in_one_pass(spark):
+    """Thousands of items of several lengths, in several indexes, against brute force on what was planted."""
+    rng = random.Random(6)
+    word = lambda: f"w{int(rng.random() ** 3 * 4000)}"
+    items = [(i, " ".join(word() for _ in range(rng.choice((12, 40, 150)))), " ".join(word() for _ in range(6))) for i in range(3000)]
+    frame = spark.createDataFrame(items, "item_id long, question string, answer string")
+    groups = list(D.index_groups(frame, index_bytes=1 << 19))
+    assert len(groups) == 1 and len(groups[0].indexes) > 3
+    planted = {k: rng.randrange(3000) for k in range(60)}
+    texts = [" ".join([word() for _ in range(rng.randint(0, 300))] + [items[i][1], items[i][2]] + [word() for _ in range(rng.randint(0, 300))]) for i in planted.values()]
+    got = {(k, i) for k, i, *_ in groups[0].scan([t.encode() for t in texts])}
+    assert got == set(planted.items())
