@@ -44,10 +44,12 @@ def letters(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[^가-힣a-zA-Z0-9]", "")
 
 
-def cer(ref: Column, hyp: Column) -> Column:
-    """Edit distance over the reference's length, both as :func:`letters`; 0 for an empty reference."""
+def cer(ref: Column, hyp: Column, most: int | None = None) -> Column:
+    """Edit distance over the reference's length, both as :func:`letters`; 0 for an empty reference. With ``most``, only
+    a band of so many edits is looked at, in time linear in the texts, and the result is null beyond it."""
     r, h = letters(ref), letters(hyp)
-    return F.when(F.length(r) > 0, F.levenshtein(r, h) / F.length(r)).otherwise(F.lit(0.0))
+    edits = F.levenshtein(r, h) if most is None else F.levenshtein(r, h, most)
+    return F.when(F.length(r) > 0, F.when(edits >= 0, edits / F.length(r))).otherwise(F.lit(0.0))
 
 
 def speech_fails(raw: Column, read: Column, heard: Column) -> Column:
@@ -63,7 +65,7 @@ def cache_key(*parts: Column) -> Column:
 def clean_keywords(words: Column) -> Column:
     """Of an array: stripped entries of 1 to 10 letters, digits or blanks that aren't reserved words."""
     w = F.transform(words, lambda k: F.trim(k))
-    return F.filter(w, lambda k: k.rlike("^[가-힣a-zA-Z0-9 ]{1,10}$") & ~F.lower(k).isin(*NOT_KEYWORDS))
+    return F.filter(w, lambda k: k.rlike(r"\A[가-힣a-zA-Z0-9 ]{1,10}\z") & ~F.lower(k).isin(*NOT_KEYWORDS))
 
 
 EMOJI = "[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{FE0F}\\x{200D}]"
