@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SHUFFLE_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -59,16 +60,30 @@ def setting(spark: SparkSession, key: str, value: str):
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
 
-def materialize(df: DataFrame, label: str, keep: list[str] | None = None) -> DataFrame:
+_COLLECTORS: list[list[str]] = []
+
+
+@contextmanager
+def collecting(paths: list[str]):
+    """Paths of the tables that :func:`materialize` writes in the block go to ``paths``, unless it is told another list."""
+    _COLLECTORS.append(paths)
+    try:
+        yield paths
+    finally:
+        _COLLECTORS.remove(paths)
+
+
+def materialize(df: DataFrame, label: str, keep: list[str] | None = None, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: lineage ends there and a lost executor
     costs nothing that is already written. The shuffle files of the write go when it is done. ``keep``, if given,
-    collects the path for :func:`discard`."""
-    path = scratch_path(df.sparkSession, label)
-    with setting(df.sparkSession, SHUFFLE_CLEANUP_KEY, "true"):
+    collects the path for :func:`discard`; ``batch_rows`` bounds the rows that go to Python at a time in this write."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    with setting(spark, SHUFFLE_CLEANUP_KEY, "true"), setting(spark, BATCH_KEY, str(batch_rows or spark.conf.get(BATCH_KEY))):
         df.write.parquet(path)
-    if keep is not None:
-        keep.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for held in (keep,) if keep is not None else _COLLECTORS[-1:]:
+        held.append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
