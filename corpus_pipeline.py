@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, mixing, quality, secrets, simhash
-from tidemark.session import materialize
+from tidemark.session import collecting, discard, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -62,6 +62,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        made, kept = [], []
+        with collecting(made):
+            docs = materialize(stage(spark, docs, sf_dir), name, kept)
+        # the stage's own tables and its input go once its result is written
+        discard(spark, made + before)
+        before = kept
     return docs

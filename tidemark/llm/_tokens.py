@@ -9,20 +9,10 @@ import pyarrow as pa
 #: Texts of one Arrow batch are worked on in slices of at most so many bytes, so that memory follows neither
 #: the batch size nor the length of the texts that happen to meet in a batch.
 SLICE_BYTES = 4 << 20
-#: Rows of texts that go to Python at a time. The default of 10,000 rows, however long, is held three times over
-#: (Arrow buffers of both processes and the rows made of them).
+#: Rows of texts that go to Python at a time where memory is short; Spark's own bound is 64 MB a batch.
 BATCH_ROWS = 512
 
 
-def small_batches(df):
-    """``df`` itself; from now on its session hands rows to Python in batches of at most ``BATCH_ROWS``."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, BATCH_ROWS)
-    return df
-
-
 def words(data: bytes) -> list[bytes]:
     """Maximal runs of bytes outside 0x20 and 0x09-0x0D, with A-Z lower-cased (bytes.split and bytes.lower know
     ASCII only, so UTF-8 sequences stay whole)."""
@@ -63,4 +53,4 @@ def map_slices(docs, change, text_col: str = "text"):
             for part in sliced(batch, text_col):
                 yield change(part)
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

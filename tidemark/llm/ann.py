@@ -4,8 +4,8 @@ A unit vector is written as the sum of one codeword from each of several full-di
 books are fitted on a bounded sample (k-means on residuals, then rounds of beam-search encoding and joint
 least squares), every row is encoded by beam search, and the norm of its reconstruction is stored beside the
 codes, with the angle between the row and its reconstruction. A query is scored against all rows by adding
-entries of its lookup table and dividing by the stored norm. The best rows of each slice are scored again on
-their original vectors in double precision, and so is every other row whose angle to the query, which is at
+entries of its lookup table and dividing by the stored norm. The best rows of the first slice are scored again on
+their original vectors in double precision, and so is every row of any slice whose angle to the query, which is at
 least the angle of the reconstruction less the stored one, can still reach the k-th best score and whose cosine
 in single precision does: the result is that of scoring all rows exactly.
 """
@@ -23,12 +23,12 @@ from tidemark.session import materialize, scratch_path
 #: Rows the codebooks are fitted on: those with the smallest hash of the id.
 SAMPLE = 4096
 BOOKS, WORDS, BEAM = 8, 256, 4
-#: Rows of each slice of BATCH that are scored exactly for a query before bounds decide on the others.
+#: Rows of a slice of BATCH that are scored exactly for a query, while its list of k isn't full, before bounds decide.
 RERANK, BATCH = 48, 2048
 #: Slack of the bounds and cosines for sums in single precision, and pairs of a query and a row that are scored at a time.
 SLACK, PAIRS = 1e-4, 1 << 16
 #: Queries of one block; a block is what is sent to the executors at a time.
-BLOCK = 2048
+BLOCK = 4096
 
 
 def usable(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -187,9 +187,10 @@ def _search_block(index: DataFrame, books: np.ndarray, ids: np.ndarray, q: np.nd
                 near += table[b][codes[:, b]]
             near /= np.maximum(part.column("norm").to_numpy(), 1e-12)[:, None]
             near[vec_id[:, None] == ids] = -np.inf
-            r = min(rerank, len(vec_id))
-            rows = np.argpartition(-near, r - 1, axis=0)[:r].T
-            for lo in range(0, len(ids), 256):
+            # the best of the first slices fill the lists; from then on bounds decide what is scored
+            r = min(rerank, len(vec_id)) if not np.isfinite(best[:, -1]).all() else 0
+            rows = np.argpartition(-near, r - 1, axis=0)[:r].T if r else np.zeros((len(ids), 0), np.int64)
+            for lo in range(0, len(ids) if r else 0, 256):
                 own = slice(lo, lo + 256)
                 exact = cosine(v[rows[own]], q[own, None, :])
                 exact[vec_id[rows[own]] == ids[own, None]] = -np.inf

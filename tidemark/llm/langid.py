@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._tokens import as_bytes, sliced, small_batches
+from tidemark.llm._tokens import as_bytes, sliced
 from tidemark.llm.quality import crc_of
 
 #: Documents of a language the network is fitted on, by smallest hash of the id, and sequences of each language
@@ -224,7 +224,7 @@ def fit_langid(docs: DataFrame, per_lang: int = DOCS_PER_LANG, rows: int = ROWS_
                     if cut:
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cut)), pa.array([zlib.crc32(s) for s in cut], pa.int64()), pa.array(cut, pa.binary())], names=["lang", "c", "s"])
 
-    cut = small_batches(texts).mapInArrow(run, "lang string, c long, s binary")
+    cut = texts.mapInArrow(run, "lang string, c long, s binary")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("c", "s"))
     # at most ``rows`` sequences of LENGTH bytes a language reach the driver
     drawn = cut.distinct().withColumn("rank", rank).where(F.col("rank") <= rows).orderBy("lang", "rank").collect()
@@ -251,6 +251,6 @@ def identify(docs: DataFrame, net: BiGRU, langs: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = small_batches(docs).select("doc_id", F.col("text").alias("t")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    out = docs.select("doc_id", F.col("text").alias("t")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
     held = F.coalesce(F.pmod(crc_of(F.col("doc_id")), F.lit(3)) == 1, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._tokens import sliced, small_batches
+from tidemark.llm._tokens import BATCH_ROWS, sliced
 from tidemark.session import materialize
 
 BACKOFF = 0.4
@@ -136,7 +136,7 @@ def ngram_counts(docs: DataFrame, orders: tuple[int, ...] = (1, 2, 3)) -> DataFr
                 gram, n = np.unique(grams.of(order)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), order, np.int32)), _signed(gram), pa.array(n)], names=["order", "gram", "n"])
 
-    rows = small_batches(docs).select(F.col("text").alias("t")).mapInArrow(run, "order int, gram long, n long")
+    rows = docs.select(F.col("text").alias("t")).mapInArrow(run, "order int, gram long, n long")
     return rows.groupBy("order", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -148,7 +148,7 @@ def score_with(docs: DataFrame, counts: DataFrame, backoff: float = BACKOFF, id_
     and empty texts have 0 words, log_score 0 and a null mean_score; repeated rows are scored alike.
     """
     spark = docs.sparkSession
-    counts = materialize(counts, "counts")
+    counts = materialize(counts, "counts", batch_rows=BATCH_ROWS)
     total = float(counts.where("order = 1").agg(F.sum("n")).first()[0] or 1)
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = materialize(base.withColumn("row", F.monotonically_increasing_id()), "rows")
@@ -160,7 +160,7 @@ def score_with(docs: DataFrame, counts: DataFrame, backoff: float = BACKOFF, id_
             yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(grams.text)), gram(1, 0), gram(1, 1), gram(2, 1), gram(2, 2), gram(3, 2)], names=["row", "w", "b", "bw", "ab", "abw"])
 
     # w is the word, b and ab stand before it
-    at = small_batches(rows).select("row", "t").mapInArrow(run, "row long, w long, b long, bw long, ab long, abw long")
+    at = rows.select("row", "t").mapInArrow(run, "row long, w long, b long, bw long, ab long, abw long")
     of = lambda column: (1 if len(column) == 1 else len(column))
     for column in ("w", "b", "bw", "ab", "abw"):
         at = at.join(counts.where(F.col("order") == of(column)).select(F.col("gram").alias(column), F.col("n").alias(f"c_{column}")), column, "left")
@@ -178,7 +178,7 @@ def frequent(src: DataFrame, share: float = HEAVY_SHARE, sample: int = SAMPLE_DO
     ids = src.select("doc_id", "key").distinct().orderBy(h, "doc_id", "key").limit(sample)
     # the sample is bounded, so its ids are broadcast
     own = src.alias("s").join(F.broadcast(ids).alias("i"), F.col("s.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("s.key") == F.col("i.key")), "left_semi")
-    counts = materialize(ngram_counts(own.select(F.col("t").alias("text")), (2, 3)), "sample-counts")
+    counts = materialize(ngram_counts(own.select(F.col("t").alias("text")), (2, 3)), "sample-counts", batch_rows=BATCH_ROWS)
     least = {r[0]: r[1] * share for r in counts.groupBy("order").agg(F.sum("n")).collect()}
     heavy = counts.where(F.col("n") > 1).where(" or ".join(f"(order = {o} and n >= {x})" for o, x in least.items()) or "false").select("order", "gram").collect()
     return {o: np.sort(np.array([r.gram for r in heavy if r.order == o], np.int64).view(np.uint64)) for o in (2, 3)}
@@ -279,21 +279,21 @@ def score_corpus(docs: DataFrame, share: float = HEAVY_SHARE, sample: int = SAMP
     ids are kept apart by a hash of the text; a repeated row is counted every time it occurs, and each of its rows
     gets the same score. Other columns aren't read; an empty table gives an empty table.
     """
-    src = small_batches(docs).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.col("text").alias("t"))
+    src = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.col("text").alias("t"))
     heavy = frequent(src, share, sample)
-    sizes = materialize(_sizes(src, heavy), "documents")
+    sizes = materialize(_sizes(src, heavy), "documents", batch_rows=BATCH_ROWS)
     base = sizes.where("order is null")
     total = float(base.agg(F.sum("n_words")).first()[0] or 1)
     # at most 1 / share counts of each order
     known = {(r.order, r.gram): r.n for r in sizes.where("order is not null").groupBy("order", "gram").agg(F.sum("n").alias("n")).collect()}
     counts = {o: np.array([known.get((o, g), 0) for g in grams.view(np.int64).tolist()], float) for o, grams in heavy.items()}
 
-    three = materialize(_sums(src, 3, heavy[3], counts[3]), "trigrams")
-    two = materialize(_sums(src, 2, heavy[2], counts[2]), "pairs").select("key", F.col("log").alias("log2"))
+    three = materialize(_sums(src, 3, heavy[3], counts[3]), "trigrams", batch_rows=BATCH_ROWS)
+    two = materialize(_sums(src, 2, heavy[2], counts[2]), "pairs", batch_rows=BATCH_ROWS).select("key", F.col("log").alias("log2"))
     single = materialize(base.where("n_words = 1").select(F.col("word").alias("gram")).distinct(), "singles")
     one = single.limit(0).select(F.col("gram").alias("word"), F.lit(0.0).alias("one"))
     if not single.isEmpty():
-        one = materialize(ngram_counts(docs, (1,)).join(single, "gram", "left_semi").select(F.col("gram").alias("word"), F.ln("n").alias("one")), "single-counts")
+        one = materialize(ngram_counts(docs, (1,)).join(single, "gram", "left_semi").select(F.col("gram").alias("word"), F.ln("n").alias("one")), "single-counts", batch_rows=BATCH_ROWS)
 
     per_row = (F.coalesce("log", F.lit(0.0)) + F.coalesce("log2", F.lit(0.0))) / F.col("copies")
     log = F.when(F.col("n_words") == 0, 0.0).otherwise(F.coalesce("one", per_row) - F.lit(float(np.log(total))))

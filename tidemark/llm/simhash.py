@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._tokens import as_bytes, sliced, small_batches, with_column, words
+from tidemark.llm._tokens import BATCH_ROWS, as_bytes, sliced, with_column, words
 from tidemark.llm.components import connected_components
 from tidemark.session import materialize
 
@@ -29,6 +29,8 @@ BITS_APART = 2
 SHINGLE = 3
 SEED = 42
 NODE_MAX = 256
+#: Fingerprints with this fraction of all rows are joined by broadcast.
+HOT = 1000
 _CHUNK = 1 << 16
 
 
@@ -79,7 +81,7 @@ def add_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield with_column(part, ["id"], fp=pa.array(fps, pa.int64()))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp long")
 
 
 def _gray_rank(fp: str):
@@ -193,35 +195,38 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
 
 def _members(fps: DataFrame) -> DataFrame:
-    """(id, fp) rows -> (fp, component_id), one row per distinct fingerprint."""
-    least = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    """(id, fp) rows -> (fp, root, component_id, rows), one row per distinct fingerprint."""
+    least = materialize(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows")), "distinct-fingerprints")
     roots = materialize(connected_components(fingerprint_links(least.select("fp"))), "roots").withColumnRenamed("node", "fp")
-    joined = least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    joined = least.join(roots, "fp", "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return materialize(joined.join(named, "root").select("fp", "root", "component_id"), "members")
+    return materialize(joined.join(named, "root").select("fp", "root", "component_id", "rows"), "members")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component of ``docs`` (doc_id, text and more), all columns.
 
-    Kept is the row with the smallest id, of equal ids the one with the smallest hash of the text, of rows equal
-    in both any one; null ids come last. Texts move once, to meet the ids that stay.
+    Kept is the row with the smallest id, of equal ids the one with the smallest hash of the text, of rows equal in
+    both the one whose columns, written as JSON, have the smallest hash; null ids come last. Null and wordless texts
+    are one component. Texts move once, to meet the ids that stay.
     """
     plain = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    fps = materialize(add_fingerprints(plain.select(F.struct("doc_id", "h").alias("doc_id"), "text")).select("id.*", "fp"), "fingerprints")
+    fps = materialize(add_fingerprints(plain.select(F.struct("doc_id", "h").alias("doc_id"), "text")).select("id.*", "fp"), "fingerprints", batch_rows=BATCH_ROWS)
     member = _members(fps.select(F.col("doc_id").alias("id"), "fp"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    # at most one row a component; min over a struct is pre-aggregated
-    best = fps.join(member, "fp").groupBy("root").agg(F.min(order).alias("x")).select("x.doc_id", "x.h")
+    # the least row of each fingerprint first, by partial minima, so that no join meets a fingerprint's copies
+    best = fps.groupBy("fp").agg(F.min(order).alias("x")).join(member, "fp").groupBy("root").agg(F.min("x").alias("x")).select("x.doc_id", "x.h")
     rows = fps.groupBy("doc_id", "h").agg(F.count("*").alias("rows"))
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
     best = materialize(best.alias("a").join(rows.alias("b"), same("a", "b")).select("a.doc_id", "a.h", "rows").distinct(), "kept")
-    full = docs.withColumn("h", F.xxhash64("text"))
-    single = full.alias("a").join(best.where("rows = 1").alias("b"), same("a", "b"), "left_semi").drop("h")
+    # whole rows in one column, so that no other column's name clashes
+    full = docs.select("doc_id", F.xxhash64("text").alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    single = full.alias("a").join(best.where("rows = 1").alias("b"), same("a", "b"), "left_semi").select("row.*")
     again = best.where("rows > 1")
     if again.isEmpty():
         return single
-    repeated = full.alias("a").join(again.alias("b"), same("a", "b"), "left_semi").dropDuplicates(["doc_id", "h"]).drop("h")
+    repeated = full.alias("a").join(again.alias("b"), same("a", "b"), "left_semi")
+    repeated = repeated.groupBy("doc_id", "h").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")
     return single.unionByName(repeated)
 
 
@@ -234,7 +239,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``component_id``. Repeated ids give a row each. Other columns of ``docs`` are not read, so their names can't
     clash. An empty table gives an empty table.
     """
-    fps = materialize(add_fingerprints(docs, id_col, text_col), "fingerprints")
-    member = _members(fps)
+    fps = materialize(add_fingerprints(docs, id_col, text_col), "fingerprints", batch_rows=BATCH_ROWS)
+    member = _members(fps).select("fp", "component_id", "rows")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(member, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    # at most HOT fingerprints have a share of 1 / HOT of the rows each; their rows stay where they are
+    hot = F.broadcast(member.where(F.col("rows") * HOT >= fps.count()))
+    rest = fps.join(hot.select("fp"), "fp", "left_anti").join(member, "fp")
+    return fps.join(hot, "fp").unionByName(rest).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")

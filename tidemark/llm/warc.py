@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from tidemark.session import materialize, scratch_path
 
 MIN_REVISIT_BYTES = 100
-#: Records of one file, so that a file, which is read in one piece, stays small.
-FILE_RECORDS = 6000
+#: (most bytes of a payload, captures of one file) by class of size: a file, which is read in one piece, holds about
+#: 32 MB or one capture.
+FILE_CLASSES = ((16 << 10, 2000), (512 << 10, 60), (8 << 20, 4), (None, 1))
 #: Repeated payloads are joined by broadcast up to so many rows (32 + 8 bytes each), beyond that by a shuffle.
 BROADCAST_ROWS = 200_000
 DATE = "2024-01-01T00:00:00Z"
@@ -32,6 +33,14 @@ def _record(kind, rid, block, *headers):
     return F.concat(head, F.lit("\r\n\r\n"), block)
 
 
+def size_class(n):
+    """Number of the first of FILE_CLASSES that holds payloads of n bytes."""
+    out = F.lit(len(FILE_CLASSES) - 1)
+    for i in reversed(range(len(FILE_CLASSES) - 1)):
+        out = F.when(n <= FILE_CLASSES[i][0], i).otherwise(out)
+    return out
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT_BYTES) -> None:
     """Write every row of ``pages`` as three records below ``path``; files end up in the store that Spark writes to.
 
@@ -47,8 +56,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         equal = F.broadcast(equal)
     p = p.join(equal, "digest", "left")
     revisit = F.coalesce(F.col("first") != F.col("page_id"), F.col("first").isNotNull())
-    # uuid() is drawn once a row here, and all three records of the row are made from that draw
-    p = p.withColumn("revisit", revisit).withColumn("ids", F.array(F.expr("uuid()"), F.expr("uuid()"), F.expr("uuid()")))
+    p = p.withColumn("revisit", revisit)
     clean = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     uri = F.concat(F.lit("WARC-Target-URI: "), clean)
     rid = F.col("ids")[0]
@@ -63,7 +71,13 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     field = lambda name, c: F.concat(F.lit(name + ": "), c.cast("string"))
     about = F.concat(F.concat_ws("\r\n", field("page-id", F.col("page_id")), field("payload-bytes", F.col("n")), F.when(F.col("revisit"), field("refers-to-page", F.col("first")))), F.lit("\r\n"))
     meta = _record("metadata", F.col("ids")[2], about, uri, partner, F.lit("Content-Type: application/warc-fields"))
-    p.select(F.explode(F.array(ask, answer, meta)).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    # at most one row a class; a pass over the pages for each that is there
+    there = {r["class"] for r in pages.select(size_class(F.octet_length(F.coalesce(html_col, F.lit("")))).alias("class")).distinct().collect()}
+    for i in sorted(there) or [0]:
+        # uuid() is drawn once a row here, and all three records of the row are made from that draw
+        drawn = p.where(size_class(F.col("n")) == i).withColumn("ids", F.array(F.expr("uuid()"), F.expr("uuid()"), F.expr("uuid()")))
+        out = drawn.select(F.explode(F.array(ask, answer, meta)).alias("value"))
+        out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 3 * FILE_CLASSES[i][1]).text(f"{path}/{i}")
 
 
 def _lines(head: bytes) -> dict[str, str]:
