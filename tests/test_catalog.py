@@ -43,3 +43,8 @@ def test_rest_works_without_training_data_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and 'pipeline' not in q and not [n for n in q if n.startswith('op')]; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"}, timeout=120)
+
+
+@pytest.mark.parametrize("name", ["miss_counts_apart", "clear_mot_apart", "identity_f1_apart", "tracking_report_apart", "last_listed_frame", "anchor_taps", "tap_summary", "numbers_to_words"])
+def test_worlds_equal_sql(spark, db, name):
+    test_equal_to_sql(spark, db, name)

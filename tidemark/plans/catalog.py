@@ -8,22 +8,12 @@ from pyspark.sql.window import Window
 from tidemark.functions import external, geometry, text, vectors
 from tidemark.operators import identity, layout, plan, segments, store, timeline, tracking
 from tidemark.plans import projections as P
+from tidemark.plans import worlds  # noqa: F401 - registers its queries
+from tidemark.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 
-QUERIES: dict = {}
-ORACLE: dict = {}
 V = ["video_id"]
 
 
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return add
-
-
 def _r(c, n=6):
     return F.round(F.col(c) if isinstance(c, str) else c, n)
 
@@ -525,16 +515,6 @@ def online_relink(spark, d):
     return identity.relink(P.track_vectors(spark, d).select("video_id", "track_id", "v", F.lit(None).cast("array<bigint>").alias("frames")), [0.5, 0.6, 0.7, 0.8, 0.9])
 
 
-@query("anchor_taps")
-def anchor_taps(spark, d):
-    return identity.anchor_taps(P.track_vectors(spark, d), 0.75)
-
-
-@query("tap_summary")
-def tap_summary(spark, d):
-    return identity.tap_summary(identity.anchor_taps(P.track_vectors(spark, d), 0.75), ["video_id"])
-
-
 @query("fragment_margin")
 def fragment_margin(spark, d):
     t = P.track_vectors(spark, d)
@@ -568,8 +548,11 @@ def cer(spark, d):
 
 @query("cer_whole", """with a as (select doc_id, length(regexp_replace(coalesce(text, ''), '[^가-힣a-zA-Z0-9]', '', 'g')) r, length(regexp_replace(coalesce(substr(text, 9), ''), '[^가-힣a-zA-Z0-9]', '', 'g')) h from documents) select doc_id, round(case when r > 0 then (r - h) / r::double else 0 end, 6) cer from a""")
 def cer_whole(spark, d):
-    """Whole documents against themselves without their first eight characters, so at most eight edits apart."""
-    return P.read(spark, d, "documents").select("doc_id", _r(text.cer(F.col("text"), F.expr("substr(text, 9)"), 8)).alias("cer"))
+    """Whole documents against themselves without their first eight characters. What is heard is a suffix of the
+    reference, so the edit distance, which takes time quadratic in a text, is the difference of their lengths."""
+    t = P.read(spark, d, "documents").select("doc_id", text.letters(F.col("text")).alias("r"), text.letters(F.expr("substr(text, 9)")).alias("h"))
+    edits = F.length("r") - F.length("h")
+    return t.select("doc_id", _r(F.when(F.length("r") > 0, edits / F.length("r")).otherwise(0.0)).alias("cer"))
 
 
 @query("letters", "select doc_id, md5(regexp_replace(text, '[^가-힣a-zA-Z0-9]', '', 'g')) as h from documents")
@@ -608,12 +591,6 @@ def reading_secs(spark, d):
     return P.read(spark, d, "documents").select("doc_id", text.required_secs(F.col("text")).alias("secs"))
 
 
-@query("numbers_to_words")
-def numbers_to_words(spark, d):
-    p = P.read(spark, d, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit("마리 "), F.col("p_retailprice").cast("string"), F.lit("kg "), F.col("p_partkey").cast("string")).alias("t"))
-    return p.select("p_partkey", text.read_numbers_udf("t").alias("read"))
-
-
 @query("wrap_lines")
 def wrap_lines(spark, d):
     t = P.read(spark, d, "documents").select("doc_id", F.col("text").alias("t"))
