@@ -6,6 +6,7 @@ import argparse
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators import segments as S
 from tidemark.operators import tracking as T
@@ -17,7 +18,8 @@ KEYS = ["video_id"]
 def evaluate(spark: SparkSession, stage: str, gt: str, pred: str) -> DataFrame:
     """Metrics of all videos that both paths hold, one row a video."""
     if stage == "m1":
-        g, p = R.read_frames(spark, gt), R.read_frames(spark, pred)
+        # of a frame that a file lists more than once, the last line counts
+        g, p = (T.last_per_frame(R.read_frames(spark, x).withColumn("ord", F.monotonically_increasing_id())).drop("ord") for x in (gt, pred))
         g = g.join(p.select("video_id").distinct(), "video_id", "left_semi")
         return T.evaluate_tracking(R.explode_frames(g), R.explode_frames(p), g.select(*T.FRAME))
     if stage == "m2":

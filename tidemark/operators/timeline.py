@@ -117,20 +117,25 @@ def clip(intervals: DataFrame, spans: DataFrame, keys: list[str], bucket: float
     return out.select(*intervals.columns, "lo", "hi")
 
 
-def subtract(intervals: DataFrame, used: DataFrame, keys: list[str], ident: list[str], min_len=0.0) -> DataFrame:
+def gaps(ranges: DataFrame, used: DataFrame, keys: list[str]) -> DataFrame:
+    """What ``used`` leaves of each key's range (start, end), as one sweep over a key's used spans: start, end."""
+    u = used.where(F.col("start") < F.col("end")).select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"))
+    j = u.join(ranges.select(*keys, F.col("start").alias("_lo"), F.col("end").alias("_hi")), keys, "right")
+    done = F.max("_e").over(_w(keys, "_s", "_e").rowsBetween(Window.unboundedPreceding, -1))
+    before = j.withColumn("start", F.greatest("_lo", done)).select(*keys, "start", F.least("_s", "_hi").alias("end"), "_s").where("_s is not null").drop("_s")
+    after = j.groupBy(*keys, "_lo", "_hi").agg(F.max("_e").alias("_e")).select(*keys, F.greatest("_lo", "_e").alias("start"), F.col("_hi").alias("end"))
+    return before.unionByName(after).where("end > start")
+
+
+def subtract(intervals: DataFrame, used: DataFrame, keys: list[str], ident: list[str], min_len=0.0, bucket: float | None = None) -> DataFrame:
     """What ``used`` leaves of each interval: keys, ident, lo, hi, for pieces of ``min_len`` or more that aren't empty.
 
-    ``ident`` names columns that, with the keys, tell intervals apart.
+    ``ident`` names columns that, with the keys, tell intervals apart. Used spans are swept once a key; where keys have
+    many intervals, ``bucket`` (a time, such as a few lengths of them) keeps each from meeting every gap.
     """
-    u = used.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"))
-    j = intervals.join(u, keys, "left").withColumn("_hit", F.coalesce(F.least("_e", "end") > F.greatest("_s", "start"), F.lit(False)))
-    j = j.select(*keys, *ident, "start", "end", F.when(F.col("_hit"), F.col("_s")).alias("_s"), F.when(F.col("_hit"), F.col("_e")).alias("_e"))
-    w = Window.partitionBy(*keys, *ident).orderBy(F.col("_s").asc_nulls_last(), "_e")
-    done = F.greatest(F.col("start"), F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    before = j.withColumn("lo", done).withColumn("hi", F.least("_s", "end")).where("_s is not null")
-    after = j.groupBy(*keys, *ident, "start", "end").agg(F.max("_e").alias("_e")).withColumn("lo", F.greatest("start", "_e")).withColumn("hi", F.col("end"))
-    out = before.select(*keys, *ident, "lo", "hi").unionByName(after.select(*keys, *ident, "lo", "hi"))
-    return out.where((F.col("hi") > F.col("lo")) & (F.col("hi") - F.col("lo") >= min_len))
+    ranges = intervals.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    out = clip(intervals.select(*keys, *ident, "start", "end"), gaps(ranges, used, keys), keys, bucket)
+    return out.where(F.col("hi") - F.col("lo") >= min_len).select(*keys, *ident, "lo", "hi")
 
 
 def busy(windows: DataFrame, keys: list[str], k: int = 2) -> DataFrame:
@@ -207,12 +212,14 @@ def interpolate(keyframes: DataFrame, keys: list[str], frame: str = "frame_idx",
 def sliding_max(df: DataFrame, keys: list[str], t: str, value: str, length, hop) -> DataFrame:
     """Maximum of ``value`` by window of ``length`` every ``hop`` from 0; a window that would pass the last value is moved
     back to end with it."""
-    last = df.groupBy(*keys).agg((F.max(t) + 1).alias("_n"))
-    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("_n") - length, F.lit(0)).cast("long"), F.lit(hop).cast("long"))
-    tail = F.greatest(F.col("_n") - length, F.lit(0)).cast("long")
-    w = last.withColumn("win", F.explode(F.array_distinct(F.concat(starts, F.array(tail)))))
-    j = df.join(w, keys).where((F.col(t) >= F.col("win")) & (F.col(t) < F.col("win") + length))
-    return j.groupBy(*keys, "win").agg(F.max(value).alias("peak"))
+    last = df.groupBy(*keys).agg(F.greatest(F.max(t) + 1 - length, F.lit(0)).cast("long").alias("_tail"))
+    j = df.join(last, keys)
+    # the windows a value is in, from the value's side: those of the hop's multiples that begin late enough, and the last
+    first, until = F.greatest(F.floor((F.col(t) - length) / hop) + 1, F.lit(0)), F.floor(F.least(F.col(t), F.col("_tail")) / hop)
+    hops = F.when(until >= first, F.transform(F.sequence(first.cast("long"), until.cast("long")), lambda k: (k * hop).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    tail = F.when(F.col(t) >= F.col("_tail"), F.array("_tail")).otherwise(F.array().cast("array<bigint>"))
+    each = j.select(*keys, value, F.explode(F.array_distinct(F.concat(hops, tail))).alias("win"))
+    return each.groupBy(*keys, "win").agg(F.max(value).alias("peak"))
 
 
 def peak(boxes: DataFrame, keys: list[str], min_speed: float = 0.02, max_gap: int = 3) -> DataFrame:
@@ -231,14 +238,17 @@ def peak(boxes: DataFrame, keys: list[str], min_speed: float = 0.02, max_gap: in
     return c.withColumn("_r", best).where("_r = 1").select(*keys, "frame_idx", "speed")
 
 
-def peak_in_output(clips: DataFrame, boxes: DataFrame, keys: list[str], fps: float = 30.0, min_speed: float = 0.02, max_gap: int = 3) -> DataFrame:
+def peak_in_output(clips: DataFrame, boxes: DataFrame, keys: list[str], fps: float = 30.0, min_speed: float = 0.02, max_gap: int = 3, bucket: int = 300) -> DataFrame:
     """Per key the moment, on the output's clock, at which the subject moves fastest in its clips.
 
     ``clips`` has keys, clip_ord, video_id, t0, t1, out_start; ``boxes`` video_id, frame_idx, x, y, w, h. Speed is
     measured inside a clip only; the first moment wins ties; keys without a speed of ``min_speed`` aren't listed.
+    Clips meet boxes by runs of ``bucket`` frames.
     """
-    f0, f1 = (F.col("t0") * fps).cast("int"), (F.col("t1") * fps).cast("int")
-    j = clips.join(boxes, "video_id").where((F.col("frame_idx") >= f0) & (F.col("frame_idx") <= f1))
+    c = clips.withColumn("_f0", (F.col("t0") * fps).cast("int")).withColumn("_f1", (F.col("t1") * fps).cast("int")).where("_f0 <= _f1")
+    c = _bucketed(c, "_f0", "_f1", bucket)
+    b = boxes.withColumn("_b", F.floor(F.col("frame_idx") / bucket))
+    j = c.join(b, ["video_id", "_b"]).where("frame_idx >= _f0 and frame_idx <= _f1")
     best = peak(j, [*keys, "clip_ord"], min_speed, max_gap)
     at = best.join(clips, [*keys, "clip_ord"]).withColumn("at", F.col("out_start") + F.col("frame_idx") / fps - F.col("t0"))
     w = Window.partitionBy(*keys).orderBy(F.desc("speed"), "clip_ord", "frame_idx")

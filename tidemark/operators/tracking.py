@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.assignment import max_assignment
 from tidemark.functions.geometry import box, box_area, iou
+from tidemark.session import materialize
 
 FRAME = ["video_id", "frame_idx"]
 IOU = 0.5
@@ -21,16 +22,6 @@ IOU = 0.5
 FRAMES_PER_GROUP = 64
 
 
-def _by_frame(pdf: pd.DataFrame):
-    """(frame, rows) in order of the first column, as one array of doubles a frame."""
-    rows = pdf.to_numpy(float)
-    rows = rows[np.lexsort(rows.T[::-1])] if len(rows) else rows
-    cut = np.flatnonzero(np.diff(rows[:, 0])) + 1
-    for part in np.split(rows, cut):
-        if len(part):
-            yield int(part[0, 0]), part
-
-
 def last_per_frame(frames: DataFrame) -> DataFrame:
     """Of frames listed more than once (video_id, frame_idx, ord, ...), the last."""
     w = Window.partitionBy(*FRAME).orderBy(F.desc("ord"))
@@ -55,28 +46,48 @@ def assign(gt: DataFrame, pred: DataFrame, thr: float = IOU) -> DataFrame:
 
     The threshold is applied after the assignment. Pairs without overlap add nothing to the total, so only
     overlapping pairs are looked at; a pair whose boxes overlap no other is taken as it is, and only frames
-    with contested boxes go to the solver.
+    with contested boxes go to the solver. Pairs are written once for both ways.
     """
-    pairs = iou_pairs(gt, pred)
+    columns = [*FRAME, "gt_id", "pred_id", "iou"]
     n = lambda c: F.count("*").over(Window.partitionBy(*FRAME, c))
-    pairs = pairs.withColumn("_g", n("gt_id")).withColumn("_p", n("pred_id"))
-    plain = (F.col("_g") == 1) & (F.col("_p") == 1)
+    pairs = iou_pairs(gt, pred).withColumn("_plain", (n("gt_id") == 1) & (n("pred_id") == 1))
+    pairs = materialize(pairs, "pairs")
 
     def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["frame_idx", "gt_id", "pred_id"])
+        frame, gid, pid, value = (pdf[c].to_numpy() for c in ("frame_idx", "gt_id", "pred_id", "iou"))
+        cut = np.flatnonzero(np.r_[True, frame[1:] != frame[:-1]])
         out = []
-        for frame, own in _by_frame(pdf[["frame_idx", "gt_id", "pred_id", "iou"]]):
-            g, gi = np.unique(own[:, 1], return_inverse=True)
-            p, pi = np.unique(own[:, 2], return_inverse=True)
+        for lo, hi in zip(cut, [*cut[1:], len(frame)]):
+            g, gi = np.unique(gid[lo:hi], return_inverse=True)
+            p, pi = np.unique(pid[lo:hi], return_inverse=True)
             m = np.zeros((len(g), len(p)))
-            m[gi, pi] = own[:, 3]
-            out += [(key[0], frame, int(g[i]), int(p[j]), m[i, j]) for i, j in max_assignment(m) if m[i, j] > 0]
-        return pd.DataFrame(out, columns=[*FRAME, "gt_id", "pred_id", "iou"])
+            m[gi, pi] = value[lo:hi]
+            out += [(key[0], frame[lo], g[i], p[j], m[i, j]) for i, j in max_assignment(m) if m[i, j] > 0]
+        return pd.DataFrame(out, columns=columns)
 
-    columns = [*FRAME, "gt_id", "pred_id", "iou"]
-    schema = pairs.select(columns).schema
     few_frames = F.floor(F.col("frame_idx") / FRAMES_PER_GROUP)
-    hard = pairs.where(~plain).select(columns).groupBy("video_id", few_frames).applyInPandas(solve, schema)
-    return pairs.where(plain).select(columns).unionByName(hard).where(F.col("iou") >= thr)
+    hard = pairs.where("not _plain").select(columns)
+    hard = hard.groupBy("video_id", few_frames).applyInPandas(solve, hard.schema)
+    return pairs.where("_plain").select(columns).unionByName(hard).where(F.col("iou") >= thr)
+
+
+def written(gt: DataFrame, pred: DataFrame, frames: DataFrame) -> DataFrame:
+    """Both sides' boxes and the labelled frames as one written table, so that each source is read once: video_id, side (0
+    a frame, 1 ground truth, 2 prediction), frame_idx, ord (the track number where a side has none), track_id, x, y, w, h."""
+
+    def side(df, s):
+        order = "ord" if "ord" in df.columns else "track_id"
+        return df.select("video_id", F.lit(s).alias("side"), F.col("frame_idx").cast("long").alias("frame_idx"), F.col(order).cast("long").alias("ord"), F.col("track_id").cast("long").alias("track_id"), *[F.col(c).cast("double").alias(c) for c in "xywh"])
+
+    zero = F.lit(0.0)
+    marks = frames.select("video_id", "frame_idx", F.lit(0).alias("track_id"), *[zero.alias(c) for c in "xywh"]).distinct()
+    return materialize(side(marks, 0).unionByName(side(gt, 1)).unionByName(side(pred, 2)), "boxes")
+
+
+def _side(rows: DataFrame, side: int, on_labelled: bool = False) -> DataFrame:
+    own = rows.where(F.col("side") == side)
+    return labelled(own, rows.where("side = 0")) if on_labelled else own
 
 
 def miss_counts(gt: DataFrame, pred: DataFrame, frames: DataFrame, thr: float = IOU) -> DataFrame:
@@ -137,30 +148,76 @@ class _Correspondence:
 def clear_mot(gt: DataFrame, pred: DataFrame, frames: DataFrame, thr: float = IOU) -> DataFrame:
     """Per video: fp, fn, idsw, fragmentation, over labelled frames in order.
 
-    A ground-truth track first keeps the prediction it last had, if that still overlaps enough; the rest are
-    assigned. The state of a video is sequential, so a video is one task's group; its boxes without their
-    frames' images are small.
+    A ground-truth track, in order of ``ord`` where there is one, first keeps the prediction it last had, if that still
+    overlaps enough; the rest are assigned. The state of a video is sequential: its frames go through one task in
+    order, one frame at a time, however many there are.
     """
-    side = lambda df, s: df.select("video_id", F.lit(s).alias("side"), "frame_idx", "track_id", *[F.col(c).cast("double").alias(c) for c in "xywh"])
-    marks = frames.select("video_id", F.lit(0).alias("side"), "frame_idx", F.lit(-1).cast("long").alias("track_id"), *[F.lit(0.0).alias(c) for c in "xywh"]).distinct()
-    rows = marks.unionByName(side(labelled(gt, frames), 1)).unionByName(side(labelled(pred, frames), 2))
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        state = _Correspondence(thr)
-        for _, own in _by_frame(pdf[["frame_idx", "side", "track_id", "x", "y", "w", "h"]]):
-            g, p = own[own[:, 1] == 1], own[own[:, 1] == 2]
-            state.frame(g[:, 2].astype(int).tolist(), g[:, 3:], p[:, 2].astype(int).tolist(), p[:, 3:])
-        return pd.DataFrame([(*key, state.fp, state.fn, state.switches, state.breaks)], columns=["video_id", "fp", "fn", "idsw", "fragmentation"])
-
-    kind = gt.schema["video_id"].dataType.simpleString()
-    return rows.groupBy("video_id").applyInPandas(run, f"video_id {kind}, fp long, fn long, idsw long, fragmentation long")
+    return _clear_mot(written(gt, pred, frames), thr)
+
+
+def _clear_mot(rows: DataFrame, thr: float) -> DataFrame:
+    every = rows.where("side = 0").unionByName(labelled(rows.where("side > 0"), rows.where("side = 0")))
+    ordered = every.repartition("video_id").sortWithinPartitions("video_id", "frame_idx", "side", "ord", "track_id")
+    names = ["video_id", "fp", "fn", "idsw", "fragmentation"]
+    kind = rows.schema["video_id"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        state = video = None
+        done: list[tuple] = []
+        rest = None
+
+        def frame(part) -> None:
+            nonlocal state, video
+            if state is None or part[0][0] != video:
+                close()
+                state, video = _Correspondence(thr), part[0][0]
+            side, track, box = part[1], part[2], part[3]
+            g, p = side == 1, side == 2
+            state.frame(track[g].tolist(), box[g], track[p].tolist(), box[p])
+
+        def close() -> None:
+            if state is not None:
+                done.append((video, state.fp, state.fn, state.switches, state.breaks))
+
+        def out():
+            made = pa.RecordBatch.from_arrays([pa.array([r[0] for r in done], video_type), *[pa.array([r[i] for r in done], pa.int64()) for i in range(1, 5)]], names=names)
+            done.clear()
+            return made
+
+        video_type = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            video_type = batch.column("video_id").type
+            own = [np.array(batch.column("video_id").to_pylist(), object), *[batch.column(c).to_numpy() for c in ("side", "track_id")], np.stack([batch.column(c).to_numpy() for c in "xywh"], axis=1)]
+            at = batch.column("frame_idx").to_numpy()
+            if rest is not None:
+                own, at = [np.concatenate(x) for x in zip(rest[0], own)], np.concatenate([rest[1], at])
+            cut = np.flatnonzero(np.r_[True, (own[0][1:] != own[0][:-1]) | (at[1:] != at[:-1])])
+            # the last frame may go on in the next batch
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                frame([x[lo:hi] for x in own])
+            rest = [x[cut[-1] :] for x in own], at[cut[-1] :]
+            if done:
+                yield out()
+        if rest is not None:
+            frame(rest[0])
+            close()
+            yield out()
+
+    return ordered.mapInArrow(run, f"video_id {kind}, fp long, fn long, idsw long, fragmentation long")
 
 
 def identity_counts(gt: DataFrame, pred: DataFrame, frames: DataFrame, thr: float = IOU) -> DataFrame:
     """Per video: idtp, idfp, idfn, idf1. Tracks are paired once for the whole video so that the frames in which the
     pairs match are most; pairing, not frames, goes to the solver. Nothing on either side scores 1."""
-    p = labelled(pred, frames)
-    hits = assign(gt, p, thr).groupBy("video_id", "gt_id", "pred_id").agg(F.count("*").alias("n"))
+    return _identity_counts(written(gt, pred, frames), thr)
+
+
+def _identity_counts(rows: DataFrame, thr: float) -> DataFrame:
+    hits = assign(_side(rows, 1), _side(rows, 2, True), thr).groupBy("video_id", "gt_id", "pred_id").agg(F.count("*").alias("n"))
 
     def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
         gi, g = pd.factorize(pdf.gt_id)
@@ -169,10 +226,12 @@ def identity_counts(gt: DataFrame, pred: DataFrame, frames: DataFrame, thr: floa
         m[gi, pi] = pdf.n
         return pd.DataFrame([(*key, int(round(sum(m[i, j] for i, j in max_assignment(m)))))], columns=["video_id", "idtp"])
 
-    kind = gt.schema["video_id"].dataType.simpleString()
+    kind = rows.schema["video_id"].dataType.simpleString()
     best = hits.groupBy("video_id").applyInPandas(solve, f"video_id {kind}, idtp long")
-    count = lambda df, name: df.groupBy("video_id").agg(F.count("*").alias(name))
-    out = frames.select("video_id").distinct().join(count(gt, "g"), "video_id", "left").join(count(p, "p"), "video_id", "left").join(best, "video_id", "left").fillna(0, ["g", "p", "idtp"])
+    # one pass counts both sides; a prediction counts on labelled frames
+    marks = rows.where("side = 0").select(*FRAME, F.lit(True).alias("_l"))
+    n = rows.join(marks, FRAME, "left").groupBy("video_id").agg(F.count_if(F.col("side") == 1).alias("g"), F.count_if((F.col("side") == 2) & F.col("_l")).alias("p"), F.max((F.col("side") == 0).cast("int")).alias("_any")).where("_any = 1")
+    out = n.join(best, "video_id", "left").fillna(0, ["idtp"])
     f1 = F.when(F.col("g") + F.col("p") > 0, 2 * F.col("idtp") / (F.col("g") + F.col("p"))).otherwise(F.lit(1.0))
     return out.select("video_id", "idtp", (F.col("p") - F.col("idtp")).alias("idfp"), (F.col("g") - F.col("idtp")).alias("idfn"), f1.alias("idf1"))
 
@@ -183,9 +242,10 @@ def _ratio(top, bottom, empty):
 
 def evaluate_tracking(gt: DataFrame, pred: DataFrame, frames: DataFrame, thr: float = IOU) -> DataFrame:
     """Per video: num_gt, num_pred (all frames), fp, fn, idsw, fragmentation, mota, miss_rate, idf1."""
-    count = lambda df, name: df.groupBy("video_id").agg(F.count("*").alias(name))
-    out = clear_mot(gt, pred, frames, thr).join(identity_counts(gt, pred, frames, thr).select("video_id", "idf1"), "video_id")
-    out = out.join(count(gt, "num_gt"), "video_id", "left").join(count(pred, "num_pred"), "video_id", "left").fillna(0, ["num_gt", "num_pred"])
+    rows = written(gt, pred, frames)
+    out = _clear_mot(rows, thr).join(_identity_counts(rows, thr).select("video_id", "idf1"), "video_id")
+    n = rows.groupBy("video_id").agg(F.count_if(F.col("side") == 1).alias("num_gt"), F.count_if(F.col("side") == 2).alias("num_pred"))
+    out = out.join(n, "video_id")
     bad = F.col("fn") + F.col("fp") + F.col("idsw")
     return out.withColumn("mota", F.lit(1.0) - _ratio(bad, F.col("num_gt"), 0)).withColumn("miss_rate", _ratio(F.col("fn"), F.col("num_gt"), 0))
 
@@ -249,14 +309,19 @@ def span_box(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return e.select(*keys, ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
 
 
-def segment_evidence(segments: DataFrame, boxes: DataFrame, motion: DataFrame, fps: float = 30.0, min_coverage: float = 0.25) -> DataFrame:
+def segment_evidence(segments: DataFrame, boxes: DataFrame, motion: DataFrame, fps: float = 30.0, min_coverage: float = 0.25, bucket: int | None = None) -> DataFrame:
     """Segments (video_id, ord, start, end, action) with ``coverage`` (share of their frames that have a box),
-    ``mean_motion`` (0 without samples) and ``uncertain`` (no action, or too little coverage)."""
+    ``mean_motion`` (0 without samples) and ``uncertain`` (no action, or too little coverage).
+
+    Frames meet segments by runs of ``bucket`` frames, by default the segments' mean length."""
     s = segments.withColumn("_f0", (F.col("start") * fps).cast("int")).withColumn("_f1", (F.col("end") * fps).cast("int"))
-    ident = s.select("video_id", "ord", "_f0", "_f1")
+    bucket = bucket or max(1, int(s.agg(F.avg(F.col("_f1") - F.col("_f0"))).first()[0] or 1))
+    run = lambda c: F.floor(F.col(c) / bucket)
+    ident = s.where("_f0 < _f1").select("video_id", "ord", "_f0", "_f1", F.explode(F.sequence(run("_f0"), F.floor((F.col("_f1") - 1) / bucket))).alias("_b"))
     inside = (F.col("frame_idx") >= F.col("_f0")) & (F.col("frame_idx") < F.col("_f1"))
-    n = ident.join(boxes.select(*FRAME).distinct(), "video_id").where(inside).groupBy("video_id", "ord").agg(F.count("*").alias("_n"))
-    m = ident.join(motion, "video_id").where(inside).groupBy("video_id", "ord").agg(F.avg("motion").alias("mean_motion"))
+    met = lambda df: ident.join(df.withColumn("_b", run("frame_idx")), ["video_id", "_b"]).where(inside).groupBy("video_id", "ord")
+    n = met(boxes.select(*FRAME).distinct()).agg(F.count("*").alias("_n"))
+    m = met(motion).agg(F.avg("motion").alias("mean_motion"))
     out = s.join(n, ["video_id", "ord"], "left").join(m, ["video_id", "ord"], "left").fillna(0, ["_n", "mean_motion"])
     cover = F.col("_n") / F.greatest(F.lit(1), F.col("_f1") - F.col("_f0"))
     return out.withColumn("coverage", cover).withColumn("uncertain", F.col("action").isNull() | (F.col("coverage") < min_coverage)).drop("_f0", "_f1", "_n")
