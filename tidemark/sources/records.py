@@ -6,10 +6,12 @@ from __future__ import annotations
 import io
 import wave
 
+import numpy as np
 import pandas as pd
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 DETECTION = "track_id:bigint,bbox:array<double>,conf:double,cls:string"
@@ -20,8 +22,14 @@ MATCHES = "matches array<struct<phrase_id:bigint,source:string,start_t:double,en
 REID = "mapping map<string,bigint>, interventions array<struct<track_id:bigint,t:double,reason:string>>, relink_evidence map<string,struct<sim:double,anchor:bigint,auto:boolean>>"
 
 
-def _video(suffix: str):
-    return F.regexp_replace(F.col("_metadata.file_name"), f"{suffix}$", "").alias("video_id")
+def video_of(suffix: str):
+    """The video a row belongs to: of a folder ``video_id=...``, as :func:`write_json` makes them, else of the file's name."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "/video_id=([^/]*)/[^/]*$", 1)
+    return F.when(folder != "", folder).otherwise(F.regexp_replace(F.col("_metadata.file_name"), f"{suffix}$", "")).alias("video_id")
+
+
+def _columns(schema: str) -> list[str]:
+    return StructType.fromDDL(schema).fieldNames()
 
 
 def _required(df: DataFrame, *columns: str) -> DataFrame:
@@ -33,7 +41,7 @@ def _required(df: DataFrame, *columns: str) -> DataFrame:
 
 def read_frames(spark: SparkSession, path: str, suffix: str = "_m1.jsonl") -> DataFrame:
     """One row a line: video_id, frame_idx, t, detections; blank lines are skipped, a broken line fails the read."""
-    raw = spark.read.schema(FRAMES).option("mode", "FAILFAST").json(path).select(_video(suffix), "*")
+    raw = spark.read.schema(FRAMES).option("mode", "FAILFAST").json(path).select(video_of(suffix), *_columns(FRAMES))
     return _required(raw, "frame_idx").withColumn("detections", F.coalesce("detections", F.array().cast(f"array<struct<{DETECTION}>>")))
 
 
@@ -61,7 +69,7 @@ def write_json(df: DataFrame, path: str, by: str | None = "video_id") -> None:
 
 
 def _documents(spark, path, schema, suffix):
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).select(_video(suffix), "*")
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).select(video_of(suffix), *_columns(schema))
 
 
 def read_segments(spark: SparkSession, path: str, suffix: str = "_m3.json") -> DataFrame:
@@ -108,12 +116,12 @@ def read_annotations(spark: SparkSession, path: str, fps: float = 30.0, labels:
     A keyframe of any track and label marks its frame as labelled; boxes are keyframes with a wanted label that
     aren't outside. With ``target`` boxes are scaled from the annotated size, which must then be given.
     """
-    tracks = spark.read.format("xml").option("rowTag", "track").schema(TRACK_XML).load(path).select(_video(".xml"), "*")
+    tracks = spark.read.format("xml").option("rowTag", "track").schema(TRACK_XML).load(path).select(video_of(".xml"), *_columns(TRACK_XML))
     keys = tracks.select("video_id", F.col("_id").alias("track_id"), F.col("_label").alias("cls"), F.explode("box").alias("b")).where("b._keyframe = 1")
     frames = keys.select("video_id", F.col("b._frame").alias("frame_idx")).distinct().withColumn("t", F.col("frame_idx") / fps)
     boxes = keys.where((F.coalesce("b._outside", F.lit(0)) != 1) & F.col("cls").isin(*labels))
     if target:
-        size = spark.read.format("xml").option("rowTag", "original_size").schema("width int, height int").load(path).select(_video(".xml"), "width", "height")
+        size = spark.read.format("xml").option("rowTag", "original_size").schema("width int, height int").load(path).select(video_of(".xml"), "width", "height")
         boxes = boxes.join(size, "video_id", "left")
         known = F.when(F.col("width").isNotNull() & F.col("height").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.lit("the annotated size is not given")).cast("boolean"))
         boxes = boxes.where(known).withColumn("sx", F.lit(float(target[0])) / F.col("width")).withColumn("sy", F.lit(float(target[1])) / F.col("height"))
@@ -146,8 +154,9 @@ def one_per_stem(files: DataFrame) -> DataFrame:
     return files.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def read_wavs(spark: SparkSession, path: str) -> DataFrame:
-    """path, sample_rate, samples of 16-bit PCM files; other widths raise."""
+def read_wavs(spark: SparkSession, path: str, with_samples: bool = False) -> DataFrame:
+    """path, sample_rate, samples (their number) of 16-bit PCM files; other widths raise. ``with_samples`` adds ``pcm``, the
+    samples themselves as shares of full scale, channels in turn."""
 
     def run(batches):
         for pdf in batches:
@@ -156,10 +165,12 @@ def read_wavs(spark: SparkSession, path: str) -> DataFrame:
                 with wave.open(io.BytesIO(data)) as f:
                     if f.getsampwidth() != 2:
                         raise ValueError(f"{p}: not 16-bit PCM")
-                    rows.append((p, f.getframerate(), f.getnframes()))
-            yield pd.DataFrame(rows, columns=["path", "sample_rate", "samples"])
+                    pcm = np.frombuffer(f.readframes(f.getnframes()), "<i2") / 32768 if with_samples else None
+                    rows.append((p, f.getframerate(), f.getnframes(), *([pcm] if with_samples else [])))
+            yield pd.DataFrame(rows, columns=["path", "sample_rate", "samples", *(["pcm"] if with_samples else [])])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, sample_rate int, samples long")
+    schema = "path string, sample_rate int, samples long" + ", pcm array<double>" * with_samples
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
 
 
 def with_fps(videos: DataFrame, maps: DataFrame, default: float = 30.0) -> DataFrame:

@@ -12,13 +12,23 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.identity import _Clusters
 from tidemark.operators.store import Store, upsert
-from tidemark.sources.records import FRAMES
+from tidemark.session import scratch_path
+from tidemark.sources.records import FRAMES, video_of
 
 
 def stream_frames(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """Frame lines as they arrive in a folder."""
+    """Frame lines as they arrive in a folder: video_id, frame_idx, t, detections."""
     raw = spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", files_per_trigger).json(path)
-    return raw.select(F.regexp_replace(F.col("_metadata.file_name"), r"_m1\.jsonl$", "").alias("video_id"), "*")
+    return raw.select(video_of(r"_m1\.jsonl"), "frame_idx", "t", "detections")
+
+
+def collected(stream: DataFrame, label: str) -> DataFrame:
+    """What a stream of append mode gives for the files that are there now, as a table in the shared folder."""
+    spark = stream.sparkSession
+    path = scratch_path(spark, label)
+    run = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 def stream_sessions(events: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:
