@@ -179,6 +179,22 @@ def confident(track, sim, margin):
     return track.isNotNull() & (sim >= TAU_SIM) & (margin >= TAU_MARGIN)
 
 
+def match_videos(boxes: DataFrame, candidates: DataFrame, refs: DataFrame, samples: DataFrame) -> DataFrame:
+    """For each video the track that is most like the references: video_id, track, tracks (its pieces), sim, margin.
+
+    ``boxes`` has video_id, frame_idx, track_id, cls; ``candidates`` (video_id, track_id) are the tracks in question;
+    ``samples`` (video_id, track_id, v) are vectors of their crops, pooled here; ``refs`` (v) are the few references. Only
+    dogs' boxes count. Videos none of whose candidates has a vector aren't listed.
+    """
+    from tidemark.functions.vectors import mean_pool
+
+    key = ["video_id", "track_id"]
+    own = boxes.where(F.col("cls") == "dog").join(candidates.select(key).distinct(), key, "left_semi")
+    mean = mean_pool(samples.join(candidates.select(key).distinct(), key, "left_semi"), key, "v").withColumnRenamed("pooled", "v")
+    sim = reference_similarity(mean, refs, key)
+    return fragments(sim.join(frame_sets(own), key, "left").withColumn("frames", F.coalesce("frames", F.array().cast("array<bigint>"))))
+
+
 def donor_cuts(boxes: DataFrame, margins: DataFrame, step: int = 15, per_video: int = 6) -> DataFrame:
     """Candidate cuts (video_id, frame_idx, margin, motion) of subject boxes: every ``step``-th frame of a video in order,
     motion the centre's shift since the one before over that box's larger side, the livelier ``per_video`` of each."""

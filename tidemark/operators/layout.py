@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.geometry import occupancy, rect, rect_overlap
-from tidemark.functions.text import DWELL, MIN_SHOW, READ_CPS, TITLE_DWELL, required_secs
+from tidemark.functions.text import DWELL, MIN_SHOW, READ_CPS, TITLE_DWELL, fixed_width, required_secs, wrap
 from tidemark.operators.timeline import busy, free
 
 # Region orders, neighbours, limits and type sizes.
@@ -208,3 +208,101 @@ def schedule_texts(texts: DataFrame, k: int = CONCURRENT) -> DataFrame:
         return pd.DataFrame(out, columns=["plan_id", "text_idx", "start", "end"])
 
     return texts.groupBy("plan_id").applyInPandas(run, f"plan_id {kind}, text_idx int, start double, end double")
+
+
+def _text_rects(text: str, width: int, height: int, advance: float) -> dict[str, tuple]:
+    """Where a short text would stand, by region: its padded rectangle."""
+    size = type_size(width, "copy")
+    line_h, step = float(size), advance * size
+    foot = float(max(30, height // 12))
+    out = {}
+    for pos in SHOUT_ORDER:
+        lines = wrap(text, fixed_width(step), line_limit(pos, width))
+        w, h = max((len(x) for x in lines), default=0) * step, len(lines) * line_h + max(0, len(lines) - 1) * (line_h // 4)
+        if "-" in pos:
+            x = width * 0.05 if pos.endswith("left") else width * 0.95 - w
+            y = height * (0.18 if pos == "top-right" else 0.10) if pos.startswith("top") else height - foot - h
+        else:
+            middle = width * (0.28 if pos == "left" else 0.72)
+            x, y = min(max(middle - w / 2, 24.0), width - w - 24), height / 2 - h / 2
+        out[pos] = (x - 18, y - 14, x + w + 18, y + h + 18)
+    return out
+
+
+def _crowds(a: str, b: str) -> bool:
+    """:func:`adjacent` of two region names."""
+    side, corner = (a, b) if "-" in b else (b, a)
+    return a == b or ("-" in corner and "-" not in side and side in corner.split("-"))
+
+
+def _shared(a: tuple, b: tuple) -> float:
+    return max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+
+
+def _cover(r: tuple, boxes: list[tuple]) -> float:
+    area = (r[2] - r[0]) * (r[3] - r[1])
+    return max((_shared(r, b) / area for b in boxes), default=0.0) if area > 0 else 0.0
+
+
+def _beside(text: str, boxes: list[tuple], width: int, height: int, advance: float) -> tuple | None:
+    """The text's rectangle on the roomier side of the subject's median box, at its face; None without the room."""
+    if not boxes:
+        return None
+    x1, y1, x2, y2 = np.median(np.array(boxes, float), axis=0)
+    edge = width * 0.03 + 24
+    right, left = width - x2 - edge, x1 - edge
+    room = max(right, left)
+    if room < width * 0.20:
+        return None
+    size = type_size(width, "copy")
+    lines = wrap(text, fixed_width(advance * size), room)
+    w, h = max((len(x) for x in lines), default=0) * advance * size, len(lines) * size + max(0, len(lines) - 1) * (size // 4)
+    face = y1 + 0.35 * (y2 - y1)
+    x = x2 + width * 0.03 if right >= left else x1 - width * 0.03 - w
+    y = min(max(face - h / 2, 24.0), height - h - 24)
+    return x - 18, y - 14, x + w + 18, y + h + 18
+
+
+def place_texts(texts: DataFrame, placed: DataFrame, boxes: DataFrame, width: int, height: int, advance: float = 0.55, k: int = CONCURRENT) -> DataFrame:
+    """Windows and places of all short texts of each plan: plan_id, text_idx, start, end, pos (null beside the subject), r.
+
+    ``texts`` is as for :func:`schedule_texts` with ``pos`` (a region that was asked for, or null); ``placed`` (plan_id,
+    pos, r, start, end) are titles and captions that stand already; ``boxes`` (plan_id, text_idx, r) are the subject's
+    rectangles while a text may show. Texts come one after another: each takes its window, then the region asked for
+    if that is free, else a place beside the subject, else the first free region that the subject covers least, and
+    is dropped if there is none. What stands at the same time in the same or a neighbouring region, or would be
+    overlapped, isn't free. Types are as wide as ``advance`` of their size. A plan holds a few texts, so it is a group.
+    """
+    kind = texts.schema["plan_id"].dataType.simpleString()
+    windows = schedule_texts(texts, k)
+    mine = texts.select("plan_id", "text_idx", "text", "pos").join(windows, ["plan_id", "text_idx"])
+    around = boxes.groupBy("plan_id", "text_idx").agg(F.collect_list("r").alias("boxes"))
+    held = placed.groupBy("plan_id").agg(F.collect_list(F.struct("pos", "r", "start", "end")).alias("held"))
+    rows = mine.join(around, ["plan_id", "text_idx"], "left").join(held, "plan_id", "left")
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        corners = lambda r: tuple(r[c] for c in ("x1", "y1", "x2", "y2"))
+        some = lambda x: [] if x is None else list(x)
+        standing, out = [], []
+        for row in pdf.sort_values("text_idx").itertuples():
+            standing = standing or [(h["pos"], corners(h["r"]), h["start"], h["end"]) for h in some(row.held)]
+            now = [(pos, r) for pos, r, s, e in standing if min(e, row.end) > max(s, row.start)]
+            subject = [corners(r) for r in some(row.boxes)]
+            rects = _text_rects(row.text, width, height, advance)
+            free = [p for p in SHOUT_ORDER if not any(q and _crowds(p, q) for q, _ in now) and not any(_shared(rects[p], r) > 0 for _, r in now)]
+            side = _beside(row.text, subject, width, height, advance)
+            if row.pos in free:
+                pos, r = row.pos, rects[row.pos]
+            elif side and _cover(side, subject) <= OCCUPIED and not any(_shared(side, r) > 0 for _, r in now):
+                pos, r = None, side
+            elif free:
+                cover = {p: _cover(rects[p], subject) for p in free}
+                pos = next((p for p in free if cover[p] <= OCCUPIED), min(free, key=lambda p: cover[p]))
+                r = rects[pos]
+            else:
+                continue
+            standing.append((pos, r, row.start, row.end))
+            out.append((*key, row.text_idx, row.start, row.end, pos, dict(zip(("x1", "y1", "x2", "y2"), r))))
+        return pd.DataFrame(out, columns=["plan_id", "text_idx", "start", "end", "pos", "r"])
+
+    return rows.groupBy("plan_id").applyInPandas(run, f"plan_id {kind}, text_idx int, start double, end double, pos string, r struct<x1:double,y1:double,x2:double,y2:double>")
