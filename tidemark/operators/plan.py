@@ -248,25 +248,43 @@ def eligible(select: Column, group: Column, action: Column, conf: Column, uncert
     return F.when(select == SELECT_TRICK, trick).otherwise(plain)
 
 
-def candidates(blocks: DataFrame, allowed: DataFrame, segments: DataFrame, presence: DataFrame, used: DataFrame) -> DataFrame:
-    """Per block and source the longest stretch that may be shown: plan_id, block_idx, source, src_ord, t0, t1.
+def pieces(kinds: DataFrame, segments: DataFrame, presence: DataFrame) -> DataFrame:
+    """What of each source suits each kind of block, whatever has been shown: source, select, exempt, ord, lo, hi, and
+    ``rank``, the longest first and of equally long ones the first.
 
-    Eligible segments lose what the plan has ``used`` (plan_id, source, start, end); certain ones are cut to the
-    times the subject is there (``presence``: source, start, end), where anything is known of that; pieces
-    under 0.6 s don't count. The first of equally long ones is taken.
+    ``kinds`` has source, select, exempt. Eligible segments that are certain are cut to the times the subject is there
+    (``presence``: source, start, end), where anything is known of that; pieces under 0.6 s don't count.
     """
+    kind = ["source", "select", "exempt"]
     ok = eligible(F.col("select"), F.col("group"), F.col("action"), F.col("conf"), F.col("uncertain"), F.col("exempt"))
-    s = blocks.select("plan_id", "block_idx", "select").join(allowed, ["plan_id", "block_idx"]).join(segments, "source").where(ok)
-    ident = ["block_idx", "src_ord", "ord", "uncertain"]
-    left = subtract(s.select("plan_id", "source", *ident, "start", "end"), used, ["plan_id", "source"], ident, MIN_CLIP)
     known = presence.select("source").distinct().withColumn("_known", F.lit(True))
-    left = left.join(known, "source", "left").withColumn("_cut", F.coalesce("_known", F.lit(False)) & ~F.coalesce("uncertain", F.lit(False)))
-    names = ["plan_id", "block_idx", "source", "src_ord", "ord", "lo", "hi"]
-    whole = left.where(~F.col("_cut")).select(names)
-    part = clip(left.where("_cut").select(*names[:5], F.col("lo").alias("start"), F.col("hi").alias("end")), presence, ["source"])
-    pieces = whole.unionByName(part.select(names)).where(F.col("hi") - F.col("lo") >= MIN_CLIP)
-    w = Window.partitionBy("plan_id", "block_idx", "source").orderBy(F.desc(F.col("hi") - F.col("lo")), "ord", "lo")
-    return pieces.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("plan_id", "block_idx", "source", "src_ord", F.col("lo").alias("t0"), F.col("hi").alias("t1"))
+    s = kinds.join(segments, "source").where(ok).join(known, "source", "left").withColumn("_cut", F.coalesce("_known", F.lit(False)) & ~F.coalesce("uncertain", F.lit(False)))
+    s = s.select(*kind, "ord", "start", "end", "_cut")
+    whole = s.where("not _cut").select(*kind, "ord", F.col("start").alias("lo"), F.col("end").alias("hi"))
+    part = clip(s.where("_cut").drop("_cut"), presence, ["source"]).select(*kind, "ord", "lo", "hi")
+    out = whole.unionByName(part).where(F.col("hi") - F.col("lo") >= MIN_CLIP)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*kind).orderBy(F.desc(F.col("hi") - F.col("lo")), "ord", "lo")))
+
+
+def candidates(wanted: DataFrame, stock: DataFrame, used: DataFrame, bucket: float = 10.0) -> DataFrame:
+    """Per block and source the longest stretch that may be shown: plan_id, block_idx, source, src_ord, t0, t1.
+
+    ``wanted`` has plan_id, block_idx, source, src_ord, select, exempt, ``stock`` is of :func:`pieces`, and ``used``
+    (plan_id, source, start, end) what the plan has shown. The longest is the first piece by rank that nothing used
+    meets, or a longer rest of one that is met; so with n pieces met only the first n + 1 are looked at.
+    """
+    kind, block = ["source", "select", "exempt"], ["plan_id", "block_idx", "source"]
+    cut = lambda df, lo, hi: df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket))))
+    near = wanted.join(used, ["plan_id", "source"])
+    met = cut(near, "start", "end").join(cut(stock, "lo", "hi"), [*kind, "_b"]).where(F.least("hi", "end") > F.greatest("lo", "start"))
+    met = met.select(*block, "src_ord", "ord", "rank", F.col("lo").alias("start"), F.col("hi").alias("end")).distinct()
+    rest = subtract(met, used, ["plan_id", "source"], ["block_idx", "src_ord", "ord", "rank"], MIN_CLIP)
+    n = met.groupBy(*block).agg(F.count("*").alias("_n"))
+    tried = wanted.join(n, block, "left").withColumn("rank", F.explode(F.sequence(F.lit(1), (F.coalesce("_n", F.lit(0)) + 1).cast("int"))))
+    whole = tried.join(met.select(*block, "rank"), [*block, "rank"], "left_anti").join(stock, [*kind, "rank"])
+    names = [*block, "src_ord", "ord", "lo", "hi"]
+    best = F.min_by(F.struct("lo", "hi"), F.struct(F.col("lo") - F.col("hi"), "ord", "lo")).alias("x")
+    return whole.select(names).unionByName(rest.select(names)).groupBy(*block, "src_ord").agg(best).select(*block, "src_ord", F.col("x.lo").alias("t0"), F.col("x.hi").alias("t1"))
 
 
 def choose_clips(blocks: DataFrame, cands: DataFrame) -> DataFrame:
@@ -300,10 +318,12 @@ def compile_plans(blocks: DataFrame, sources: DataFrame, tags: DataFrame, segmen
     allowed = materialize(reserve(block_sources(blocks, sources, tags)), "allowed-sources")
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     done = spark.createDataFrame([], f"plan_id {kind(blocks, 'plan_id')}, block_idx {kind(blocks, 'block_idx')}, source {kind(sources, 'source')}, src_ord {kind(sources, 'src_ord')}, t0 double, t1 double")
+    wanted = materialize(blocks.select("plan_id", "block_idx", "select").join(allowed, ["plan_id", "block_idx"]), "wanted-sources")
+    stock = materialize(pieces(wanted.select("source", "select", "exempt").distinct(), segments, presence), "pieces")
     old: list[str] = []
     for i in range(max_blocks):
         own, now = blocks.where(F.col("block_idx") == i), []
-        new = choose_clips(own, candidates(own, allowed.where(F.col("block_idx") == i), segments, presence, _as_used(done)))
+        new = choose_clips(own, candidates(wanted.where(F.col("block_idx") == i), stock, _as_used(done)))
         done = materialize(done.unionByName(new), f"clips-{i}", now)
         discard(spark, old)
         old = now
