@@ -30,8 +30,8 @@ BACKOFF = 0.4
 HEAVY_SHARE = 1 / 65_536
 #: Documents of that sample: those with the smallest hash of the id. It decides which rows travel, not what is counted.
 SAMPLE_DOCS = 4096
-#: Bytes whose words are hashed at a time.
-CHUNK = 1 << 18
+#: Bytes whose words are hashed at a time, and bytes of texts whose n-grams are held at a time: each takes tens of bytes.
+CHUNK, SLICE = 1 << 18, 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -123,7 +123,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _each_slice(batches, column: str = "t"):
     for batch in batches:
-        for part in sliced(batch, column):
+        for part in sliced(batch, column, SLICE):
             yield part, Grams(part.column(column))
 
 
