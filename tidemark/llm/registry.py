@@ -94,14 +94,22 @@ def op10(spark, sf_dir):
     return search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query("op12_shards")
+def op12(spark, sf_dir):
+    from tidemark.llm.sharding import shard_table
+
+    return shard_table(table(spark, sf_dir, "documents"))
+
+
 def _oracles() -> None:
-    from tidemark.llm import ann, licenses, lm, mixing, warc
+    from tidemark.llm import ann, licenses, lm, mixing, sharding, warc
 
     ORACLE["op5_licenses"] = licenses.oracle()
     ORACLE["op6_lm"] = lm.oracle()
     ORACLE["op7_warc"] = warc.oracle()
     ORACLE["op10_nearest"] = ann.oracle()
     ORACLE["op8_mixing"] = mixing.oracle()
+    ORACLE["op12_shards"] = sharding.oracle()
 
 
 _oracles()
