@@ -43,7 +43,7 @@ def test_partitioning_does_not_matter(docs):
 
 
 def test_balance_and_slots(spark):
-    df = spark.range(3000).selectExpr("id doc_id", "repeat('ab ', int(id % 90)) text")
+    df = spark.range(800).selectExpr("id doc_id", "repeat('ab ', int(id % 90)) text")
     got = S.assign_shards(df, 8).collect()
     size, slots = Counter(), {}
     for r in got:

@@ -94,6 +94,13 @@ def op10(spark, sf_dir):
     return search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query("op11_compaction")
+def op11(spark, sf_dir):
+    from tidemark.llm.compaction import compaction_table
+
+    return compaction_table(table(spark, sf_dir, "documents"))
+
+
 @query("op12_shards")
 def op12(spark, sf_dir):
     from tidemark.llm.sharding import shard_table
@@ -102,13 +109,14 @@ def op12(spark, sf_dir):
 
 
 def _oracles() -> None:
-    from tidemark.llm import ann, licenses, lm, mixing, sharding, warc
+    from tidemark.llm import ann, compaction, licenses, lm, mixing, sharding, warc
 
     ORACLE["op5_licenses"] = licenses.oracle()
     ORACLE["op6_lm"] = lm.oracle()
     ORACLE["op7_warc"] = warc.oracle()
     ORACLE["op10_nearest"] = ann.oracle()
     ORACLE["op8_mixing"] = mixing.oracle()
+    ORACLE["op11_compaction"] = compaction.oracle()
     ORACLE["op12_shards"] = sharding.oracle()
 
 
