@@ -108,8 +108,15 @@ def op12(spark, sf_dir):
     return shard_table(table(spark, sf_dir, "documents"))
 
 
+@query("op13_collocations")
+def op13(spark, sf_dir):
+    from tidemark.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def _oracles() -> None:
-    from tidemark.llm import ann, compaction, licenses, lm, mixing, sharding, warc
+    from tidemark.llm import ann, collocations, compaction, licenses, lm, mixing, sharding, warc
 
     ORACLE["op5_licenses"] = licenses.oracle()
     ORACLE["op6_lm"] = lm.oracle()
@@ -118,6 +125,7 @@ def _oracles() -> None:
     ORACLE["op8_mixing"] = mixing.oracle()
     ORACLE["op11_compaction"] = compaction.oracle()
     ORACLE["op12_shards"] = sharding.oracle()
+    ORACLE["op13_collocations"] = collocations.oracle()
 
 
 _oracles()
