@@ -1,9 +1,13 @@
 """Secrets that start inside runs or behind candidates that fail; the query's columns against plain Python."""
 
+import base64
 import random
 import re
+import time
 from collections import Counter
 
+import pytest
+
 from tests.llm.test_secrets import CASES, PKCS1, PKCS8, SEC1, b64, plain_base, url, wrapped
 from tidemark.llm import registry
 from tidemark.llm import secrets as S
@@ -35,6 +39,47 @@ def test_long_runs_without_keys():
     assert found("M" * 200_000) == [] and found("eyJ" * 50_000 + ".eyJ.") == [] and found("30" * 100_000) == [] and found("MIIB" * 20_000) == []
 
 
+HEADS = b"\x30\x82\x1f\xff\x02\x01\x00\x02\x82\x10\x00" + bytes(10)
+LONG = {
+    "letters without a dot": "a" * 10**6 + " x. ey",
+    "header starts": "ey" * 500_000 + f".{url({'sub': 1})}.x",
+    "nested header": base64.urlsafe_b64encode(b'{"a":' * 150_000 + b"}").decode().rstrip("=") + f".{url({'sub': 1})}.x",
+    "key starts": "MIIf" * 250_000,
+    "key starts, wrapped": wrapped("MIIf" * 250_000, 64),
+    "key heads": b64(HEADS * 36_000),
+    "key heads, wrapped": wrapped(b64(HEADS * 36_000), 64),
+    "magic, wrapped": wrapped("b3BlbnNzaC1rZXktdjEAAAAA" * 40_000, 72),
+    "hex key starts": "3082FFFF" * 125_000,
+    "hex key heads": (HEADS * 24_000).hex().upper(),
+}
+
+
+@pytest.mark.parametrize("shape", LONG)
+def test_a_megabyte_is_read_in_linear_time(shape):
+    """Ten times the text takes about ten times as long, and no shape takes seconds; a secret behind it is still found."""
+    text = LONG[shape]
+    took = []
+    for t in (text[-(len(text) // 10) :], text):
+        began = time.process_time()
+        assert found(f"{t}\n. {TOKEN} ")[-1] == TOKEN
+        took.append(time.process_time() - began)
+    assert took[1] < 25 * max(took[0], 0.02) and took[1] < 5, took
+
+
+def test_redacting_a_long_row(spark):
+    rows = [(1, f"{LONG['key starts']} {TOKEN}", 1), (2, LONG["header starts"], 2)]
+    got = {r.doc_id: r.text for r in S.redact_documents(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
+    assert got == {1: f"{LONG['key starts']} [token]", 2: LONG["header starts"]}
+
+
+def test_only_objects_that_end_the_header_are_tried():
+    rng = random.Random(9)
+    for _ in range(3000):
+        data = "".join(rng.choices(['{', '}', '"', '"a":', "\\", "1", ",", "[", "]", " ", '{"alg":"x"}'], k=rng.randrange(1, 14))).encode()
+        want = [i for i in range(len(data)) if data[i : i + 1] == b"{" and S._json_object(base64.urlsafe_b64encode(data[i:]).decode().rstrip("=")) is not None]
+        assert set(want) <= set(S.whole_objects(data)), data
+
+
 def test_query_equals_plain_python(spark, tmp_path):
     rng = random.Random(3)
     parts = [*CASES, TOKEN, b64(PKCS1), SEC1.hex(), "prose and é more", f"eyAAAAAAAAAA.eyBBBB.{TOKEN}", "z" * 5000]
