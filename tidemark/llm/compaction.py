@@ -11,6 +11,8 @@ passes through one task, the driver or a broadcast:
   descending) find the digit at which the share is crossed, then the next digit inside that bucket, through bytes and
   key digits, until the bucket holds one group.
 * **Ranks**: counts by range are the offsets of the ranks inside the ranges.
+
+Joins go by sorted shuffles: either side grows with the number of files.
 """
 
 from __future__ import annotations
@@ -226,7 +228,7 @@ def unit_digests(rows: DataFrame, units: DataFrame) -> DataFrame:
     """(source, unit_block, unit_slot, live_sha256): SHA-256 of ``doc_id:text\\n`` over the live rows of each unit's files in
     order of doc_id, equal ids by text, a null id first and without digits. A unit's rows are read one after another."""
     live = rows.where("live").select("source", "block", "slot", "doc_id", "text")
-    moved = live.join(units.select("source", "block", "slot", "unit_block", "unit_slot"), ["source", "block", "slot"])
+    moved = live.join(units.select("source", "block", "slot", "unit_block", "unit_slot").hint("merge"), ["source", "block", "slot"])
     key = ["source", "unit_block", "unit_slot"]
     moved = moved.select(*key, "doc_id", F.col("text").cast("binary").alias("text")).repartition(*key).sortWithinPartitions(*key, "doc_id", "text")
 
@@ -266,8 +268,8 @@ def plan_compaction(files: DataFrame, capacity: int = CAPACITY, percent: int = R
     taken = ranked(taken, [F.col("n_files").desc(), *map(F.col, ("bytes", "source", "block", "slot"))], "at")
     taken = materialize(taken.select("source", "block", "slot", "n_files", "live_rows", "bytes", cost.alias("cost"), _floor_div(F.col("at"), wave).alias("wave")), "fit-taken")
     key = taken.select("source", F.col("block").alias("first_block"), F.col("slot").alias("first_slot"))
-    members = placed.select("source", "block", "slot", "first_block", "first_slot").join(key, ["source", "first_block", "first_slot"], "left_semi")
-    units = files.join(members, ["source", "block", "slot"], "left")
+    members = placed.select("source", "block", "slot", "first_block", "first_slot").join(key.hint("merge"), ["source", "first_block", "first_slot"], "left_semi")
+    units = files.join(members.hint("merge"), ["source", "block", "slot"], "left")
     own = lambda c: F.coalesce(f"first_{c}", c).alias(f"unit_{c}")
     return taken, units.select("source", "block", "slot", "live_rows", "bytes", own("block"), own("slot"), F.col("first_block").isNotNull().alias("moved"))
 
@@ -282,7 +284,7 @@ def compaction_table(docs: DataFrame) -> DataFrame:
     null = F.lit(None).cast("long")
     rest = units.where("not moved").select("source", "block", "slot", F.lit(1).cast("long").alias("n_files"), "live_rows", "bytes", null.alias("cost"), null.alias("wave"))
     digests = unit_digests(rows, units).select("source", F.col("unit_block").alias("block"), F.col("unit_slot").alias("slot"), "live_sha256")
-    out = taken.unionByName(rest).join(digests, ["source", "block", "slot"], "left")
+    out = taken.unionByName(rest).join(digests.hint("merge"), ["source", "block", "slot"], "left")
     return out.withColumn("live_sha256", F.coalesce("live_sha256", F.lit(hashlib.sha256().hexdigest())))
 
 
@@ -293,7 +295,7 @@ def compact(docs: DataFrame, path: str) -> DataFrame:
     files = materialize(file_sizes(rows), "fit-files")
     _, units = plan_compaction(files)
     key = ["source", "unit_block", "unit_slot"]
-    live = rows.where("live").join(units.select("source", "block", "slot", "unit_block", "unit_slot"), ["source", "block", "slot"])
+    live = rows.where("live").join(units.select("source", "block", "slot", "unit_block", "unit_slot").hint("merge"), ["source", "block", "slot"])
     live.select(*key, "doc_id", "text").repartition(*key).sortWithinPartitions(*key, "doc_id", "text").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
