@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tidemark.functions.assignment import max_assignment
+from tidemark.functions.assignment import max_assignment, priced_assignment
 from tidemark.operators import tracking as T
 
 BOX = "video_id string, frame_idx long, track_id long, x double, y double, w double, h double, conf double, cls string, ord long"
@@ -27,9 +28,9 @@ def test_assignment_equals_brute_force(n, m, seed, coarse):
     w = rng.integers(0, 3, (n, m)).astype(float) if coarse else rng.random((n, m))
     got = max_assignment(w)
     k = min(n, m)
-    assert len(got) == k and len({i for i, _ in got}) == k and len({j for _, j in got}) == k
+    assert len({i for i, _ in got}) == len(got) == len({j for _, j in got}) and all(w[i, j] > 0 for i, j in got)
     best = max(sum(w[i, j] for i, j in zip(rows, cols)) for rows in itertools.combinations(range(n), k) for cols in itertools.permutations(range(m), k))
-    assert abs(sum(w[i, j] for i, j in got) - best) < 1e-9
+    assert abs(sum(w[i, j] for i, j in got) - best) < 1e-8
 
 
 def test_perfect_and_missed(spark):
@@ -97,3 +98,45 @@ def test_votes_and_boxes(spark):
     assert [r.track_id for r in T.largest_box(b).collect()] == [1] and [r.track_id for r in T.surest_box(b).collect()] == [3]
     tracks = spark.createDataFrame([("v", 3)], "video_id string, track_id long")
     assert [r.track_id for r in T.largest_box(b, tracks=tracks).collect()] == [3]
+
+
+def every_assignment(w):
+    """(-total, partners by row, 99 for none) of the best assignment by trying all, the first of equals."""
+    def go(i, used):
+        if i == len(w):
+            yield 0, ()
+            return
+        for j in [*[j for j in range(w.shape[1]) if w[i, j] > 0 and j not in used], 99]:
+            for total, rest in go(i + 1, used | {j} - {99}):
+                yield total - (w[i, j] if j != 99 else 0), (j, *rest)
+
+    return min(go(0, set()))
+
+
+def test_prices_prove_the_first_best_assignment():
+    rng = np.random.default_rng(1)
+    for t in range(600):
+        n, m = rng.integers(0, 6, 2)
+        w = rng.integers(0, [2, 4, 10, 1000][t % 4], (n, m)) * (rng.random((n, m)) < 0.8)
+        pairs, a, b = priced_assignment(w)
+        total, partners = every_assignment(w)
+        assert sum(w[i, j] for i, j in pairs) == -total == a.sum() + b.sum()
+        assert (a >= 0).all() and (b >= 0).all() and (a[:, None] + b[None] >= w).all()
+        assert tuple(dict(pairs).get(i, 99) for i in range(n)) == partners, w
+
+
+def test_proof_fails_for_a_worse_choice(spark):
+    box = lambda t, x, y=0.0: (1, 0, t, x, y, 30.0, 30.0)
+    names = "video_id long, frame_idx long, track_id long, x double, y double, w double, h double"
+    gt = spark.createDataFrame([box(1, 0.0), box(2, 10.0), box(3, 500.0)], names)
+    pred = spark.createDataFrame([box(11, 8.0), box(12, 20.0), box(13, 503.0), box(14, 900.0)], names)
+    pairs, chosen = T.priced_pairs(gt, pred)
+    good = T.assignment_proof(pairs, chosen).first()
+    assert (good.n_pairs, good.broken) == (3, 0) and good.total == good.price > 0
+    worse = chosen.withColumn("pred_id", F.expr("case pred_id when 11 then 12 when 12 then 11 else pred_id end"))
+    worse = worse.drop("iou").join(pairs, ["video_id", "frame_idx", "gt_id", "pred_id"]).select(*chosen.columns)
+    bad = T.assignment_proof(pairs, worse).first()
+    assert bad.broken > 0
+    less = T.assignment_proof(pairs, chosen.where("gt_id <> 3")).first()
+    assert less.broken == 1 and T.assignment_proof(pairs, chosen.limit(0)).first().broken > 0
+    assert T.assignment_proof(*T.priced_pairs(gt.limit(0), pred)).count() == 0

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.assignment import max_assignment
+from tidemark.functions.assignment import UNIT, max_assignment, priced_assignment, units
 from tidemark.functions.geometry import box, box_area, iou
 from tidemark.session import materialize
 
@@ -41,12 +41,14 @@ def iou_pairs(gt: DataFrame, pred: DataFrame, least: float = 0.0) -> DataFrame:
     return both.where((F.col("iou") > 0) & (F.col("iou") >= least)).select(*FRAME, "gt_id", "pred_id", "iou")
 
 
-def assign(gt: DataFrame, pred: DataFrame, thr: float = IOU) -> DataFrame:
-    """Pairs of the assignment of largest total IoU in each frame that reach ``thr``; columns as :func:`iou_pairs`.
+def priced_pairs(gt: DataFrame, pred: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, chosen): the overlapping pairs as :func:`iou_pairs`, written once, and those of each frame's assignment of
+    largest total IoU, with gt_price and pred_price in billionths of IoU.
 
-    The threshold is applied after the assignment. Pairs without overlap add nothing to the total, so only
-    overlapping pairs are looked at; a pair whose boxes overlap no other is taken as it is, and only frames
-    with contested boxes go to the solver. Pairs are written once for both ways.
+    The prices prove the choice (:func:`assignment_proof`): a pair's prices add up to its IoU, boxes without a pair cost
+    nothing, and no pair's IoU exceeds its boxes' prices, so no assignment has a larger total. Totals are compared in
+    billionths; of equal ones, the first box (by gt_id) has the first partner (by pred_id) it can have. A pair whose
+    boxes overlap no other is taken as it is; only frames with contested boxes go to the solver.
     """
     columns = [*FRAME, "gt_id", "pred_id", "iou"]
     n = lambda c: F.count("*").over(Window.partitionBy(*FRAME, c))
@@ -63,13 +65,37 @@ def assign(gt: DataFrame, pred: DataFrame, thr: float = IOU) -> DataFrame:
             p, pi = np.unique(pid[lo:hi], return_inverse=True)
             m = np.zeros((len(g), len(p)))
             m[gi, pi] = value[lo:hi]
-            out += [(key[0], frame[lo], g[i], p[j], m[i, j]) for i, j in max_assignment(m) if m[i, j] > 0]
-        return pd.DataFrame(out, columns=columns)
+            chosen, a, b = priced_assignment(units(m))
+            out += [(key[0], frame[lo], g[i], p[j], m[i, j], int(a[i]), int(b[j])) for i, j in chosen]
+        return pd.DataFrame(out, columns=[*columns, "gt_price", "pred_price"])
 
     few_frames = F.floor(F.col("frame_idx") / FRAMES_PER_GROUP)
-    hard = pairs.where("not _plain").select(columns)
-    hard = hard.groupBy("video_id", few_frames).applyInPandas(solve, hard.schema)
-    return pairs.where("_plain").select(columns).unionByName(hard).where(F.col("iou") >= thr)
+    own = pairs.where("_plain").select(*columns, F.round(F.col("iou") * UNIT).cast("long").alias("gt_price"), F.lit(0).cast("long").alias("pred_price"))
+    hard = pairs.where("not _plain").select(columns).groupBy("video_id", few_frames).applyInPandas(solve, own.schema)
+    return pairs.select(columns), own.where("gt_price > 0").unionByName(hard)
+
+
+def assign(gt: DataFrame, pred: DataFrame, thr: float = IOU) -> DataFrame:
+    """Pairs of :func:`priced_pairs` that reach ``thr``; columns as :func:`iou_pairs`. The threshold is applied after the
+    assignment. Pairs without overlap add nothing to the total, so only overlapping pairs are looked at."""
+    return priced_pairs(gt, pred)[1].where(F.col("iou") >= thr).drop("gt_price", "pred_price")
+
+
+def assignment_proof(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Per frame with overlapping pairs: ``n_pairs`` chosen, ``total`` (billionths of IoU), ``price`` (of all boxes) and
+    ``broken``, the rules broken: chosen pairs that share a box or whose prices aren't their IoU, and pairs that are worth
+    more than their boxes cost. With none broken and price = total, the total is the largest there is."""
+    unit = F.round(F.col("iou") * UNIT).cast("long")
+    box = lambda c: chosen.select(*FRAME, c, F.col(f"{c[:-3]}_price"))
+    priced = pairs.join(box("gt_id"), [*FRAME, "gt_id"], "left").join(box("pred_id"), [*FRAME, "pred_id"], "left").fillna(0, ["gt_price", "pred_price"])
+    open_ = priced.groupBy(*FRAME).agg(F.count_if(unit > F.col("gt_price") + F.col("pred_price")).alias("_worth"))
+    shared = lambda c: F.count("*") - F.count_distinct(c)
+    own = chosen.groupBy(*FRAME).agg(
+        F.count("*").alias("n_pairs"), F.sum(unit).alias("total"), F.sum(F.col("gt_price") + F.col("pred_price")).alias("price"),
+        (F.count_if((unit != F.col("gt_price") + F.col("pred_price")) | (F.least("gt_price", "pred_price") < 0)) + shared("gt_id") + shared("pred_id")).alias("_own"),
+    )
+    out = open_.join(own, FRAME, "left").fillna(0, ["n_pairs", "total", "price", "_own"])
+    return out.select(*FRAME, "n_pairs", "total", "price", (F.col("_worth") + F.col("_own")).alias("broken"))
 
 
 def written(gt: DataFrame, pred: DataFrame, frames: DataFrame) -> DataFrame:
@@ -224,7 +250,8 @@ def _identity_counts(rows: DataFrame, thr: float) -> DataFrame:
         pi, q = pd.factorize(pdf.pred_id)
         m = np.zeros((len(g), len(q)))
         m[gi, pi] = pdf.n
-        return pd.DataFrame([(*key, int(round(sum(m[i, j] for i, j in max_assignment(m)))))], columns=["video_id", "idtp"])
+        _, a, b = priced_assignment(m)
+        return pd.DataFrame([(*key, int(a.sum() + b.sum()))], columns=["video_id", "idtp"])
 
     kind = rows.schema["video_id"].dataType.simpleString()
     best = hits.groupBy("video_id").applyInPandas(solve, f"video_id {kind}, idtp long")

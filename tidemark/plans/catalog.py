@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from tidemark.functions import external, geometry, text, vectors
 from tidemark.operators import identity, layout, plan, segments, store, timeline, tracking
 from tidemark.plans import projections as P
-from tidemark.plans import media, worlds  # noqa: F401 - they register their queries
+from tidemark.plans import contended, media, worlds  # noqa: F401 - the last two register their queries
 from tidemark.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 
 V = ["video_id"]
@@ -174,29 +174,35 @@ def quiet_frames(spark, d):
     return tracking.quiet_frames(P.pred_boxes(spark, d), 6000).select("video_id", F.col("bin").cast("long").alias("bin"), "frame_idx", _r("cover").alias("cover"))
 
 
-@query("assignment_match")
+@query("assignment_match", contended.ASSIGNED)
 def assignment_match(spark, d):
-    return tracking.assign(P.gt_boxes(spark, d), P.pred_boxes(spark, d))
+    return tracking.assign(P.gt_boxes(spark, d), P.pred_boxes(spark, d)).withColumn("iou", _r("iou"))
 
 
-@query("miss_counts")
+@query("assignment_proof", contended.PROVED)
+def assignment_proof(spark, d):
+    return tracking.assignment_proof(*tracking.priced_pairs(P.gt_boxes(spark, d), P.pred_boxes(spark, d)))
+
+
+@query("miss_counts", contended.MISSES)
 def miss_counts(spark, d):
     return tracking.miss_counts(P.gt_boxes(spark, d), P.pred_boxes(spark, d), P.labelled_frames(spark, d))
 
 
-@query("clear_mot")
+@query("clear_mot", contended.CLEAR_MOT)
 def clear_mot(spark, d):
     return tracking.clear_mot(P.gt_boxes(spark, d), P.switched_boxes(spark, d), P.labelled_frames(spark, d))
 
 
-@query("identity_f1")
+@query("identity_f1", contended.IDENTITY)
 def identity_f1(spark, d):
-    return tracking.identity_counts(P.gt_boxes(spark, d), P.switched_boxes(spark, d), P.labelled_frames(spark, d))
+    return tracking.identity_counts(P.gt_boxes(spark, d), P.switched_boxes(spark, d), P.labelled_frames(spark, d)).withColumn("idf1", _r("idf1"))
 
 
-@query("tracking_report")
+@query("tracking_report", contended.REPORT)
 def tracking_report(spark, d):
-    return tracking.tracking_report(tracking.evaluate_tracking(P.gt_boxes(spark, d), P.switched_boxes(spark, d), P.labelled_frames(spark, d)))
+    r = tracking.tracking_report(tracking.evaluate_tracking(P.gt_boxes(spark, d), P.switched_boxes(spark, d), P.labelled_frames(spark, d)))
+    return r.select("video_id", "num_gt", "num_pred", "fp", "fn", "idsw", "fragmentation", *[_r(c).alias(c) for c in ("idf1", "mota", "miss_rate")])
 
 
 @query("assignment_pairs_tie_free", f"""with {P.GT_SQL}, pr as (select video_id, frame_idx, track_id + 100 track_id, x + 3 x, y + pk % 5 y, w, h from (select *, 200.0::double * track_id x0 from gt) t where pk % 11 <> 0),
