@@ -82,5 +82,5 @@ def test_bound_and_automaton():
     every = {n: p.whole(n) for n in p.hashes}
     for n in (2, 3):
         every[n] &= every[n - 1][:-1] & every[n - 1][1:]
-    assert p.counts(every) == {(1, b"a"): 8, (1, b"b"): 1, (1, b"c"): 1, (2, b"a a"): 5, (2, b"b a"): 1, (3, b"a a a"): 2, (3, b"b a a"): 1}
+    assert {(n, w): c for n, w, c in zip(*p.counts(every), strict=True)} == {(1, b"a"): 8, (1, b"b"): 1, (1, b"c"): 1, (2, b"a a"): 5, (2, b"b a"): 1, (3, b"a a a"): 2, (3, b"b a a"): 1}
     assert C.Phrases([], "en", 3).words == 0 and C.Phrases([b" \n . "], "en", 3).words == 0

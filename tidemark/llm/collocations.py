@@ -6,8 +6,8 @@
 2. **Candidates.** A phrase is one where its own bound and those of all its parts reach ``min_count``. Every phrase that
    often is among them; collisions only add some.
 3. **Automata.** Texts are scanned in slices. The candidates that stand in a slice and language become one Aho-Corasick
-   automaton over the delimited phrases `` a b ``, and overlapping matches in the slice's candidate runs, with guards
-   between runs and pieces, are counted. So an automaton is bounded by its slice, nothing is broadcast but the bits,
+   automaton over delimited phrases, and overlapping matches in the slice's candidate runs, with guards between runs and
+   pieces, are counted. So an automaton is bounded by its slice, nothing is broadcast but the bits,
    and the work follows the text.
 4. Counts are summed over slices; from here on everything is exact: scores, containment, ranks.
 """
@@ -37,7 +37,7 @@ SCALE = 1_000_000
 #: Counters of the sketch and of a chunk of it. A task holds one byte a counter; one bit a counter is broadcast.
 COUNTERS, CHUNK = 1 << 26, 1 << 18
 #: Bytes of texts that are scanned at a time.
-SLICE = 8 << 20
+SLICE = 16 << 20
 #: Parts of a language whose first rows are found before those of the language.
 PARTS = 32
 
@@ -65,7 +65,9 @@ class Phrases:
         space = np.flatnonzero(read == 32)
         start, end = space[:-1] + 1, space[1:]
         guard = (end - start == 1) & (read[start] == 10)
-        self.start, self.end, self.piece = start[~guard], end[~guard], np.cumsum(guard)[~guard]
+        # places within a slice fit into 32 bits unless one text alone is larger
+        small = np.int32 if len(data) < 1 << 31 else np.int64
+        self.start, self.end, self.piece = (x[~guard].astype(small) for x in (start, end, np.cumsum(guard)))
         self.words = len(self.start)
         one = hashed_words(pa.array([data], pa.large_binary()))[0] ^ np.uint64(xxhash.xxh64_intdigest(lang))
         self.hashes = {1: _mix(one)}
@@ -94,41 +96,63 @@ class Phrases:
         data = self.data
         return [data[s:e] for s, e in zip(self.start[at].tolist(), self.end[at + n - 1].tolist(), strict=True)]
 
-    def counts(self, often: dict[int, np.ndarray]) -> Counter:
-        """(order, phrase) of candidates, how often each stands here: words by name, phrases by an automaton."""
-        out = Counter({(1, w): c for w, c in Counter(self.texts(np.flatnonzero(often[1]), 1)).items()})
-        phrases = [(n, p) for n in often if n > 1 for p in set(self.texts(np.flatnonzero(often[n]), n))]
-        if not phrases:
-            return out
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, (_, p) in enumerate(phrases):
-            automaton.add_word(f" {p.decode('latin-1')} ", i)
-        automaton.make_automaton()
-        hits = np.zeros(len(phrases), np.int64)
-        for run in self.runs(often[2]):
-            hits += np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(run.decode("latin-1"))), np.int64), minlength=len(phrases))
-        out.update({p: int(c) for p, c in zip(phrases, hits, strict=True)})
-        return out
-
-    def runs(self, pairs: np.ndarray):
-        """The candidate runs, guarded, in stretches of about a megabyte: the words that stand in a candidate pair, and so in
-        any longer candidate."""
-        covered = np.zeros(self.words, bool)
+    def counts(self, often: dict[int, np.ndarray]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """(order, phrase, how often it stands here) of the candidates: words by name, phrases by an automaton.
+
+        The automaton reads words as numbers of a fixed width: a leading character and following ones, which are kept
+        apart, so that a match starts and ends with a word; a guard stands between runs of words that aren't candidates
+        together. Words are numbered by name, so no two are mixed up.
+        """
+        at = np.flatnonzero(often[1])
+        names = self.texts(at, 1)
+        words = Counter(names)
+        number = dict(zip(words, range(len(words)), strict=True))
+        held = np.zeros(self.words, np.int64)
+        held[at] = np.fromiter(map(number.__getitem__, names), np.int64, len(names))
+        order, phrases, hits = [np.ones(len(words), np.int32)], list(words), [np.fromiter(words.values(), np.int64, len(words))]
+        del names
+        code = _digits(held, len(words))
+        automaton, rank, size = ahocorasick.Automaton(ahocorasick.STORE_INTS), held, len(words)
+        found = 0
+        for n in list(often)[1:]:
+            at = np.flatnonzero(often[n])
+            # the same prefix and the same last word: the same phrase
+            _, first, same = np.unique(rank[at] * size + held[at + n - 1], return_index=True, return_inverse=True)
+            rank = np.zeros(self.words, np.int64)
+            rank[at] = same
+            first = at[first]
+            wide, text = n * code.shape[1], code[first[:, None] + np.arange(n)].tobytes().decode("latin-1")
+            for i in range(len(first)):
+                automaton.add_word(text[i * wide : (i + 1) * wide], found + i)
+            found += len(first)
+            order.append(np.full(len(first), n, np.int32))
+            phrases += self.texts(first, n)
+        if found:
+            automaton.make_automaton()
+            hits.append(np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(self.runs(often[2], code))), np.int64), minlength=found))
+        return np.concatenate(order), phrases, np.concatenate(hits)
+
+    def runs(self, pairs: np.ndarray, code: np.ndarray) -> str:
+        """The words that stand in a candidate pair, and so all that stand in a longer candidate, with a guard before each
+        run of them."""
+        covered, joined = np.zeros(self.words, bool), np.zeros(self.words, bool)
         covered[:-1] |= pairs
         covered[1:] |= pairs
-        joined = np.zeros(self.words, bool)
         joined[1:] = pairs
-        first = np.flatnonzero(covered & ~joined)
-        last = np.flatnonzero(covered & ~np.r_[joined[1:], False])
-        held, size = [], 0
-        for s, e in zip(self.start[first].tolist(), self.end[last].tolist(), strict=True):
-            held.append(self.data[s - 1 : e + 1])
-            size += e - s
-            if size > 1 << 20:
-                yield _GUARD.join(held)
-                held, size = [], 0
-        if held:
-            yield _GUARD.join(held)
+        at = np.flatnonzero(covered)
+        wide = code.shape[1]
+        place = np.arange(len(at)) * wide + np.cumsum(~joined[at])
+        out = np.full(len(at) * wide + int((~joined[at]).sum()), _GUARD[0], np.uint8)
+        for d in range(wide):
+            out[place + d] = code[at, d]
+        return out.tobytes().decode("latin-1")
+
+
+def _digits(numbers: np.ndarray, size: int) -> np.ndarray:
+    """Numbers below ``size`` in base 64, a row each: the first digit from 64 on, the others from 128 on."""
+    wide = max(1, -(-(max(1, size) - 1).bit_length() // 6))
+    digits = [(numbers >> (6 * d)) & 63 for d in range(wide - 1, -1, -1)]
+    return np.stack([(x + (128 if i else 64)).astype(np.uint8) for i, x in enumerate(digits)], axis=1)
 
 
 def _by_lang(batches, max_words: int):
@@ -193,10 +217,11 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
 
     def scan(batches):
         for lang, p in _by_lang(batches, max_words):
-            found = p.counts(p.often(bits.value, counters))
-            found[0, b""] = p.words
-            keys = list(found)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.binary()), pa.array(list(found.values()), pa.int64())], names=["lang", "n", "phrase", "f"])
+            often = p.often(bits.value, counters)
+            p.hashes.clear()
+            order, phrases, hits = p.counts(often)
+            columns = [pa.repeat(lang, len(order) + 1), pa.array(np.r_[order, np.int32(0)]), pa.array([*phrases, b""], pa.binary()), pa.array(np.r_[hits, p.words])]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "n", "phrase", "f"])
 
     found = rows.mapInArrow(scan, "lang string, n int, phrase binary, f long").groupBy("lang", F.col("n").alias("order"), F.col("phrase").cast("string").alias("phrase")).agg(F.sum("f").alias("f"))
     out = materialize(found.where((F.col("f") >= min_count) | (F.col("order") == 0)), "phrases")
