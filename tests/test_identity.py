@@ -97,3 +97,22 @@ def test_relink_report_equals_pairs(spark):
     same = [(a, b) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] == b[2]]
     assert r.pair_precision == pytest.approx(sum(a[3] == b[3] for a, b in same) / len(same))
     assert r.taps_per_video == pytest.approx(sum(not x[4] for x in rows) / 3) and r.auto_share == pytest.approx(sum(x[4] for x in rows) / 45)
+
+
+def test_bitmaps_count_shared_frames(spark):
+    import random
+
+    rng = random.Random(3)
+    tracks = [(v, t, [rng.randrange(-200, 400) for _ in range(rng.randrange(0, 90))]) for v in range(3) for t in range(8)] + [(0, 90, None), (1, 91, [63, 64, 63]), (1, 92, [64, 65, 127, 128])]
+    df = spark.createDataFrame(tracks, "video_id long, track_id long, frames array<long>")
+    got = {(r.video_id, r.a, r.b): r.n for r in I.shared_frames(I.frame_bits(df)).collect()}
+    want = {(v, s, t): len(set(f or []) & set(g or [])) for v, s, f in tracks for w, t, g in tracks if v == w and s < t}
+    assert got == {k: n for k, n in want.items() if n}
+
+
+def test_folds_take_in_order(spark):
+    cuts = [("o", 1, f, m, s) for f, m, s in ((0, 0.5, 1.0), (10, 0.5, 0.9), (400, 0.5, 0.8), (50, None, 2.0), (900, 0.2, None))] + [("o", 2, 5, 0.5, 0.95), ("p", 1, 3, 0.1, 0.1)]
+    df = spark.createDataFrame(cuts, "owner string, video_id long, frame_idx long, margin double, motion double")
+    got = sorted((r.owner, r.pick, r.video_id, r.frame_idx) for r in I.diverse(df, ["owner"], 4).collect())
+    assert got == [("o", 1, 1, 0), ("o", 2, 2, 5), ("o", 3, 1, 400), ("o", 4, 1, 900), ("p", 1, 1, 3)]
+    assert I.diverse(df.limit(0), ["owner"]).count() == 0

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +66,13 @@ def test_numbers_longer_than_the_group_names():
 @pytest.mark.parametrize("src, want", [("3.5개", "삼 점 오개"), ("3gb", "삼gb"), ("5 kg", "오 킬로그램"), ("1.2.3kg", "일 점 이.삼 킬로그램"), ("3.kg", "삼. 킬로그램"), ("12번지", "십이번지"), ("a  b", "a b")])
 def test_what_follows_a_number(src, want):
     assert X.read_numbers(src) == want
+
+
+def test_wrapping_columns_equal_the_plain_loop(spark):
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choices("ab가i \n\t　 x", k=rng.randrange(60)))) for i in range(150)] + [(1000, None), (1001, ""), (1002, " "), (1003, "x" * 500), (1004, "a b " * 3000)]
+    df = spark.createDataFrame(rows, "i long, t string")
+    own = {"가": 20.0, "i": 4.0}
+    for limit in (5.0, 45.0, 120.0):
+        got = {r.i: r.x for r in df.select("i", X.wrap_lines(F.col("t"), limit, 10.0, own).alias("x")).collect()}
+        assert got == {i: X.wrap(t or "", lambda s: sum(own.get(c, 10.0) for c in s), limit) for i, t in rows}

@@ -140,3 +140,25 @@ def test_proof_fails_for_a_worse_choice(spark):
     less = T.assignment_proof(pairs, chosen.where("gt_id <> 3")).first()
     assert less.broken == 1 and T.assignment_proof(pairs, chosen.limit(0)).first().broken > 0
     assert T.assignment_proof(*T.priced_pairs(gt.limit(0), pred)).count() == 0
+
+
+@pytest.mark.parametrize("tile", [7.0, 256.0])
+def test_pairs_by_tiles_equal_all_pairs(spark, tile):
+    rng = np.random.default_rng(4)
+
+    def side(n, first):
+        out = [(1, f, first + i, *map(float, rng.uniform(-300, 900, 2)), *map(float, rng.uniform(-3, 60, 2))) for f in (0, 1) for i in range(n)]
+        big = [(1, 0, first + n, -30_000.0, -30_000.0, 60_000.0, 60_000.0), (1, 0, first + n + 1, 25_000.0, 3.0, 40.0, 40.0), (1, 1, first + n + 2, 256.0, 256.0, 256.0, 256.0), (1, 1, first + n + 3, None, 1.0, 5.0, 5.0)]
+        return out + big
+
+    names = "video_id long, frame_idx long, track_id long, x double, y double, w double, h double"
+    gt, pred = side(150, 0), side(140, 1000)
+    got = {(r.frame_idx, r.gt_id, r.pred_id): r.iou for r in T.iou_pairs(spark.createDataFrame(gt, names), spark.createDataFrame(pred, names), tile=tile).collect()}
+    want = {}
+    for _, f, g, gx, gy, gw, gh in gt:
+        for _, e, p, px, py, pw, ph in pred:
+            if f == e and None not in (gx, px) and min(gw, gh, pw, ph) > 0:
+                i = max(0.0, min(gx + gw, px + pw) - max(gx, px)) * max(0.0, min(gy + gh, py + ph) - max(gy, py))
+                if i > 0:
+                    want[f, g, p] = i / (gw * gh + pw * ph - i)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and len(want) > 100

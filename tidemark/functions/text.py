@@ -182,11 +182,37 @@ def fixed_width(advance: float):
     return lambda s: advance * len(s)
 
 
-def wrap_udf(limit: float, advance: float):
-    """Arrow UDF of :func:`wrap` with a fixed advance."""
+#: Characters that stripping takes away.
+STRIPPED = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-    @F.pandas_udf("array<string>")
-    def wrapped(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else wrap(t, fixed_width(advance), limit))
 
-    return wrapped
+def text_width(s: Column, advance: float, classes: dict[str, float] | None = None) -> Column:
+    """Width of a text from a table of advances: ``classes`` has one for each class of characters (a pattern of one
+    character; no two share one), the others are ``advance`` wide."""
+    out = F.length(s) * F.lit(float(advance))
+    for pattern, own in (classes or {}).items():
+        out = out + (F.length(s) - F.length(F.regexp_replace(s, pattern, ""))) * F.lit(float(own - advance))
+    return out
+
+
+def wrap_lines(text: Column, limit: float, advance: float, classes: dict[str, float] | None = None) -> Column:
+    """Lines (an array) of a text no wider than ``limit`` as :func:`wrap` makes them, as a fold over its words and, in lines
+    that one word makes too wide, over their characters. Null and empty texts have no lines."""
+    wide = lambda s: text_width(s, advance, classes)
+    state = lambda done, line: F.struct(done.alias("done"), line.alias("line"))
+    words = F.split(F.coalesce(text, F.lit("")), " ", -1)
+
+    def word(held, w):
+        longer = F.btrim(F.concat(held["line"], F.lit(" "), w), F.lit(STRIPPED))
+        full = (held["line"] != "") & (wide(longer) > limit)
+        return F.when(full, state(F.concat(held["done"], F.array(held["line"])), w)).otherwise(state(held["done"], longer))
+
+    def char(held, c):
+        full = (held["line"] != "") & (wide(F.concat(held["line"], c)) > limit)
+        return F.when(full, state(F.concat(held["done"], F.array(held["line"])), c)).otherwise(state(held["done"], F.concat(held["line"], c)))
+
+    none = F.array().cast("array<string>")
+    ended = lambda held: F.concat(held["done"], F.array(held["line"]))
+    lines = F.aggregate(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), state(none, F.element_at(words, 1)), word, ended)
+    split = lambda line: F.when(wide(line) > limit, F.aggregate(F.split(line, r"(?!\A)(?!\z)", -1), state(none, F.lit("")), char, ended)).otherwise(F.array(line))
+    return F.filter(F.flatten(F.transform(lines, split)), lambda x: x != "")

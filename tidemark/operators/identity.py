@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.functions.vectors import cosine_or_zero, dot, doubles
@@ -22,6 +21,23 @@ def frame_sets(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("video_id", "track_id").agg(F.array_sort(F.collect_set("frame_idx")).alias("frames"))
 
 
+def frame_bits(tracks: DataFrame) -> DataFrame:
+    """(video_id, track_id, word, bits): the frames of each track (an array ``frames``, repeats allowed) as a bitmap in words
+    of 64, of which only those with a frame are rows. A track without frames has none."""
+    f = tracks.select("video_id", "track_id", F.explode(F.col("frames").cast("array<bigint>")).alias("f"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("f").bitwiseAND(F.lit(63)).cast("int"))
+    return f.groupBy("video_id", "track_id", F.shiftright("f", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def shared_frames(bits: DataFrame) -> DataFrame:
+    """(video_id, a, b, n): how many frames each two tracks of a video share, a < b, for those that share any. Tracks meet
+    by words of 64 frames, and a word's frames are counted at once."""
+    side = lambda t: bits.select("video_id", "word", F.col("track_id").alias(t), F.col("bits").alias(f"_{t}"))
+    both = side("a").join(side("b"), ["video_id", "word"]).where(F.col("a") < F.col("b"))
+    n = F.bit_count(F.col("_a").bitwiseAND(F.col("_b")))
+    return both.groupBy("video_id", "a", "b").agg(F.sum(n).cast("long").alias("n")).where("n > 0")
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / (np.linalg.norm(v) + EPS)
 
@@ -150,25 +166,20 @@ def fragments(tracks: DataFrame, overlap: int = OVERLAP, delta: float = FRAGMENT
     """Per video of (video_id, track_id, sim, frames): the tracks that are pieces of the best one, most similar first, and
     the margin to the best track that isn't (1 without any).
 
-    Tracks are taken by falling sim while within ``delta`` of the best, if they share at most ``overlap`` frames
-    with each taken so far. Frames shared by pairs are counted in a native self-join on the frame; only the
-    greedy choice, over a video's tracks near the best, is a group.
+    Tracks are taken by falling sim (then by track_id) while within ``delta`` of the best, if they share at most
+    ``overlap`` frames with each taken so far. Shared frames are counted on bitmaps; the greedy choice is a fold over
+    a video's tracks near the best. Tracks without sim are left out.
     """
+    tracks = tracks.where("sim is not null")
     best = tracks.groupBy("video_id").agg(F.max("sim").alias("_b"))
     near = tracks.join(best, "video_id").where(F.col("sim") >= F.col("_b") - delta)
-    f = near.select("video_id", "track_id", F.explode("frames").alias("f")).distinct()
-    clash = f.alias("a").join(f.alias("b"), ["video_id", "f"]).where("a.track_id <> b.track_id").groupBy("video_id", F.col("a.track_id").alias("track_id"), F.col("b.track_id").alias("other")).agg(F.count("*").alias("n")).where(F.col("n") > overlap)
-    clash = clash.groupBy("video_id", "track_id").agg(F.collect_list("other").alias("clash"))
-    kind = tracks.schema["video_id"].dataType.simpleString()
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list[int] = []
-        for r in pdf.sort_values(["sim", "track_id"], ascending=[False, True]).itertuples():
-            if r.clash is None or not set(r.clash) & set(taken):
-                taken.append(r.track_id)
-        return pd.DataFrame([(*key, taken)], columns=["video_id", "tracks"])
-
-    chosen = near.select("video_id", "track_id", "sim").join(clash, ["video_id", "track_id"], "left").groupBy("video_id").applyInPandas(run, f"video_id {kind}, tracks array<long>")
+    clash = shared_frames(frame_bits(near)).where(F.col("n") > overlap)
+    clash = clash.select("video_id", F.col("a").alias("track_id"), F.col("b").alias("other")).unionByName(clash.select("video_id", F.col("b").alias("track_id"), F.col("a").alias("other")))
+    clash = clash.groupBy("video_id", "track_id").agg(F.collect_list(F.col("other").cast("long")).alias("clash"))
+    row = F.struct((-F.col("sim")).alias("s"), F.col("track_id").cast("long").alias("t"), F.coalesce("clash", F.array().cast("array<bigint>")).alias("c"))
+    ordered = near.select("video_id", "track_id", "sim").join(clash, ["video_id", "track_id"], "left").groupBy("video_id").agg(F.array_sort(F.collect_list(row)).alias("_o"))
+    take = F.aggregate("_o", F.array().cast("array<bigint>"), lambda taken, x: F.when(F.arrays_overlap(taken, x["c"]), taken).otherwise(F.concat(taken, F.array(x["t"]))))
+    chosen = ordered.select("video_id", take.alias("tracks"))
     rival = tracks.join(chosen, "video_id").where(~F.array_contains("tracks", F.col("track_id").cast("long"))).groupBy("video_id").agg(F.max("sim").alias("_v"))
     out = chosen.join(best, "video_id").join(rival, "video_id", "left")
     return out.select("video_id", F.col("tracks")[0].alias("track"), "tracks", F.col("_b").alias("sim"), F.coalesce(F.bround(F.col("_b") - F.col("_v"), 4), F.lit(1.0)).alias("margin"))
@@ -207,30 +218,27 @@ def donor_cuts(boxes: DataFrame, margins: DataFrame, step: int = 15, per_video:
     return s.withColumn("_r", top).where(F.col("_r") <= per_video).join(margins, "video_id").select("video_id", "frame_idx", "margin", "motion")
 
 
-def dup_score(frame: int, video, picked: list[tuple]) -> float:
-    """How much a cut repeats those picked: 0.5 and up to 0.5 more by nearness for the same video, 0 for others."""
-    return max((DUP_VIDEO + DUP_NEAR * max(0.0, 1 - abs(frame - f) / DUP_FRAMES) for v, f in picked if v == video), default=0.0)
+def repeats(a: Column, b: Column) -> Column:
+    """How much a cut repeats another (structs with video_id and frame_idx): 0.5 and up to 0.5 more by nearness for the same
+    video, 0 for others."""
+    near = F.greatest(F.lit(0.0), 1 - F.abs(a["frame_idx"] - b["frame_idx"]) / DUP_FRAMES)
+    return F.when(a["video_id"] == b["video_id"], DUP_VIDEO + DUP_NEAR * near).otherwise(0.0)
 
 
 def diverse(cuts: DataFrame, keys: list[str], k: int = DONORS, dup_max: float = DUP_MAX) -> DataFrame:
-    """Greedily the first k cuts (by margin, then motion, both falling) that don't repeat those taken: adds ``pick`` from 1.
+    """Greedily the first k cuts (by margin, then motion, both falling, then by video and frame) that repeat none of those
+    taken by ``dup_max`` or more: adds ``pick`` from 1. Cuts without a margin or motion come last.
 
-    The choice depends on what was taken before, so a key is a group; it holds candidate cuts only, at most a
-    few for each video.
+    The choice depends on what was taken before: a fold over a key's candidate cuts, which are a few for each video.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, at = [], []
-        for i, r in enumerate(pdf.sort_values(["margin", "motion", "video_id", "frame_idx"], ascending=[False, False, True, True]).itertuples()):
-            if len(taken) < k and dup_score(r.frame_idx, r.video_id, taken) < dup_max:
-                taken.append((r.video_id, r.frame_idx))
-                at.append(r.Index)
-        out = pdf.loc[at].copy()
-        out["pick"] = range(1, len(out) + 1)
-        return out
-
-    schema = T.StructType([*cuts.schema.fields, T.StructField("pick", T.LongType())])
-    return cuts.groupBy(*keys).applyInPandas(run, schema)
+    last = lambda c: F.coalesce(-F.col(c), F.lit(float("inf")))
+    row = F.struct(last("margin").alias("_m"), last("motion").alias("_s"), "video_id", "frame_idx", F.struct(*cuts.columns).alias("_row"))
+    ordered = cuts.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_o"))
+    none = F.filter("_o", lambda _: F.lit(False))
+    fresh = lambda taken, x: (F.size(taken) < k) & ~F.exists(taken, lambda y: repeats(x, y) >= dup_max)
+    taken = F.aggregate("_o", none, lambda taken, x: F.when(fresh(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
+    out = ordered.select(F.posexplode(taken).alias("_i", "_x"))
+    return out.select("_x._row.*", (F.col("_i") + 1).cast("long").alias("pick"))
 
 
 def two_pass_anchors(match, refs: DataFrame, donors_of) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from tidemark.functions import external, geometry, text, vectors
 from tidemark.operators import identity, layout, plan, segments, store, timeline, tracking
 from tidemark.plans import projections as P
-from tidemark.plans import contended, media, worlds  # noqa: F401 - the last two register their queries
+from tidemark.plans import contended, folds, media, worlds  # noqa: F401 - the last two register their queries
 from tidemark.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 
 V = ["video_id"]
@@ -516,18 +516,18 @@ def same_place_propagation(spark, d):
     return identity.propagate_tags(e, donors, ["label"], 0.1, 0.05).select("label", "video_id", "donor")
 
 
-@query("online_relink")
+@query("online_relink", folds.RELINK)
 def online_relink(spark, d):
     return identity.relink(P.track_vectors(spark, d).select("video_id", "track_id", "v", F.lit(None).cast("array<bigint>").alias("frames")), [0.5, 0.6, 0.7, 0.8, 0.9])
 
 
-@query("fragment_margin")
+@query("fragment_margin", folds.FRAGMENTS)
 def fragment_margin(spark, d):
     t = P.track_vectors(spark, d)
     refs = t.where("track_id < 10").select("video_id", F.col("v"))
     sim = identity.reference_similarity(t, refs, ["video_id", "track_id"], V)
     out = identity.fragments(t.join(sim, ["video_id", "track_id"]).select("video_id", "track_id", "sim", "frames"))
-    return out.withColumn("confident", identity.confident(F.col("track"), F.col("sim"), F.col("margin")))
+    return out.withColumn("confident", identity.confident(F.col("track"), F.col("sim"), F.col("margin"))).withColumn("sim", _r("sim"))
 
 
 @query("donor_cuts", f"""{_BOXES}, b as (select video_id, frame_idx, min(x) x, min(y) y from pr group by all), s as (select * from (select *, row_number() over (partition by video_id order by frame_idx) - 1 i from b) where i % 15 = 0), m as (select *, round_even(round(coalesce(sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)) / 30.0::double, 0), 9), 4) motion from s window w as (partition by video_id order by frame_idx))
@@ -537,7 +537,7 @@ def donor_cuts(spark, d):
     return identity.donor_cuts(b, b.select("video_id").distinct().withColumn("margin", F.lit(1.0)))
 
 
-@query("diverse_cuts")
+@query("diverse_cuts", f"{folds.diverse(_BOXES, 'video_id / 10.0', 3)} select * from dc")
 def diverse_cuts(spark, d):
     b = P.pred_boxes(spark, d).groupBy("video_id", "frame_idx").agg(*[F.min(c).alias(c) for c in "xywh"])
     cuts = identity.donor_cuts(b, b.select("video_id").distinct().withColumn("margin", F.col("video_id") / 10.0))
@@ -597,10 +597,10 @@ def reading_secs(spark, d):
     return P.read(spark, d, "documents").select("doc_id", text.required_secs(F.col("text")).alias("secs"))
 
 
-@query("wrap_lines")
+@query("wrap_lines", folds.wrap("(select doc_id, text t from documents)", 330.0, 16.0))
 def wrap_lines(spark, d):
     t = P.read(spark, d, "documents").select("doc_id", F.col("text").alias("t"))
-    return t.select("doc_id", text.wrap_udf(330.0, 16.0)("t").alias("lines"))
+    return t.select("doc_id", text.wrap_lines(F.col("t"), 330.0, 16.0).alias("lines"))
 
 
 @query("directive_attribution", """with r as (select p_partkey plan_id, 'alpha ' || p_size || '초 and, after a long while, the beta scene 클로즈업 end' as request, p_size from part) select plan_id, b block_idx, case when b = 0 then p_size::double end target_dur, case when b = 1 then 'gradual' else 'none' end as zoom from r, (select unnest([0, 1]) b)""")
@@ -689,7 +689,7 @@ def project_boxes(spark, d):
     return out.select("video_id", "frame_idx.frame_idx", "frame_idx.track_id", _r("r.x1").alias("x1"), _r("r.y1").alias("y1"))
 
 
-@query("copy_windows")
+@query("copy_windows", folds.COPY_WINDOWS.format(curve=_CURVE))
 def copy_windows(spark, d):
     e = _curve(spark, d)
     w = e.where("f % 3 = 0").select("video_id", F.col("f").cast("double").alias("start"), (F.col("f") + 4).cast("double").alias("end"))
@@ -697,10 +697,10 @@ def copy_windows(spark, d):
     return layout.place_copy(t, w, V)
 
 
-@query("text_schedule")
+@query("text_schedule", folds.TEXT_SCHEDULE.format(curve=_CURVE))
 def text_schedule(spark, d):
     t = _curve(spark, d).select(F.col("video_id").alias("plan_id"), F.col("f").cast("int").alias("text_idx"), F.lit("와!").alias("text"), F.lit(0.0).alias("w0"), F.lit(8.0).alias("w1"), F.lit(None).cast("array<double>").alias("span"), (F.col("v") % 8).alias("peak"))
-    return layout.schedule_texts(t)
+    return layout.schedule_texts(t).withColumns({c: _r(c) for c in ("start", "end")})
 
 
 @query("external_embed")
@@ -718,19 +718,21 @@ def record_lines(spark, d):
     return segments.record_lines(v, s)
 
 
-@query("relink_report")
+@query("relink_report", folds.RELINK_REPORT)
 def relink_report(spark, d):
     t = P.track_vectors(spark, d)
     links = identity.relink(t.select("video_id", "track_id", "v", F.lit(None).cast("array<bigint>").alias("frames")), [0.5, 0.7, 0.9])
-    return identity.relink_report(links, t.select("video_id", "track_id", "gt_id"))
+    out = identity.relink_report(links, t.select("video_id", "track_id", "gt_id"))
+    return out.select("tau", *[_r(c, 9).alias(c) for c in ("pair_precision", "taps_per_video", "auto_share")])
 
 
-@query("donor_reference")
+@query("donor_reference", folds.donor_reference(_BOXES))
 def donor_reference(spark, d):
     b = P.pred_boxes(spark, d).groupBy("video_id", "frame_idx").agg(*[F.min(c).alias(c) for c in "xywh"])
     cuts = identity.donor_cuts(b, b.select("video_id").distinct().withColumn("margin", F.lit(1.0))).withColumn("owner", F.col("video_id") % 2)
-    v = P.read(spark, d, "embeddings").select((F.col("vec_id") % 1000).alias("frame_idx"), (F.col("vec_id") % 10).alias("video_id"), F.col("embedding").alias("v")).dropDuplicates(["video_id", "frame_idx"])
-    return identity.donor_vectors(identity.diverse(cuts, ["owner"], k=30), v, ["owner"])
+    v = P.read(spark, d, "embeddings").select((F.col("vec_id") % 1000).alias("frame_idx"), (F.col("vec_id") % 10).alias("video_id"), F.col("embedding").alias("v"), "vec_id").groupBy("video_id", "frame_idx").agg(F.min_by("v", "vec_id").alias("v"))
+    out = identity.donor_vectors(identity.diverse(cuts, ["owner"], k=30), v, ["owner"])
+    return out.withColumn("v", F.transform("v", lambda x: F.round(x, 6)))
 
 
 @query("output_peak", f"""{_BOXES}, b as (select video_id, frame_idx, min(x) x, min(y) y from pr group by all), c(clip_ord, t0, t1, s) as (values (0, 1.0::double, 9.0::double, 0.0::double), (1, 15.0::double, 25.0::double, 8.0::double)),
