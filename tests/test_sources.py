@@ -119,7 +119,8 @@ def test_streaming(spark, tmp_path):
     src = lambda: spark.readStream.schema("k string, ts timestamp, v double").parquet(str(tmp_path / "ev"))
 
     def drain(df, name, mode="append"):
-        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"cp_{name}")).start()
+        with live.keyed_state(spark):
+            q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"cp_{name}")).start()
         q.processAllAvailable()
         q.stop()
         return spark.table(name).collect()

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import segments
+from tidemark.operators import segments, tracking
+from tidemark.plans import contended
 from tidemark.plans import projections as P
 from tidemark.plans.registry import query
 from tidemark.session import scratch_path
@@ -135,3 +136,29 @@ def stream_sessions(spark, d):
 def stream_sliding_max(spark, d):
     out = live.collected(live.stream_sliding_max(_event_stream(spark, d), "user_id", "ts", "value", "1 hour"), "sliding")
     return out.where("user_id >= 0").select("user_id", F.unix_micros("start").alias("start"), "peak")
+
+
+@query("stream_clear_mot", contended.CLEAR_MOT)
+def stream_clear_mot(spark, d):
+    """Boxes as a stream, with a last frame far ahead in a video of its own that lets the watermark pass all others."""
+    rows = tracking.written(P.gt_boxes(spark, d), P.switched_boxes(spark, d), P.labelled_frames(spark, d))
+    rows = rows.withColumn("ts", F.timestamp_seconds(F.col("frame_idx") + 1))  # a watermark starts at the epoch
+    end = rows.limit(1).select(*[F.lit(-1).cast(rows.schema["video_id"].dataType).alias(c) if c == "video_id" else F.timestamp_seconds(F.lit(10**9)).alias(c) if c == "ts" else c for c in rows.columns])
+    path = scratch_path(spark, "boxes-stream")
+    rows.unionByName(end).write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).parquet(path)
+    per_frame = live.collected(live.stream_clear_mot(stream, "10 seconds"), "clear-mot")
+    return per_frame.where("video_id >= 0").groupBy("video_id").agg(*[F.sum(c).alias(c) for c in ("fp", "fn", "idsw", "fragmentation")])
+
+
+@query("stream_overlaps", f"""with {P.GT_SEG_SQL}, {P.PRED_SEG_SQL} select gs.video_id user_id, gs.label a_label, ps.label b_label, sum(least(gs."end", ps."end") - greatest(gs.start, ps.start))::bigint us
+from gs join ps on gs.video_id = ps.video_id and gs.start < ps."end" and ps.start < gs."end" group by all""")
+def stream_overlaps(spark, d):
+    def stream(segs, label):
+        path = scratch_path(spark, label)
+        rows = segs.select(F.col("video_id").alias("user_id"), F.timestamp_micros("start").alias("start"), F.timestamp_micros("end").alias("end"), "label")
+        rows.write.parquet(path)
+        return spark.readStream.schema(rows.schema).parquet(path)
+
+    out = live.collected(live.stream_overlaps(stream(P.gt_segments(spark, d), "gt-stream"), stream(P.pred_segments(spark, d), "pred-stream"), ["user_id"], "12 hours", "1 hour"), "overlaps")
+    return out.groupBy("user_id", "a_label", "b_label").agg(F.sum(F.unix_micros("end") - F.unix_micros("start")).alias("us"))
