@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from tidemark.functions import external, geometry, text, vectors
 from tidemark.operators import identity, layout, plan, segments, store, timeline, tracking
 from tidemark.plans import projections as P
-from tidemark.plans import contended, edits, folds, media, worlds  # noqa: F401 - some only register their queries
+from tidemark.plans import contended, edits, folds, media, pictures, worlds  # noqa: F401 - some only register their queries
 from tidemark.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 
 V = ["video_id"]
