@@ -25,6 +25,8 @@ MAX_COPIES = 3
 SEED = "mix-1"
 #: Copies of one row that one task writes.
 SPLIT = 1 << 16
+#: Column that stands for the text where texts themselves don't travel.
+TEXT_HASH = "_text"
 
 
 def size_of(text):
@@ -77,7 +79,9 @@ def _offset(seed: str):
 
 def _alike(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[str]) -> DataFrame:
     """(row: id and the columns in ``keep``, source, size, h, m): rows alike in all of these, and how many they are."""
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    # where texts tell rows apart, rows of one id (or without one) don't share a digest
+    told = [F.lit(":"), F.col(TEXT_HASH).cast("string")] if TEXT_HASH in keep else []
+    digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), *told))
     rows = docs.select(F.struct(F.col(id_col).alias("id"), *keep).alias("row"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), digest.alias("h"))
     # size is computed once; the counts and sums below read a small table, not the texts
     return materialize(rows.groupBy("row", "source", "size", "h").agg(F.count("*").alias("m")), "mix-rows")
@@ -151,14 +155,14 @@ def emit(docs: DataFrame, columns: list[str], seed: str = SEED) -> DataFrame:
     The mix is drawn on rows without their texts, which have a hash in their place; texts are joined once.
     """
     narrow = [c for c in columns if c not in ("doc_id", "text")]
-    docs = docs.select(*columns, F.xxhash64("text").alias("_text"))
-    alike = _alike(docs, "doc_id", "text", "source", [*narrow, "_text"])
+    docs = docs.select(*columns, F.xxhash64("text").alias(TEXT_HASH))
+    alike = _alike(docs, "doc_id", "text", "source", [*narrow, TEXT_HASH])
     rows = _drawn(alike, seed).where("copies > 0").select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    same = lambda a, b, x: F.col(f"{a}.{x}").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}._text") == F.col(f"{b}._text"))
-    texts = docs.select("doc_id", "_text", "text")
-    again = materialize(alike.groupBy("row.id", "row._text").agg(F.sum("m").alias("m")).where("m > 1").select(F.col("id").alias("doc_id"), "_text"), "mix-repeated")
+    same = lambda a, b, x: F.col(f"{a}.{x}").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.{TEXT_HASH}") == F.col(f"{b}.{TEXT_HASH}"))
+    texts = docs.select("doc_id", TEXT_HASH, "text")
+    again = materialize(alike.groupBy("row.id", "row._text").agg(F.sum("m").alias("m")).where("m > 1").select(F.col("id").alias("doc_id"), TEXT_HASH), "mix-repeated")
     if not again.isEmpty():
-        once = texts.alias("t").join(again.alias("a"), same("t", "a", "doc_id"), "left_semi").groupBy("doc_id", "_text").agg(F.min("text").alias("text"))
+        once = texts.alias("t").join(again.alias("a"), same("t", "a", "doc_id"), "left_semi").groupBy("doc_id", TEXT_HASH).agg(F.min("text").alias("text"))
         texts = texts.alias("t").join(again.alias("a"), same("t", "a", "doc_id"), "left_anti").unionByName(once)
     out = rows.alias("r").join(texts.alias("t"), same("r", "t", "id"))
     return out.select(*[F.col("r.id" if c == "doc_id" else "t.text" if c == "text" else f"r.{c}").alias(c) for c in columns], "copy")
