@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.operators import segments, tracking
 from tidemark.plans import contended
 from tidemark.plans import projections as P
 from tidemark.plans.registry import query
 from tidemark.session import scratch_path
+from tidemark.sources import media as M
 from tidemark.sources import records as R
 from tidemark.streaming import live
 
@@ -162,3 +164,68 @@ def stream_overlaps(spark, d):
 
     out = live.collected(live.stream_overlaps(stream(P.gt_segments(spark, d), "gt-stream"), stream(P.pred_segments(spark, d), "pred-stream"), ["user_id"], "12 hours", "1 hour"), "overlaps")
     return out.groupBy("user_id", "a_label", "b_label").agg(F.sum(F.unix_micros("end") - F.unix_micros("start")).alias("us"))
+
+
+# ---- media files ----
+
+
+def _hex(n, digits: int):
+    return F.lpad(F.hex(n.cast("long")), digits, "0")
+
+
+def _box(kind: str, *parts):
+    """A length-prefixed box as hexadecimal text."""
+    body = F.concat(F.lit(kind.encode().hex()), *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    # the body is worked out once
+    return F.transform(F.array(body), lambda b: F.concat(_hex(F.length(b) / 2 + 4, 8), b))[0]
+
+
+def _movies(spark, d) -> str:
+    """A table (path, content) of small movies of all parts: turned ones, broken ones, ones without a picture or ahead of it
+    a sound track."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    one, less, none = "00010000", "ffff0000", "00000000"
+    turn = F.when(k % 4 == 1, none + one + none + less + none).when(k % 4 == 2, less + none * 3 + less).otherwise(one + none * 3 + one)
+    matrix = F.concat(turn, F.lit(none * 3 + "40000000"))
+    sizes = F.concat(_hex(z * 16, 4), F.lit("0000"), _hex(z * 9, 4), F.lit("0000"))
+    tkhd = _box("tkhd", "00000007" + "0" * 16 + "00000001" + "0" * 8, _hex(z * 1000, 8), "0" * 32, matrix, sizes)
+    stsd = _box("stsd", "00000000" + "00000001", _box("avc1", "0" * 16 + "0" * 32, _hex(z * 32, 4), _hex(z * 18, 4), "0" * 100))
+    stts = _box("stts", "00000000" + "00000001", _hex(z * 30, 8), "000001f4")
+    hdlr = lambda kind: _box("hdlr", "0" * 16 + kind.encode().hex() + "0" * 26)
+    mdhd = _box("mdhd", "00000000" + "0" * 16, _hex(F.lit(15000), 8), _hex(z * 15000 + k, 8), "55c40000")
+    video = _box("trak", tkhd, _box("mdia", mdhd, hdlr("vide"), _box("minf", _box("stbl", stsd, stts))))
+    sound = _box("trak", _box("tkhd", "00" * 84), _box("mdia", mdhd, hdlr("soun")))
+    tracks = F.when(k % 7 == 0, sound).when(k % 7 < 3, F.concat(sound, video)).otherwise(video)
+    mvhd = _box("mvhd", "00000000" + "0" * 16 + "000003e8", _hex(z * 1000, 8), "00" * 80)
+    whole = F.concat(_box("ftyp", "69736f6d00000200"), _box("mdat", "ab" * 40), _box("moov", mvhd, tracks))
+    cut = F.when(k % 11 == 0, F.substring(whole, 1, 200)).when(k % 13 == 0, "").otherwise(whole)
+    path = scratch_path(spark, "movies")
+    P.read(spark, d, "part").select(F.concat(F.lit("m"), k.cast("string"), F.lit(".mp4")).alias("path"), F.unhex(cut).alias("content")).write.parquet(path)
+    return path
+
+
+@query("media_headers", """with m as (select p_partkey k, p_size::int z, p_partkey % 7 > 0 and p_partkey % 11 > 0 and p_partkey % 13 > 0 good from part)
+select 'm' || k || '.mp4' path, case when good then z * 32 end width, case when good then z * 18 end height, case when good then case k % 4 when 1 then -90 when 2 then -180 end end rotation, case when good then (z * 15000 + k) / 15000.0::double else -1 end duration, case when good then 30.0::double end fps from m""")
+def media_headers(spark, d):
+    return M.media_headers(spark.read.parquet(_movies(spark, d)))
+
+
+@query("npz_from_files", "select 'v' || vec_id % 10 || '.npz' path, vec_id track_id, list_transform(embedding::double[], lambda x: round(x, 6)) embedding from embeddings")
+def npz_from_files(spark, d):
+    folder = scratch_path(spark, "npz")
+    e = P.read(spark, d, "embeddings").select(F.concat(F.lit("v"), (F.col("vec_id") % 10).cast("string")).alias("video"), F.col("vec_id").alias("track_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("unread"))
+    M.write_npz(e, "video", "track_id", ["track_id", "embedding", "unread"], folder)
+    M.register(spark)
+    out = spark.read.format("npz").schema("path string, track_id long, embedding array<double>").option("filesPerPartition", 3).load(folder)
+    return out.withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 6)))
+
+
+@query("wav_from_files", """with s as (select user_id u, row_number() over (partition by user_id order by epoch_us(ts), event_id) - 1 i, round_even((event_id % 2001 - 1000) / 1000.0::double * 32768, 0) v from events)
+select 'u' || u || '.wav' path, 8 sample_rate, i // 16 * 2.0::double as "at", count(*) n, round(sum(least(v, 32767)) / 32768, 9) total from s group by u, i // 16""")
+def wav_from_files(spark, d):
+    folder = scratch_path(spark, "wav")
+    w = P.event_times(spark, d).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("u"), F.struct("us", "event_id").alias("o"), ((F.col("event_id") % 2001 - 1000) / 1000.0).alias("v"))
+    M.write_wavs(w.select("u", "o.us", "o.event_id", "v").withColumn("o", F.row_number().over(Window.partitionBy("u").orderBy("us", "event_id"))), "u", "o", "v", 8, folder)
+    M.register(spark)
+    out = spark.read.format("wav").schema("path string, sample_rate int, at double, pcm array<double>").option("seconds", 2).load(folder)
+    return out.select("path", "sample_rate", "at", F.size("pcm").cast("long").alias("n"), F.round(F.aggregate("pcm", F.lit(0.0), lambda s, x: s + x), 9).alias("total"))

@@ -14,8 +14,8 @@ from tidemark.plans.registry import query
 W, H = 768, 432
 
 
-def _rounded(df, *columns):
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+def _rounded(df, *columns, digits=6):
+    return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
 # ---- plans as they come and with every field filled ----
@@ -103,13 +103,13 @@ def subject_side(spark, d):
 @query("zoom_path", """with b as (select p_partkey, p_size::int n, (p_partkey * 37 % 1000)::double x, (p_partkey * 53 % 600)::double y, 50.0::double + p_size * 10 w, 60.0::double + p_size * 15 h from part),
 t as (select *, least(1080, h * 1.5 * 1.4) tall from b), u as (select *, tall * 1920 / 1080 wide from t), e as (select *, case when wide > 1920 then 1920 else wide end ew, case when wide > 1920 then 1920 * 1080 / 1920.0::double else tall end eh, (x + w / 2) * 1.5 px, (y + 0.35 * h) * 1.5 py from u),
 c as (select *, least(greatest(px, ew / 2), 1920 - ew / 2) cx, least(greatest(py, eh / 2), 1080 - eh / 2) cy from e), f as (select *, unnest(range(0, n)) i from c), a as (select *, i / greatest(n - 1, 1)::double q from f), s as (select *, q * q * (3 - 2 * q) k from a)
-select p_partkey, i::int i, round(1920 + (ew - 1920) * k, 6) zw, round(1080 + (eh - 1080) * k, 6) zh, round(960 + (cx - 960) * k, 6) zx, round(540 + (cy - 540) * k, 6) zy from s""")
+select p_partkey, i::int i, round(1920 + (ew - 1920) * k, 9) zw, round(1080 + (eh - 1080) * k, 9) zh, round(960 + (cx - 960) * k, 9) zx, round(540 + (cy - 540) * k, 9) zy from s""")
 def zoom_path(spark, d):
     k, z = F.col("p_partkey"), F.col("p_size")
     b = box((k * 37 % 1000).cast("double"), (k * 53 % 600).cast("double"), 50.0 + z * 10, 60.0 + z * 15)
     w, h = F.lit(1920.0), F.lit(1080.0)
     clips = P.read(spark, d, "part").select("p_partkey", z.cast("int").alias("n"), w.alias("w"), h.alias("h"), layout.zoom_target(b, F.lit(1.5), w, h).alias("t")).select("p_partkey", "n", "w", "h", "t.*")
-    return _rounded(layout.zoom_frames(clips).select("p_partkey", "i", "zw", "zh", "zx", "zy"), "zw", "zh", "zx", "zy")
+    return _rounded(layout.zoom_frames(clips).select("p_partkey", "i", "zw", "zh", "zx", "zy"), "zw", "zh", "zx", "zy", digits=9)
 
 
 @query("source_sizes", """select c_custkey video_id, case when c_custkey % 3 = 0 then 1 + c_nationkey / 10.0::double else 1.0::double end scale, case when c_custkey % 3 = 0 then 3840 when c_custkey % 3 = 1 then c_nationkey::int * 10 end src_w, case when c_custkey % 3 = 0 then 2160 when c_custkey % 3 = 1 then c_nationkey::int * 5 end src_h from customer""")
