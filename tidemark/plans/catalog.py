@@ -643,13 +643,13 @@ def block_sources(spark, d):
     return plan.block_sources(blocks, src, tags)
 
 
-@query("source_reservation", f"with {_WORLD} select plan_id, block_idx::int block_idx, source from bs where reserved or not exists (select 1 from bs o where o.plan_id = bs.plan_id and o.source = bs.source and o.reserved)")
+@query("source_reservation", f"with {_WORLD} select plan_id, block_idx::int block_idx, source from (select *, max(reserved::int) over (partition by plan_id, source) o from bs) where reserved or o = 0")
 def source_reservation(spark, d):
     blocks, src, tags, _, _ = _plan_world(spark, d)
     return plan.reserve(plan.block_sources(blocks, src, tags)).select("plan_id", "block_idx", "source")
 
 
-@query("compile_clips")
+@query("compile_clips", folds.compile_clips(_WORLD, P.GT_SEG_SQL))
 def compile_clips(spark, d):
     return plan.compile_plans(*_plan_world(spark, d), max_blocks=3)
 

@@ -102,3 +102,35 @@ def wrap(table: str, limit: float, advance: float) -> str:
     folded = f"list_reduce(list_transform(string_split(coalesce(t, ''), ' '), lambda w: {{'d': []::varchar[], 'c': w}}), lambda a, b: case when a.c <> '' and length({longer}) * {advance} > {limit} then {{'d': list_append(a.d, a.c), 'c': b.c}} else {{'d': a.d, 'c': {longer}}} end)"
     cut = f"list_transform(range(0, length(x), {most}), lambda i: substr(x, i + 1, {most}))"
     return f"with y as (select doc_id, {folded} r from {table}, (select {blank} z)) select doc_id, list_filter(flatten(list_transform(list_append(r.d, r.c), lambda x: {cut})), lambda x: x <> '') lines from y"
+
+
+def compile_clips(world: str, segments: str) -> str:
+    """Clips of three blocks, each from what the blocks before it left of its sources' pieces."""
+    least = 0.6
+
+    def step(i: int) -> str:
+        used = " union all ".join(f"select plan_id, source, t0, t1 from d{j}" for j in range(i)) or "select plan_id, source, 0.0::double t0, 0.0::double t1 from aw where false"
+        gap = "list_transform(range(0, len(u) + 1), lambda i: {'lo': case when i = 0 then lo else greatest(lo, u[i].e) end, 'hi': case when i = len(u) then hi else least(hi, u[i + 1].s) end})"
+        return f"""us{i} as (select plan_id, source, list({{'s': t0, 'e': t1}} order by t0) u from ({used}) group by all),
+ap{i} as (select aw.plan_id, aw.source, aw.src_ord, p.ord, lo, hi, list_filter(coalesce(u, []), lambda w: least(hi, w.e) > greatest(lo, w.s)) u from aw join blk using (plan_id, block_idx) join pc p on p.source = aw.source and p.sel = blk.sel and p.exempt = aw.exempt left join us{i} on us{i}.plan_id = aw.plan_id and us{i}.source = aw.source where block_idx = {i}),
+rs{i} as (select plan_id, source, src_ord, ord, lo, hi from ap{i} where len(u) = 0 union all select plan_id, source, src_ord, ord, g.lo, g.hi from (select *, unnest({gap}) g from ap{i} where len(u) > 0) where g.hi - g.lo >= {least}),
+cd{i} as (select plan_id, {i} block_idx, source, src_ord, lo t0, hi t1 from rs{i} qualify row_number() over (partition by plan_id, source order by lo - hi, ord, lo) = 1),
+x{i} as (select cd{i}.*, t1 - t0 len, zoom, dur, case when pace = 'fast' then 2.0::double else 4.0::double end secs, count(*) over (partition by plan_id) n from cd{i} join blk using (plan_id, block_idx)),
+y{i} as (select *, n = 1 or len >= least(1.5, coalesce(dur / n, secs)) seen from x{i}),
+z{i} as (select * exclude (n), count(*) over (partition by plan_id) n, row_number() over (partition by plan_id order by len desc, src_ord) r from (select *, count(*) filter (seen) over (partition by plan_id) m from y{i}) where zoom = 'gradual' or seen or m = 0),
+k{i} as (select *, coalesce(dur / n, secs) per, dur is not null and coalesce(dur / n, secs) < {least} cut, case when zoom = 'gradual' then 1 when dur is not null and coalesce(dur / n, secs) < {least} then greatest(1, floor(dur / {least}))::int end k from z{i}),
+l{i} as (select *, least(len, case when zoom = 'gradual' then coalesce(dur, len) when cut then dur / least(k, n) else per end) take from k{i} where k is null or r <= k),
+d{i} as materialized (select plan_id, block_idx, source, src_ord, round_even(t0, 2) t0, round_even(t0 + take, 2) t1 from l{i} where zoom = 'gradual' or take >= {least})"""
+
+    return f"""with {world}, {segments},
+blk as (select plan_id, block_idx, case n % 3 when 0 then 'dynamic' when 1 then 'static' else 'all' end sel, case when n % 7 = 0 then 'gradual' else 'none' end zoom, case when n % 2 = 0 then 'fast' else 'calm' end pace, case when n % 4 = 0 then (c % 9 + 1)::double end dur from b),
+aw as materialized (select plan_id, block_idx, source, src_ord, exempt from (select *, max(reserved::int) over (partition by plan_id, source) o from bs) where reserved or o = 0),
+pr(source, s, e) as (values ('s0', 0.0::double, 9.0::double), ('s0', 12.0, 30.0), ('s1', 2.0, 20.0)),
+sg as (select 's' || video_id source, ord, (ord - 1) * 3.0::double s, ord * 3.0::double - ord % 3 e, "group" g, coalesce(uncertain, false) unsure from gs),
+ki as (select distinct source, sel, exempt from aw join blk using (plan_id, block_idx)),
+el as (select ki.*, ord, s, e, sg.source in ('s0', 's1') and not unsure part from ki join sg using (source) where (sel = 'all' or g = sel) and (not unsure or exempt)),
+pc as materialized (select * from (select source, sel, exempt, ord, s lo, e hi from el where not part union all select el.source, sel, exempt, ord, greatest(el.s, pr.s), least(el.e, pr.e) from el join pr on pr.source = el.source where part) where hi - lo >= {least}),
+{step(0)},
+{step(1)},
+{step(2)}
+select plan_id, block_idx, source, src_ord, t0, t1 from d0 union all select plan_id, block_idx, source, src_ord, t0, t1 from d1 union all select plan_id, block_idx, source, src_ord, t0, t1 from d2"""
