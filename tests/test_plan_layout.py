@@ -124,3 +124,17 @@ def test_windows(spark):
     assert got[0] == (4.0, 7.0) and got[1] == (4.5, 7.5) and got[2] == (0.0, 3.0) and 3 not in got
     c = spark.createDataFrame([(1, "x", 1.5, 2.0), (1, "y", 3.5, 5.0)], "k long, ident string, start double, end double")
     assert {r.ident: r.fits for r in L.fits(c, w, ["k"]).collect()} == {"x": False, "y": True}
+
+
+def test_answers_are_read_field_by_field(spark):
+    def read(answer):
+        return spark.createDataFrame([(answer,)], "a string").select(P.raw_plan(F.col("a")).alias("p")).first().p
+
+    p = read('{"title": 7, "voice": "true", "extra": [1], "blocks": [{"target_dur": "4.5", "sources": "a", "keywords": ["k", 3], "caption_span": ["0.1", 0.9], "speed": {"x": 1}}, 5, null], "texts": [{"text": "hi", "blocks": 1}, {"blocks": ["2", 3]}]}')
+    assert (p.title, p.voice, len(p.blocks)) == ("7", True, 3)
+    b = p.blocks[0]
+    assert (b.target_dur, b.sources, b.keywords, b.caption_span, b.speed, b.caption) == (4.5, ["a"], ["k", "3"], [0.1, 0.9], None, None)
+    assert p.blocks[1].sources is None and [t.blocks for t in p.texts] == [[1], [2, 3]] and p.texts[1].text is None
+    for nothing in ("", "{", "[1]", "null", '"text"', None, '{"blocks": 3, "texts": "x"}'):
+        p = read(nothing)
+        assert p.title is None and p.blocks is None and p.texts is None

@@ -152,6 +152,35 @@ def authored_plan(raw: Column, request: Column, avail: Column, narration: Column
     return _let(F.transform(cleaned, speak), finish)
 
 
+def _field(v: Column, name: str, kind: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}", kind)
+
+
+def _fields(v: Column, name: str, kind: str) -> Column:
+    """A field that should be an array: one value alone is an array of it, anything else null."""
+    return F.coalesce(_field(v, name, f"array<{kind}>"), F.when(_field(v, name, kind).isNotNull(), F.array(_field(v, name, kind))))
+
+
+def raw_plan(answer: Column) -> Column:
+    """What an author's answer (JSON text) holds, as :func:`authored_plan` reads it, field by field from a VARIANT.
+
+    Answers vary: a number may come as text, one source or block without its list, and fields that nobody knows. Each
+    field is taken if it can be read as what it should be and is null otherwise, so one odd field costs nothing but
+    itself. Text that isn't JSON, or no object, gives a plan with nothing in it.
+    """
+    v = F.try_parse_json(answer)
+
+    def struct(x, fields: str, lists: tuple[str, ...]):
+        each = (f.split(" ") for f in fields.split(", "))
+        return F.struct(*[(_fields(x, n, k[6:-1]) if n in lists else _field(x, n, k)).alias(n) for n, k in each])
+
+    rows = lambda name, fields, lists: F.transform(_field(v, name, "array<variant>"), lambda x: struct(x, fields, lists))
+    return F.struct(
+        _field(v, "title", "string").alias("title"), _field(v, "voice", "boolean").alias("voice"),
+        rows("blocks", RAW_BLOCK, ("sources", "keywords", "caption_span")).alias("blocks"), rows("texts", RAW_TEXT, ("blocks", "span")).alias("texts"),
+    )
+
+
 def raw_array() -> str:
     """Type of an author's blocks."""
     return f"array<struct<{RAW_BLOCK.replace(', ', ',').replace(' ', ':')}>>"

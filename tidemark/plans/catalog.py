@@ -654,16 +654,36 @@ def compile_clips(spark, d):
     return plan.compile_plans(*_plan_world(spark, d), max_blocks=3)
 
 
-@query("clean_plans")
+#: Answers as models write them: numbers as text, single values for lists, odd spans, broken JSON and no object.
+_ANSWERS = """a as (select p_partkey, p_size::bigint z, p_type, '{"title": "' || p_name || '", "voice": ' || (p_size % 2 = 0)::varchar || ', "mood": {"a": 1}, "blocks": [{"caption": "' || p_type || '", "target_dur": ' || case p_size % 3 when 0 then '"' || p_size || '"' when 1 then p_size::varchar else 'null' end
+  || ', "sources": ' || ['"s1"', '["s1", "s9", "s1"]', '[]', 'null'][p_size % 4 + 1] || ', "caption_span": ' || ['[-0.5, 0.7]', '["0.2", "0.6"]', '[0.5]', '"all"', 'null'][p_size % 5 + 1] || ', "zoom": ' || case when p_size % 6 = 0 then '"gradual"' else '"none"' end
+  || '}, {"caption": "", "target_dur": 0, "sources": []}], "texts": [{"text": "폴짝!", "blocks": ' || ['0', '[0, 5]', '[3, 5]', 'null', '[5, 0]', '["0", 1]', '"x"'][p_size % 7 + 1] || '}]}' j from part),
+w as (select p_partkey, z, p_type, case when z % 11 = 0 then substr(j, 1, 40) when z % 13 = 0 then '[1, 2]' else j end j from a)"""
+
+
+def _answers(spark, d):
+    z = F.col("p_size")
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (z % len(x) + 1).cast("int"))
+    dur = F.when(z % 3 == 0, F.concat(F.lit('"'), z.cast("string"), F.lit('"'))).when(z % 3 == 1, z.cast("string")).otherwise("null")
+    j = F.concat(
+        F.lit('{"title": "'), "p_name", F.lit('", "voice": '), (z % 2 == 0).cast("string"), F.lit(', "mood": {"a": 1}, "blocks": [{"caption": "'), "p_type", F.lit('", "target_dur": '), dur,
+        F.lit(', "sources": '), pick('"s1"', '["s1", "s9", "s1"]', "[]", "null"), F.lit(', "caption_span": '), pick("[-0.5, 0.7]", '["0.2", "0.6"]', "[0.5]", '"all"', "null"), F.lit(', "zoom": '), F.when(z % 6 == 0, '"gradual"').otherwise('"none"'),
+        F.lit('}, {"caption": "", "target_dur": 0, "sources": []}], "texts": [{"text": "폴짝!", "blocks": '), pick("0", "[0, 5]", "[3, 5]", "null", "[5, 0]", '["0", 1]', '"x"'), F.lit("}]}"),
+    )
+    return P.read(spark, d, "part").select("p_partkey", F.when(z % 11 == 0, F.substring(j, 1, 40)).when(z % 13 == 0, "[1, 2]").otherwise(j).alias("j"))
+
+
+@query("clean_plans", f"""with {_ANSWERS}, v as (select p_partkey, case when json_valid(j) and json_type(j) = 'OBJECT' then j::json end j from w),
+f as (select p_partkey, j->>'$.title' title, (j->>'$.voice')::bool voice, j->>'$.blocks[0].caption' caption, try_cast(j->>'$.blocks[0].target_dur' as double) dur, j->>'$.blocks[0].zoom' zoom, j->'$.blocks[0].sources' src, j->'$.blocks[0].caption_span' sp, j->>'$.texts[0].text' shout, j->'$.texts[0].blocks' tb from v where j is not null),
+g as (select *, list_distinct(case json_type(src) when 'ARRAY' then src::varchar[] when 'VARCHAR' then [src->>'$'] else [] end) sources, case when json_type(sp) = 'ARRAY' then list_transform(sp::varchar[], lambda x: try_cast(x as double)) end span, case json_type(tb) when 'ARRAY' then list_transform(tb::varchar[], lambda x: try_cast(x as int)) when 'UBIGINT' then [(tb->>'$')::int] end over_ from f),
+h as (select *, voice and caption <> '' spoken, list_transform(span, lambda x: greatest(0.0::double, least(1.0::double, x))) cut from g)
+select w.p_partkey, title, caption, case when dur > 0 then least(greatest(dur, 2), 12) end target_dur, case when zoom = 'gradual' then 'foster' when zoom is not null then 'full' end subject, list_filter(sources, lambda x: x in ('s1', 's2')) sources, case when caption is not null then case when spoken then caption else '' end end narration,
+case when not spoken and len(span) = 2 and cut[2] - cut[1] >= 0.05 then cut end caption_span, case when list_min(over_[1:2]) <= 0 then shout end shout from w left join h using (p_partkey)""")
 def clean_plans(spark, d):
-    p = P.read(spark, d, "part").select("p_partkey", F.to_json(F.struct(
-        F.col("p_name").alias("title"), (F.col("p_size") % 2 == 0).alias("voice"),
-        F.array(F.struct(F.col("p_type").alias("caption"), F.col("p_size").cast("double").alias("target_dur"), F.array(F.lit("s1"), F.lit("s9"), F.lit("s1")).alias("sources"), F.array(F.lit(-0.5), F.lit(0.7)).alias("caption_span")), F.struct(F.lit("").alias("caption"), F.lit(0.0).alias("target_dur"), F.array().cast("array<string>").alias("sources"), F.array().cast("array<double>").alias("caption_span"))).alias("blocks"),
-        F.array(F.struct(F.lit("폴짝!").alias("text"), F.array(F.lit(0), F.lit(5)).alias("blocks"))).alias("texts"),
-    )).alias("j"))
-    raw = F.from_json("j", f"title string, voice boolean, blocks array<struct<{plan.RAW_BLOCK.replace(', ', ',').replace(' ', ':')}>>, texts array<struct<{plan.RAW_TEXT.replace(', ', ',').replace(' ', ':')}>>")
-    out = plan.authored_plan(raw, F.lit("make a film"), F.array(F.lit("s1"), F.lit("s2")), F.lit(False), F.lit(True), F.lit(True))
-    return p.select("p_partkey", out.alias("plan")).select("p_partkey", F.to_json("plan").alias("plan"))
+    out = plan.authored_plan(plan.raw_plan(F.col("j")), F.lit("make a film"), F.array(F.lit("s1"), F.lit("s2")), F.lit(False), F.lit(True), F.lit(True))
+    p = _answers(spark, d).select("p_partkey", out.alias("plan"))
+    b = F.get("plan.blocks", F.lit(0))
+    return p.select("p_partkey", "plan.title", *[b[c].alias(c) for c in ("caption", "target_dur", "subject", "sources", "narration", "caption_span")], F.get("plan.texts", F.lit(0))["text"].alias("shout"))
 
 
 @query("region_pick", """with r(pos, ord, x1, y1, x2, y2) as (values ('bottom', 0, 100.0, 300.0, 600.0, 400.0), ('top', 1, 100.0, 0.0, 600.0, 100.0), ('left', 2, 0.0, 150.0, 200.0, 250.0), ('right', 3, 500.0, 150.0, 700.0, 250.0)),
