@@ -3,7 +3,6 @@ from collections import Counter
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from tests.llm.water import water_level
 from tidemark.llm import licenses as L
@@ -66,13 +65,3 @@ def test_sql_agrees_on_odd_rows(spark, mixed, tmp_path):
         out = query(table)
         r = c.execute(f"select {', '.join(out.columns)} from ({sql})").fetchall()
         assert sorted(map(str, r)) == sorted(str(tuple(x)) for x in out.collect())
-
-
-def test_rows_without_an_id_are_spread(spark):
-    """Texts of one size without an id don't meet in one group, and are taken as the mix takes them."""
-    df = spark.range(4000).selectExpr("cast(null as long) doc_id", "concat('w', id, ' x') text", "'a' source", "'en' lang", "2 n_chars")
-    alike = M._alike(df.withColumn("_text", F.xxhash64("text")), "doc_id", "text", "source", ["lang", "n_chars", "_text"])
-    group = alike.groupBy(F.substring("h", 1, 4)).count().agg(F.max("count").alias("most"), F.count("*").alias("groups")).first()
-    assert group.most < 12 and group.groups > 3000
-    out = M.emit(df, ["doc_id", "text", "lang", "source", "n_chars"])
-    assert out.count() == 4000 and out.select("text").distinct().count() == 4000
