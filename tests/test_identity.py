@@ -66,7 +66,11 @@ def test_diverse(spark):
 def test_propagation(spark):
     p = spark.createDataFrame([("d1", unit(1, 0), unit(1, 0)), ("d2", unit(1, 0), unit(1, 0)), ("t", unit(1, 0.1), unit(1, 0.1)), ("eye", unit(1, 0), unit(0, 1)), ("ear", unit(0, 1), unit(1, 0)), ("none", [], [])], "video_id string, scene_vec array<double>, audio_vec array<double>")
     d = spark.createDataFrame([("cafe", "d2", 0), ("cafe", "d1", 1)], "tag string, video_id string, ord long")
-    assert [(r.video_id, r.donor) for r in I.propagate_tags(p, d).collect()] == [("t", "d2")]
+    p, d = p.withColumn("owner", F.lit("o")), d.withColumn("owner", F.lit("o"))
+    assert [(r.video_id, r.donor) for r in I.propagate_tags(p, d, ["owner"]).collect()] == [("t", "d2")]
+    assert I.propagate_tags(p, d.withColumn("owner", F.lit("x")), ["owner"]).count() == 0
+    with pytest.raises(ValueError):
+        I.propagate_tags(p, d, [])
 
 
 def test_two_passes(spark):
@@ -88,6 +92,14 @@ def test_reference_similarity(spark):
     assert all(x.sim == pytest.approx(max(y.v[:2])) for x, y in zip(I.reference_similarity(t, r, ["track_id"]).orderBy("track_id").collect(), t.orderBy("track_id").collect()))
 
 
+def test_many_references_need_a_key(spark):
+    t = spark.createDataFrame([(1, [1.0, 0.0])], "track_id long, v array<double>")
+    refs = spark.range(3).selectExpr("array_repeat(1.0D, 400000) v")
+    with pytest.raises(ValueError):
+        I.reference_similarity(t, refs, ["track_id"])
+    assert I.reference_similarity(t, refs.limit(0), ["track_id"]).first().sim is None
+
+
 def test_relink_report_equals_pairs(spark):
     random.seed(5)
     rows = [(v, t, random.randint(0, 3), random.randint(0, 2), random.random() < 0.5) for v in range(3) for t in range(15)]

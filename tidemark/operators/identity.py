@@ -14,6 +14,8 @@ EPS = 1e-8
 TAU_SIM, TAU_MARGIN, OVERLAP, FRAGMENT = 0.40, 0.05, 2, 0.15
 DONORS, DONOR_MARGIN, DUP_VIDEO, DUP_NEAR, DUP_FRAMES, DUP_MAX = 3, 0.2, 0.5, 0.5, 90, 0.75
 TAU_VISUAL, TAU_AUDIO = 0.65, 0.70
+#: Numbers in all references that go into a plan: 8 MB.
+MOST_NUMBERS = 1_000_000
 
 
 def frame_sets(boxes: DataFrame) -> DataFrame:
@@ -149,14 +151,15 @@ def reference_similarity(tracks: DataFrame, refs: DataFrame, keys: list[str], re
     """Highest product of a track's vector with any reference vector: keys, ``sim``.
 
     References are joined on ``refs_of`` if given; without, every track meets all of them, which are the few
-    pictures a person gave (their number is checked).
+    pictures a person gave: at most ``MOST_NUMBERS`` numbers together, which is checked before they are fetched.
     """
     if refs_of:
         pairs = tracks.join(refs.select(*refs_of, F.col("v").alias("_r")), refs_of)
     else:
-        held = refs.select("v").limit(10_001).collect()
-        if len(held) > 10_000:
-            raise ValueError("more than 10,000 references: join them on a key")
+        size = refs.agg(F.sum(F.size("v"))).first()[0] or 0
+        if size > MOST_NUMBERS:
+            raise ValueError(f"references of more than {MOST_NUMBERS:,} numbers: join them on a key")
+        held = refs.select("v").collect()
         each = F.array(*[F.array(*[F.lit(float(x)) for x in r.v]) for r in held]) if held else F.array().cast("array<array<double>>")
         return tracks.select(*keys, F.array_max(F.transform(each, lambda r: dot(doubles("v"), r))).alias("sim"))
     return pairs.groupBy(*keys).agg(F.max(dot(doubles("v"), doubles("_r"))).alias("sim"))
@@ -259,18 +262,19 @@ def same_place(a: str, b: str, tau_visual: float = TAU_VISUAL, tau_audio: float
     return (alike("scene_vec") >= tau_visual) & (alike("audio_vec") >= tau_audio)
 
 
-def propagate_tags(profiles: DataFrame, donors: DataFrame, keys: list[str] | None = None, tau_visual: float = TAU_VISUAL, tau_audio: float = TAU_AUDIO) -> DataFrame:
+def propagate_tags(profiles: DataFrame, donors: DataFrame, keys: list[str], tau_visual: float = TAU_VISUAL, tau_audio: float = TAU_AUDIO) -> DataFrame:
     """Tags lent to videos of the same place: (tag, video_id, donor, vis, aud), the first donor by ``ord`` that fits.
 
     ``profiles`` has video_id, scene_vec, audio_vec and ``keys`` (such as an owner) within which places are
     compared; ``donors`` has tag, video_id, ord and the same keys. Donors of a tag get nothing for it, and what
-    is lent isn't lent on. Without keys every video meets every donor, so give keys where there are many.
+    is lent isn't lent on. Keys are required, as without them every video would meet every donor.
     """
-    keys = keys or []
+    if not keys:
+        raise ValueError("videos and donors need a key, such as an owner, by which they meet")
     p = profiles.select(*keys, "video_id", doubles("scene_vec").alias("scene_vec"), doubles("audio_vec").alias("audio_vec"))
     d = donors.join(p, [*keys, "video_id"]).select(*keys, "tag", F.col("video_id").alias("donor"), "ord", F.struct("scene_vec", "audio_vec").alias("d"))
     t = p.select(*keys, "video_id", F.struct("scene_vec", "audio_vec").alias("t"))
-    pairs = t.join(d, keys) if keys else t.crossJoin(d)
+    pairs = t.join(d, keys)
     own = donors.select(*keys, "tag", "video_id")
     fit = pairs.where((F.col("video_id") != F.col("donor")) & same_place("t", "d", tau_visual, tau_audio)).join(own, [*keys, "tag", "video_id"], "left_anti")
     vis, aud = cosine_or_zero(F.col("t.scene_vec"), F.col("d.scene_vec")), cosine_or_zero(F.col("t.audio_vec"), F.col("d.audio_vec"))
