@@ -142,7 +142,7 @@ def test_proof_fails_for_a_worse_choice(spark):
     assert T.assignment_proof(*T.priced_pairs(gt.limit(0), pred)).count() == 0
 
 
-@pytest.mark.parametrize("tile", [7.0, 256.0])
+@pytest.mark.parametrize("tile", [7.0, T.TILE, None])
 def test_pairs_by_tiles_equal_all_pairs(spark, tile):
     rng = np.random.default_rng(4)
 

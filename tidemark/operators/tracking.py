@@ -20,7 +20,7 @@ FRAME = ["video_id", "frame_idx"]
 IOU = 0.5
 #: Frames that are handed to Python together.
 FRAMES_PER_GROUP = 64
-#: Side of the tiles by which boxes meet, in pixels, and the outermost tile in either direction.
+#: Side of the tiles by which boxes of crowded frames meet, in pixels, and the outermost tile in either direction.
 TILE, EDGE = 256.0, 64
 
 
@@ -44,14 +44,18 @@ def _tiled(boxes: DataFrame, ident: str, name: str, tile: float) -> DataFrame:
     return rows.select(*FRAME, "_tx", "_ty", ident, box().alias(name))
 
 
-def iou_pairs(gt: DataFrame, pred: DataFrame, least: float = 0.0, tile: float = TILE) -> DataFrame:
+def iou_pairs(gt: DataFrame, pred: DataFrame, least: float = 0.0, tile: float | None = None) -> DataFrame:
     """Overlapping pairs of one frame: video_id, frame_idx, gt_id, pred_id, iou (above 0 and at least ``least``).
 
-    Boxes meet by tiles of a grid, so a frame of many boxes isn't compared box by box. Both boxes of a pair touch the
-    tile that holds the upper left corner of what they share, and the pair counts there only. Beyond ``EDGE`` tiles from
-    the origin one edge tile holds the rest. ``tile`` should be some box sizes wide; it never changes the result. Boxes
-    without an area, or with a null, overlap nothing.
+    Boxes of a frame meet each other, which is cheapest where frames hold a few. Where they hold hundreds, give ``tile``
+    (such as ``TILE``, some box sizes): boxes then meet by tiles of a grid. Both boxes of a pair touch the tile that holds the
+    upper left corner of what they share, and the pair counts there only. Beyond ``EDGE`` tiles from the origin one edge tile
+    holds the rest. The result is the same. Boxes without an area, or with a null, overlap nothing.
     """
+    if tile is None:
+        g = gt.select(*FRAME, F.col("track_id").alias("gt_id"), box().alias("_g"))
+        both = g.join(pred.select(*FRAME, F.col("track_id").alias("pred_id"), box().alias("_p")), FRAME).withColumn("iou", iou(F.col("_g"), F.col("_p")))
+        return both.where((F.col("iou") > 0) & (F.col("iou") >= least)).select(*FRAME, "gt_id", "pred_id", "iou")
     both = _tiled(gt, "gt_id", "_g", tile).join(_tiled(pred, "pred_id", "_p", tile), [*FRAME, "_tx", "_ty"])
     at = lambda a, b: F.least(F.greatest(F.floor(F.greatest(a, b) / tile), F.lit(-EDGE)), F.lit(EDGE)).cast("int")
     both = both.where((at(F.col("_g.x"), F.col("_p.x")) == F.col("_tx")) & (at(F.col("_g.y"), F.col("_p.y")) == F.col("_ty")))
@@ -59,18 +63,19 @@ def iou_pairs(gt: DataFrame, pred: DataFrame, least: float = 0.0, tile: float =
     return both.where((F.col("iou") > 0) & (F.col("iou") >= least)).select(*FRAME, "gt_id", "pred_id", "iou")
 
 
-def priced_pairs(gt: DataFrame, pred: DataFrame) -> tuple[DataFrame, DataFrame]:
+def priced_pairs(gt: DataFrame, pred: DataFrame, tile: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs, chosen): the overlapping pairs as :func:`iou_pairs`, written once, and those of each frame's assignment of
     largest total IoU, with gt_price and pred_price in billionths of IoU.
 
     The prices prove the choice (:func:`assignment_proof`): a pair's prices add up to its IoU, boxes without a pair cost
     nothing, and no pair's IoU exceeds its boxes' prices, so no assignment has a larger total. Totals are compared in
     billionths; of equal ones, the first box (by gt_id) has the first partner (by pred_id) it can have. A pair whose
-    boxes overlap no other is taken as it is; only frames with contested boxes go to the solver.
+    boxes overlap no other is taken as it is; only frames with contested boxes go to the solver. ``tile`` is for crowded
+    frames, as in :func:`iou_pairs`.
     """
     columns = [*FRAME, "gt_id", "pred_id", "iou"]
     n = lambda c: F.count("*").over(Window.partitionBy(*FRAME, c))
-    pairs = iou_pairs(gt, pred).withColumn("_plain", (n("gt_id") == 1) & (n("pred_id") == 1))
+    pairs = iou_pairs(gt, pred, tile=tile).withColumn("_plain", (n("gt_id") == 1) & (n("pred_id") == 1))
     pairs = materialize(pairs, "pairs")
 
     def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -93,10 +98,10 @@ def priced_pairs(gt: DataFrame, pred: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.select(columns), own.where("gt_price > 0").unionByName(hard)
 
 
-def assign(gt: DataFrame, pred: DataFrame, thr: float = IOU) -> DataFrame:
+def assign(gt: DataFrame, pred: DataFrame, thr: float = IOU, tile: float | None = None) -> DataFrame:
     """Pairs of :func:`priced_pairs` that reach ``thr``; columns as :func:`iou_pairs`. The threshold is applied after the
     assignment. Pairs without overlap add nothing to the total, so only overlapping pairs are looked at."""
-    return priced_pairs(gt, pred)[1].where(F.col("iou") >= thr).drop("gt_price", "pred_price")
+    return priced_pairs(gt, pred, tile)[1].where(F.col("iou") >= thr).drop("gt_price", "pred_price")
 
 
 def assignment_proof(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
