@@ -22,6 +22,8 @@ IOU = 0.5
 FRAMES_PER_GROUP = 64
 #: Side of the tiles by which boxes of crowded frames meet, in pixels, and the outermost tile in either direction.
 TILE, EDGE = 256.0, 64
+#: Boxes that can overlap anything.
+SOLID = "w > 0 and h > 0 and x is not null and y is not null"
 
 
 def last_per_frame(frames: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def _tiled(boxes: DataFrame, ident: str, name: str, tile: float) -> DataFrame:
     """Boxes with an area, a row for each tile of the grid that they touch."""
     at = lambda c: F.least(F.greatest(F.floor(c / tile), F.lit(-EDGE)), F.lit(EDGE)).cast("int")
     span = lambda c, size: F.explode(F.sequence(at(F.col(c)), at(F.col(c) + F.col(size))))
-    rows = boxes.where("w > 0 and h > 0").select(*FRAME, F.col("track_id").alias(ident), "x", "y", "w", "h")
+    rows = boxes.where(SOLID).select(*FRAME, F.col("track_id").alias(ident), "x", "y", "w", "h")
     rows = rows.withColumn("_tx", span("x", "w")).withColumn("_ty", span("y", "h"))
     return rows.select(*FRAME, "_tx", "_ty", ident, box().alias(name))
 
@@ -53,8 +55,8 @@ def iou_pairs(gt: DataFrame, pred: DataFrame, least: float = 0.0, tile: float |
     holds the rest. The result is the same. Boxes without an area, or with a null, overlap nothing.
     """
     if tile is None:
-        g = gt.select(*FRAME, F.col("track_id").alias("gt_id"), box().alias("_g"))
-        both = g.join(pred.select(*FRAME, F.col("track_id").alias("pred_id"), box().alias("_p")), FRAME).withColumn("iou", iou(F.col("_g"), F.col("_p")))
+        g = gt.where(SOLID).select(*FRAME, F.col("track_id").alias("gt_id"), box().alias("_g"))
+        both = g.join(pred.where(SOLID).select(*FRAME, F.col("track_id").alias("pred_id"), box().alias("_p")), FRAME).withColumn("iou", iou(F.col("_g"), F.col("_p")))
         return both.where((F.col("iou") > 0) & (F.col("iou") >= least)).select(*FRAME, "gt_id", "pred_id", "iou")
     both = _tiled(gt, "gt_id", "_g", tile).join(_tiled(pred, "pred_id", "_p", tile), [*FRAME, "_tx", "_ty"])
     at = lambda a, b: F.least(F.greatest(F.floor(F.greatest(a, b) / tile), F.lit(-EDGE)), F.lit(EDGE)).cast("int")
