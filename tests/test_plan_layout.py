@@ -138,3 +138,11 @@ def test_answers_are_read_field_by_field(spark):
     for nothing in ("", "{", "[1]", "null", '"text"', None, '{"blocks": 3, "texts": "x"}'):
         p = read(nothing)
         assert p.title is None and p.blocks is None and p.texts is None
+
+
+def test_sources_of_blocks_are_not_sent_to_the_driver(spark):
+    from tidemark.plans import catalog
+
+    for name in ("block_sources", "source_reservation"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastExchange") <= 1, name  # the tags; rows of plans go by sorted shuffles
