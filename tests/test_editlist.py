@@ -51,3 +51,14 @@ def test_boxes_and_overlays(spark, edits):
     captions = spark.createDataFrame([(1, 0, "hello", "auto", [0.5, 1.0]), (1, 1, "x" * 60, "left", None), (1, 2, "no clips", None, None), (1, 3, "", None, None), (2, 0, None, None, None)], "plan_id long, block_idx int, caption string, caption_pos string, caption_span array<double>")
     got = sorted((r.plan_id, r.kind, r.pos, r.start, r.end, r.fade, r.hurried) for r in E.overlays(plans, captions, edits).collect())
     assert got == [(1, "badge", "top-right", 0.0, 7.5, 0.0, False), (1, "caption", "bottom", 2.25, 4.5, 0.25, False), (1, "caption", "left", 4.5, 6.5, 0.25, True), (1, "notice", "top-right", 0.0, 7.5, 0.0, False), (1, "title", "top", 0.0, 4.5, 0.25, False), (2, "badge", "top-right", 0.0, 2.0, 0.0, False)]
+
+
+def test_a_block_ends_where_the_next_begins(spark):
+    clips = [(1, 0, 1, "a", 26.0, 26.0 + 0.6 + 2 / 10), (1, 0, 2, "a", 13.0, 13.0 + 0.6 + 1 / 10), (1, 2, 7, "a", 41.0, 44.9), (2, 0, 1, "a", 13.0, 13.0 + 0.6 + 38 / 10), (2, 0, 2, "b", 45.0, 45.0 + 0.6 + 19 / 10), (2, 0, 3, "b", 43.0, 43.0 + 0.6 + 25 / 10), (2, 1, 4, "b", 1.0, 2.0)]
+    blocks = [(1, 0, "xfade", 1.25), (1, 2, "cut", 1.25), (2, 0, "cut", 1.25), (2, 1, "cut", 1.0)]
+    edits = E.edit_list(spark.createDataFrame(clips, CLIP), spark.createDataFrame(blocks, BLOCK))
+    rows = sorted(tuple(r) for r in E.block_times(edits).collect())
+    assert all(a[3] == b[2] for a, b in zip(rows, rows[1:]) if a[0] == b[0])  # to the last bit
+    c = spark.createDataFrame([(1, 0, "x", None, [0.25, 0.5])], "plan_id long, block_idx int, caption string, caption_pos string, caption_span array<double>")
+    shown = E.overlays(spark.createDataFrame([(1, None, False)], "plan_id long, title string, voice boolean"), c, edits).where("kind = 'caption'").first()
+    assert shown.fade == 0.05

@@ -36,11 +36,13 @@ def edit_list(clips: DataFrame, blocks: DataFrame) -> DataFrame:
     own = own.withColumn("fade", fade).withColumn("_len", F.col("t1") - F.col("t0"))
     # a clip starts where those before it end, less its own fade and theirs
     own = own.withColumn("_end", F.sum(F.col("_len") - F.col("fade")).over(in_block)).withColumn("_at", F.col("_end") - F.col("_len"))
-    total = own.groupBy(*BLOCK).agg((F.max_by("_end", "clip_ord") / F.first("speed")).alias("_total"))
-    before = F.coalesce(F.sum("_total").over(Window.partitionBy(*PLAN).orderBy("block_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    out = own.join(total.withColumn("_start", before), BLOCK)
-    start = F.col("_start") + F.col("_at") / F.col("speed")
-    return out.select(*BLOCK, "clip_ord", "source", "t0", "t1", "fade", "speed", start.alias("out_start"), (start + F.col("_len") / F.col("speed")).alias("out_end"))
+    # a block's length stands at its last clip, so that no row before that counts it
+    total = F.when(F.lead("clip_ord").over(in_block).isNull(), F.col("_end") / F.col("speed"))
+    before = F.sum("_total").over(Window.partitionBy(*PLAN).orderBy("block_idx", "clip_ord").rowsBetween(Window.unboundedPreceding, -1))
+    out = own.withColumn("_total", total).withColumn("_start", F.coalesce(before, F.lit(0.0)))
+    at = lambda c: F.col("_start") + F.col(c) / F.col("speed")
+    # both from the block's start, so the end of a block is the start of the next to the last bit
+    return out.select(*BLOCK, "clip_ord", "source", "t0", "t1", "fade", "speed", at("_at").alias("out_start"), at("_end").alias("out_end"))
 
 
 def block_times(edits: DataFrame) -> DataFrame:
