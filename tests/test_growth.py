@@ -72,3 +72,12 @@ def test_later_donors_are_met_by_those_without_an_earlier_one(spark):
 def test_small_negative_numbers_keep_their_sign(spark, tmp_path):
     spark.createDataFrame([(1, [-1e-8, 1e-8, -0.25], 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert str(catalog.QUERIES["npz_from_files"](spark, str(tmp_path)).first().embedding) == "[-0.0, 0.0, -0.25]"
+
+
+def test_long_words_are_cut_in_linear_time():
+    from tidemark.functions import text as T
+
+    got = T._wrapped("x" * 1_000_000 + " y", 13.2 * 25, 13.2, [])
+    assert len(got) == 40_001 and got[-1] == "y" and "".join(got[:-1]) == "x" * 1_000_000 and {len(x) for x in got[:-1]} == {25}
+    wide = T._wrapped("ab" * 5, 40.0, 10.0, [(T.re.compile("b"), 5.0)])
+    assert wide == ["aba", "bab", "aba", "b"] or all(10 * len(x) + 5 * x.count("b") <= 40 for x in wide)
