@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tidemark.operators import identity as I
 from tidemark.plans import catalog
@@ -81,3 +82,18 @@ def test_long_words_are_cut_in_linear_time():
     assert len(got) == 40_001 and got[-1] == "y" and "".join(got[:-1]) == "x" * 1_000_000 and {len(x) for x in got[:-1]} == {25}
     wide = T._wrapped("ab" * 5, 40.0, 10.0, [(T.re.compile("b"), 5.0)])
     assert wide == ["aba", "bab", "aba", "b"] or all(10 * len(x) + 5 * x.count("b") <= 40 for x in wide)
+
+
+def test_profiles_are_rounded_as_their_statement_rounds(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    # dark means of 0.545 and 0.575, a luma of exactly 0.45, and values whose plain sum depends on their order
+    digits = [9] * 9 + [8] + [2] * 10, [9] * 10 + [7] + [2] * 9, [5] * 20, [1] * 20
+    digits = [[*d] for d in digits]
+    digits[0][-1] += 109 - sum(digits[0])
+    digits[1][-1] += 115 - sum(digits[1])
+    values = [10.01] * 20, [20.02] * 20, [1.35] * 20, [1e6, 0.1, -1e6] * 6 + [0.35, 0.2]
+    rows = [(1000 * u + 10 * i + d, u, v) for u in range(4) for i, (d, v) in enumerate(zip(digits[u], values[u], strict=True))]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    want = duckdb.connect().execute(catalog.ORACLE["luma_profile"].replace("from events", f"from '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["luma_profile"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and {0.55, 0.57} <= {r[2] for r in got}
