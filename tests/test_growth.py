@@ -1,5 +1,6 @@
 """Steps whose time or memory once grew faster than their input."""
 
+import json
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 
 from tidemark.operators import identity as I
 from tidemark.plans import catalog
+from tidemark.sources import records as R
 
 
 def _plan(df, kind="executedPlan"):
@@ -97,3 +99,22 @@ def test_profiles_are_rounded_as_their_statement_rounds(spark, tmp_path):
     want = duckdb.connect().execute(catalog.ORACLE["luma_profile"].replace("from events", f"from '{tmp_path}/events.parquet/*.parquet'")).fetchall()
     got = [tuple(r) for r in catalog.QUERIES["luma_profile"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and {0.55, 0.57} <= {r[2] for r in got}
+
+
+@pytest.mark.parametrize("name", ["segments_from_files", "actions_from_files", "matches_from_files"])
+def test_files_of_segments_are_no_more_than_tasks(spark, name):
+    out = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").cache()
+    assert out.select("video_id").distinct().count() > 8 >= len(out.inputFiles())
+
+
+def test_documents_a_line_and_a_file_are_read_alike(spark, tmp_path):
+    docs = {"7": [{"start_t": 0.0, "end_t": 2.0, "label": "걷기"}, {"start_t": 2.0, "end_t": 3.5, "label": "a\nb"}], "v": []}
+    for v, s in docs.items():
+        (tmp_path / f"{v}_m3.json").write_text(json.dumps({"segments": s}, indent=1))
+    R.write_json(spark.createDataFrame([(v, [tuple(x.values()) for x in s]) for v, s in docs.items()], f"video_id string, {R.SEGMENTS}"), str(tmp_path / "lines"), by=None)
+    one, many = (sorted(map(tuple, R.read_segments(spark, p, **k).collect())) for p, k in ((str(tmp_path / "*_m3.json"), {}), (str(tmp_path / "lines"), {"suffix": None})))
+    assert one == many == [("7", 0, 0.0, 2.0, "걷기"), ("7", 1, 2.0, 3.5, "a\nb")]
+    for bad in ('{"video_id": "x"}', '{"video_id": "x", "segments": ['):
+        (tmp_path / "bad.json").write_text(bad + "\n")
+        with pytest.raises(Exception):
+            R.read_segments(spark, str(tmp_path / "bad.json"), suffix=None).collect()

@@ -63,33 +63,38 @@ def collect_frames(boxes: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str, by: str | None = "video_id") -> None:
-    """JSON lines, non-ASCII as it is; a folder for each video."""
+    """JSON lines, non-ASCII as it is; a folder for each video, or with ``by=None`` all columns in each line."""
     w = df.write.mode("overwrite").option("ignoreNullFields", "false")
     (w.partitionBy(by) if by else w).json(path)
 
 
 def _documents(spark, path, schema, suffix):
+    """A document a file, named by its video; or, with no suffix, a document a line that holds its ``video_id``, as
+    :func:`write_json` makes them with ``by=None``: the number of files then doesn't grow with that of videos."""
+    if suffix is None:
+        rows = spark.read.schema(f"video_id string, {schema}").option("mode", "FAILFAST").json(path)
+        return rows.select("video_id", *_columns(schema))
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).select(video_of(suffix), *_columns(schema))
 
 
-def read_segments(spark: SparkSession, path: str, suffix: str = "_m3.json") -> DataFrame:
+def read_segments(spark: SparkSession, path: str, suffix: str | None = "_m3.json") -> DataFrame:
     """video_id, ord, start, end, label, in file order."""
     d = _required(_documents(spark, path, SEGMENTS, suffix), "segments").select("video_id", F.posexplode("segments").alias("ord", "s"))
     return d.select("video_id", "ord", F.col("s.start_t").alias("start"), F.col("s.end_t").alias("end"), "s.label")
 
 
-def read_actions(spark: SparkSession, path: str, suffix: str = "_m4.json") -> DataFrame:
+def read_actions(spark: SparkSession, path: str, suffix: str | None = "_m4.json") -> DataFrame:
     """video_id, ord, start, end, group, action, conf (1 by default), uncertain (false by default)."""
     d = _required(_documents(spark, path, ACTIONS, suffix), "segments").select("video_id", F.posexplode("segments").alias("ord", "s"))
     return d.select("video_id", "ord", F.col("s.start_t").alias("start"), F.col("s.end_t").alias("end"), "s.group", "s.action", F.coalesce("s.conf", F.lit(1.0)).alias("conf"), F.coalesce("s.uncertain", F.lit(False)).alias("uncertain"))
 
 
-def read_matches(spark: SparkSession, path: str, suffix: str = "_m5.json") -> DataFrame:
+def read_matches(spark: SparkSession, path: str, suffix: str | None = "_m5.json") -> DataFrame:
     d = _required(_documents(spark, path, MATCHES, suffix), "matches").select("video_id", F.posexplode("matches").alias("ord", "s"))
     return d.select("video_id", "ord", "s.phrase_id", "s.source", F.col("s.start_t").alias("start"), F.col("s.end_t").alias("end"), F.coalesce("s.uncertain", F.lit(False)).alias("uncertain"))
 
 
-def read_reid(spark: SparkSession, path: str, suffix: str = "_m2.json") -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_reid(spark: SparkSession, path: str, suffix: str | None = "_m2.json") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(mapping: video_id, track_id, cluster; interventions: video_id, track_id, t, reason; evidence: video_id, track_id,
     sim, anchor, auto). Tracks mapped to -1 belong to nobody and are dropped."""
     d = _documents(spark, path, REID, suffix)
