@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tidemark.operators import identity as I
+from tidemark.operators import plan as plans
 from tidemark.plans import catalog
 from tidemark.sources import records as R
 
@@ -118,3 +119,19 @@ def test_documents_a_line_and_a_file_are_read_alike(spark, tmp_path):
         (tmp_path / "bad.json").write_text(bad + "\n")
         with pytest.raises(Exception):
             R.read_segments(spark, str(tmp_path / "bad.json"), suffix=None).collect()
+
+
+def test_reservation_sorts_and_shuffles_by_plan_only(spark):
+    rows = _plan(catalog.QUERIES["source_reservation"](spark, "/root/testdata/sf0.001")).split("BroadcastExchange")[0].splitlines()
+    assert not [r for r in rows if ("Sort [" in r or "hashpartitioning" in r) and "source#" in r]
+
+
+def test_sources_kept_by_plan_are_those_kept_by_a_window(spark):
+    rng = random.Random(7)
+    names, words = [*"abcd", None], ["x", "xy", "zz", "q"]
+    b = [(p, i, rng.choice([[], [rng.choice(names)], ["a", "b"], None]), rng.choice([[], ["x"], ["xy", "zz"], ["q", ""], None])) for p in range(60) for i in range(4)]
+    s = [(p, x, i) for p in range(58) for i, x in enumerate(names)]
+    blocks = spark.createDataFrame(b, "plan_id long, block_idx int, sources array<string>, keywords array<string>")
+    args = blocks, spark.createDataFrame(s, "plan_id long, source string, src_ord int"), spark.createDataFrame([("a", "x"), ("b", "xyz"), ("c", "z")], "source string, tag string")
+    got, want = (sorted(map(str, df.collect())) for df in (plans.allowed_sources(*args), plans.reserve(plans.block_sources(*args))))
+    assert got == want and got
