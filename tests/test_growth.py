@@ -10,6 +10,7 @@ from tidemark.operators import identity as I
 from tidemark.operators import plan as plans
 from tidemark.plans import catalog
 from tidemark.sources import records as R
+from tidemark.streaming import live
 
 
 def _plan(df, kind="executedPlan"):
@@ -135,3 +136,15 @@ def test_sources_kept_by_plan_are_those_kept_by_a_window(spark):
     args = blocks, spark.createDataFrame(s, "plan_id long, source string, src_ord int"), spark.createDataFrame([("a", "x"), ("b", "xyz"), ("c", "z")], "source string, tag string")
     got, want = (sorted(map(str, df.collect())) for df in (plans.allowed_sources(*args), plans.reserve(plans.block_sources(*args))))
     assert got == want and got
+
+
+def test_joined_streams_neither_count_their_state_nor_copy_it(spark, tmp_path):
+    key = "spark.sql.streaming.stateStore.rocksdb"
+    spark.range(9).selectExpr("id % 3 k", "timestamp_seconds(id) ts").write.parquet(f"{tmp_path}/in")
+    stream = live.stream_sessions(spark.readStream.schema("k long, ts timestamp").parquet(f"{tmp_path}/in"), "k", "ts", "10 seconds", "1 hour")
+    with live.joined_state(spark):
+        assert spark.conf.get(f"{key}.trackTotalNumberOfRows") == "false" and spark.conf.get(f"{key}.changelogCheckpointing.enabled") == "true"
+        run = stream.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert run.recentProgress[0]["stateOperators"][0]["numRowsUpdated"] == 3
+    assert list(tmp_path.glob("state/state/**/*.changelog")) and not spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider")

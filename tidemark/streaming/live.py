@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -28,11 +29,21 @@ def keyed_state(spark: SparkSession):
     return setting(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def collected(stream: DataFrame, label: str) -> DataFrame:
-    """What a stream of append mode gives for the files that are there now, as a table in the shared folder."""
+@contextmanager
+def joined_state(spark: SparkSession):
+    """:func:`keyed_state` for joins of streams: the store doesn't look up each key to count its rows, and commits write what
+    changed instead of whole files."""
+    store = "spark.sql.streaming.stateStore.rocksdb"
+    with keyed_state(spark), setting(spark, f"{store}.trackTotalNumberOfRows", "false"), setting(spark, f"{store}.changelogCheckpointing.enabled", "true"):
+        yield
+
+
+def collected(stream: DataFrame, label: str, state=keyed_state) -> DataFrame:
+    """What a stream of append mode gives for the files that are there now, as a table in the shared folder. ``state`` is what
+    the stream starts in."""
     spark = stream.sparkSession
     path = scratch_path(spark, label)
-    with keyed_state(spark):
+    with state(spark):
         run = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
