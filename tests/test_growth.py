@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import identity as I
 from tidemark.operators import plan as plans
@@ -148,3 +149,27 @@ def test_joined_streams_neither_count_their_state_nor_copy_it(spark, tmp_path):
     run.awaitTermination()
     assert run.recentProgress[0]["stateOperators"][0]["numRowsUpdated"] == 3
     assert list(tmp_path.glob("state/state/**/*.changelog")) and not spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider")
+
+
+def test_answers_are_parsed_once(spark):
+    rows = _plan(catalog.QUERIES["clean_plans"](spark, "/root/testdata/sf0.001"), "optimizedPlan")
+    assert rows.count("parseJson") == 1 and rows.count("regexp_replace") <= 4  # title, captions, narration, texts
+
+
+@pytest.mark.parametrize("name", ["clean_plans", "default_plans", "plan_checks"])
+def test_plans_in_one_row_group_are_dealt_to_all_cores(spark, tmp_path, name):
+    parts = spark.range(4000).selectExpr("id p_partkey", "concat('part ', id) p_name", "'LARGE' p_type", "cast(id % 50 + 1 as int) p_size")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    out = catalog.QUERIES[name](spark, str(tmp_path))
+    tasks = {r.t: r["count"] for r in out.groupBy(F.spark_partition_id().alias("t")).count().collect()}
+    assert len(tasks) >= spark.sparkContext.defaultParallelism and sum(tasks.values()) == 4000 and max(tasks.values()) < 4000 / 2
+
+
+def test_odd_answers_are_read_in_one_go_as_field_by_field(spark):
+    odd = [{"title": {"a": 1}, "voice": "yes", "blocks": [{"sources": {"x": 1}, "caption": 3, "keywords": [None, [1]], "caption_span": ["x", 1]}, [], "b"]}, {"Title": "t", "blocks": {"caption": "c"}, "texts": [{"blocks": 1.7}, {"blocks": "x", "span": None}]}]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(odd)] + [(2, '{"title": "a", "title": "b"}')], "i long, a string")
+    a, b, c = (r.p for r in df.select("i", plans.raw_plan(F.col("a")).alias("p")).orderBy("i").collect())
+    assert (a.title, a.voice, [x.caption for x in a.blocks]) == ('{"a":1}', True, ["3", None, None])
+    assert (a.blocks[0].sources, a.blocks[0].keywords, a.blocks[0].caption_span) == (['{"x":1}'], [None, "[1]"], [None, 1.0])
+    assert (b.title, b.blocks, [(t.blocks, t.span) for t in b.texts]) == (None, None, [([1], None), (None, None)])
+    assert (c.title, c.voice, c.blocks, c.texts) == (None, None, None, None)

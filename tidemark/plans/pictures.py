@@ -33,7 +33,7 @@ def _raw_plans(spark, d):
         F.when(z % 6 == 0, 0.0).otherwise(z / 10.0).alias("speed"), pick(F.lit("top"), F.lit("nowhere"), F.lit("auto"), null).alias("caption_pos"), span.alias("caption_span"), F.when(z % 3 == 1, F.array(F.lit("a"))).alias("keywords"),
     )
     shout = F.struct(F.concat(F.lit("  hey "), z.cast("string")).alias("text"), F.when(z % 4 > 0, F.array(z.cast("int"), F.lit(-3))).alias("blocks"), F.lit("left").alias("pos"))
-    p = P.read(spark, d, "part")
+    p = P.spread(P.read(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size"), "p_partkey")
     j = F.to_json(F.struct(F.when(z % 4 > 0, F.col("p_name")).alias("title"), F.when(z % 5 > 0, F.array(block)).otherwise(F.array()).alias("blocks"), F.array(shout).alias("texts")))
     raw = F.from_json(j, f"title string, blocks array<struct<{plan.RAW_BLOCK.replace(', ', ',').replace(' ', ':')}>>, texts array<struct<{plan.RAW_TEXT.replace(', ', ',').replace(' ', ':')}>>")
     request = F.when(z % 2 == 0, F.concat(F.lit("say "), F.col("p_name"))).otherwise("make a film")
