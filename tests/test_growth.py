@@ -104,6 +104,26 @@ def test_profiles_are_rounded_as_their_statement_rounds(spark, tmp_path):
     assert sorted(got) == sorted(want) and {0.55, 0.57} <= {r[2] for r in got}
 
 
+def test_profiles_of_frames_without_a_dark_fraction_and_of_huge_values(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    videos = [
+        [(None, 300.0), (9, 300.0)],  # half of its frames are dark, not more
+        [(None, 300.0), (9, 300.0), (8, 300.0)],
+        [(None, 300.0), (None, 100.0)],
+        [(1, None), (9, None)],
+        [(9, None), (9, None)],
+        [(1, 1e304)],
+        [(1, 1e303), (2, -1e303), (3, 900.0)],
+        [(1, 1.7e308), (2, 1.7e308)],
+        [(1, 1e307), (2, None), (None, None)],
+    ]
+    rows = [(e, u, v) for u, frames in enumerate(videos) for e, v in frames]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    want = duckdb.connect(config={"threads": 1}).execute(catalog.ORACLE["luma_profile"].replace("from events", f"from '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["luma_profile"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and got
+
+
 @pytest.mark.parametrize("name", ["segments_from_files", "actions_from_files", "matches_from_files"])
 def test_files_of_segments_are_no_more_than_tasks(spark, name):
     out = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").cache()

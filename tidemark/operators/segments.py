@@ -205,17 +205,18 @@ def is_dark(luma, dark_frac):
 
 def steady_mean(v):
     """Mean of doubles, the same in whatever order they are summed: parts down to 2^-20 add up exactly below 2^33, and what
-    is left of each is too small to count."""
-    high = F.rint(v * 2.0**20) / 2.0**20
+    is left of each is too small to count. Larger numbers are added as they are."""
+    high = F.when(F.abs(v) < 2.0**33, F.rint(v * 2.0**20) / 2.0**20).otherwise(v)
     return (F.sum(high) + F.sum(F.nanvl(v - high, F.lit(0.0)))) / F.count(v)
 
 
 def luma_profile(frames: DataFrame, keys: list[str], channels: int = 1) -> DataFrame:
     """Mean luma (one place) and dark fraction (two) over frames, and whether the video is dark. ``luma`` of a frame may be
-    a sum over ``channels``. Means are rounded as doubles: 0.545 lies above its half and 0.575 below."""
-    m = frames.groupBy(*keys).agg((steady_mean(F.col("luma")) / channels).alias("_l"), F.avg("dark_frac").alias("_d"))
-    places = lambda c, unit: F.rint(c * unit) / unit
-    return m.select(*keys, places(F.col("_l"), 10.0).alias("luma"), places(F.round("_d", 9).cast("double"), 100.0).alias("dark_frac"), is_dark(F.col("_l"), F.col("_d")).alias("dark"))
+    a sum over ``channels``. Means are rounded as doubles: 0.545 lies above its half and 0.575 below. A frame without a dark
+    fraction takes no part in the mean, and isn't dark when it is asked whether more than half is."""
+    m = frames.groupBy(*keys).agg((steady_mean(F.col("luma")) / channels).alias("_l"), F.avg("dark_frac").alias("_d"), (F.sum("dark_frac") / F.count("*")).alias("_a"))
+    places = lambda c, unit: F.when(F.abs(c) < 1e300, F.rint(c * unit) / unit).otherwise(c)
+    return m.select(*keys, places(F.col("_l"), 10.0).alias("luma"), places(F.round("_d", 9).cast("double"), 100.0).alias("dark_frac"), is_dark(F.col("_l"), F.col("_a")).alias("dark"))
 
 
 def place_profile(probs: DataFrame, indoor: DataFrame, keys: list[str], tau: float = 0.9, least: float = 0.2, n: int = 5) -> DataFrame:
