@@ -128,3 +128,79 @@ def test_folds_take_in_order(spark):
     got = sorted((r.owner, r.pick, r.video_id, r.frame_idx) for r in I.diverse(df, ["owner"], 4).collect())
     assert got == [("o", 1, 1, 0), ("o", 2, 2, 5), ("o", 3, 1, 400), ("o", 4, 1, 900), ("p", 1, 1, 3)]
     assert I.diverse(df.limit(0), ["owner"]).count() == 0
+
+
+def plain_relink(tracks, tau):
+    """The method, track by track: {track: (cluster, sim, joined)} of (track, vector, frames) in order."""
+    held, out = [], {}
+    for t, v, frames in tracks:
+        best, sim = -1, -1.0
+        for i, c in enumerate(held):
+            if not c["frames"] & frames and float(np.dot(c["mean"], v)) > sim:
+                best, sim = i, float(np.dot(c["mean"], v))
+        if best >= 0 and sim >= tau:
+            c = held[best]
+            total = c["mean"] * c["size"] + v
+            held[best] = {"mean": total / (np.linalg.norm(total) + 1e-8), "size": c["size"] + 1, "frames": c["frames"] | frames}
+        else:
+            held.append({"mean": v, "size": 1, "frames": set(frames)})
+        out[t] = (best if best >= 0 and sim >= tau else len(held) - 1, sim, best >= 0 and sim >= tau)
+    return out
+
+
+@pytest.mark.parametrize("listed", [64, 2])
+def test_relink_of_crowded_frames(listed, monkeypatch):
+    """Frames that many clusters were seen on, as lists and as bits, in videos of several blocks."""
+    monkeypatch.setattr(I, "MOST_LISTED", listed)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(600, 5))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    frames = [set(map(int, rng.choice(9, rng.integers(0, 3)))) | {int(x) for x in rng.choice(5_000, 20)} for _ in v]
+    clusters, got = I._Clusters(0.9, 5), []
+    for at in range(0, len(v), I.BLOCK):
+        got += clusters.block(v[at : at + I.BLOCK], frames[at : at + I.BLOCK])
+    want = plain_relink([(i, x, f) for i, (x, f) in enumerate(zip(v, frames, strict=True))], 0.9)
+    assert [(c, j) for c, _, j in got] == [(c, j) for c, _, j in want.values()] and any(j for *_, j in got)
+    assert np.allclose([s for _, s, _ in got], [s for _, s, _ in want.values()])
+    assert {type(x) for x in clusters.at.values()} == {I.array, int}
+
+
+def test_online_relink_pools_samples_and_keeps_apart_what_is_seen_together(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from tidemark.plans import catalog
+
+    rng = np.random.default_rng(6)
+    dogs = rng.normal(size=(3, 8))
+    rows = [(i, (dogs[i % 3] + rng.normal(size=8) * 0.35).astype(np.float32).tolist(), i % 3) for i in range(500)]
+    rows[7], rows[30], rows[31] = (7, None, 1), (30, [0.0] * 8, 0), (31, rows[1][1], 1)
+    events = [(i, int(rng.integers(0, 150))) for i in map(int, rng.choice(9_000, 400, replace=False)) if i % 5000 < 600]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame(events, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["online_relink"](spark, str(tmp_path)).collect()
+
+    length = lambda a: a / (np.linalg.norm(a) + 1e-8)
+    samples, seen = {}, {}
+    for i, v, label in rows:
+        if v is not None:
+            samples.setdefault((i % 10, label, i // 80), []).append((i, length(np.array(v, float))))
+    for e, u in events:
+        seen.setdefault(u, set()).add(e % 5000)
+    tracks = {}
+    for (video, _, _), s in samples.items():
+        t = min(s)[0]
+        tracks.setdefault(video, []).append((t, length(np.mean([v for _, v in s], axis=0)), seen.get(t % 150, set())))
+    want = {(video, tau, t): r for video, rows in tracks.items() for tau in (0.5, 0.6, 0.7, 0.8, 0.9) for t, r in plain_relink(sorted(rows, key=lambda r: r[0]), tau).items()}
+    assert {(r.video_id, r.tau, r.track_id): (r.cluster, r.auto) for r in got} == {k: (c, j) for k, (c, _, j) in want.items()} and len(got) == len(want)
+    assert all(abs(r.sim - want[r.video_id, r.tau, r.track_id][1]) < 6e-4 for r in got)
+    own = {(v, t): f for v, rows in tracks.items() for t, _, f in rows}
+    apart = {}
+    for r in got:
+        apart.setdefault((r.video_id, r.tau, r.cluster), []).append(own[r.video_id, r.track_id])
+    assert all(sum(map(len, f)) == len(set().union(*f)) for f in apart.values()) and max(map(len, samples.values())) > 1
+    # there are such as would have joined if frames did not count
+    assert any(plain_relink([(t, v, set()) for t, v, _ in sorted(rows, key=lambda r: r[0])], 0.5)[t][2] and not want[video, 0.5, t][2] for video, rows in tracks.items() for t, *_ in rows)
+    sql = catalog.ORACLE["online_relink"]
+    for t in ("embeddings", "events"):
+        sql = sql.replace(f"from {t}", f"from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = duckdb.connect().execute(f"select video_id, tau, track_id, cluster, sim, auto from ({sql})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
